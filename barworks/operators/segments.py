@@ -104,6 +104,11 @@ def _scaled(r: Recurrence, exponent: Column) -> Column:
     return F.pow(F.lit(r.decay), exponent)
 
 
+def _fold(past: Column, step: Column) -> Column:
+    """Oldest to newest: what each segment added, faded by one segment per step."""
+    return F.aggregate(past, F.lit(0.0), lambda acc, x: acc * step + x)
+
+
 def smooth(parts: Segmented, recurrences: list[Recurrence]) -> Segmented:
     """Add every recurrence as a column. The source column must be right from ``_pos`` 1 on."""
     if not recurrences:
@@ -154,14 +159,10 @@ def smooth(parts: Segmented, recurrences: list[Recurrence]) -> Segmented:
     series = Window.partitionBy(*parts.keys).orderBy("_seg")
     carries = []
     for r in live:
-        step = r.decay**size
+        step = F.lit(r.decay**size)
         reach = math.ceil(FORGET_EXPONENT / (-math.log(r.decay) * size))
         past = F.collect_list(r.name).over(series.rowsBetween(-reach, 0))
-        carries.append(
-            F.aggregate(past, F.lit(0.0), lambda acc, x, q=step: acc * F.lit(q) + x).alias(
-                f"_carry_{r.name}"
-            )
-        )
+        carries.append(_fold(past, step).alias(f"_carry_{r.name}"))
     carried = added.select(*grain, *carries)
 
     upto = parts.ordered.rowsBetween(Window.unboundedPreceding, 0)
