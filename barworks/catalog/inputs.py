@@ -309,8 +309,11 @@ def sql_outcomes(source: str = "taken") -> str:
     t.entry_atr, t.entry_s, t.last_idx, t.sgn, a.max_hold, a.ratchet, a.fractions, a.targets,
     a.stop_m * t.entry_atr AS stop_dist,
     t.entry_idx AS i, 0 AS n, t.entry_price - t.sgn * a.stop_m * t.entry_atr AS stop_at,
-    1.0::DOUBLE AS left_over, 0.0::DOUBLE AS acc, CAST(NULL AS VARCHAR) AS reason
+    CASE WHEN t.entry_idx = t.last_idx THEN 0.0 ELSE 1.0 END::DOUBLE AS left_over,
+    CASE WHEN t.entry_idx = t.last_idx THEN e.c ELSE 0.0 END::DOUBLE AS acc,
+    CASE WHEN t.entry_idx = t.last_idx THEN 'END' END AS reason
   FROM {source} t JOIN arms a ON a.entry_id = t.arm_id
+    JOIN bars e ON e.epic = t.epic AND e.idx = t.entry_idx
   UNION ALL
   SELECT arm_id, label, epic, direction, is_long, signal_idx, entry_idx, entry_price, entry_atr, entry_s,
     last_idx, sgn, max_hold, ratchet, fractions, targets, stop_dist, i, m,

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barworks.operators.ordered import running_max_before
@@ -23,78 +23,83 @@ FOLD_LIMIT = 4096
 
 @dataclass(frozen=True)
 class TouchIndex:
-    """Packed bars: blocks of bars, groups of blocks, and the top row per series."""
+    """Packed bars: blocks of bars, groups of blocks, the top row per series, and its last bar.
+
+    ``top`` is absent where no series is longer than one group.
+    """
 
     keys: tuple[str, ...]
     blocks: DataFrame
     groups: DataFrame
-    top: DataFrame
+    top: DataFrame | None
+    ends: DataFrame
+
+
+def longest_series(bars: DataFrame) -> int:
+    """Highest bar index of any series; one pass over a single column of stored bars."""
+    return bars.agg(F.max("idx")).first()[0] or 0
 
 
 def touch_index(
-    bars: DataFrame, keys: tuple[str, ...] = ("epic",), low: str = "l", high: str = "h", close: str = "c"
+    bars: DataFrame,
+    keys: tuple[str, ...] = ("epic",),
+    low: str = "l",
+    high: str = "h",
+    close: str = "c",
+    longest: int | None = None,
 ) -> TouchIndex:
-    blk = F.floor(F.col("idx") / BLOCK).alias("_blk")
-    item = F.struct(
-        F.col("idx").alias("at"),
-        F.col(low).alias("lo"),
-        F.col(high).alias("hi"),
-        F.col(close).alias("close"),
+    """Pack indexed bars for searches. ``longest`` is the highest index when the caller knows it."""
+    named = bars.select(
+        *keys,
+        "idx",
+        F.col(low).cast("double").alias("lo"),
+        F.col(high).cast("double").alias("hi"),
+        F.col(close).cast("double").alias("close"),
         F.col("end_ts").alias("ts"),
+        F.expr(f"idx div {BLOCK}").alias("_blk"),
+        F.expr(f"idx div {BLOCK * BLOCK}").alias("_grp"),
     )
-    blocks = bars.groupBy(*keys, blk).agg(
-        F.array_sort(F.collect_list(item)).alias("_items"),
-        F.min(low).alias("_lo"),
-        F.max(high).alias("_hi"),
+    extremes = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    blocks = named.groupBy(*keys, "_blk").agg(
+        F.expr("array_sort(collect_list(struct(idx AS at, lo, hi, close, ts)))").alias("_items")
     )
-    grp = F.floor(F.col("_blk") / BLOCK).alias("_grp")
-    packed = F.struct(F.col("_blk").alias("at"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
-    extremes = bars.groupBy(*keys, blk).agg(F.min(low).alias("_lo"), F.max(high).alias("_hi"))
-    groups = extremes.groupBy(*keys, grp).agg(
-        F.array_sort(F.collect_list(packed)).alias("_items"),
-        F.min("_lo").alias("_lo"),
-        F.max("_hi").alias("_hi"),
+    groups = (
+        named.groupBy(*keys, "_grp", "_blk")
+        .agg(*extremes)
+        .groupBy(*keys, "_grp")
+        .agg(F.expr("array_sort(collect_list(struct(_blk AS at, lo, hi)))").alias("_items"))
     )
-    packed = F.struct(F.col("_grp").alias("at"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
-    wide = bars.groupBy(*keys, F.floor(F.col("idx") / (BLOCK * BLOCK)).alias("_grp")).agg(
-        F.min(low).alias("_lo"),
-        F.max(high).alias("_hi"),
-        F.max(F.struct(F.col("idx"), F.col(close).alias("close"), F.col("end_ts").alias("ts"))).alias(
-            "_end"
-        ),
-    )
-    top = wide.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(packed)).alias("_items"), F.max("_end").alias("_end")
-    )
-    return TouchIndex(keys, blocks, groups, top)
+    top = None
+    if longest is None or longest >= BLOCK * BLOCK:
+        top = (
+            named.groupBy(*keys, "_grp")
+            .agg(*extremes)
+            .groupBy(*keys)
+            .agg(F.expr("array_sort(collect_list(struct(_grp AS at, lo, hi)))").alias("_items"))
+        )
+    ends = named.groupBy(*keys).agg(F.expr("max(struct(idx, close, ts))").alias("_end"))
+    return TouchIndex(keys, blocks, groups, top, ends)
 
 
-def _lookup(
-    events: DataFrame, packed: DataFrame, keys: tuple[str, ...], part: str | None, want: Column, wanted: Column
-) -> DataFrame:
-    """Left-join each event that needs it to one packed row.
+def _lookup(events: DataFrame, packed: DataFrame, keys: tuple[str, ...], part: str, want: str) -> DataFrame:
+    """Left-join each event to the one packed row whose ``part`` is ``want``.
 
-    Events that need nothing get a negative key spread over many values, so they match no row and
-    do not pile up in one partition.
+    Where ``want`` is null the event needs nothing: it gets a negative key, spread over many values
+    so that such events match no row and do not pile up in one partition.
     """
-    idle = -(F.lit(1) + F.pmod(F.col("_from"), F.lit(9973)))
-    if part is None:
-        packed = packed.withColumn("_grp", F.lit(0).cast("long"))
-        part, want = "_grp", F.lit(0).cast("long")
-    keyed = events.withColumn("_part", F.when(wanted, want).otherwise(idle).cast("long"))
-    return keyed.join(
-        packed.withColumnRenamed(part, "_part"), [*keys, "_part"], "left"
-    ).drop("_part")
-
-
-def _first(after: Column | None) -> Column:
-    """First packed item past ``after`` that reaches the low or the high level."""
+    key = f"coalesce({want}, -1 - pmod(xxhash64({', '.join(keys)}, _from), 9973))"
+    return (
+        events.withColumn("_part", F.expr(key))
+        .join(packed.withColumnRenamed(part, "_part"), [*keys, "_part"], "left")
+        .drop("_part")
+    )
 
-    def reached(x: Column) -> Column:
-        touch = (x["lo"] <= F.col("_lo_level")) | (x["hi"] >= F.col("_hi_level"))
-        return touch if after is None else (x["at"] > after) & touch
 
-    return F.try_element_at(F.filter("_items", reached), F.lit(1))
+def _first(after: str | None = None) -> str:
+    """SQL: the first packed item past ``after`` that reaches the low or the high level."""
+    later = f"x.at > {after} AND " if after else ""
+    touch = "(x.lo <= _lo_level OR x.hi >= _hi_level)"
+    return f"try_element_at(filter(_items, x -> {later}{touch}), 1)"
 
 
 def first_touch(
@@ -102,59 +107,46 @@ def first_touch(
 ) -> DataFrame:
     """Add ``touch`` (at, lo, hi, close, ts): the first bar after ``start`` with low at or below the
     low level or high at or above the high level. Null where no bar ever does, or where ``start``
-    is null (a finished event)."""
+    is null (a finished event). A null or NaN level is never reached."""
     keys = index.keys
-    # A null level never touches; NaN must not either, and Spark sorts NaN above all numbers.
-    clean = lambda level: F.when(~F.isnan(level), level)
     work = events.withColumns(
-        {"_from": F.col(start), "_lo_level": clean(lo_level), "_hi_level": clean(hi_level)}
+        {
+            "_from": F.col(start).cast("long"),
+            "_lo_level": F.nanvl(lo_level, F.lit(None).cast("double")),
+            "_hi_level": F.nanvl(hi_level, F.lit(None).cast("double")),
+        }
     )
-    active = F.col("_from").isNotNull()
-    blk = F.floor(F.col("_from") / BLOCK)
-    grp = F.floor(F.col("_from") / (BLOCK * BLOCK))
-
-    blocks = index.blocks.select(*keys, "_blk", "_items")
-    groups = index.groups.select(*keys, "_grp", "_items")
-    top = index.top.select(*keys, "_items")
-
-    work = _lookup(work, blocks, keys, "_blk", blk, active)
-    work = work.withColumn("touch", _first(F.col("_from"))).drop("_items")
-    open_ = active & F.col("touch").isNull()
-
-    work = _lookup(work, groups, keys, "_grp", grp, open_)
-    work = work.withColumn("_hit_blk", _first(blk)["at"]).drop("_items")
-    work = _lookup(work, top, keys, None, F.lit(0), open_ & F.col("_hit_blk").isNull())
-    work = work.withColumn("_hit_grp", _first(grp)["at"]).drop("_items")
-
-    work = _lookup(work, groups, keys, "_grp", F.col("_hit_grp"), F.col("_hit_grp").isNotNull())
-    work = work.withColumn("_hit_blk", F.coalesce("_hit_blk", _first(None)["at"])).drop("_items")
-    work = _lookup(work, blocks, keys, "_blk", F.col("_hit_blk"), F.col("_hit_blk").isNotNull())
-    work = work.withColumn("touch", F.coalesce("touch", _first(None))).drop("_items")
-    return work.drop("_from", "_lo_level", "_hi_level", "_hit_blk", "_hit_grp")
+    # Up: the event's own block, the later blocks of its group, the later groups of the series.
+    work = _lookup(work, index.blocks, keys, "_blk", f"_from div {BLOCK}")
+    work = work.withColumn("touch", F.expr(_first("_from"))).drop("_items")
+    open_ = "CASE WHEN touch IS NULL THEN "
+    work = _lookup(work, index.groups, keys, "_grp", f"{open_} _from div {BLOCK * BLOCK} END")
+    work = work.withColumn("_hit_blk", F.expr(_first(f"_from div {BLOCK}") + ".at")).drop("_items")
+    if index.top is not None:
+        top = index.top.withColumn("_top", F.lit(0).cast("long"))
+        wanted = "CASE WHEN touch IS NULL AND _hit_blk IS NULL AND _from IS NOT NULL THEN 0L END"
+        work = _lookup(work, top, keys, "_top", wanted)
+        work = work.withColumn("_hit_grp", F.expr(_first(f"_from div {BLOCK * BLOCK}") + ".at"))
+        # Down: the group, then the block.
+        work = _lookup(work.drop("_items"), index.groups, keys, "_grp", "_hit_grp")
+        work = work.withColumn("_hit_blk", F.expr(f"coalesce(_hit_blk, {_first()}.at)"))
+        work = work.drop("_items", "_hit_grp")
+    work = _lookup(work, index.blocks, keys, "_blk", "_hit_blk")
+    work = work.withColumn("touch", F.expr(f"coalesce(touch, {_first()})"))
+    return work.drop("_items", "_from", "_lo_level", "_hi_level", "_hit_blk")
 
 
 def bar_at(events: DataFrame, index: TouchIndex, at: str, name: str) -> DataFrame:
     """Add the packed bar with index ``at`` (null where ``at`` is null or past the end)."""
-    work = events.withColumn("_from", F.col(at))
-    work = _lookup(
-        work,
-        index.blocks.select(*index.keys, "_blk", "_items"),
-        index.keys,
-        "_blk",
-        F.floor(F.col(at) / BLOCK),
-        F.col(at).isNotNull(),
-    )
-    same = F.filter("_items", lambda x: x["at"] == F.col("_from"))
-    return work.withColumn(name, F.try_element_at(same, F.lit(1))).drop("_items", "_from")
+    work = events.withColumn("_from", F.col(at).cast("long"))
+    work = _lookup(work, index.blocks, index.keys, "_blk", f"_from div {BLOCK}")
+    found = F.expr("try_element_at(filter(_items, x -> x.at = _from), 1)")
+    return work.withColumn(name, found).drop("_items", "_from")
 
 
 def last_bar(events: DataFrame, index: TouchIndex, name: str = "last") -> DataFrame:
     """Add the last bar (idx, close, ts) of the event's series."""
-    return events.join(index.top.select(*index.keys, F.col("_end").alias(name)), list(index.keys), "left")
-
-
-def _is_long() -> Column:
-    return F.col("direction") == "LONG"
+    return events.join(index.ends.withColumnRenamed("_end", name), list(index.keys), "left")
 
 
 def ladder_outcomes(events: DataFrame, index: TouchIndex, rounds: int) -> DataFrame:
@@ -168,143 +160,98 @@ def ladder_outcomes(events: DataFrame, index: TouchIndex, rounds: int) -> DataFr
     """
     if rounds < 1:
         raise ValueError("a ladder needs at least one tier")
-    entry, n = F.col("entry_price"), F.col("_n")
-    sign = F.when(_is_long(), F.lit(1.0)).otherwise(F.lit(-1.0))
-    fill_type = "array<struct<idx:bigint,price:double,fraction:double,reason:string>>"
-    work = events.withColumns(
-        {
-            "_n": F.lit(0),
-            "_stop": entry - sign * F.col("stop_dist"),
-            "_at": F.col("entry_idx").cast("long"),
-            "_left": F.lit(1.0),
-            "_fills": F.array().cast(fill_type),
-            "_exit_ts": F.lit(None).cast("timestamp"),
-        }
-    )
-    limit = F.when(F.col("max_holding_bars") > 0, F.col("entry_idx") + F.col("max_holding_bars"))
+    fill = "idx: bigint, price: double, fraction: double, reason: string"
+    state = {
+        "_long": "direction = 'LONG'",
+        "_sign": "CASE WHEN direction = 'LONG' THEN 1D ELSE -1D END",
+        "_n": "0",
+        "_at": "CAST(entry_idx AS BIGINT)",
+        "_left": "1D",
+        "_fills": f"CAST(array() AS array<struct<{fill}>>)",
+        "_exit_ts": "CAST(NULL AS TIMESTAMP)",
+        "_done": "false",
+        "_limit": "CASE WHEN max_holding_bars > 0 THEN CAST(entry_idx + max_holding_bars AS BIGINT) END",
+    }
+    work = _with(events, state)
+    work = _with(work, {"_stop": "entry_price - _sign * stop_dist"})
+    tier = "entry_price + _sign * try_element_at(ladder, _n + 1).dist"
     for _ in range(rounds):
-        tier = entry + sign * F.try_element_at(F.col("ladder"), F.col("_n") + 1)["dist"]
-        lo = F.when(_is_long(), F.col("_stop")).otherwise(tier)
-        hi = F.when(_is_long(), tier).otherwise(F.col("_stop"))
-        work = first_touch(work, index, "_at", lo, hi)
-        touch = F.col("touch")
-        live = F.coalesce(touch["at"] <= F.coalesce(limit, touch["at"]), F.lit(False))
-        stopped = live & F.when(_is_long(), touch["lo"] <= F.col("_stop")).otherwise(
-            touch["hi"] >= F.col("_stop")
-        )
-        banked = live & ~stopped
-        best = F.when(_is_long(), touch["hi"]).otherwise(touch["lo"])
-        reached = F.size(
-            F.filter(
-                "ladder",
-                lambda t: F.when(_is_long(), best >= F.col("entry_price") + t["dist"]).otherwise(
-                    best <= F.col("entry_price") - t["dist"]
-                ),
-            )
-        )
-        filled = F.when(banked, F.greatest(n, reached)).otherwise(n)
-        work = work.withColumns({"_stopped": stopped, "_banked": banked, "_filled": filled})
-        taken = F.slice("ladder", n + 1, F.col("_filled") - n)
-        stop_fill = F.array(
-            F.struct(
-                touch["at"].alias("idx"),
-                F.col("_stop").alias("price"),
-                F.col("_left").alias("fraction"),
-                F.lit("STOP").alias("reason"),
-            )
+        work = _with(work, {"_tier": tier})
+        work = first_touch(
+            work,
+            index,
+            "_at",
+            F.expr("CASE WHEN _long THEN _stop ELSE _tier END"),
+            F.expr("CASE WHEN _long THEN _tier ELSE _stop END"),
         )
-        tier_fills = F.transform(
-            taken,
-            lambda t: F.struct(
-                touch["at"].alias("idx"),
-                (entry + sign * t["dist"]).alias("price"),
-                t["fraction"].alias("fraction"),
-                F.lit("TARGET").alias("reason"),
-            ),
-        )
-        fills = (
-            F.when(F.col("_stopped"), F.concat("_fills", stop_fill))
-            .when(F.col("_banked"), F.concat("_fills", tier_fills))
-            .otherwise(F.col("_fills"))
-        )
-        done_n = F.col("_filled")
-        t1 = F.element_at("ladder", 1)["dist"]
-        breakeven = (
-            F.when(done_n >= 2, entry + sign * t1).when(done_n >= 1, entry).otherwise(F.col("_stop"))
-        )
-        lagged = F.when(done_n >= 2, entry).otherwise(F.col("_stop"))
-        moved = (
-            F.when(F.col("ratchet") == "BREAKEVEN_AFTER_T1", breakeven)
-            .when(F.col("ratchet") == "LAGGED", lagged)
-            .otherwise(F.col("_stop"))
-        )
-        complete = F.col("_stopped") | (F.col("_banked") & (done_n >= F.size("ladder")))
-        work = (
-            work.withColumns(
-                {
-                    "_fills": fills,
-                    "_left": F.when(
-                        F.col("_banked"),
-                        F.aggregate(taken, F.col("_left"), lambda acc, t: acc - t["fraction"]),
-                    ).otherwise(F.col("_left")),
-                    "_exit_ts": F.when(F.col("_stopped") | F.col("_banked"), touch["ts"]).otherwise(
-                        F.col("_exit_ts")
-                    ),
-                    # Null ends the search: finished, or nothing reached within the limit.
-                    "_at": F.when(F.col("_banked") & ~complete, touch["at"]),
-                    "_stop": F.when(F.col("_banked"), moved).otherwise(F.col("_stop")),
-                    "_n": F.col("_filled"),
-                    "_done": complete
-                    | (F.col("_done") if "_done" in work.columns else F.lit(False)),
-                }
-            )
-            .drop("touch", "_stopped", "_banked", "_filled")
-        )
-
-    work = last_bar(work.withColumn("_limit", limit), index)
-    timed = ~F.col("_done") & (F.col("_limit") <= F.col("last.idx"))
-    work = work.withColumn("_time_idx", F.when(timed, F.col("_limit")))
-    work = bar_at(work, index, "_time_idx", "_time_bar")
-    on_time = F.col("_time_bar").isNotNull()
-
-    def closing(idx: Column, price: Column, reason: str) -> Column:
-        return F.array(
-            F.struct(
-                idx.cast("long").alias("idx"),
-                price.alias("price"),
-                F.col("_left").alias("fraction"),
-                F.lit(reason).alias("reason"),
-            )
-        )
-
-    fills = (
-        F.when(F.col("_done"), F.col("_fills"))
-        .when(on_time, F.concat("_fills", closing(F.col("_time_bar.at"), F.col("_time_bar.close"), "TIME")))
-        .when(F.col("_left") > 0, F.concat("_fills", closing(F.col("last.idx"), F.col("last.close"), "END")))
-        .otherwise(F.col("_fills"))
-    )
-    exit_ts = (
-        F.when(F.col("_done"), F.col("_exit_ts"))
-        .when(on_time, F.col("_time_bar.ts"))
-        .otherwise(F.col("last.ts"))
-    )
-    return (
-        work.withColumns({"fills": fills, "exit_ts": exit_ts, "tiers_filled": F.col("_n")})
-        .withColumns(
+        work = _with(work, {"_live": "coalesce(touch.at <= coalesce(_limit, touch.at), false)"})
+        work = _with(
+            work,
             {
-                "exit_idx": F.element_at("fills", -1)["idx"],
-                "exit_reason": F.element_at("fills", -1)["reason"],
-                "exit_price": F.aggregate(
-                    "fills", F.lit(0.0), lambda acc, f: acc + f["fraction"] * f["price"]
-                ),
-                "hit_t1": F.col("tiers_filled") >= 1,
-            }
-        )
-        .drop(
-            "_n", "_stop", "_at", "_left", "_fills", "_exit_ts", "_done",
-            "_limit", "_time_idx", "_time_bar", "last",
+                "_stopped": "_live AND CASE WHEN _long THEN touch.lo <= _stop ELSE touch.hi >= _stop END",
+                "_reached": """CASE WHEN _long
+                    THEN size(filter(ladder, t -> touch.hi >= entry_price + t.dist))
+                    ELSE size(filter(ladder, t -> touch.lo <= entry_price - t.dist)) END""",
+            },
         )
+        work = _with(work, {"_banked": "_live AND NOT _stopped"})
+        work = _with(work, {"_m": "CASE WHEN _banked THEN greatest(_n, _reached) ELSE _n END"})
+        work = _with(work, {"_taken": "slice(ladder, _n + 1, _m - _n)"})
+        work = _with(
+            work,
+            {
+                "_fills": f"""CASE
+                    WHEN _stopped THEN concat(_fills, array(CAST(
+                        struct(touch.at, _stop, _left, 'STOP') AS struct<{fill}>)))
+                    WHEN _banked THEN concat(_fills, transform(_taken, t -> CAST(
+                        struct(touch.at, entry_price + _sign * t.dist, t.fraction, 'TARGET') AS struct<{fill}>)))
+                    ELSE _fills END""",
+                "_left": """CASE WHEN _banked
+                    THEN aggregate(_taken, _left, (acc, t) -> acc - t.fraction) ELSE _left END""",
+                "_exit_ts": "CASE WHEN _live THEN touch.ts ELSE _exit_ts END",
+                "_done": "_done OR _stopped OR (_banked AND _m >= size(ladder))",
+                # Null ends the search: finished, or nothing is reached within the limit.
+                "_at": "CASE WHEN _banked AND _m < size(ladder) THEN touch.at END",
+                "_stop": """CASE
+                    WHEN NOT _banked THEN _stop
+                    WHEN ratchet = 'BREAKEVEN_AFTER_T1' AND _m >= 2 THEN entry_price + _sign * ladder[0].dist
+                    WHEN ratchet = 'BREAKEVEN_AFTER_T1' AND _m >= 1 THEN entry_price
+                    WHEN ratchet = 'LAGGED' AND _m >= 2 THEN entry_price
+                    ELSE _stop END""",
+                "_n": "_m",
+            },
+        ).drop("touch", "_tier", "_live", "_stopped", "_banked", "_reached", "_m", "_taken")
+
+    work = last_bar(work, index)
+    work = _with(work, {"_time_idx": "CASE WHEN NOT _done AND _limit <= last.idx THEN _limit END"})
+    work = bar_at(work, index, "_time_idx", "_timed")
+    work = _with(
+        work,
+        {
+            "fills": f"""CASE
+                WHEN _done THEN _fills
+                WHEN _timed IS NOT NULL THEN concat(_fills, array(CAST(
+                    struct(_timed.at, _timed.close, _left, 'TIME') AS struct<{fill}>)))
+                WHEN _left > 0 THEN concat(_fills, array(CAST(
+                    struct(last.idx, last.close, _left, 'END') AS struct<{fill}>)))
+                ELSE _fills END""",
+            "exit_ts": "CASE WHEN _done THEN _exit_ts ELSE coalesce(_timed.ts, last.ts) END",
+            "tiers_filled": "_n",
+        },
     )
+    return _with(
+        work,
+        {
+            "exit_idx": "element_at(fills, -1).idx",
+            "exit_reason": "element_at(fills, -1).reason",
+            "exit_price": "aggregate(fills, 0D, (acc, f) -> acc + f.fraction * f.price)",
+            "hit_t1": "tiers_filled >= 1",
+        },
+    ).drop(*state, "_stop", "_time_idx", "_timed", "last")
+
+
+def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.withColumns({name: F.expr(sql) for name, sql in columns.items()})
 
 
 def bracket_outcomes(events: DataFrame, index: TouchIndex) -> DataFrame:
@@ -316,11 +263,17 @@ def bracket_outcomes(events: DataFrame, index: TouchIndex) -> DataFrame:
 
 def pnl_columns(work: DataFrame) -> DataFrame:
     """Signed pnl, R-multiple (risk falls back to the ATR, and to 0 when that is 0) and win flag."""
-    sign = F.when(_is_long(), F.lit(1.0)).otherwise(F.lit(-1.0))
-    risk = F.when(F.col("stop_dist") == 0, F.col("entry_atr")).otherwise(F.col("stop_dist"))
-    pnl = sign * (F.col("exit_price") - F.col("entry_price"))
-    r = F.when(risk == 0, F.lit(0.0)).otherwise(F.col("pnl") / F.when(risk != 0, risk))
-    return work.withColumn("pnl", pnl).withColumns({"r_multiple": r, "is_win": F.col("pnl") > 0})
+    risk = "CASE WHEN stop_dist = 0 THEN entry_atr ELSE stop_dist END"
+    sign = "CASE WHEN direction = 'LONG' THEN 1D ELSE -1D END"
+    work = _with(work, {"pnl": f"({sign}) * (exit_price - entry_price)"})
+    return _with(
+        work, {"r_multiple": f"coalesce(try_divide(pnl, {risk}), 0D)", "is_win": "pnl > 0"}
+    )
+
+
+def legacy_reason(exit_idx: Column, last_idx: Column, pnl: Column) -> Column:
+    """Reason of a close-based exit: END at the last bar, else by the sign of the pnl."""
+    return F.when(exit_idx >= last_idx, "END").when(pnl > 0, "TARGET").otherwise("STOP")
 
 
 def close_based_exit(events: DataFrame, close_index: TouchIndex) -> DataFrame:
@@ -329,22 +282,26 @@ def close_based_exit(events: DataFrame, close_index: TouchIndex) -> DataFrame:
 
     ``close_index`` is a touch index built on the close alone (``low=high="c"``).
     """
-    sign = F.when(_is_long(), F.lit(1.0)).otherwise(F.lit(-1.0))
-    entry = F.col("entry_price")
-    stop = entry - sign * F.col("stop_dist")
-    target = entry + sign * F.col("target_dist")
-    work = first_touch(
+    sign = "CASE WHEN direction = 'LONG' THEN 1D ELSE -1D END"
+    work = _with(
         events,
+        {
+            "_stop": f"entry_price - ({sign}) * stop_dist",
+            "_target": f"entry_price + ({sign}) * target_dist",
+            "_limit": "CASE WHEN max_holding_bars > 0 THEN CAST(entry_idx + max_holding_bars AS BIGINT) END",
+        },
+    )
+    work = first_touch(
+        work,
         close_index,
         "entry_idx",
-        F.when(_is_long(), stop).otherwise(target),
-        F.when(_is_long(), target).otherwise(stop),
+        F.expr("CASE WHEN direction = 'LONG' THEN _stop ELSE _target END"),
+        F.expr("CASE WHEN direction = 'LONG' THEN _target ELSE _stop END"),
     )
     work = last_bar(work, close_index)
-    limit = F.when(F.col("max_holding_bars") > 0, F.col("entry_idx") + F.col("max_holding_bars"))
-    gate = F.least(F.col("touch.at"), limit)
     # The exit is filled on the bar after, which must exist.
-    return work.withColumn("gate_idx", F.when(gate < F.col("last.idx"), gate)).drop("touch", "last")
+    gate = "CASE WHEN least(touch.at, _limit) < last.idx THEN least(touch.at, _limit) END"
+    return _with(work, {"gate_idx": gate}).drop("touch", "last", "_stop", "_target", "_limit")
 
 
 def select_non_overlapping(

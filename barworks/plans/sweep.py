@@ -12,7 +12,9 @@ from barworks.operators.features import bracket, signal_key
 from barworks.operators.indicators import indicator_frame, needs_of
 from barworks.operators.outcomes import (
     close_based_exit,
+    TouchIndex,
     ladder_outcomes,
+    longest_series,
     pnl_columns,
     select_non_overlapping,
     touch_index,
@@ -34,6 +36,7 @@ class SweepResult:
 def entries(
     frame: DataFrame,
     arms: list[Arm],
+    closes: TouchIndex | None = None,
     entry_fill: str = "next_close",
     gate_exit: str = "close",
     extra: list[Vote] | None = None,
@@ -54,7 +57,8 @@ def entries(
     )
     if gate_exit == "none":
         return found
-    closes = touch_index(frame, low="c", high="c")
+    if closes is None:
+        closes = touch_index(frame, low="c", high="c")
     gated = materialize(
         close_based_exit(found, closes).withColumn("_free", F.col("gate_idx") + 1)
     )
@@ -62,7 +66,7 @@ def entries(
     return taken.where(F.col("gate_idx").isNotNull()).drop("_free")
 
 
-def outcomes(taken: DataFrame, frame: DataFrame, arms: list[Arm]) -> DataFrame:
+def outcomes(taken: DataFrame, index: TouchIndex, arms: list[Arm]) -> DataFrame:
     """Trades of every arm: entries fanned out to the ladders that share them, then resolved."""
     first_of: dict[str, int] = {}
     plans = []
@@ -85,7 +89,7 @@ def outcomes(taken: DataFrame, frame: DataFrame, arms: list[Arm]) -> DataFrame:
         "_plan", F.explode(F.filter(F.array(*plans), lambda p: p.isNotNull()))
     ).select("*", "_plan.*").drop("_plan")
     rounds = max(len(a.exit_ladder) for a in arms)
-    resolved = ladder_outcomes(fanned, touch_index(frame), rounds)
+    resolved = ladder_outcomes(fanned, index, rounds)
     stop, target = bracket(
         F.col("direction"), F.col("entry_price"), F.col("entry_atr"), F.col("stop_atr"), F.col("target_atr")
     )
@@ -117,14 +121,17 @@ def sweep_bars(
     segment: int = SEGMENT,
     per_instrument: bool = False,
 ) -> SweepResult:
-    """Evaluate all arms over indexed bars.
+    """Evaluate all arms over stored, indexed bars.
 
-    The indicator frame is read by the signals, both touch indexes and nothing else is recomputed
-    per arm, so it is written once. ``avg_spread`` is a column or a table (epic, avg_spread).
+    Indicators are computed once for all arms; only bars that fire move on. ``avg_spread`` is a
+    column or a table (epic, avg_spread).
     """
     check_arms(arms)
-    frame = materialize(indicator_frame(bars, needs_of(arms), size=segment))
-    trades = outcomes(entries(frame, arms, entry_fill, gate_exit), frame, arms)
+    longest = longest_series(bars)
+    frame = indicator_frame(bars, needs_of(arms), size=segment)
+    closes = touch_index(bars, low="c", high="c", longest=longest)
+    taken = entries(frame, arms, closes, entry_fill, gate_exit)
+    trades = outcomes(taken, touch_index(bars, longest=longest), arms)
     labels = arms_frame(bars.sparkSession, arms)
     if isinstance(avg_spread, DataFrame):
         trades = trades.join(avg_spread.select("epic", "avg_spread"), "epic", "left")

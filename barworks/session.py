@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,8 @@ def local_session(app: str = "barworks", cores: int | str = "*", shuffle: int =
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # Call-site capture costs more than planning where expressions are built by the hundred.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -61,12 +64,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a result that several later stages read.
+    """Write a result that several later stages read, and read it back.
 
-    The rows go to the shared folder, so they are computed once and survive lost executors.
+    The rows go to the shared folder as Parquet: they are computed once, survive lost executors,
+    and later stages still prune columns and know the size of the table.
     """
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
