@@ -83,7 +83,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(long, "LONG").otherwise("SHORT").alias("direction"),
         F.col("o_orderstatus").alias("volatility_regime"),
         pnl.alias("pnl"),
-        (pnl - 0.05).alias("net_pnl"),
+        (pnl - 0.04794123).alias("net_pnl"),
         (pnl / (key % 3 + 1)).alias("r_multiple"),
         (pnl > 0).alias("is_win"),
         ((key * 13) % 4 > 0).alias("hit_t1"),
@@ -355,7 +355,7 @@ SQL_TRADES = """trades AS (
     CASE WHEN o_orderkey % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction,
     o_orderstatus AS volatility_regime,
     ((o_orderkey * 37) % 1000 - 480) / 100.0::DOUBLE AS pnl,
-    ((o_orderkey * 37) % 1000 - 480) / 100.0::DOUBLE - 0.05::DOUBLE AS net_pnl,
+    ((o_orderkey * 37) % 1000 - 480) / 100.0::DOUBLE - 0.04794123::DOUBLE AS net_pnl,
     ((o_orderkey * 37) % 1000 - 480) / 100.0::DOUBLE / (o_orderkey % 3 + 1) AS r_multiple,
     ((o_orderkey * 37) % 1000 - 480) > 0 AS is_win,
     (o_orderkey * 13) % 4 > 0 AS hit_t1,
