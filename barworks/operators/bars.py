@@ -122,7 +122,7 @@ def index_at_or_after(events: DataFrame, bars: DataFrame, at: str, name: str = "
     """
     days = (
         bars.groupBy("epic", F.to_date("end_ts").alias("_day"))
-        .agg(F.array_sort(F.collect_list(F.struct("end_ts", "idx"))).alias("_bars"))
+        .agg(F.sort_array(F.collect_list(F.struct("end_ts", "idx"))).alias("_bars"))
     )
     series = Window.partitionBy("epic").orderBy("_day")
     linked = days.select(
@@ -173,7 +173,7 @@ def bar_window(
         F.explode(F.sequence(F.floor(F.col("_lo") / BLOCK), F.floor(F.col("_hi") / BLOCK))),
     )
     blocks = bars.groupBy("epic", F.floor(F.col("idx") / BLOCK).alias("_blk")).agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("idx", epoch_whole_s(F.col("end_ts")).alias("t"), "o", "h", "l", "c"))
         ).alias("_bars")
     )
@@ -181,7 +181,7 @@ def bar_window(
     return (
         wanted.join(blocks, ["epic", "_blk"])
         .groupBy("epic", key)
-        .agg(F.flatten(F.array_sort(F.collect_list(inside))).alias("bars"))
+        .agg(F.flatten(F.sort_array(F.collect_list(inside))).alias("bars"))
     )
 
 

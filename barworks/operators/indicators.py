@@ -93,7 +93,7 @@ def percentile_rank(frame: Column, current: Column) -> Column:
 
 def volatility_regime(frame: Column, current: Column) -> Column:
     """LOW at or below the 20th, else HIGH at or above the 80th nearest-lower percentile."""
-    ordered = F.array_sort(frame)
+    ordered = F.sort_array(frame)
 
     def at(p: float) -> Column:
         return F.element_at(ordered, (F.floor((F.size(frame) - 1) * F.lit(p)) + 1).cast("int"))

@@ -61,13 +61,13 @@ def touch_index(
     )
     extremes = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
     blocks = named.groupBy(*keys, "_blk").agg(
-        F.expr("array_sort(collect_list(struct(idx AS at, lo, hi, close, ts)))").alias("_items")
+        F.expr("sort_array(collect_list(struct(idx AS at, lo, hi, close, ts)))").alias("_items")
     )
     groups = (
         named.groupBy(*keys, "_grp", "_blk")
         .agg(*extremes)
         .groupBy(*keys, "_grp")
-        .agg(F.expr("array_sort(collect_list(struct(_blk AS at, lo, hi)))").alias("_items"))
+        .agg(F.expr("sort_array(collect_list(struct(_blk AS at, lo, hi)))").alias("_items"))
     )
     top = None
     if longest is None or longest >= BLOCK * BLOCK:
@@ -75,7 +75,7 @@ def touch_index(
             named.groupBy(*keys, "_grp")
             .agg(*extremes)
             .groupBy(*keys)
-            .agg(F.expr("array_sort(collect_list(struct(_grp AS at, lo, hi)))").alias("_items"))
+            .agg(F.expr("sort_array(collect_list(struct(_grp AS at, lo, hi)))").alias("_items"))
         )
     ends = named.groupBy(*keys).agg(F.expr("max(struct(idx, close, ts))").alias("_end"))
     return TouchIndex(keys, blocks, groups, top, ends)
@@ -338,7 +338,7 @@ def _fold_clusters(clusters: DataFrame, keys: list[str]) -> DataFrame:
     start = F.struct(
         F.lit(-1).cast("long").alias("free"), F.array().cast("array<bigint>").alias("kept")
     ).cast(state)
-    ordered = F.array_sort(F.collect_list(F.struct("_s", "_f")))
+    ordered = F.sort_array(F.collect_list(F.struct("_s", "_f")))
 
     def step(acc: Column, e: Column) -> Column:
         take = F.struct(

@@ -165,7 +165,7 @@ def breakdown(trades: DataFrame, keys: list[str], entry_ts: str = "entry_ts") ->
 
 def by_vote_combination(trades: DataFrame, keys: list[str]) -> DataFrame:
     """Trades and wins per set of votes, names sorted."""
-    combo = F.array_join(F.array_sort("reasons"), " + ")
+    combo = F.array_join(F.sort_array("reasons"), " + ")
     return trades.groupBy(*keys, combo.alias("votes")).agg(
         F.count(F.lit(1)).alias("trades"), F.count_if(F.col("pnl") > 0).alias("wins")
     )

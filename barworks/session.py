@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Window work here is heavy per byte, so small stages keep their parallelism.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
 }
 
 
