@@ -400,7 +400,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """EMA change per bar in ATR."""
-    return I.frame(spark, d).select("epic", "idx", trend_slope(30, F.col("atr_14")).alias("slope"))
+    return I.frame(spark, d).select("epic", "idx", F.expr(trend_slope(30, "atr_14")).alias("slope"))
 
 
 @query(
@@ -409,7 +409,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """Volume against its moving average."""
-    return I.frame(spark, d).select("epic", "idx", volume_ratio(20).alias("volume_ratio"))
+    return I.frame(spark, d).select("epic", "idx", F.expr(volume_ratio(20)).alias("volume_ratio"))
 
 
 @query(

@@ -75,7 +75,7 @@ def _vote(name: str, vote: str, column: str):
     def _(spark, d):
         bull = dict(V.votes_of(DEMO, True))[vote]
         bear = dict(V.votes_of(DEMO, False))[vote]
-        return I.frame(spark, d).select("epic", "idx", bull.alias("bull"), bear.alias("bear"))
+        return I.frame(spark, d).select("epic", "idx", F.expr(bull).alias("bull"), F.expr(bear).alias("bear"))
 
 
 _vote("p1_vote_rsi_band", "RSI+BB", "v_rsi")
@@ -97,8 +97,8 @@ def _(spark, d):
     """Votes that agree, per direction."""
     return I.frame(spark, d).select(
         "epic", "idx",
-        V.score(V.votes_of(DEMO, True)).alias("bull"),
-        V.score(V.votes_of(DEMO, False)).alias("bear"),
+        F.expr(V.score(V.votes_of(DEMO, True))).alias("bull"),
+        F.expr(V.score(V.votes_of(DEMO, False))).alias("bear"),
     )
 
 
@@ -136,10 +136,10 @@ def _(spark, d):
     """Trend gate without and with the proximity ceiling."""
     return I.frame(spark, d).select(
         "epic", "idx",
-        V.trend_gate(DEMO, True).alias("long_gate"),
-        V.trend_gate(DEMO, False).alias("short_gate"),
-        V.trend_gate(CONTROL, True).alias("long_near"),
-        V.trend_gate(CONTROL, False).alias("short_near"),
+        F.expr(V.trend_gate(DEMO, True)).alias("long_gate"),
+        F.expr(V.trend_gate(DEMO, False)).alias("short_gate"),
+        F.expr(V.trend_gate(CONTROL, True)).alias("long_near"),
+        F.expr(V.trend_gate(CONTROL, False)).alias("short_near"),
     )
 
 
@@ -428,7 +428,7 @@ def _(spark, d):
 def _(spark, d):
     """Label every event by the first later event of its user that halves it or adds a half."""
     bars = materialize(I.bars_user(spark, d))
-    touched = X.first_touch(bars, X.touch_index(bars), "idx", F.col("c") * 0.5, F.col("c") * 1.5)
+    touched = X.first_touch(bars, X.touch_index(bars), "idx", "c * 0.5", "c * 1.5")
     return touched.select(
         "epic", "idx", F.col("touch.at").alias("touch_idx"), F.col("touch.close").alias("touch_price")
     )

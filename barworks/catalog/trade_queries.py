@@ -178,11 +178,16 @@ def _(spark, d):
 
 @query(
     "a9_equity_curve",
-    I.with_sql(TRADES, EQUITY_SQL, f"SELECT run_id, trade_id, {r('equity')} AS equity FROM curve"),
+    I.with_sql(
+        TRADES,
+        f"""SELECT run_id, trade_id, {r("sum(pnl - 0.05::DOUBLE) OVER (PARTITION BY run_id "
+          "ORDER BY entry_day, trade_id ROWS UNBOUNDED PRECEDING)")} AS equity FROM trades""",
+    ),
 )
 def _(spark, d):
-    """Cumulative net in entry order."""
-    out = stats.equity_curve(I.trades(spark, d), ["run_id"], ORDER, I.order_chunk())
+    """Cumulative net in entry order, at a spread of whole cents."""
+    t = stats.with_net(I.trades(spark, d), 0.05)
+    out = stats.equity_curve(t, ["run_id"], ORDER, I.order_chunk())
     return out.select("run_id", "trade_id", "equity")
 
 

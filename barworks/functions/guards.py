@@ -41,3 +41,17 @@ def at_least(a: Column, b: Column) -> Column:
 def share(condition: Column) -> Column:
     """Aggregate: share of rows where ``condition`` holds (null condition counts as false)."""
     return F.avg(F.coalesce(condition.cast("double"), F.lit(0.0)))
+
+
+def sql_below(a: str, b: str) -> str:
+    """SQL text of :func:`below`."""
+    return f"coalesce({a} < {b} AND NOT isnan({a}) AND NOT isnan({b}), false)"
+
+
+def sql_at_most(a: str, b: str) -> str:
+    return f"coalesce({a} <= {b} AND NOT isnan({a}) AND NOT isnan({b}), false)"
+
+
+def sql_ratio(num: str, den: str) -> str:
+    """SQL text of :func:`ratio`."""
+    return f"CASE WHEN {den} = 0 OR isnan({den}) THEN double('NaN') ELSE ({num}) / ({den}) END"

@@ -5,39 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from barworks.functions.guards import ratio
-from barworks.functions.instants import iso_instant, iso_weekday
+from barworks.functions.guards import sql_ratio
+from barworks.functions.instants import iso_instant
 from barworks.operators.indicators import band_name, trend_slope, volume_ratio
 from barworks.plans.arms import Arm
 
 
-def feature_columns(arm: Arm, votes_score: Column) -> Column:
-    """Feature vector of the signal bar as a struct; distances are in ATR.
+def feature_struct(arm: Arm, score: str) -> str:
+    """SQL struct with the feature vector of the signal bar; distances are in ATR.
 
     Everything is a column of the signal bar's own row, so nothing later can leak in. Hour and
     weekday are those of the entry bar's end.
     """
-    c, atr = F.col("c"), F.col(f"atr_{arm.atr_period}")
+    atr = f"atr_{arm.atr_period}"
     swing = max(1, arm.swing_lookback_bars)
     trend = arm.trend_ema_period
-    lower = F.col(band_name("lower", arm.bb_period, arm.bb_multiplier))
-    upper = F.col(band_name("upper", arm.bb_period, arm.bb_multiplier))
-    to_trend = ratio(c - F.col(f"ema_{trend}"), atr) if trend > 0 else F.lit(None).cast("double")
-    return F.struct(
-        F.col(f"rsi_{arm.rsi_period}").alias("rsi_value"),
-        ratio(c - lower, atr).alias("dist_to_bb_lower_atr"),
-        ratio(upper - c, atr).alias("dist_to_bb_upper_atr"),
-        ratio(c - F.col(f"lowest_{swing}"), atr).alias("dist_to_support_atr"),
-        ratio(F.col(f"highest_{swing}") - c, atr).alias("dist_to_resistance_atr"),
-        to_trend.alias("dist_to_trend_ema_atr"),
-        trend_slope(trend if trend > 0 else arm.ema_period, atr).alias("trend_slope_atr"),
-        atr.alias("atr_value"),
-        F.col(f"atr_rank_{arm.atr_period}").alias("atr_percentile"),
-        volume_ratio(arm.volume_sma_period).alias("volume_ratio"),
-        F.hour("next_end_ts").alias("hour_utc"),
-        iso_weekday(F.col("next_end_ts")).alias("day_of_week"),
-        votes_score.alias("confluence_score"),
-    )
+    lower = band_name("lower", arm.bb_period, arm.bb_multiplier)
+    upper = band_name("upper", arm.bb_period, arm.bb_multiplier)
+    fields = {
+        "rsi_value": f"rsi_{arm.rsi_period}",
+        "dist_to_bb_lower_atr": sql_ratio(f"c - {lower}", atr),
+        "dist_to_bb_upper_atr": sql_ratio(f"{upper} - c", atr),
+        "dist_to_support_atr": sql_ratio(f"c - lowest_{swing}", atr),
+        "dist_to_resistance_atr": sql_ratio(f"highest_{swing} - c", atr),
+        "dist_to_trend_ema_atr": (
+            sql_ratio(f"c - ema_{trend}", atr) if trend > 0 else "CAST(NULL AS DOUBLE)"
+        ),
+        "trend_slope_atr": trend_slope(trend if trend > 0 else arm.ema_period, atr),
+        "atr_value": atr,
+        "atr_percentile": f"atr_rank_{arm.atr_period}",
+        "volume_ratio": volume_ratio(arm.volume_sma_period),
+        "hour_utc": "hour(next_end_ts)",
+        "day_of_week": "weekday(next_end_ts) + 1",
+        "confluence_score": score,
+    }
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
 def signal_key(instrument: Column, entry_ts: Column, direction: Column) -> Column:

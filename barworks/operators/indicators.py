@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barworks.functions.guards import ratio
+from barworks.functions.guards import sql_ratio
 from barworks.operators.patterns import TREND_BARS, candle_columns
 from barworks.operators.segments import (
     SEGMENT,
@@ -186,11 +186,11 @@ def indicator_frame(
     )
 
 
-def trend_slope(ema_period: int, atr: Column) -> Column:
-    """EMA change per bar over the last 10 bars, in ATR; the span is shorter at the start."""
-    span = F.greatest(F.lit(1), F.least(F.lit(SLOPE_BARS), F.col("idx")))
-    return ratio(F.col(f"ema_move_{ema_period}"), span * atr)
+def trend_slope(ema_period: int, atr: str) -> str:
+    """SQL: EMA change per bar over the last 10 bars, in ATR; the span is shorter at the start."""
+    return sql_ratio(f"ema_move_{ema_period}", f"(greatest(1L, least({SLOPE_BARS}L, idx)) * {atr})")
 
 
-def volume_ratio(sma_period: int) -> Column:
-    return ratio(F.col("volume"), F.col(f"volume_sma_{sma_period}"))
+def volume_ratio(sma_period: int) -> str:
+    """SQL: volume against its moving average, NaN where that is zero."""
+    return sql_ratio("volume", f"volume_sma_{sma_period}")

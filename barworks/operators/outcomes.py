@@ -60,13 +60,13 @@ def touch_index(
         F.expr(f"idx div {BLOCK * BLOCK}").alias("_grp"),
     )
     extremes = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
-    blocks = named.groupBy(*keys, "_blk").agg(
+    blocks = named.groupBy(*keys, F.col("_blk").alias("_part")).agg(
         F.expr("sort_array(collect_list(struct(idx AS at, lo, hi, close, ts)))").alias("_items")
     )
     groups = (
         named.groupBy(*keys, "_grp", "_blk")
         .agg(*extremes)
-        .groupBy(*keys, "_grp")
+        .groupBy(*keys, F.col("_grp").alias("_part"))
         .agg(F.expr("sort_array(collect_list(struct(_blk AS at, lo, hi)))").alias("_items"))
     )
     top = None
@@ -74,25 +74,25 @@ def touch_index(
         top = (
             named.groupBy(*keys, "_grp")
             .agg(*extremes)
-            .groupBy(*keys)
+            .groupBy(*keys, F.lit(0).cast("long").alias("_part"))
             .agg(F.expr("sort_array(collect_list(struct(_grp AS at, lo, hi)))").alias("_items"))
         )
     ends = named.groupBy(*keys).agg(F.expr("max(struct(idx, close, ts))").alias("_end"))
     return TouchIndex(keys, blocks, groups, top, ends)
 
 
-def _lookup(events: DataFrame, packed: DataFrame, keys: tuple[str, ...], part: str, want: str) -> DataFrame:
-    """Left-join each event to the one packed row whose ``part`` is ``want``.
+def _lookup(
+    events: DataFrame, packed: DataFrame, keys: tuple[str, ...], want: str, found: dict[str, str]
+) -> DataFrame:
+    """Left-join each event to the packed row ``want`` of its series and add the ``found`` columns.
 
     Where ``want`` is null the event needs nothing: it gets a negative key, spread over many values
     so that such events match no row and do not pile up in one partition.
     """
-    key = f"coalesce({want}, -1 - pmod(xxhash64({', '.join(keys)}, _from), 9973))"
-    return (
-        events.withColumn("_part", F.expr(key))
-        .join(packed.withColumnRenamed(part, "_part"), [*keys, "_part"], "left")
-        .drop("_part")
-    )
+    key = f"coalesce({want}, -1 - pmod(xxhash64({', '.join(keys)}, _from), 9973)) AS _part"
+    joined = events.selectExpr("*", key).join(packed, [*keys, "_part"], "left")
+    kept = [c for c in events.columns if c not in found]
+    return joined.selectExpr(*kept, *[f"{sql} AS {name}" for name, sql in found.items()])
 
 
 def _first(after: str | None = None) -> str:
@@ -102,46 +102,39 @@ def _first(after: str | None = None) -> str:
     return f"try_element_at(filter(_items, x -> {later}{touch}), 1)"
 
 
-def first_touch(
-    events: DataFrame, index: TouchIndex, start: str, lo_level: Column, hi_level: Column
-) -> DataFrame:
+def first_touch(events: DataFrame, index: TouchIndex, start: str, lo_level: str, hi_level: str) -> DataFrame:
     """Add ``touch`` (at, lo, hi, close, ts): the first bar after ``start`` with low at or below the
-    low level or high at or above the high level. Null where no bar ever does, or where ``start``
-    is null (a finished event). A null or NaN level is never reached."""
+    low level or high at or above the high level (both given as SQL). Null where no bar ever does,
+    or where ``start`` is null (a finished event). A null or NaN level is never reached."""
     keys = index.keys
-    work = events.withColumns(
-        {
-            "_from": F.col(start).cast("long"),
-            "_lo_level": F.nanvl(lo_level, F.lit(None).cast("double")),
-            "_hi_level": F.nanvl(hi_level, F.lit(None).cast("double")),
-        }
-    )
+    levels = [
+        f"nanvl(CAST({sql} AS DOUBLE), CAST(NULL AS DOUBLE)) AS {name}"
+        for name, sql in (("_lo_level", lo_level), ("_hi_level", hi_level))
+    ]
+    work = events.selectExpr("*", f"CAST({start} AS BIGINT) AS _from", *levels)
+    blk, grp = f"_from div {BLOCK}", f"_from div {BLOCK * BLOCK}"
     # Up: the event's own block, the later blocks of its group, the later groups of the series.
-    work = _lookup(work, index.blocks, keys, "_blk", f"_from div {BLOCK}")
-    work = work.withColumn("touch", F.expr(_first("_from"))).drop("_items")
-    open_ = "CASE WHEN touch IS NULL THEN "
-    work = _lookup(work, index.groups, keys, "_grp", f"{open_} _from div {BLOCK * BLOCK} END")
-    work = work.withColumn("_hit_blk", F.expr(_first(f"_from div {BLOCK}") + ".at")).drop("_items")
+    work = _lookup(work, index.blocks, keys, blk, {"touch": _first("_from")})
+    work = _lookup(
+        work, index.groups, keys, f"CASE WHEN touch IS NULL THEN {grp} END", {"_hit_blk": _first(blk) + ".at"}
+    )
     if index.top is not None:
-        top = index.top.withColumn("_top", F.lit(0).cast("long"))
         wanted = "CASE WHEN touch IS NULL AND _hit_blk IS NULL AND _from IS NOT NULL THEN 0L END"
-        work = _lookup(work, top, keys, "_top", wanted)
-        work = work.withColumn("_hit_grp", F.expr(_first(f"_from div {BLOCK * BLOCK}") + ".at"))
+        work = _lookup(work, index.top, keys, wanted, {"_hit_grp": _first(grp) + ".at"})
         # Down: the group, then the block.
-        work = _lookup(work.drop("_items"), index.groups, keys, "_grp", "_hit_grp")
-        work = work.withColumn("_hit_blk", F.expr(f"coalesce(_hit_blk, {_first()}.at)"))
-        work = work.drop("_items", "_hit_grp")
-    work = _lookup(work, index.blocks, keys, "_blk", "_hit_blk")
-    work = work.withColumn("touch", F.expr(f"coalesce(touch, {_first()})"))
-    return work.drop("_items", "_from", "_lo_level", "_hi_level", "_hit_blk")
+        work = _lookup(
+            work, index.groups, keys, "_hit_grp", {"_hit_blk": f"coalesce(_hit_blk, {_first()}.at)"}
+        )
+        work = work.drop("_hit_grp")
+    work = _lookup(work, index.blocks, keys, "_hit_blk", {"touch": f"coalesce(touch, {_first()})"})
+    return work.drop("_from", "_lo_level", "_hi_level", "_hit_blk")
 
 
 def bar_at(events: DataFrame, index: TouchIndex, at: str, name: str) -> DataFrame:
     """Add the packed bar with index ``at`` (null where ``at`` is null or past the end)."""
-    work = events.withColumn("_from", F.col(at).cast("long"))
-    work = _lookup(work, index.blocks, index.keys, "_blk", f"_from div {BLOCK}")
-    found = F.expr("try_element_at(filter(_items, x -> x.at = _from), 1)")
-    return work.withColumn(name, found).drop("_items", "_from")
+    work = events.selectExpr("*", f"CAST({at} AS BIGINT) AS _from")
+    found = "try_element_at(filter(_items, x -> x.at = _from), 1)"
+    return _lookup(work, index.blocks, index.keys, f"_from div {BLOCK}", {name: found}).drop("_from")
 
 
 def last_bar(events: DataFrame, index: TouchIndex, name: str = "last") -> DataFrame:
@@ -172,31 +165,30 @@ def ladder_outcomes(events: DataFrame, index: TouchIndex, rounds: int) -> DataFr
         "_done": "false",
         "_limit": "CASE WHEN max_holding_bars > 0 THEN CAST(entry_idx + max_holding_bars AS BIGINT) END",
     }
-    work = _with(events, state)
-    work = _with(work, {"_stop": "entry_price - _sign * stop_dist"})
+    work = _with(events, {**state, "_stop": "entry_price - _sign * stop_dist"})
+    kept = work.columns
     tier = "entry_price + _sign * try_element_at(ladder, _n + 1).dist"
     for _ in range(rounds):
-        work = _with(work, {"_tier": tier})
         work = first_touch(
             work,
             index,
             "_at",
-            F.expr("CASE WHEN _long THEN _stop ELSE _tier END"),
-            F.expr("CASE WHEN _long THEN _tier ELSE _stop END"),
+            f"CASE WHEN _long THEN _stop ELSE {tier} END",
+            f"CASE WHEN _long THEN {tier} ELSE _stop END",
         )
-        work = _with(work, {"_live": "coalesce(touch.at <= coalesce(_limit, touch.at), false)"})
         work = _with(
             work,
             {
+                "_live": "coalesce(touch.at <= coalesce(_limit, touch.at), false)",
                 "_stopped": "_live AND CASE WHEN _long THEN touch.lo <= _stop ELSE touch.hi >= _stop END",
+                "_banked": "_live AND NOT _stopped",
                 "_reached": """CASE WHEN _long
                     THEN size(filter(ladder, t -> touch.hi >= entry_price + t.dist))
                     ELSE size(filter(ladder, t -> touch.lo <= entry_price - t.dist)) END""",
+                "_m": "CASE WHEN _banked THEN greatest(_n, _reached) ELSE _n END",
+                "_taken": "slice(ladder, _n + 1, _m - _n)",
             },
         )
-        work = _with(work, {"_banked": "_live AND NOT _stopped"})
-        work = _with(work, {"_m": "CASE WHEN _banked THEN greatest(_n, _reached) ELSE _n END"})
-        work = _with(work, {"_taken": "slice(ladder, _n + 1, _m - _n)"})
         work = _with(
             work,
             {
@@ -220,12 +212,12 @@ def ladder_outcomes(events: DataFrame, index: TouchIndex, rounds: int) -> DataFr
                     ELSE _stop END""",
                 "_n": "_m",
             },
-        ).drop("touch", "_tier", "_live", "_stopped", "_banked", "_reached", "_m", "_taken")
+        ).select(*kept)
 
     work = last_bar(work, index)
-    work = _with(work, {"_time_idx": "CASE WHEN NOT _done AND _limit <= last.idx THEN _limit END"})
-    work = bar_at(work, index, "_time_idx", "_timed")
-    work = _with(
+    time_idx = "CASE WHEN NOT _done AND _limit <= last.idx THEN _limit END"
+    work = bar_at(work, index, time_idx, "_timed")
+    return _with(
         work,
         {
             "fills": f"""CASE
@@ -237,21 +229,19 @@ def ladder_outcomes(events: DataFrame, index: TouchIndex, rounds: int) -> DataFr
                 ELSE _fills END""",
             "exit_ts": "CASE WHEN _done THEN _exit_ts ELSE coalesce(_timed.ts, last.ts) END",
             "tiers_filled": "_n",
-        },
-    )
-    return _with(
-        work,
-        {
             "exit_idx": "element_at(fills, -1).idx",
             "exit_reason": "element_at(fills, -1).reason",
             "exit_price": "aggregate(fills, 0D, (acc, f) -> acc + f.fraction * f.price)",
             "hit_t1": "tiers_filled >= 1",
         },
-    ).drop(*state, "_stop", "_time_idx", "_timed", "last")
+    ).drop(*state, "_stop", "_timed", "last")
 
 
 def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    return df.withColumns({name: F.expr(sql) for name, sql in columns.items()})
+    """Add or replace SQL columns in one projection; a new column may use those listed before it,
+    while the name of a replaced one means its old value."""
+    kept = [c for c in df.columns if c not in columns]
+    return df.selectExpr(*kept, *[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
 def bracket_outcomes(events: DataFrame, index: TouchIndex) -> DataFrame:
@@ -265,9 +255,13 @@ def pnl_columns(work: DataFrame) -> DataFrame:
     """Signed pnl, R-multiple (risk falls back to the ATR, and to 0 when that is 0) and win flag."""
     risk = "CASE WHEN stop_dist = 0 THEN entry_atr ELSE stop_dist END"
     sign = "CASE WHEN direction = 'LONG' THEN 1D ELSE -1D END"
-    work = _with(work, {"pnl": f"({sign}) * (exit_price - entry_price)"})
     return _with(
-        work, {"r_multiple": f"coalesce(try_divide(pnl, {risk}), 0D)", "is_win": "pnl > 0"}
+        work,
+        {
+            "pnl": f"({sign}) * (exit_price - entry_price)",
+            "r_multiple": f"coalesce(try_divide(pnl, {risk}), 0D)",
+            "is_win": "pnl > 0",
+        },
     )
 
 
@@ -295,8 +289,8 @@ def close_based_exit(events: DataFrame, close_index: TouchIndex) -> DataFrame:
         work,
         close_index,
         "entry_idx",
-        F.expr("CASE WHEN direction = 'LONG' THEN _stop ELSE _target END"),
-        F.expr("CASE WHEN direction = 'LONG' THEN _target ELSE _stop END"),
+        "CASE WHEN direction = 'LONG' THEN _stop ELSE _target END",
+        "CASE WHEN direction = 'LONG' THEN _target ELSE _stop END",
     )
     work = last_bar(work, close_index)
     # The exit is filled on the bar after, which must exist.
@@ -364,7 +358,7 @@ def _jump_clusters(clusters: DataFrame, keys: list[str]) -> DataFrame:
     )
     index = touch_index(as_bars, parts, low="level", high="level", close="level")
     linked = first_touch(
-        clusters.withColumn("_after", F.col("_f") - 1), index, "_after", F.lit(0.0), F.lit(None).cast("double")
+        clusters.withColumn("_after", F.col("_f") - 1), index, "_after", "0D", "CAST(NULL AS DOUBLE)"
     )
     hops = materialize(
         linked.select(

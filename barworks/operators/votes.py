@@ -1,4 +1,8 @@
-"""Votes, gates and entry signals as predicates over the indicator frame."""
+"""Votes, gates and entry signals as predicates over the indicator frame.
+
+Predicates are SQL text over indicator columns, so a grid of arms becomes one projection in which
+equal predicates of different arms are computed once.
+"""
 
 from __future__ import annotations
 
@@ -7,54 +11,47 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barworks.functions.guards import above, at_least, at_most, below
-from barworks.operators.features import feature_columns
+from barworks.functions.guards import sql_at_most, sql_below
+from barworks.operators.features import feature_struct
 from barworks.operators.indicators import band_name
 from barworks.plans.arms import Arm, check_arms
 
 LONG, SHORT = "LONG", "SHORT"
-# A user vote: a name and a predicate per (arm, is_long) over the indicator frame.
-Vote = tuple[str, Callable[[Arm, bool], Column]]
+# A user vote: a name and a predicate (SQL text) per (arm, is_long) over the indicator frame.
+Vote = tuple[str, Callable[[Arm, bool], str]]
 
 
-def _rsi_band(arm: Arm, is_long: bool) -> Column:
-    rsi, c = F.col(f"rsi_{arm.rsi_period}"), F.col("c")
+def _rsi_band(arm: Arm, is_long: bool) -> str:
+    rsi = f"rsi_{arm.rsi_period}"
+    band = band_name("lower" if is_long else "upper", arm.bb_period, arm.bb_multiplier)
     if is_long:
-        band = F.col(band_name("lower", arm.bb_period, arm.bb_multiplier))
-        return below(rsi, F.lit(arm.rsi_oversold)) & at_most(c, band)
-    band = F.col(band_name("upper", arm.bb_period, arm.bb_multiplier))
-    return above(rsi, F.lit(arm.rsi_overbought)) & at_least(c, band)
+        return f"{sql_below(rsi, f'{arm.rsi_oversold}D')} AND {sql_at_most('c', band)}"
+    return f"{sql_below(f'{arm.rsi_overbought}D', rsi)} AND {sql_at_most(band, 'c')}"
 
 
-def _candle(arm: Arm, is_long: bool) -> Column:
-    names = (
-        ("bullish_engulfing", "bullish_harami", "hammer")
-        if is_long
-        else ("bearish_engulfing", "bearish_harami", "shooting_star")
-    )
-    return F.col(names[0]) | F.col(names[1]) | F.col(names[2])
+def _candle(arm: Arm, is_long: bool) -> str:
+    if is_long:
+        return "bullish_engulfing OR bullish_harami OR hammer"
+    return "bearish_engulfing OR bearish_harami OR shooting_star"
 
 
-def _near_level(arm: Arm, is_long: bool) -> Column:
-    n = max(1, arm.swing_lookback_bars)
-    level = F.col(f"lowest_{n}" if is_long else f"highest_{n}")
-    return below(F.abs(F.col("c") - level), F.col(f"atr_{arm.atr_period}") * arm.proximity_atr)
+def _near_level(arm: Arm, is_long: bool) -> str:
+    level = f"{'lowest' if is_long else 'highest'}_{max(1, arm.swing_lookback_bars)}"
+    return sql_below(f"abs(c - {level})", f"(atr_{arm.atr_period} * {arm.proximity_atr}D)")
 
 
-def _structure(arm: Arm, is_long: bool) -> Column:
+def _structure(arm: Arm, is_long: bool) -> str:
     n = max(1, arm.swing_lookback_bars)
-    if is_long:
-        return above(F.col("c"), F.col(f"prior_high_{n}"))
-    return below(F.col("c"), F.col(f"prior_low_{n}"))
+    return sql_below(f"prior_high_{n}", "c") if is_long else sql_below("c", f"prior_low_{n}")
 
 
-def _volume_trend(arm: Arm, is_long: bool) -> Column:
-    busy = above(F.col("volume"), F.col(f"volume_sma_{arm.volume_sma_period}"))
-    ema = F.col(f"ema_{arm.ema_period}")
-    return busy & (above(F.col("c"), ema) if is_long else below(F.col("c"), ema))
+def _volume_trend(arm: Arm, is_long: bool) -> str:
+    busy = sql_below(f"volume_sma_{arm.volume_sma_period}", "volume")
+    ema = f"ema_{arm.ema_period}"
+    return f"{busy} AND {sql_below(ema, 'c') if is_long else sql_below('c', ema)}"
 
 
-def votes_of(arm: Arm, is_long: bool, extra: list[Vote] | None = None) -> list[tuple[str, Column]]:
+def votes_of(arm: Arm, is_long: bool, extra: list[Vote] | None = None) -> list[tuple[str, str]]:
     """The enabled votes of an arm in vote order, then the user's own."""
     chosen: list[Vote] = [("RSI+BB", _rsi_band)]
     if arm.enable_candles:
@@ -68,41 +65,30 @@ def votes_of(arm: Arm, is_long: bool, extra: list[Vote] | None = None) -> list[t
     return [(name, rule(arm, is_long)) for name, rule in [*chosen, *(extra or [])]]
 
 
-def score(votes: list[tuple[str, Column]]) -> Column:
-    total = F.lit(0)
-    for _, rule in votes:
-        total = total + rule.cast("int")
-    return total.cast("int")
+def score(votes: list[tuple[str, str]]) -> str:
+    """Number of votes that hold."""
+    return " + ".join(f"CAST(({rule}) AS INT)" for _, rule in votes)
 
 
-def reasons(votes: list[tuple[str, Column]]) -> Column:
-    """Names of the votes that fired, in vote order."""
-    named = F.array(*[F.when(rule, F.lit(name)) for name, rule in votes])
-    return F.filter(named, lambda x: x.isNotNull())
+def reasons(votes: list[tuple[str, str]]) -> str:
+    """Names of the votes that hold, in vote order."""
+    named = ", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in votes)
+    return f"array_compact(array({named}))"
 
 
-def trend_gate(arm: Arm, is_long: bool) -> Column:
+def trend_gate(arm: Arm, is_long: bool) -> str:
     """Right side of the trend EMA, and not beyond the proximity ceiling when one is set."""
     if arm.trend_ema_period <= 0:
-        return F.lit(True)
-    c, ema = F.col("c"), F.col(f"ema_{arm.trend_ema_period}")
-    gate = above(c, ema) if is_long else below(c, ema)
+        return "true"
+    ema = f"ema_{arm.trend_ema_period}"
+    gate = sql_below(ema, "c") if is_long else sql_below("c", ema)
     if arm.trend_ema_max_atr > 0:
-        reach = F.col(f"atr_{arm.atr_period}") * arm.trend_ema_max_atr
-        gate = gate & (below(c, ema + reach) if is_long else above(c, ema - reach))
+        reach = f"atr_{arm.atr_period} * {arm.trend_ema_max_atr}D"
+        near = sql_below("c", f"({ema} + {reach})") if is_long else sql_below(f"({ema} - {reach})", "c")
+        gate = f"{gate} AND {near}"
     return gate
 
 
-def entry_rule(arm: Arm, is_long: bool, extra: list[Vote] | None = None) -> Column:
-    enabled = arm.enable_long if is_long else arm.enable_short
-    if not enabled:
-        return F.lit(False)
-    return (
-        (F.col("idx") >= arm.warm_up)
-        & trend_gate(arm, is_long)
-        & (score(votes_of(arm, is_long, extra)) > arm.confluence_threshold - 0.5)
-    )
-
 
 def signals(
     frame: DataFrame,
@@ -113,47 +99,58 @@ def signals(
     """Entry signals of all arms and both directions in one pass over the frame.
 
     Arms that differ only in their exit ladder share one set of entries, so the fan-out is over
-    distinct entry configs (``entry_id`` is the first such arm). Each bar yields only the configs
-    that fire on it; bars are never multiplied by arms.
+    distinct entry configs (``entry_id`` is the first such arm). Bars on which nothing fires are
+    dropped before the fan-out; bars are never multiplied by arms.
     """
     if entry_fill not in ("next_close", "next_open"):
         raise ValueError("entry_fill must be 'next_close' or 'next_open'")
     distinct: dict[str, tuple[int, Arm]] = {}
     for i, arm in enumerate(check_arms(arms)):
         distinct.setdefault(arm.entry_config, (i, arm))
-
-    fired = []
-    for entry_id, arm in distinct.values():
-        for is_long in (True, False):
-            if not (arm.enable_long if is_long else arm.enable_short):
-                continue
-            votes = votes_of(arm, is_long, extra)
-            n = arm.atr_period
-            found = F.struct(
-                F.lit(entry_id).alias("entry_id"),
-                F.lit(LONG if is_long else SHORT).alias("direction"),
-                F.col(f"next_atr_{n}").alias("entry_atr"),
-                F.col(f"next_regime_{n}").alias("volatility_regime"),
-                F.lit(arm.stop_atr).alias("stop_atr"),
-                F.lit(arm.target_atr).alias("target_atr"),
-                F.lit(arm.max_holding_bars).alias("max_holding_bars"),
-                reasons(votes).alias("reasons"),
-                feature_columns(arm, votes_score=score(votes)).alias("features"),
-            )
-            fired.append(F.when(entry_rule(arm, is_long, extra), found))
-    if not fired:
+    sides = [
+        (entry_id, arm, is_long)
+        for entry_id, arm in distinct.values()
+        for is_long in (True, False)
+        if (arm.enable_long if is_long else arm.enable_short)
+    ]
+    if not sides:
         raise ValueError("every direction of every arm is switched off")
-    hits = F.filter(F.array(*fired), lambda x: x.isNotNull())
-    price = F.col("next_c") if entry_fill == "next_close" else F.col("next_o")
+
+    shared: dict[str, str] = {}  # predicate -> column, computed once for all arms that use it
+
+    def named(sql: str) -> str:
+        return shared.setdefault(sql, f"_p{len(shared)}")
+
+    fires, found = [], []
+    for entry_id, arm, is_long in sides:
+        votes = [(name, named(rule)) for name, rule in votes_of(arm, is_long, extra)]
+        gate = named(trend_gate(arm, is_long))
+        fire = (
+            f"idx >= {arm.warm_up} AND {gate} AND ({score(votes)}) > {arm.confluence_threshold - 0.5}D"
+        )
+        n = arm.atr_period
+        fires.append(f"({fire})")
+        found.append(
+            f"""CASE WHEN {fire} THEN named_struct(
+              'entry_id', {entry_id}, 'direction', '{LONG if is_long else SHORT}',
+              'entry_atr', next_atr_{n}, 'volatility_regime', next_regime_{n},
+              'stop_atr', {arm.stop_atr}D, 'target_atr', {arm.target_atr}D,
+              'max_holding_bars', {arm.max_holding_bars}, 'reasons', {reasons(votes)},
+              'features', {feature_struct(arm, score(votes))}) END"""
+        )
+    price = "next_c" if entry_fill == "next_close" else "next_o"
     return (
-        frame.where(F.col("next_end_ts").isNotNull())
-        .select(
+        frame.where("next_end_ts IS NOT NULL")
+        .selectExpr("*", *[f"({sql}) AS {name}" for sql, name in shared.items()])
+        .where(" OR ".join(fires))
+        .selectExpr(
             "epic",
-            F.col("idx").alias("signal_idx"),
-            (F.col("idx") + 1).alias("entry_idx"),
-            F.col("next_end_ts").alias("entry_ts"),
-            price.alias("entry_price"),
-            F.explode(hits).alias("hit"),
+            "idx AS signal_idx",
+            "idx + 1 AS entry_idx",
+            "next_end_ts AS entry_ts",
+            f"{price} AS entry_price",
+            f"explode(array({', '.join(found)})) AS hit",
         )
+        .where("hit IS NOT NULL")
         .select("epic", "signal_idx", "entry_idx", "entry_ts", "entry_price", "hit.*")
     )
