@@ -99,8 +99,8 @@ def signals(
     """Entry signals of all arms and both directions in one pass over the frame.
 
     Arms that differ only in their exit ladder share one set of entries, so the fan-out is over
-    distinct entry configs (``entry_id`` is the first such arm). Bars on which nothing fires are
-    dropped before the fan-out; bars are never multiplied by arms.
+    distinct entry configs (``entry_id`` is the first such arm). A bar yields only the configs that
+    fire on it; bars are never multiplied by arms.
     """
     if entry_fill not in ("next_close", "next_open"):
         raise ValueError("entry_fill must be 'next_close' or 'next_open'")
@@ -121,7 +121,7 @@ def signals(
     def named(sql: str) -> str:
         return shared.setdefault(sql, f"_p{len(shared)}")
 
-    fires, found = [], []
+    found = []
     for entry_id, arm, is_long in sides:
         votes = [(name, named(rule)) for name, rule in votes_of(arm, is_long, extra)]
         gate = named(trend_gate(arm, is_long))
@@ -129,7 +129,6 @@ def signals(
             f"idx >= {arm.warm_up} AND {gate} AND ({score(votes)}) > {arm.confluence_threshold - 0.5}D"
         )
         n = arm.atr_period
-        fires.append(f"({fire})")
         found.append(
             f"""CASE WHEN {fire} THEN named_struct(
               'entry_id', {entry_id}, 'direction', '{LONG if is_long else SHORT}',
@@ -142,15 +141,13 @@ def signals(
     return (
         frame.where("next_end_ts IS NOT NULL")
         .selectExpr("*", *[f"({sql}) AS {name}" for sql, name in shared.items()])
-        .where(" OR ".join(fires))
         .selectExpr(
             "epic",
             "idx AS signal_idx",
             "idx + 1 AS entry_idx",
             "next_end_ts AS entry_ts",
             f"{price} AS entry_price",
-            f"explode(array({', '.join(found)})) AS hit",
+            f"explode(array_compact(array({', '.join(found)}))) AS hit",
         )
-        .where("hit IS NOT NULL")
         .select("epic", "signal_idx", "entry_idx", "entry_ts", "entry_price", "hit.*")
     )
