@@ -130,12 +130,12 @@ SQL_QUOTES = """quotes AS (
          CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS volume
   FROM events)"""
 
-SQL_BARS = (
-    SQL_QUOTES
-    + """,
+def sql_bars(minutes: int = MINUTES) -> str:
+    seconds = minutes * 60
+    return f"""{SQL_QUOTES},
 ticks AS (
   SELECT epic, id, ts, (bid + ask) / 2 AS mid, volume,
-         CAST(floor((epoch_us(ts) - 60000000) / 3600000000.0) AS BIGINT) * 3600 AS bucket
+         CAST(floor((epoch_us(ts) - 60000000) / {seconds}000000.0) AS BIGINT) * {seconds} AS bucket
   FROM quotes),
 grouped AS (
   SELECT epic, bucket, arg_min(mid, ts) AS o, max(mid) AS h, min(mid) AS l, arg_max(mid, ts) AS c,
@@ -144,10 +144,12 @@ grouped AS (
 passed AS (SELECT epic, max(epoch_us(ts)) AS last_us FROM quotes GROUP BY epic),
 bars AS (
   SELECT g.epic, row_number() OVER (PARTITION BY g.epic ORDER BY bucket) - 1 AS idx,
-         bucket AS begin_s, bucket + 3600 AS end_s, o, h, l, c, g.volume
+         bucket AS begin_s, bucket + {seconds} AS end_s, o, h, l, c, g.volume
   FROM grouped g JOIN passed p ON p.epic = g.epic
-  WHERE (bucket + 3600) * 1000000 <= p.last_us)"""
-)
+  WHERE (bucket + {seconds}) * 1000000 <= p.last_us)"""
+
+
+SQL_BARS = sql_bars()
 
 SQL_BARS_USER = """bars AS (
   SELECT CAST(user_id AS VARCHAR) AS epic,
@@ -163,7 +165,7 @@ def sql_recurrences(arm: Arm = DEMO) -> str:
         return f"p.{col} + ({alpha}) * (i.{new} - p.{col})"
 
     fast = f"2.0::DOUBLE / {arm.ema_period + 1}"
-    slow = f"2.0::DOUBLE / {arm.trend_ema_period + 1}"
+    slow = f"2.0::DOUBLE / {(arm.trend_ema_period or arm.ema_period) + 1}"
     wilder = f"1.0::DOUBLE / {arm.rsi_period}"
     atr = f"1.0::DOUBLE / {arm.atr_period}"
     return f"""lagged AS (
@@ -248,6 +250,12 @@ def sql_arms(arms: list[Arm]) -> str:
 def sql_signals(arm: Arm = DEMO) -> str:
     """Entry signals per entry config and direction; the arms share all periods."""
     warm = arm.warm_up
+    above, below = ("c > trend", "c < trend") if arm.trend_ema_period > 0 else ("true", "true")
+    v_break = (
+        "coalesce(CASE WHEN d.direction = 'LONG' THEN c > prior_high ELSE c < prior_low END, false)"
+        if arm.enable_structure
+        else "false"
+    )
     return f"""votes AS (
   SELECT s.*, d.direction, d.direction = 'LONG' AS is_long,
     CASE WHEN d.direction = 'LONG' THEN rsi < {arm.rsi_oversold} AND c <= lower_band
@@ -256,7 +264,7 @@ def sql_signals(arm: Arm = DEMO) -> str:
          ELSE bear_engulf OR bear_harami OR shooting END AS v_candle,
     abs(c - CASE WHEN d.direction = 'LONG' THEN lowest ELSE highest END)
       < {arm.proximity_atr} * atr AS v_level,
-    coalesce(CASE WHEN d.direction = 'LONG' THEN c > prior_high ELSE c < prior_low END, false) AS v_break,
+    {v_break} AS v_break,
     volume > volume_sma AND CASE WHEN d.direction = 'LONG' THEN c > ema ELSE c < ema END AS v_volume
   FROM shapes s CROSS JOIN (VALUES ('LONG'), ('SHORT')) d(direction)),
 scored AS (
@@ -271,8 +279,8 @@ sig AS (
     s.score, s.reasons, s.last_idx
   FROM scored s JOIN arms a ON a.arm_id = a.entry_id AND s.score >= a.threshold
   WHERE s.idx >= {warm} AND s.next_c IS NOT NULL
-    AND CASE WHEN is_long THEN a.longs AND c > trend AND (a.reach = 0 OR c < trend + a.reach * atr)
-             ELSE a.shorts AND c < trend AND (a.reach = 0 OR c > trend - a.reach * atr) END)"""
+    AND CASE WHEN is_long THEN a.longs AND {above} AND (a.reach = 0 OR c < trend + a.reach * atr)
+             ELSE a.shorts AND {below} AND (a.reach = 0 OR c > trend - a.reach * atr) END)"""
 
 
 SQL_TAKEN = """sg AS (SELECT *, CASE WHEN is_long THEN 1.0 ELSE -1.0 END::DOUBLE AS sgn FROM sig),

@@ -394,8 +394,7 @@ def _(spark, d):
     return ranking.quality_gate(exps).select("experiment_id", "label", "win_rate", "net_avg_pnl")
 
 
-SWEEP_SQL = (
-    *closed_sql(I.DEMO_GRID),
+METRICS_SQL = (
     "spread AS (SELECT epic, avg(ask - bid) AS s FROM quotes GROUP BY epic)",
     "dates AS (SELECT count(DISTINCT end_s // 86400) AS days FROM bars)",
     """net AS (SELECT c.*, pnl - s.s AS net_pnl, CASE WHEN risk = 0 THEN 0 ELSE pnl / risk END AS r_multiple
@@ -414,6 +413,36 @@ SWEEP_SQL = (
       FROM arms a LEFT JOIN net n ON n.label = a.label LEFT JOIN falls f ON f.label = a.label CROSS JOIN dates
       GROUP BY a.label)""",
 )
+SWEEP_SQL = (*closed_sql(I.DEMO_GRID), *METRICS_SQL)
+SWEEP_OUT = f"""SELECT label, trades, {r('win_rate')} AS win_rate, {r('net_win_rate')} AS net_win_rate,
+  {r('hit_t1_rate')} AS hit_t1_rate, {r('avg_r')} AS avg_r, {r('net_avg_pnl')} AS net_avg_pnl,
+  {r('total_net')} AS total_net, {r('max_drawdown')} AS max_drawdown, {r('trades_per_day')} AS trades_per_day
+  FROM metrics"""
+
+
+def _grid_sql() -> str:
+    """The full grid in SQL: arms are grouped by what their indicators and votes depend on."""
+    groups: dict[tuple, list[Arm]] = {}
+    for arm in reference_grid():
+        key = (arm.trend_ema_period, arm.swing_lookback_bars, arm.enable_structure)
+        groups.setdefault(key, []).append(arm)
+    parts = []
+    for arms in groups.values():
+        head = arms[0]
+        parts.append(
+            I.with_sql(
+                I.sql_bars(5),
+                I.sql_recurrences(head),
+                I.sql_frame(head),
+                I.sql_arms(arms),
+                I.sql_signals(head),
+                I.SQL_TAKEN,
+                I.sql_outcomes(),
+                *METRICS_SQL,
+                SWEEP_OUT,
+            )
+        )
+    return " UNION ALL ".join(f"SELECT * FROM ({part})" for part in parts)
 
 
 def _sweep(spark, d):
@@ -433,10 +462,7 @@ SWEEP_COLUMNS = [
     "e2_sweep_metrics",
     I.with_sql(
         *SWEEP_SQL,
-        f"""SELECT label, trades, {r('win_rate')} AS win_rate, {r('net_win_rate')} AS net_win_rate,
-          {r('hit_t1_rate')} AS hit_t1_rate, {r('avg_r')} AS avg_r, {r('net_avg_pnl')} AS net_avg_pnl,
-          {r('total_net')} AS total_net, {r('max_drawdown')} AS max_drawdown,
-          {r('trades_per_day')} AS trades_per_day FROM metrics""",
+        SWEEP_OUT,
     ),
 )
 def _(spark, d):
@@ -459,7 +485,7 @@ def _(spark, d):
     )
 
 
-@query("e1_full_grid_on_events")
+@query("e1_full_grid_on_events", _grid_sql())
 def _(spark, d):
     """The 19 arms of the full grid with their real periods over 5-minute bars of the events."""
     from barworks.operators.bars import average_spread, resample
@@ -467,7 +493,7 @@ def _(spark, d):
     quotes = I.quotes(spark, d)
     bars = materialize(resample(quotes, 5))
     result = sweep_bars(bars, reference_grid(), average_spread(quotes))
-    return ranking.rank_arms(result.metrics)
+    return ranking.rank_arms(result.metrics).select(*SWEEP_COLUMNS)
 
 
 @query(
