@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barworks.functions.instants import epoch_whole_s
-from barworks.operators.ordered import number_rows
+from barworks.operators.ordered import join_per_key, number_rows
 from barworks.schemas import PRICE_COLUMNS, require
 
 SOURCE_BAR_SECONDS = 60
@@ -146,8 +146,7 @@ def index_at_or_after(events: DataFrame, bars: DataFrame, at: str, name: str = "
     )
     ahead = F.filter("_bars", lambda b: b["end_ts"] >= F.col("_at"))
     return (
-        events.withColumn("_at", F.col(at))
-        .join(ends, "epic", "left")
+        join_per_key(events.withColumn("_at", F.col(at)), ends, ["epic"], "left")
         .withColumn("_at_day", F.greatest(F.to_date("_at"), F.col("_first_day")))
         .join(covered, ["epic", "_at_day"], "left")
         .withColumn(

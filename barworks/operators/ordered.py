@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SALTS = 32
+
 
 def _named(chunk: list[Column]) -> dict[str, Column]:
     return {f"_chunk{i}": col for i, col in enumerate(chunk)}
@@ -85,6 +87,20 @@ def running_max_before(
     )
 
 
+def join_per_key(
+    rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS
+) -> DataFrame:
+    """Join rows to a table with one row per key, where one key may own a large part of the rows.
+
+    The table is repeated once per salt and each row picks a salt by its content, so the rows of a
+    frequent key meet it in many tasks. A table small enough for Catalyst to broadcast costs the same.
+    """
+    others = [c for c in rows.columns if c not in keys]
+    salt = F.pmod(F.xxhash64(*(others or keys)), F.lit(salts)).cast("int")
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def number_by_value(
     df: DataFrame,
     keys: list[str],
@@ -93,37 +109,47 @@ def number_by_value(
     tie_chunk: Column,
     name: str = "pos",
     total: str = "n",
-    cells: int = 256,
+    cells: int = 1024,
+    part_rows: int = 100_000,
 ) -> DataFrame:
     """Dense position of each row when the series is ordered by ``value`` and then ``tie``.
 
-    Rows are spread over value cells on a logarithmic scale, which follow the order of the value.
-    A cell whose rows all share one value is split further by ``tie_chunk`` (which must not
-    decrease along ``tie``), so neither a wide spread nor one dominant value lands in one task.
+    Rows are spread over parts that follow the order. First come cells on a logarithmic scale. A
+    cell is then cut evenly between its lowest and highest value, the finer the more rows it has;
+    where all its rows share one value it is cut by ``tie_chunk``, which must not decrease along
+    ``tie``. A second such cut isolates frequent values inside a cell. Neither one dominant value
+    nor a narrow range of values ends up in one task.
     """
-    cell = F.floor(F.signum(value) * F.log1p(F.abs(F.col(value))) * cells)
-    chunked = df.withColumns({"_cell": cell, "_sub": tie_chunk})
-    grain = [*keys, "_cell", "_sub"]
-    counts = chunked.groupBy(*grain).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
+    parts = ["_part0"]
+    work = df.withColumns(
+        {
+            "_part0": F.floor(F.signum(value) * F.log1p(F.abs(F.col(value))) * cells),
+            "_tie": tie_chunk.cast("long"),
+        }
     )
-    per_cell = Window.partitionBy(*keys, "_cell")
-    split = F.min("_lo").over(per_cell) == F.max("_hi").over(per_cell)
-    marked = counts.withColumn("_part", F.when(split, F.col("_sub")))
+    for level in (1, 2):
+        bounds = work.groupBy(*keys, *parts).agg(
+            F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_rows")
+        )
+        work = join_per_key(work, bounds, [*keys, *parts])
+        even = F.expr(
+            f"floor((`{value}` - _lo) / nullif(_hi - _lo, 0D) * ceil(_rows / {part_rows}D))"
+        )
+        cut = F.when(F.col("_lo") == F.col("_hi"), F.col("_tie")).otherwise(even.cast("long"))
+        parts.append(f"_part{level}")
+        work = work.withColumn(parts[-1], cut).drop("_lo", "_hi", "_rows")
+    counts = work.groupBy(*keys, *parts).agg(F.count(F.lit(1)).alias("_n"))
     series = Window.partitionBy(*keys)
-    upto = series.orderBy("_cell", F.col("_part").asc_nulls_first()).rangeBetween(
-        Window.unboundedPreceding, 0
-    )
-    own = F.sum("_n").over(Window.partitionBy(*keys, "_cell", "_part"))
-    offsets = marked.select(
-        *grain,
-        "_part",
-        (F.sum("_n").over(upto) - own).alias("_off"),
+    before = series.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *keys,
+        *parts,
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         F.sum("_n").over(series).alias(total),
     )
-    local = F.row_number().over(Window.partitionBy(*keys, "_cell", "_part").orderBy(value, tie)) - 1
+    local = F.row_number().over(Window.partitionBy(*keys, *parts).orderBy(value, tie)) - 1
     return (
-        chunked.join(offsets, grain)
+        work.join(offsets, [*keys, *parts])
         .withColumn(name, (F.col("_off") + local).cast("long"))
-        .drop("_cell", "_sub", "_part", "_off")
+        .drop("_tie", "_off", *parts)
     )

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barworks.operators.ordered import running_max_before
+from barworks.operators.ordered import SALTS, join_per_key, running_max_before
 from barworks.session import materialize
 
 BLOCK = 256
@@ -74,8 +74,9 @@ def touch_index(
         top = (
             named.groupBy(*keys, "_grp")
             .agg(*extremes)
-            .groupBy(*keys, F.lit(0).cast("long").alias("_part"))
+            .groupBy(*keys)
             .agg(F.expr("sort_array(collect_list(struct(_grp AS at, lo, hi)))").alias("_items"))
+            .withColumn("_part", F.expr(f"explode(sequence(0L, {SALTS - 1}L))"))
         )
     ends = named.groupBy(*keys).agg(F.expr("max(struct(idx, close, ts))").alias("_end"))
     return TouchIndex(keys, blocks, groups, top, ends)
@@ -119,7 +120,9 @@ def first_touch(events: DataFrame, index: TouchIndex, start: str, lo_level: str,
         work, index.groups, keys, f"CASE WHEN touch IS NULL THEN {grp} END", {"_hit_blk": _first(blk) + ".at"}
     )
     if index.top is not None:
-        wanted = "CASE WHEN touch IS NULL AND _hit_blk IS NULL AND _from IS NOT NULL THEN 0L END"
+        # One row per series: it is repeated per salt, so a series with many events is spread.
+        salt = f"pmod(xxhash64(_from), {SALTS})"
+        wanted = f"CASE WHEN touch IS NULL AND _hit_blk IS NULL AND _from IS NOT NULL THEN {salt} END"
         work = _lookup(work, index.top, keys, wanted, {"_hit_grp": _first(grp) + ".at"})
         # Down: the group, then the block.
         work = _lookup(
@@ -139,7 +142,7 @@ def bar_at(events: DataFrame, index: TouchIndex, at: str, name: str) -> DataFram
 
 def last_bar(events: DataFrame, index: TouchIndex, name: str = "last") -> DataFrame:
     """Add the last bar (idx, close, ts) of the event's series."""
-    return events.join(index.ends.withColumnRenamed("_end", name), list(index.keys), "left")
+    return join_per_key(events, index.ends.withColumnRenamed("_end", name), list(index.keys), "left")
 
 
 def ladder_outcomes(events: DataFrame, index: TouchIndex, rounds: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barworks.functions.guards import ratio, share
 from barworks.functions.instants import month_label, quarter_label
-from barworks.operators.ordered import running_sum
+from barworks.operators.ordered import join_per_key, running_sum
 
 
 def _hour_of(ts: str) -> list[Column]:
@@ -187,7 +187,7 @@ def repair_net(trades: DataFrame, runs: DataFrame, run_id: str = "run_id") -> Da
     """
     spread = recovered_spread(trades, runs, run_id).withColumnRenamed("avg_spread", "_spread")
     fixed = F.coalesce(F.col("pnl") - F.col("_spread"), F.col("net_pnl"))
-    return trades.join(spread, run_id, "left").withColumn("net_pnl", fixed).drop("_spread")
+    return join_per_key(trades, spread, [run_id], "left").withColumn("net_pnl", fixed).drop("_spread")
 
 
 def title_summary(trades: DataFrame, keys: list[str]) -> DataFrame:

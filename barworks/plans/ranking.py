@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barworks.operators.ordered import join_per_key
 from barworks.operators.stats import return_over_drawdown
 
 # The pre-registered promotion gate and the listing limit of losing trades.
@@ -64,9 +65,8 @@ def pool_trades(trades: DataFrame, configs: DataFrame, key: str = "signal_key")
 
     Duplicates collapse to the row of the lowest experiment id, by a combinable aggregate.
     """
-    joined = trades.join(
-        configs.select("experiment_id", F.sha2("entry_config", 256).alias("entry_hash")), "experiment_id"
-    )
+    hashed = configs.select("experiment_id", F.sha2("entry_config", 256).alias("entry_hash"))
+    joined = join_per_key(trades, hashed, ["experiment_id"])
     row = F.struct("experiment_id", *[c for c in trades.columns if c not in ("experiment_id", key)])
     return (
         joined.groupBy("entry_hash", key)

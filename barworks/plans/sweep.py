@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barworks.operators.bars import average_spread, resample, trading_days
 from barworks.operators.features import bracket, signal_key
 from barworks.operators.indicators import indicator_frame, needs_of
+from barworks.operators.ordered import join_per_key
 from barworks.operators.outcomes import (
     close_based_exit,
     TouchIndex,
@@ -134,12 +135,12 @@ def sweep_bars(
     trades = outcomes(taken, touch_index(bars, longest=longest), arms)
     labels = arms_frame(bars.sparkSession, arms)
     if isinstance(avg_spread, DataFrame):
-        trades = trades.join(avg_spread.select("epic", "avg_spread"), "epic", "left")
+        trades = join_per_key(trades, avg_spread.select("epic", "avg_spread"), ["epic"], "left")
         spread = F.coalesce("avg_spread", F.lit(0.0))
     else:
         spread = avg_spread
-    trades = trades.withColumn("net_pnl", F.col("pnl") - spread).join(
-        labels.select("arm_id", "label"), "arm_id"
+    trades = join_per_key(
+        trades.withColumn("net_pnl", F.col("pnl") - spread), labels.select("arm_id", "label"), ["arm_id"]
     )
     trades = materialize(trades.drop("avg_spread"))
     keys = ["label", "epic"] if per_instrument else ["label"]

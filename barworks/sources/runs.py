@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barworks.functions.instants import iso_instant
 from barworks.operators.bars import bar_window
+from barworks.operators.ordered import join_per_key
 from barworks.schemas import require
 
 RUN_COLUMNS = (
@@ -45,7 +46,9 @@ def read_experiments(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
     """(experiments, trades); only trades of committed experiments are returned."""
     experiments = spark.read.parquet(f"{root}/experiment")
     trades = spark.read.parquet(f"{root}/trade")
-    committed = trades.join(experiments.select("experiment_id"), "experiment_id", "left_semi")
+    committed = join_per_key(
+        trades, experiments.select("experiment_id").distinct(), ["experiment_id"], "left_semi"
+    )
     return experiments, committed
 
 
@@ -84,7 +87,7 @@ def export_rows(runs: DataFrame, trades: DataFrame) -> DataFrame:
     run = F.struct(*[F.col(c) for c in runs.columns])
     head = runs.select(F.col("id").alias("run_id"), run.alias("run"))
     body = [F.col(c) for c in flat.columns if c != "run_id"]
-    return flat.select("run_id", F.struct(*body).alias("trade")).join(head, "run_id")
+    return join_per_key(flat.select("run_id", F.struct(*body).alias("trade")), head, ["run_id"])
 
 
 def append_annotation(rows: DataFrame, path: str) -> None:
