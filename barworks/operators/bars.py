@@ -30,9 +30,13 @@ def _bucket_start(end_ts: Column, minutes: int) -> Column:
     return F.floor(begin / F.lit(minutes * 60_000_000)) * F.lit(minutes * 60)
 
 
-def resample(quotes: DataFrame, minutes: int, keep_open_bucket: bool = False) -> DataFrame:
+def resample(
+    quotes: DataFrame, minutes: int, keep_open_bucket: bool = False, tie: str | None = None
+) -> DataFrame:
     """One-minute quotes → n-minute bars with a dense index per instrument.
 
+    A quote table has one quote per instrument and instant; name ``tie`` to order the quotes of a
+    raw feed that repeats instants (the order then needs a sort instead of a hash aggregate).
     The quotes are reduced map-side to one row per (epic, bucket) before the shuffle. A bucket
     that the source has not yet passed is dropped: that can only be the last one, so the index of
     the others is not affected. Both the bucket check and the index offsets come from one small
@@ -43,7 +47,7 @@ def resample(quotes: DataFrame, minutes: int, keep_open_bucket: bool = False) ->
     ts = F.col("snapshot_time_utc")
     bucket = _bucket_start(ts, minutes)
     day = F.floor(F.col("_bucket") / 86_400)
-    order = F.struct("snapshot_time_utc", "id")
+    order = F.struct("snapshot_time_utc", tie) if tie else F.col("snapshot_time_utc")
     bars = (
         mid_prices(quotes)
         .groupBy("epic", bucket.alias("_bucket"))

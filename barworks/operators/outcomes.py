@@ -78,7 +78,7 @@ def touch_index(
             .agg(F.expr("sort_array(collect_list(struct(_grp AS at, lo, hi)))").alias("_items"))
             .withColumn("_part", F.expr(f"explode(sequence(0L, {SALTS - 1}L))"))
         )
-    ends = named.groupBy(*keys).agg(F.expr("max(struct(idx, close, ts))").alias("_end"))
+    ends = named.groupBy(*keys).agg(F.expr("struct(max(idx) AS idx, max_by(close, idx) AS close, max_by(ts, idx) AS ts)").alias("_end"))
     return TouchIndex(keys, blocks, groups, top, ends)
 
 
@@ -273,18 +273,19 @@ def legacy_reason(exit_idx: Column, last_idx: Column, pnl: Column) -> Column:
     return F.when(exit_idx >= last_idx, "END").when(pnl > 0, "TARGET").otherwise("STOP")
 
 
-def close_based_exit(events: DataFrame, close_index: TouchIndex) -> DataFrame:
+def close_based_exit(events: DataFrame, close_index: TouchIndex, moving: bool = False) -> DataFrame:
     """Add ``gate_idx``: the first later bar whose close is beyond the stop or target, or the end
     of the holding limit, whichever is first. Null while the position never closes.
 
-    ``close_index`` is a touch index built on the close alone (``low=high="c"``).
+    ``close_index`` is a touch index built on the close alone (``low=high="c"``). With ``moving`` it
+    holds series that already contain the distances and are compared with the entry price.
     """
     sign = "CASE WHEN direction = 'LONG' THEN 1D ELSE -1D END"
     work = _with(
         events,
         {
-            "_stop": f"entry_price - ({sign}) * stop_dist",
-            "_target": f"entry_price + ({sign}) * target_dist",
+            "_stop": "entry_price" if moving else f"entry_price - ({sign}) * stop_dist",
+            "_target": "entry_price" if moving else f"entry_price + ({sign}) * target_dist",
             "_limit": "CASE WHEN max_holding_bars > 0 THEN CAST(entry_idx + max_holding_bars AS BIGINT) END",
         },
     )

@@ -132,7 +132,7 @@ def signals(
         found.append(
             f"""CASE WHEN {fire} THEN named_struct(
               'entry_id', {entry_id}, 'direction', '{LONG if is_long else SHORT}',
-              'entry_atr', next_atr_{n}, 'volatility_regime', next_regime_{n},
+              'atr_period', {n}, 'entry_atr', next_atr_{n}, 'volatility_regime', next_regime_{n},
               'stop_atr', {arm.stop_atr}D, 'target_atr', {arm.target_atr}D,
               'max_holding_bars', {arm.max_holding_bars}, 'reasons', {reasons(votes)},
               'features', {feature_struct(arm, score(votes))}) END"""

@@ -45,11 +45,12 @@ def entries(
     """The signals that are actually taken, per distinct entry config and direction.
 
     With ``gate_exit="close"`` a new entry waits for the close-based exit of the one before, and a
-    position that never closes that way is dropped and takes nothing after it. With ``"none"``
-    every signal is an event of its own.
+    position that never closes that way is dropped and takes nothing after it. The exit levels use
+    the ATR of the entry bar; ``"close_current_atr"`` measures them with the ATR of the bar that is
+    looked at. With ``"none"`` every signal is an event of its own.
     """
-    if gate_exit not in ("close", "none"):
-        raise ValueError("gate_exit must be 'close' or 'none'")
+    if gate_exit not in ("close", "close_current_atr", "none"):
+        raise ValueError("gate_exit must be 'close', 'close_current_atr' or 'none'")
     found = signals(frame, arms, entry_fill, extra).withColumns(
         {
             "stop_dist": F.col("stop_atr") * F.col("entry_atr"),
@@ -58,15 +59,47 @@ def entries(
     )
     if gate_exit == "none":
         return found
-    if closes is None:
-        closes = touch_index(frame, low="c", high="c")
-    gated = materialize(
-        close_based_exit(found, closes).withColumn("_free", F.col("gate_idx") + 1)
-    )
+    if gate_exit == "close_current_atr":
+        exits = _moving_exit(found, frame, arms)
+    else:
+        if closes is None:
+            closes = touch_index(frame, low="c", high="c")
+        exits = close_based_exit(found, closes)
+    gated = materialize(exits.withColumn("_free", F.col("gate_idx") + 1))
     taken = select_non_overlapping(gated, ["epic", "entry_id", "direction"], "signal_idx", "_free")
     return taken.where(F.col("gate_idx").isNotNull()).drop("_free")
 
 
+def _moving_exit(found: DataFrame, frame: DataFrame, arms: list[Arm]) -> DataFrame:
+    """Close-based exits whose distances follow the ATR of each later bar.
+
+    A long closes where close + stop * ATR falls to the entry price or close - target * ATR rises to
+    it; a short the other way round. Each pair of multiples is therefore one series of bars that is
+    searched for the entry price itself.
+    """
+    pairs = sorted(
+        {
+            (a.atr_period, *multiples)
+            for a in arms
+            for multiples in ((a.stop_atr, a.target_atr), (a.target_atr, a.stop_atr))
+        }
+    )
+    series = ", ".join(
+        f"named_struct('_gate', '{n}|{up}|{down}', 'lo', c + {up}D * atr_{n}, 'hi', c - {down}D * atr_{n})"
+        for n, up, down in pairs
+    )
+    moving = frame.selectExpr("epic", "idx", "end_ts", "c", f"inline(array({series}))")
+    gate_of = {f"{a.atr_period}|{a.stop_atr}|{a.target_atr}": a for a in arms}
+    sides = " ".join(
+        f"WHEN stop_atr = {a.stop_atr}D AND target_atr = {a.target_atr}D AND atr_period = {a.atr_period} "
+        f"THEN CASE WHEN direction = 'LONG' THEN '{key}' ELSE '{a.atr_period}|{a.target_atr}|{a.stop_atr}' END"
+        for key, a in gate_of.items()
+    )
+    index = touch_index(moving, ("epic", "_gate"), low="lo", high="hi", close="c")
+    events = found.withColumn("_gate", F.expr(f"CASE {sides} END"))
+    return close_based_exit(events, index, moving=True).drop("_gate")
+
+
 def outcomes(taken: DataFrame, index: TouchIndex, arms: list[Arm]) -> DataFrame:
     """Trades of every arm: entries fanned out to the ladders that share them, then resolved."""
     first_of: dict[str, int] = {}
@@ -168,3 +201,23 @@ def sweep_quotes(quotes: DataFrame, minutes: int, arms: list[Arm], **options) ->
     """Quotes → bars → all arms. Bars are written once because several stages read them."""
     bars = materialize(resample(quotes, minutes))
     return sweep_bars(bars, arms, average_spread(quotes), **options)
+
+
+def sweep_windows(
+    quotes: DataFrame, minutes: int, arms: list[Arm], windows: dict[str, tuple], **options
+) -> DataFrame:
+    """Metrics of all arms per named window (``{"IS": (start, end), "OOS": (start, end)}``).
+
+    Windows are half open. Each starts its indicators afresh, so nothing of one window reaches
+    another. The result is what the window comparison and the promotion gate take.
+    """
+    ts = F.col("snapshot_time_utc")
+    parts = []
+    for name, (start, end) in windows.items():
+        inside = (ts >= F.lit(start).cast("timestamp")) & (ts < F.lit(end).cast("timestamp"))
+        metrics = sweep_quotes(quotes.where(inside), minutes, arms, **options).metrics
+        parts.append(metrics.withColumn("window", F.lit(name)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

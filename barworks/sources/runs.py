@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barworks.functions.instants import iso_instant
 from barworks.operators.bars import bar_window
 from barworks.operators.ordered import join_per_key
+from barworks.plans.arms import config_hash
 from barworks.schemas import require
 
 RUN_COLUMNS = (
@@ -90,6 +91,50 @@ def export_rows(runs: DataFrame, trades: DataFrame) -> DataFrame:
     return join_per_key(flat.select("run_id", F.struct(*body).alias("trade")), head, ["run_id"])
 
 
+def experiment_rows(
+    metrics: DataFrame,
+    arms: DataFrame,
+    instrument: str,
+    timeframe_min: int,
+    window: tuple[str, str],
+    code_version: str = "unknown",
+) -> DataFrame:
+    """The experiment grain: one row per arm with its config, hash, window and headline metrics.
+
+    The id is the hash with the label, so saving the same run again replaces it.
+    """
+    start, end = window
+    digest = config_hash(
+        F.col("config_json"), F.lit(instrument), F.lit(timeframe_min), F.lit(start), F.lit(end)
+    )
+    rows = metrics.join(arms.select("label", "config_json", "entry_config"), "label")
+    return rows.withColumns(
+        {
+            "config_hash": digest,
+            "instrument": F.lit(instrument),
+            "timeframe_min": F.lit(timeframe_min),
+            "window_from": F.lit(start),
+            "window_to": F.lit(end),
+            "code_version": F.lit(code_version),
+            "run_ts": F.current_timestamp(),
+        }
+    ).withColumn("experiment_id", F.concat_ws("-", "config_hash", "label"))
+
+
+def run_rows(experiments: DataFrame, value_per_point: float = 1.0) -> DataFrame:
+    """The review grain: the 16 columns of a run, from experiment rows."""
+    source = {
+        "id": F.col("experiment_id"),
+        "created_at": F.col("run_ts"),
+        "window_start": F.col("window_from"),
+        "window_end": F.col("window_to"),
+        "trades_count": F.col("trades"),
+        "net_avg_pnl_usd": F.col("net_avg_pnl") * value_per_point,
+        "worst_quarter_net": F.col("worst_quarter_net_sum"),
+    }
+    return experiments.select(*[source.get(name, F.col(name)).alias(name) for name in RUN_COLUMNS])
+
+
 def append_annotation(rows: DataFrame, path: str) -> None:
     """Annotations are an append log; the latest write wins at read time."""
     rows.write.mode("append").parquet(path)

@@ -12,9 +12,13 @@ from barworks.functions.instants import iso_instant
 from barworks.operators import bars as B
 from barworks.operators import review as V
 from barworks.operators.features import bracket, signal_key
+from barworks.operators.indicators import indicator_frame, needs_of
+from barworks.operators.ordered import join_per_key
 from barworks.plans.arms import Arm, Tier, arms_frame, check_arms, check_ladder, reference_grid, variant
-from barworks.plans.sweep import sweep_bars
+from barworks.plans.ranking import promotion_gate
+from barworks.plans.sweep import entries, sweep_bars, sweep_quotes, sweep_windows
 from barworks.schemas import MARK_KINDS, QUOTE, require
+from barworks.session import materialize
 from barworks.sources import quotes as Q
 from barworks.sources import runs as R
 from tests.helpers import BAR_SCHEMA, random_bars
@@ -161,6 +165,62 @@ def test_one_tier_ladder_equals_the_single_target(spark):
     assert {(r["label"], r["epic"]) for r in per_epic.collect()} == {(n, e) for n in ("single", "ladder") for e in "AB"}
 
 
+def _moving_gate(frame, s):
+    """Brute force: first later bar whose close is beyond its own ATR distances."""
+    sign = 1 if s["direction"] == "LONG" else -1
+    for b in frame:
+        if b["epic"] == s["epic"] and b["idx"] > s["entry_idx"]:
+            gone = sign * (b["c"] - s["entry_price"])
+            if gone <= -s["stop_atr"] * b["atr_14"] or gone >= s["target_atr"] * b["atr_14"]:
+                return b["idx"]
+    return None
+
+
+def test_gate_may_follow_the_current_atr(spark):
+    arms = [
+        Arm(name="a", ema_period=9, trend_ema_period=0, confluence_threshold=2, enable_short=True),
+        Arm(name="b", ema_period=9, trend_ema_period=0, confluence_threshold=2, stop_atr=1.0, target_atr=2.0),
+    ]
+    bars = spark.createDataFrame(random_bars(900, "A", 41), BAR_SCHEMA)
+    frame = materialize(indicator_frame(bars, needs_of(arms)))
+    taken = entries(frame, arms, gate_exit="close_current_atr").collect()
+    ordered = frame.select("epic", "idx", "c", "atr_14").orderBy("idx").collect()
+    assert len(taken) > 20 and {s["direction"] for s in taken} == {"LONG", "SHORT"}
+    assert [s["gate_idx"] for s in taken] == [_moving_gate(ordered, s) for s in taken]
+    assert {s["entry_id"] for s in taken} == {0, 1}
+
+
+def test_sweep_to_store_to_review(spark, tmp_path):
+    """Quotes → windows → metrics; trades saved, loaded for review with their bars, and exported."""
+    base = Arm(name="base", ema_period=9, trend_ema_period=0, confluence_threshold=2, enable_short=True)
+    rows = [quote(i, "A", b[2], b[6]) for i, b in enumerate(random_bars(600, "A", 51))]
+    quotes = spark.createDataFrame(rows, QUOTE)
+    cut = at(2026, 1, 2)
+    windows = {"IS": (at(2026, 1, 1), cut), "OOS": (cut, at(2026, 1, 4))}
+    metrics = sweep_windows(quotes, 5, [base, variant(base, "wide", stop_atr=6.0)], windows)
+    assert {(r["label"], r["window"]) for r in metrics.collect()} == {(n, w) for n in ("base", "wide") for w in windows}
+    assert promotion_gate(metrics, "base").count() <= 1
+
+    result = sweep_quotes(quotes, 5, [base])
+    span = ("2026-01-01T00:00:00Z", "2026-01-04T00:00:00Z")
+    exps = R.experiment_rows(result.metrics, result.arms, "A", 5, span, "v1")
+    trades = join_per_key(result.trades, exps.select("label", "experiment_id"), ["label"])
+    root = str(tmp_path)
+    R.save_experiments(exps, trades, root)
+    saved, kept = R.read_experiments(spark, root)
+    assert saved.count() == 1 and kept.count() == result.trades.count() > 10
+    runs = R.run_rows(saved, 2.0)
+    assert tuple(runs.columns) == R.RUN_COLUMNS
+    bars = B.resample(quotes, 5)
+    review = R.review_trades(kept.withColumn("run_id", F.col("experiment_id")), bars)
+    R.load_run(runs, review.drop("ladder", "fills"), f"{root}/review")
+    loaded = spark.read.parquet(f"{root}/review/trades")
+    row = loaded.orderBy("entry_idx").first()
+    assert len(row["bars"]) == min(row["exit_idx"] + 50, bars.count() - 1) - max(row["entry_idx"] - 50, 0) + 1
+    out = R.export_rows(runs, loaded.select("run_id", "signal_key", "entry_ts", "is_win", "bars"))
+    assert out.count() == kept.count()
+
+
 def test_runs_load_idempotently(spark, tmp_path):
     root = str(tmp_path)
     runs = spark.createDataFrame([("r1", "first"), ("r2", "second")], "id string, label string")
