@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barworks.session import materialize
+
 SALTS = 32
 
 
@@ -138,6 +140,9 @@ def number_by_value(
         cut = F.when(F.col("_lo") == F.col("_hi"), F.col("_tie")).otherwise(even.cast("long"))
         parts.append(f"_part{level}")
         work = work.withColumn(parts[-1], cut).drop("_lo", "_hi", "_rows")
+        if level == 1:
+            # Every step reads the rows again, so they are written once with their first cut.
+            work = materialize(work)
     counts = work.groupBy(*keys, *parts).agg(F.count(F.lit(1)).alias("_n"))
     series = Window.partitionBy(*keys)
     before = series.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
