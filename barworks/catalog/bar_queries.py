@@ -12,7 +12,6 @@ from barworks.operators import bars as B
 from barworks.operators.indicators import (
     Needs,
     indicator_frame,
-    needs_of,
     trend_slope,
     volume_ratio,
 )
