@@ -6,13 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from barworks.catalog import load
 from barworks.session import configure
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLES = load()
 
 
 @pytest.fixture(scope="module")
