@@ -108,7 +108,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(cells, "hilbert")
     starts = starts.select("hilbert", "_chunk", (F.col("_from") + F.col("_before")).alias("_start"), "_total")
     local = F.row_number().over(Window.partitionBy("hilbert", "_chunk").orderBy("text_crc32", "doc_id")) - 1
-    ranked = facts.join(starts, ["hilbert", "_chunk"]).withColumn("_rank", F.col("_start") + local)
+    ranked = facts.join(starts.hint("merge"), ["hilbert", "_chunk"]).withColumn("_rank", F.col("_start") + local)
     # Largest s with floor(s * total / n) <= rank.
     place = F.floor(((F.col("_rank") + 1) * shards - 1) / F.col("_total")).cast("int")
     first = F.floor(F.col("shard").cast("long") * F.col("_total") / shards).cast("long")

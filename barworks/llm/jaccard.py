@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 from barworks.llm.arrow import as_bytes, prepared, runs, signed
 from barworks.llm.graph import components
 from barworks.llm.shingles import mix, set_ids, shingle_set
+from barworks.operators.ordered import join_per_key
 from barworks.session import materialize
 
-SAMPLE = 1000  # documents on which costs are measured; costs alone depend on it
+SAMPLE = 4000  # documents on which costs are measured; costs alone depend on it
+COMMON = 20_000  # shingles at most that count as common
 SHARD_KEYS = 1_500_000  # segment keys that meet in one task
-THIN = 2  # tokens; a segment with so few says little
-BLOCK_SETS, BLOCK_TOKENS = 512, 400_000  # half of what a block compares
-CANDIDATE_COST = 20.0  # keys that comparing one candidate pair is worth
+THIN = 2  # shingles that are not common; a segment with so few or fewer may be left out
+BLOCK_SETS, BLOCK_TOKENS = 1024, 600_000  # half of what a block compares
+CANDIDATE_COST = 200.0  # keys that joining one candidate pair to a cluster and comparing it is worth
 
 
 @dataclass(frozen=True)
@@ -70,10 +72,15 @@ class Join:
         return [i for i, (low, high) in enumerate(bands) if low <= size and high >= least]
 
 
+def tag_mark(tag: int) -> int:
+    """What turns the id of a set into its id under a band, by exclusive or."""
+    return (tag + 1) * 0x9E3779B97F4A7C15 % 2**64
+
+
 @dataclass(frozen=True)
 class Allocation:
     """Segments of a band: the first ``deletions`` list one-deletion neighbourhoods, ``spare``
-    units beyond what the pigeonhole needs let a set leave out as many thin segments."""
+    units beyond what the pigeonhole needs let a set leave out as many of the others."""
 
     deletions: int
     spare: int
@@ -84,13 +91,19 @@ class Allocation:
 
 def choices(differences: int) -> list[Allocation]:
     units = differences + 1
-    spare = max(1, units // 20)
+    spare = max(2, units // 6)
     out = [Allocation(0, spare), Allocation(units // 4, spare), Allocation(units // 2, 0)]
     return list(dict.fromkeys(a for a in out if a.segments(differences) >= 1))
 
 
-def segment_keys(tokens: np.ndarray, tag: int, differences: int, plan: Allocation) -> np.ndarray:
-    """Keys of the segments of a set, and of the one-deletion neighbours of its first segments."""
+def segment_keys(tokens: np.ndarray, tag: int, differences: int, plan: Allocation, common: np.ndarray) -> np.ndarray:
+    """Keys of the segments of a set, and of the one-deletion neighbours of its first segments.
+
+    A set leaves out the segments that would meet most others, those with the fewest shingles that
+    are not common, as long as they are no more than the spare ones. Of two linked sets one more
+    segments than that are equal; equal segments are as thin in both sets, and the set that leaves
+    out the thicker ones leaves out no more than the spare number of them, so one is in both.
+    """
     count = plan.segments(differences)
     salted = mix(tokens + np.uint64(0xA5A5A5A5 * (tag + 1)))
     segment = ((salted >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
@@ -101,11 +114,17 @@ def segment_keys(tokens: np.ndarray, tag: int, differences: int, plan: Allocatio
     total = sums[ends[1:]] - sums[ends[:-1]]
     name = mix(np.arange(count, dtype=np.uint64) + np.uint64((tag + 1) << 32))
     keys = mix(total + name)
-    lengths = np.diff(ends)
-    thin = lengths <= THIN
-    thin[: plan.deletions] = False
-    if plan.spare and thin.sum() <= plan.spare:
-        keys = keys[~thin]
+    if plan.spare:
+        rare = np.ones(len(tokens), dtype=bool)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+            rare = common[at] != tokens
+        weight = np.bincount(segment[rare], minlength=count)
+        weight[: plan.deletions] = THIN + 1
+        for thin in range(THIN, -1, -1):
+            if (weight <= thin).sum() <= plan.spare:
+                keys = keys[weight > thin]
+                break
     if plan.deletions:
         inside = order[: ends[plan.deletions]]
         at = segment[inside]
@@ -142,11 +161,11 @@ def identify(docs: DataFrame, join: Join, ref: Column) -> DataFrame:
 
 
 def allocate(docs: DataFrame, join: Join, bands: list[tuple[int, int]], total: int):
-    """Cheapest allocation of every band, and the mean number of keys per document.
+    """Cheapest allocation of every band, mean number of keys per document, common shingles.
 
     Costs are the keys themselves and the pairs that meet under them, measured on at most
     ``SAMPLE`` documents and scaled to ``total``. Bands that the sample does not hold take the
-    first choice.
+    first choice. Shingles of four or more different sets of the sample are common.
     """
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,33 +181,46 @@ def allocate(docs: DataFrame, join: Join, bands: list[tuple[int, int]], total: i
                     for tag in join.tags(len(tokens), bands):
                         members.setdefault(tag, []).append(tokens)
         rows = []
+        every = list({id(s): s for sets in members.values() for s in sets}.values())
+        shingles, times = np.unique(np.concatenate(every) if every else np.zeros(0, np.uint64), return_counts=True)
+        often = np.argsort(-times, kind="stable")[:COMMON]
+        common = np.sort(shingles[often[times[often] >= 4]])
         for tag, sets in members.items():
             differences, scale, best = join.differences(bands[tag][1]), total / seen, None
             for plan in choices(differences):
-                keys = np.concatenate([segment_keys(s, tag, differences, plan) for s in sets])
+                keys = np.concatenate([segment_keys(s, tag, differences, plan, common) for s in sets])
                 each = np.unique(keys, return_counts=True)[1].astype(float)
                 pairs = float((each * (each - 1) / 2).sum())
                 cost = scale * len(keys) + CANDIDATE_COST * scale * scale * pairs
                 if best is None or cost < best[0]:
                     best = (cost, plan, len(keys) / seen)
             rows.append((tag, best[1].deletions, best[1].spare, best[2]))
+        rows.append((-1, 0, 0, 0.0))
+        listed = pa.array([None] * (len(rows) - 1) + [common.tobytes()], pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.float64()))],
-            ["tag", "deletions", "spare", "keys"],
+            [*(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.float64()))), listed],
+            ["tag", "deletions", "spare", "keys", "common"],
         )
 
     rows = (
         docs.select("text").limit(SAMPLE).coalesce(1)
-        .mapInArrow(measured, "tag int, deletions int, spare int, keys double").collect()
+        .mapInArrow(measured, "tag int, deletions int, spare int, keys double, common binary").collect()
     )
-    plans = [choices(join.differences(high))[0] for _, high in bands]
+    plans, common = [choices(join.differences(high))[0] for _, high in bands], b""
     for r in rows:
-        plans[r.tag] = Allocation(r.deletions, r.spare)
-    return plans, sum(r["keys"] for r in rows)
+        if r.tag < 0:
+            common = bytes(r.common)
+        else:
+            plans[r.tag] = Allocation(r.deletions, r.spare)
+    return plans, sum(r["keys"] for r in rows), np.frombuffer(common, np.uint64)
 
 
-def candidate_links(docs: DataFrame, join: Join, bands, plans, shards: int) -> DataFrame:
-    """Links (a, b) from every node to the smallest node that shares one of its segment keys."""
+def candidate_links(docs: DataFrame, join: Join, bands, plans, common: np.ndarray, shards: int) -> DataFrame:
+    """Links (a, b) from every node to the smallest node that shares one of its segment keys.
+
+    Nodes are named per band (:func:`tag_mark`), so chains of candidates end where sizes differ too
+    much to be linked.
+    """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,8 +229,8 @@ def candidate_links(docs: DataFrame, join: Join, bands, plans, shards: int) -> D
                 tokens = shingle_set(text, join.words)
                 node = set_ids(tokens)[0]
                 for tag in join.tags(len(tokens), bands):
-                    keys.append(segment_keys(tokens, tag, join.differences(bands[tag][1]), plans[tag]))
-                    nodes.append((node, len(keys[-1])))
+                    keys.append(segment_keys(tokens, tag, join.differences(bands[tag][1]), plans[tag], common))
+                    nodes.append((node ^ tag_mark(tag), len(keys[-1])))
             if not keys:
                 continue
             key = np.concatenate(keys)
@@ -301,7 +333,8 @@ def verified_links(docs: DataFrame, ref: Column, members: DataFrame, join: Join)
 
     # A part meets every part of its cluster: block (i, j), i <= j, for either order.
     blocks = F.expr("transform(sequence(0, parts - 1), p -> struct(least(p, part) AS i, greatest(p, part) AS j))")
-    texts = docs.select(ref.alias("ref"), "text").join(members, "ref")
+    # Always a merge join: the members grow with the documents, so a broadcast would not last.
+    texts = docs.select(ref.alias("ref"), "text").join(members.hint("merge"), "ref")
     spread = texts.withColumn("block", F.explode(blocks)).select("cluster", "block.i", "block.j", "node", "part", "text")
     width = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return (
@@ -311,6 +344,10 @@ def verified_links(docs: DataFrame, ref: Column, members: DataFrame, join: Join)
     )
 
 
+def _signed(value: int) -> int:
+    return value - 2**64 if value >= 2**63 else value
+
+
 def similarity_classes(docs: DataFrame, join: Join) -> DataFrame:
     """(doc_id, n_shingles, component_id, node) per document, repeated rows included.
 
@@ -334,10 +371,15 @@ def similarity_classes(docs: DataFrame, join: Join) -> DataFrame:
         raise ValueError("two different shingle sets share a 64-bit id")
     bands = join.bands(facts[0] or 0)
     total = rows.count()
-    plans, per_doc = allocate(docs, join, bands, total)
+    plans, per_doc, common = allocate(docs, join, bands, total)
     shards = max(1, math.ceil(total * per_doc / SHARD_KEYS))
-    near = components(materialize(candidate_links(docs, join, bands, plans, shards)))
-    linked = materialize(near.join(sets, "node").select("node", F.col("root").alias("cluster"), "ref", "n"))
+    near = components(materialize(candidate_links(docs, join, bands, plans, common, shards)))
+    # Each set under the bands it is indexed in; the bands are logarithmic in the largest size.
+    least = F.ceil(F.col("n") * join.percent / 100)
+    marks = [F.when((F.col("n") >= low) & (least <= high), F.lit(_signed(tag_mark(i)))) for i, (low, high) in enumerate(bands)]
+    tagged = sets.withColumn("mark", F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())))
+    tagged = tagged.select("node", "ref", "n", F.col("node").bitwiseXOR(F.col("mark")).alias("name"))
+    linked = materialize(near.withColumnRenamed("node", "name").join(tagged, "name").select("node", F.col("root").alias("cluster"), "ref", "n"))
     sizes = linked.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
     parts = F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("t") / BLOCK_TOKENS)).cast("int")
     members = linked.join(sizes.select("cluster", parts.alias("parts")), "cluster").select(
@@ -352,7 +394,8 @@ def similarity_classes(docs: DataFrame, join: Join) -> DataFrame:
         "node", F.coalesce("component", "doc").alias("component")
     )
     empty = F.col("n_shingles") == 0
-    return rows.join(ids, "node", "left").select(
+    # A third of all documents may be copies of one text; their node is spread over salts.
+    return join_per_key(rows, ids, ["node"], "left", salts=8).select(
         "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "node"
     )
 
@@ -365,7 +408,7 @@ def one_per_class(docs: DataFrame, join: Join) -> DataFrame:
     """
     classes = similarity_classes(docs, join)
     kept = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.max("n_shingles").alias("_n"))
-    out = docs.where("doc_id IS NOT NULL").join(kept, "doc_id")
+    out = docs.where("doc_id IS NOT NULL").join(kept.hint("merge"), "doc_id")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").desc()))
     out = out.withColumn("_at", first).where("_at = 1 OR _n = 0").select(*docs.columns)
     return out.unionByName(docs.where("doc_id IS NULL"))

@@ -354,4 +354,4 @@ def keep_fluent(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of documents that :func:`classify` keeps, with their own columns. Rows that share a
     doc_id stay or go together, by the best of them; rows without doc_id stay."""
     gone = classify(docs, labels).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

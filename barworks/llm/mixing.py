@@ -113,7 +113,7 @@ def mix(docs: DataFrame, weights: dict[str, int], rest: int = 1, block_docs: int
     period = F.floor(F.col("mix_block") / F.col("_w")).cast("long")
     start = F.aggregate(plan, F.lit(0).cast("long"), lambda a, x: a + F.least(x["b"], x["w"] * F.col("_period")))
     placed = (
-        work.join(offsets, ["mix_source", "_chunk"])
+        work.join(offsets.hint("merge"), ["mix_source", "_chunk"])
         .withColumn("_r", row.cast("long"))
         .withColumns({"mix_block": F.floor(F.col("_r") / block_docs).cast("long"), "mix_pos": (F.col("_r") % block_docs).cast("int"), "_w": weight})
         .withColumns({"_period": period, "_k": (F.col("mix_block") % F.col("_w")).cast("int")})

@@ -16,8 +16,7 @@ from barworks.llm.arrow import prepared
 from barworks.session import materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 SAMPLE_ROWS = 500  # documents on which rules are timed; the order alone depends on it
 
 
@@ -36,37 +35,32 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(has_word))
 
 
-def removed(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def count_of(text: Column, pattern: str) -> Column:
+    """Characters of a text that lie in matches of a pattern."""
+    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
 def repeated_words(words: Column) -> Column:
-    """How many words lie in a window of three words that the text holds more than once."""
+    """How many words lie in a window of three words that the text holds more than once.
 
-    def positions(windows: Column) -> Column:
-        """First words of repeated windows, in order: equal windows are neighbours once sorted."""
-
-        def marked(rows: Column) -> Column:
-            last = F.size(rows)
-            same = lambda a, b: F.get(rows, a)["w"] == F.get(rows, b)["w"]
-            hit = F.filter(
-                rows,
-                lambda r, i: ((i > 0) & F.coalesce(same(i - 1, i), F.lit(False)))
-                | ((i + 1 < last) & F.coalesce(same(i, i + 1), F.lit(False))),
-            )
-            return F.transform(hit, lambda r: r["i"])
+    Windows are compared by 64-bit hashes; two of the n windows of a text clash with a probability
+    of n * n / 2^65.
+    """
 
-        numbered = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-        return bound(numbered, marked)
+    def marked(rows: Column) -> Column:
+        """First words of repeated windows: equal windows are neighbours once sorted."""
+        same = lambda a, b: F.coalesce(F.get(rows, a)["h"] == F.get(rows, b)["h"], F.lit(False))
+        hit = F.filter(rows, lambda r, i: same(i - 1, i) | same(i, i + 1))
+        return F.flatten(F.transform(hit, lambda r: F.array(r["i"], r["i"] + 1, r["i"] + 2)))
 
     def counted(windows: Column) -> Column:
-        covered = F.array_distinct(F.flatten(F.transform(positions(windows), lambda i: F.array(i, i + 1, i + 2))))
+        numbered = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         some = F.size(F.array_distinct(windows)) < F.size(windows)
-        return F.when(some, F.size(covered)).otherwise(0)
+        return F.when(some, F.size(F.array_distinct(bound(numbered, marked)))).otherwise(0)
 
     def windows(w: Column) -> Column:
         firsts = F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0)))
-        return F.transform(firsts, lambda a, i: F.concat_ws(" ", a, F.get(w, i + 1), F.get(w, i + 2)))
+        return F.transform(firsts, lambda a, i: F.xxhash64(a, F.get(w, i + 1), F.get(w, i + 2)))
 
     return bound(words, lambda w: bound(windows(w), counted)).cast("long")
 
@@ -74,14 +68,14 @@ def repeated_words(words: Column) -> Column:
 def base_columns(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    words, lines = words_of(F.col("text")), lines_of(F.col("text"))
-    facts = docs.withColumns({
-        "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(removed(text, SPACES)).cast("long"),
-        "n_symbols": (F.length(text) - F.length(removed(text, SYMBOLS))).cast("long"),
-        "n_dup_lines": bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(words),
-    })
+    split = docs.withColumns({"_words": words_of(F.col("text")), "_lines": lines_of(F.col("text"))})
+    facts = split.withColumns({
+        "n_words": F.size("_words").cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": count_of(text, SYMBOLS).cast("long"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_repeat_words": repeated_words(F.col("_words")),
+    }).drop("_words", "_lines")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return facts.withColumn("base_failed", failed)
 
@@ -90,18 +84,15 @@ def rules() -> dict[str, Column]:
     """Conditions that reject a document, by name, over its text and base columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.col("n_words")
-    upper = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))
-    letters = F.length(text) - F.length(F.regexp_replace(text, r"\p{L}", ""))
-    digits = F.length(text) - F.length(removed(text, "0123456789"))
-    bangs = F.length(text) - F.length(removed(text, "!?"))
+    letters = count_of(text, r"\p{L}+")
     return {
         "symbols": 10 * F.col("n_symbols") > words,
         "word_length": (F.col("word_chars") < 2 * words) | (F.col("word_chars") > 20 * words),
         "repeated_words": 5 * F.col("n_repeat_words") > 2 * words,
         "repeated_lines": bound(lines_of(F.col("text")), lambda x: 10 * F.col("n_dup_lines") > 5 * F.size(x)),
-        "capitals": 2 * upper > letters,
-        "digits": 3 * digits > F.col("word_chars"),
-        "exclamations": 3 * bangs > words,
+        "capitals": 2 * count_of(text, r"\p{Lu}+") > letters,
+        "digits": 3 * count_of(text, "[0-9]+") > F.col("word_chars"),
+        "exclamations": 3 * count_of(text, "[!?]+") > words,
         "few_letters": 2 * letters < F.col("word_chars"),
     }
 
