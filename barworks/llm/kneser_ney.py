@@ -139,17 +139,16 @@ def lower_model(counts: DataFrame) -> DataFrame:
     )
 
     def lowered(table: pa.Table) -> pa.Table:
-        rows = table.to_pandas()
-        some = rows[rows.o == 2]
-        key = np.sort(some.gram.to_numpy().astype(np.int64).view(np.uint64) & np.uint64(0xFFFF))
-        order = np.argsort(some.gram.to_numpy().astype(np.int64).view(np.uint64) & np.uint64(0xFFFF))
-        count = some.c.to_numpy().astype(float)[order]
-        higher = {int(r.o): discounts(r.n1, r.n2, r.n3, r.n4) for r in rows[rows.o > 2].itertuples()}
+        rows = table.to_pylist()
+        pairs = sorted((r["gram"] & 0xFFFF, r["c"]) for r in rows if r["o"] == 2)
+        key = np.array([p[0] for p in pairs], dtype=np.uint64)
+        count = np.array([p[1] for p in pairs], dtype=float)
+        higher = {r["o"]: discounts(r["n1"], r["n2"], r["n3"], r["n4"]) for r in rows if r["o"] > 2}
         firsts = np.unique(key & np.uint64(0xFF), return_counts=True)[1]
         d2 = discounts(*[float((count == i).sum()) for i in range(1, 5)])
         d1 = discounts(*[float((firsts == i).sum()) for i in range(1, 5)])
         p2, back, p1 = _lower_orders(key, count, d2, d1)
-        code = int(rows.code.iloc[0])
+        code = rows[0]["code"]
         return pa.table({
             "code": pa.array([code], pa.int64()),
             "high": pa.array([np.array(higher[4] + higher[3]).tobytes()], pa.binary()),
