@@ -374,7 +374,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """The listing of the 40 worst losing trades: a top-k report."""
-    return ranking.worst_losers(I.trades(spark, d), "2-HIGH").select("signal_key", "net_pnl")
+    return ranking.worst_losers(I.trades(spark, d), "2-HIGH", ranking.LISTING_LIMIT).select("signal_key", "net_pnl")
 
 
 @query(

@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 SEGMENT = 2048
 MAX_EXPONENT = 600.0  # keeps d**-k inside the range of a double
-FORGET_EXPONENT = 44.0  # exp(-44) is about 8e-20
+# exp(-745) is below the least double. Ratios of two fading columns need the whole range: a carry
+# cut where it no longer shows in a sum would turn an RSI on a flat stretch into zero.
+FORGET_EXPONENT = 745.0
 
 
 @dataclass(frozen=True)

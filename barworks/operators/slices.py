@@ -11,7 +11,6 @@ from barworks.schemas import SLICE_FEATURES
 
 DRAG_POINTS = 0.10
 MIN_CONFIDENCE = 0.3
-MAX_BUCKETS = 10
 
 
 def check_feature(feature: str, allowed: tuple[str, ...] = SLICE_FEATURES) -> str:
@@ -20,8 +19,10 @@ def check_feature(feature: str, allowed: tuple[str, ...] = SLICE_FEATURES) -> st
     return feature
 
 
-def clamp_buckets(buckets: int) -> int:
-    return max(1, min(MAX_BUCKETS, int(buckets)))
+def checked_buckets(buckets: int) -> int:
+    if int(buckets) < 1:
+        raise ValueError("at least one bucket")
+    return int(buckets)
 
 
 def unpivot_features(
@@ -94,7 +95,7 @@ def slice_feature(
     """Slices of one feature per run."""
     keys = keys or ["run_id"]
     rows = unpivot_features(trades, keys, [check_feature(feature)], [tie, "is_win", "net_pnl"])
-    return slice_rows(rows, [*keys, "feature"], clamp_buckets(buckets), tie, tie_chunk)
+    return slice_rows(rows, [*keys, "feature"], checked_buckets(buckets), tie, tie_chunk)
 
 
 def slice_all(
@@ -109,7 +110,7 @@ def slice_all(
     keys = keys or ["run_id"]
     chosen = [check_feature(name) for name in (features or SLICE_FEATURES)]
     rows = unpivot_features(trades, keys, chosen, [tie, "is_win", "net_pnl"])
-    return slice_rows(rows, [*keys, "feature"], clamp_buckets(buckets), tie, tie_chunk)
+    return slice_rows(rows, [*keys, "feature"], checked_buckets(buckets), tie, tie_chunk)
 
 
 def baseline(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -21,6 +21,12 @@ def with_net(trades: DataFrame, avg_spread: Column | float) -> DataFrame:
     return trades.withColumn("net_pnl", F.col("pnl") - spread)
 
 
+def zero_where_absent(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Zero for nulls of numeric columns; NaN, which a run has of its own, stays."""
+    numeric = [c for c, kind in df.dtypes if c not in keys and kind in ("double", "float", "bigint", "int")]
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(dict(df.dtypes)[c])) for c in numeric})
+
+
 def headline(
     trades: DataFrame,
     keys: list[str],
@@ -47,7 +53,7 @@ def headline(
     out = trades.groupBy(*keys).agg(*measures)
     out = out.withColumn("net_avg_value", F.col("net_avg_pnl") * value_per_point)
     if all_keys is not None:
-        out = all_keys.select(*keys).join(out, keys, "left").fillna(0)
+        out = zero_where_absent(all_keys.select(*keys).join(out, keys, "left"), keys)
     if trading_days is not None:
         days = trading_days if isinstance(trading_days, Column) else F.lit(trading_days)
         per_day = F.when(days == 0, F.lit(0.0)).otherwise(F.col("trades") / F.when(days != 0, days))
@@ -129,8 +135,8 @@ def run_metrics(
         headline(trades, keys, trading_days, value_per_point, all_keys)
         .join(max_drawdown(trades, keys, order, chunk), keys, "left")
         .join(quarter_summary(trades, keys, order[0]), keys, "left")
-        .fillna(0)
     )
+    out = zero_where_absent(out, keys)
     return out.withColumn(
         "return_over_drawdown", return_over_drawdown(F.col("total_net"), F.col("max_drawdown"))
     )

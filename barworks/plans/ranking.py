@@ -35,9 +35,11 @@ def list_experiments(experiments: DataFrame) -> DataFrame:
 
 
 def find_experiment(experiments: DataFrame, ref: str) -> DataFrame:
-    """The latest experiment whose id or label is ``ref``."""
+    """The latest experiment whose id or label is ``ref``: by ``run_ts``, or by id in tables that
+    have no such column."""
     found = (F.col("experiment_id").cast("string") == ref) | (F.col("label") == ref)
-    return experiments.where(found).orderBy(F.desc("experiment_id")).limit(1)
+    newest = [F.desc(c) for c in ("run_ts", "experiment_id") if c in experiments.columns]
+    return experiments.where(found).orderBy(*newest).limit(1)
 
 
 def list_runs(runs: DataFrame) -> DataFrame:
@@ -54,8 +56,8 @@ def trades_of(trades: DataFrame, run_id, which: str = "all") -> DataFrame:
     return chosen.orderBy("entry_ts", "signal_key")
 
 
-def worst_losers(trades: DataFrame, run_id, limit: int = LISTING_LIMIT) -> DataFrame:
-    """The losing trades of a run with the lowest net, a top-k listing."""
+def worst_losers(trades: DataFrame, run_id, limit: int) -> DataFrame:
+    """The ``limit`` losing trades of a run with the lowest net, a top-k listing."""
     lost = trades.where((F.col("run_id") == run_id) & ~F.col("is_win"))
     return lost.orderBy("net_pnl", "signal_key").limit(limit)
 

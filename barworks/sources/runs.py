@@ -88,7 +88,10 @@ def export_rows(runs: DataFrame, trades: DataFrame) -> DataFrame:
     run = F.struct(*[F.col(c) for c in runs.columns])
     head = runs.select(F.col("id").alias("run_id"), run.alias("run"))
     body = [F.col(c) for c in flat.columns if c != "run_id"]
-    return join_per_key(flat.select("run_id", F.struct(*body).alias("trade")), head, ["run_id"])
+    rows = join_per_key(flat.select("run_id", F.struct(*body).alias("trade")), head, ["run_id"])
+    # A run without trades is exported with a null trade.
+    bare = head.join(flat.select("run_id").distinct(), "run_id", "left_anti")
+    return rows.unionByName(bare.withColumn("trade", F.lit(None).cast(rows.schema["trade"].dataType)))
 
 
 def experiment_rows(

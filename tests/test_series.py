@@ -8,7 +8,7 @@ import pytest
 from barworks.operators.indicators import Needs, indicator_frame, needs_of
 from barworks.operators.segments import Recurrence, cut, ema_alpha, segment_size
 from barworks.plans.arms import Arm
-from tests.helpers import BAR_SCHEMA, random_bars
+from tests.helpers import BAR_SCHEMA, bar, random_bars
 
 ARM = Arm(ema_period=9, trend_ema_period=30, enable_structure=True)
 
@@ -35,6 +35,20 @@ def test_segment_size_does_not_matter(spark, rows, plain, size):
     same(plain, indicator_frame(bars, needs_of([ARM]), size=size).toPandas())
 
 
+def test_rsi_survives_a_flat_stretch(spark):
+    """Gains and losses fade together, so their ratio stays where the last move left it."""
+    moving = random_bars(40, seed=3)
+    last = moving[-1][6]
+    bars = spark.createDataFrame([*moving, *[bar("X", i, last, last, last) for i in range(40, 1500)]], BAR_SCHEMA)
+    frames = [indicator_frame(bars, needs_of([ARM]), size=size).toPandas().sort_values("idx") for size in (150, 512, 2048)]
+    rsi = [c for c in frames[0].columns if "rsi" in c and not c.startswith("next_")]
+    assert rsi
+    for frame in frames[1:]:
+        for name in rsi:
+            assert abs(frame[name].to_numpy() - frames[0][name].to_numpy()).max() < 1e-6
+            assert frame[name].iloc[-1] > 1
+
+
 def test_row_order_does_not_matter(spark, rows, plain):
     mixed = rows[:]
     random.Random(0).shuffle(mixed)

@@ -83,7 +83,9 @@ def test_remainder_is_an_extra_bucket(spark):
 def test_unknown_features_are_refused(spark):
     with pytest.raises(ValueError):
         slices.check_feature("pnl; drop table")
-    assert (slices.clamp_buckets(0), slices.clamp_buckets(99)) == (1, 10)
+    assert (slices.checked_buckets(1), slices.checked_buckets(20)) == (1, 20)
+    with pytest.raises(ValueError):
+        slices.checked_buckets(0)
 
 
 def test_positions_by_value_with_one_dominant_value(spark):
