@@ -216,7 +216,7 @@ def _(spark, d):
     runs = t.groupBy(F.col("run_id").alias("id")).agg(F.count(F.lit(1)).alias("trades_count"))
     for _attempt in range(2):
         R.load_run(runs, t, root)
-    return spark.read.parquet(f"{root}/trades").select("run_id", "id", "is_win")
+    return R.read_runs(spark, root)[1].select("run_id", "id", "is_win")
 
 
 @query(

@@ -162,16 +162,18 @@ def index_at_or_after(events: DataFrame, bars: DataFrame, at: str, name: str = "
 
 
 def bar_window(
-    spans: DataFrame, bars: DataFrame, key: str, before: int = 50, after: int = 50
+    spans: DataFrame, bars: DataFrame, key: str | list[str], before: int = 50, after: int = 50
 ) -> DataFrame:
     """Bars from ``before`` bars ahead of ``entry_idx`` to ``after`` bars past ``exit_idx``.
 
-    Returns ``key`` with a time-ordered ``bars`` array. Bars are packed in blocks of 256 and a
-    span is spread over the few blocks it covers, so this is an equi-join, not a range join.
+    Returns ``key`` (a column or several) with a time-ordered ``bars`` array; it must tell the spans
+    of an instrument apart. Bars are packed in blocks of 256 and a span is spread over the few
+    blocks it covers, so this is an equi-join, not a range join.
     """
+    keys = [key] if isinstance(key, str) else key
     lo = F.greatest(F.lit(0), F.least("entry_idx", "exit_idx") - before)
     hi = F.greatest("entry_idx", "exit_idx") + after
-    wanted = spans.select("epic", key, lo.alias("_lo"), hi.alias("_hi")).withColumn(
+    wanted = spans.select("epic", *keys, lo.alias("_lo"), hi.alias("_hi")).withColumn(
         "_blk",
         F.explode(F.sequence(F.floor(F.col("_lo") / BLOCK), F.floor(F.col("_hi") / BLOCK))),
     )
@@ -183,7 +185,7 @@ def bar_window(
     inside = F.filter("_bars", lambda b: (b["idx"] >= F.col("_lo")) & (b["idx"] <= F.col("_hi")))
     return (
         wanted.join(blocks, ["epic", "_blk"])
-        .groupBy("epic", key)
+        .groupBy("epic", *keys)
         .agg(F.flatten(F.sort_array(F.collect_list(inside))).alias("bars"))
     )
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barworks.operators.ordered import SALTS, join_per_key, running_max_before
@@ -310,10 +310,11 @@ def select_non_overlapping(
     An event that comes after every earlier event is free again is always kept, whatever was
     chosen before. Such events cut a key into clusters that are settled on their own, so a key
     with very many events is never gathered. A cluster above ``fold_limit`` events is settled by
-    pointer doubling instead of a fold. A null ``free`` means never free again.
+    pointer doubling instead of a fold. A null ``free`` means never free again. Of events at the
+    same position the one that is free first counts, ties by a hash of their other columns.
     """
     never = F.lit(2**62)
-    slim = events.select(*keys, F.col(at).alias("_s"), F.coalesce(F.col(free), never).alias("_f"))
+    slim = events.groupBy(*keys, F.col(at).alias("_s")).agg(F.min(F.coalesce(F.col(free), never)).alias("_f"))
     slim_chunk = [F.floor(F.col("_s") / 4096)]
     seen = running_max_before(slim, keys, ["_s"], slim_chunk, F.col("_f"), "_busy")
     fresh = F.col("_busy").isNull() | (F.col("_s") >= F.col("_busy"))
@@ -328,7 +329,10 @@ def select_non_overlapping(
     large = sized.where(F.col("_size") > fold_limit)
     if not large.isEmpty():
         kept = kept.unionByName(_jump_clusters(large, keys))
-    return events.join(kept.withColumnRenamed("_s", at), [*keys, at], "left_semi")
+    chosen = events.join(kept.withColumnRenamed("_s", at), [*keys, at], "left_semi")
+    others = F.xxhash64(*[c for c, kind in events.dtypes if "map<" not in kind])
+    place = Window.partitionBy(*keys, at).orderBy(F.coalesce(F.col(free), never), others)
+    return chosen.withColumn("_tie", F.row_number().over(place)).where("_tie = 1").drop("_tie")
 
 
 def _fold_clusters(clusters: DataFrame, keys: list[str]) -> DataFrame:

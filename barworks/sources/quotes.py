@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from barworks.schemas import PRICE_COLUMNS, PRICE_REPLY, QUOTE, require
 
 
 def read_quotes(spark: SparkSession, path: str) -> DataFrame:
-    """The stored quote table (Parquet partitioned by epic and date)."""
+    """The stored quote table (Parquet partitioned by date)."""
     return require(spark.read.parquet(path), QUOTE.fieldNames())
 
 
@@ -19,11 +20,12 @@ def write_quotes(quotes: DataFrame, path: str) -> None:
     """Land quotes partitioned by day, clustered by epic inside each file.
 
     The day bounds a partition whatever the mix of instruments; a partition column per instrument
-    and day would make one tiny file per pair.
+    and day would make one tiny file per pair. Landing an instrument's day again replaces it; other
+    instruments of that day, already stored, are written again beside it.
     """
+    rows = require(quotes, ["epic", "snapshot_time_utc"]).withColumn("date", F.to_date("snapshot_time_utc"))
     (
-        require(quotes, ["epic", "snapshot_time_utc"])
-        .withColumn("date", F.to_date("snapshot_time_utc"))
+        _with_stored_neighbours(rows, path)
         .repartitionByRange("date", "epic", "snapshot_time_utc")
         .sortWithinPartitions("date", "epic", "snapshot_time_utc")
         .write.mode("overwrite")
@@ -33,6 +35,21 @@ def write_quotes(quotes: DataFrame, path: str) -> None:
     )
 
 
+def _with_stored_neighbours(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` and the stored rows of the same days that belong to other instruments."""
+    try:
+        stored = rows.sparkSession.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return rows
+        raise
+    # One value per day of the load, so only the partitions of those days are read.
+    days = [r["date"] for r in rows.select("date").where("date IS NOT NULL").distinct().collect()]
+    touched = stored.where(F.col("date").isin(days))
+    others = touched.join(rows.select("epic", "date").distinct(), ["epic", "date"], "left_anti")
+    return rows.unionByName(others, allowMissingColumns=True)
+
+
 def first_quotes(quotes: DataFrame, epic: str, limit: int) -> DataFrame:
     """The first ``limit`` quotes of one instrument in time order (a top-k, not a full sort)."""
     order = ["snapshot_time_utc", *(["id"] if "id" in quotes.columns else [])]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +23,28 @@ RUN_COLUMNS = (
 def save_experiments(experiments: DataFrame, trades: DataFrame, root: str) -> None:
     """Persist experiments with their trades.
 
-    Trades land first and the experiment rows last: a reader that goes through
-    ``read_experiments`` never sees a run whose trades are still being written. Both writes replace
-    the partitions of the same experiment ids, so a failed attempt can simply be run again.
+    Trades land first, in partitions of this attempt, and the experiment rows last; they name the
+    attempt whose trades count. A reader that goes through ``read_experiments`` sees the trades of
+    the last finished attempt, none where that run had none, and a failed attempt can simply be run
+    again.
     """
     require(experiments, ["experiment_id"])
     require(trades, ["experiment_id"])
-    _overwrite_partitions(trades, f"{root}/trade", "experiment_id")
-    _overwrite_partitions(experiments, f"{root}/experiment", "experiment_id")
+    _save(experiments, trades, f"{root}/experiment", f"{root}/trade", "experiment_id")
+
+
+def _save(heads: DataFrame, trades: DataFrame, heads_path: str, trades_path: str, key: str) -> None:
+    # A letter in front, so that no reader takes the name for a number.
+    attempt = F.lit(f"a{uuid.uuid4().hex}")
+    _overwrite_partitions(trades.withColumn("attempt", attempt), trades_path, key, "attempt")
+    _overwrite_partitions(heads.withColumn("attempt", attempt), heads_path, key)
+
+
+def _read(spark: SparkSession, heads_path: str, trades_path: str, key: str) -> tuple[DataFrame, DataFrame]:
+    heads, trades = spark.read.parquet(heads_path), spark.read.parquet(trades_path)
+    named = heads.select(key, "attempt").distinct()
+    committed = join_per_key(trades, named, [key, "attempt"], "left_semi")
+    return heads.drop("attempt"), committed.drop("attempt")
 
 
 def _overwrite_partitions(rows: DataFrame, path: str, *by: str) -> None:
@@ -45,36 +61,40 @@ def _overwrite_partitions(rows: DataFrame, path: str, *by: str) -> None:
 
 def read_experiments(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(experiments, trades); only trades of committed experiments are returned."""
-    experiments = spark.read.parquet(f"{root}/experiment")
-    trades = spark.read.parquet(f"{root}/trade")
-    committed = join_per_key(
-        trades, experiments.select("experiment_id").distinct(), ["experiment_id"], "left_semi"
-    )
-    return experiments, committed
+    return _read(spark, f"{root}/experiment", f"{root}/trade", "experiment_id")
 
 
 def load_run(runs: DataFrame, trades: DataFrame, root: str) -> None:
-    """Load runs for review. Loading the same run id again replaces its rows."""
+    """Load runs for review. Loading the same run id again replaces its rows, also by none."""
     keyed = trades.withColumn("id", F.concat_ws(":", F.col("run_id").cast("string"), "signal_key"))
-    _overwrite_partitions(keyed, f"{root}/trades", "run_id")
-    _overwrite_partitions(runs.withColumn("run_id", F.col("id")), f"{root}/runs", "run_id")
+    _save(runs.withColumn("run_id", F.col("id")), keyed, f"{root}/runs", f"{root}/trades", "run_id")
+
+
+def read_runs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(runs, trades) as last loaded."""
+    return _read(spark, f"{root}/runs", f"{root}/trades", "run_id")
 
 
 def review_trades(trades: DataFrame, bars: DataFrame, pad: int = 50) -> DataFrame:
-    """Trades with their bar window attached as an array of (t, o, h, l, c)."""
-    windows = bar_window(trades, bars, "signal_key", pad, pad)
+    """Trades with their bar window attached as an array of (t, o, h, l, c).
+
+    Runs share signal keys, so a window belongs to its run where trades have a ``run_id``.
+    """
+    keys = [name for name in ("run_id", "signal_key") if name in trades.columns]
+    windows = bar_window(trades, bars, keys, pad, pad)
     plain = F.transform("bars", lambda b: b.dropFields("idx"))
-    slim = windows.select("epic", "signal_key", plain.alias("bars"))
-    return trades.join(slim, ["epic", "signal_key"], "left")
+    slim = windows.select("epic", *keys, plain.alias("bars"))
+    return trades.join(slim, ["epic", *keys], "left")
 
 
 def export_runs(runs: DataFrame, trades: DataFrame, path: str) -> None:
     """Runs with their trades and bar windows as JSON, one line per trade under its run.
 
-    A run is a folder: its trades are written in parallel, so no run has to fit in one row.
+    A run is a folder: its trades are written in parallel, so no run has to fit in one row. Exporting
+    a run again replaces its folder and leaves those of other runs.
     """
-    nested = export_rows(runs, trades)
-    nested.hint("rebalance", F.col("run_id")).write.mode("overwrite").partitionBy("run_id").json(path)
+    nested = export_rows(runs, trades).hint("rebalance", F.col("run_id"))
+    nested.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(path)
 
 
 def export_rows(runs: DataFrame, trades: DataFrame) -> DataFrame:

@@ -143,3 +143,6 @@ def test_non_overlapping_selection(spark, fold_limit):
     out = X.select_non_overlapping(ev, ["k"], "s", "f", fold_limit).collect()
     for key in range(6):
         assert sorted(r["s"] for r in out if r["k"] == key) == _greedy([r[1:] for r in rows if r[0] == key])
+    tied = spark.createDataFrame([(1, 1, 9), (1, 1, 5), (1, 1, 5), (1, 5, 6), (1, 7, 8)], "k int, s long, f long")
+    kept = X.select_non_overlapping(tied, ["k"], "s", "f", fold_limit).collect()
+    assert sorted((r["s"], r["f"]) for r in kept) == [(1, 5), (5, 6), (7, 8)]

@@ -65,6 +65,9 @@ def test_quote_table_round_trip(spark, quotes, tmp_path):
     day = Q.quotes_between(back, "A", at(2026, 1, 1), at(2026, 1, 2))
     assert "PartitionFilters: [isnotnull(date" in day._jdf.queryExecution().executedPlan().toString()
     assert Q.first_quotes(back, "A", 3).count() == 3
+    spread = {r["epic"]: r["count"] for r in back.groupBy("epic").count().collect()}
+    Q.write_quotes(quotes.where("epic = 'A'"), path)
+    assert {r["epic"]: r["count"] for r in Q.read_quotes(spark, path).groupBy("epic").count().collect()} == spread
     with pytest.raises(ValueError):
         require(back.drop("close_bid"), QUOTE.fieldNames())
 
@@ -214,7 +217,7 @@ def test_sweep_to_store_to_review(spark, tmp_path):
     bars = B.resample(quotes, 5)
     review = R.review_trades(kept.withColumn("run_id", F.col("experiment_id")), bars)
     R.load_run(runs, review.drop("ladder", "fills"), f"{root}/review")
-    loaded = spark.read.parquet(f"{root}/review/trades")
+    loaded = R.read_runs(spark, f"{root}/review")[1]
     row = loaded.orderBy("entry_idx").first()
     assert len(row["bars"]) == min(row["exit_idx"] + 50, bars.count() - 1) - max(row["entry_idx"] - 50, 0) + 1
     out = R.export_rows(runs, loaded.select("run_id", "signal_key", "entry_ts", "is_win", "bars"))
@@ -227,9 +230,38 @@ def test_runs_load_idempotently(spark, tmp_path):
     trades = spark.createDataFrame([("r1", "k1", 1.0), ("r1", "k2", 2.0), ("r2", "k1", 3.0)], "run_id string, signal_key string, pnl double")
     R.load_run(runs, trades, root)
     R.load_run(runs.where("id = 'r1'"), trades.where("run_id = 'r1' AND signal_key = 'k2'"), root)
-    back = spark.read.parquet(f"{root}/trades")
-    assert sorted(r["id"] for r in back.collect()) == ["r1:k2", "r2:k1"]
-    assert spark.read.parquet(f"{root}/runs").count() == 2
+    loaded, back = R.read_runs(spark, root)
+    assert sorted(r["id"] for r in back.collect()) == ["r1:k2", "r2:k1"] and loaded.count() == 2
+    R.load_run(runs.where("id = 'r2'"), trades.where("false"), root)
+    loaded, back = R.read_runs(spark, root)
+    assert [r["id"] for r in back.collect()] == ["r1:k2"] and loaded.count() == 2
+
+
+def test_rerun_without_trades_clears_the_old_ones(spark, tmp_path):
+    root = str(tmp_path)
+    t = spark.createDataFrame([(1, 1.0), (2, 2.0)], "experiment_id int, pnl double")
+    both = t.select("experiment_id", F.lit("x").alias("label"))
+    R.save_experiments(both, t, root)
+    R.save_experiments(both.where("experiment_id = 1"), t.where("false"), root)
+    experiments, trades = R.read_experiments(spark, root)
+    assert experiments.count() == 2 and [r["experiment_id"] for r in trades.collect()] == [2]
+
+
+def test_runs_that_share_a_signal_key_have_their_own_bars(spark):
+    bars = spark.createDataFrame(random_bars(600, "A", 3), BAR_SCHEMA)
+    rows = [("r1", "A", "k", 100, 110), ("r2", "A", "k", 100, 400)]
+    trades = spark.createDataFrame(rows, "run_id string, epic string, signal_key string, entry_idx long, exit_idx long")
+    out = {r["run_id"]: len(r["bars"]) for r in R.review_trades(trades, bars).collect()}
+    assert out == {"r1": 111, "r2": 401}
+
+
+def test_export_leaves_other_runs(spark, tmp_path):
+    path = str(tmp_path / "json")
+    runs = spark.createDataFrame([("r1",), ("r2",)], "id string")
+    trades = spark.createDataFrame([("r1", "k1", True)], "run_id string, signal_key string, is_win boolean")
+    R.export_runs(runs, trades, path)
+    R.export_runs(runs.where("id = 'r1'"), trades, path)
+    assert sorted(r["run_id"] for r in spark.read.json(path).collect()) == ["r1", "r2"]
 
 
 def test_uncommitted_trades_are_not_read(spark, tmp_path):
