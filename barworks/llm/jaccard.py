@@ -223,11 +223,16 @@ def candidate_links(docs: DataFrame, join: Join, bands, plans, common: np.ndarra
     """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A set is sent once per task, so copies of one text do not pile up under its keys.
+        sent_before: set[int] = set()
         for batch in batches:
             keys, nodes = [], []
             for text in as_bytes(batch.column("text")):
                 tokens = shingle_set(text, join.words)
                 node = set_ids(tokens)[0]
+                if node in sent_before:
+                    continue
+                sent_before.add(node)
                 for tag in join.tags(len(tokens), bands):
                     keys.append(segment_keys(tokens, tag, join.differences(bands[tag][1]), plans[tag], common))
                     nodes.append((node ^ tag_mark(tag), len(keys[-1])))
