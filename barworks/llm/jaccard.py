@@ -32,6 +32,7 @@ from barworks.session import materialize
 SAMPLE = 4000  # documents on which costs are measured; costs alone depend on it
 COMMON = 20_000  # shingles at most that count as common
 SHARD_KEYS = 1_500_000  # segment keys that meet in one task
+HELD_KEYS, HELD_NODES = 1_000_000, 60_000  # what a task combines before it sends; nodes are numbered in 16 bits
 THIN = 2  # shingles that are not common; a segment with so few or fewer may be left out
 BLOCK_SETS, BLOCK_TOKENS = 1024, 600_000  # half of what a block compares
 CANDIDATE_COST = 200.0  # keys that joining one candidate pair to a cluster and comparing it is worth
@@ -215,18 +216,68 @@ def allocate(docs: DataFrame, join: Join, bands: list[tuple[int, int]], total: i
     return plans, sum(r["keys"] for r in rows), np.frombuffer(common, np.uint64)
 
 
+def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each distinct key with its smallest node, and the links from that node to the others."""
+    order = np.argsort(key)
+    key, node = key[order], node[order]
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+    least = np.minimum.reduceat(node, starts)
+    first = np.repeat(least, np.diff(np.concatenate((starts, [len(key)]))))
+    other = node != first
+    return key[starts], least, first[other], node[other]
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _pieces(at: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """The columns cut by shard: (shard, column, ...) for each shard that has rows."""
+    order = np.argsort(at, kind="stable")
+    cuts = np.flatnonzero(np.diff(at[order])) + 1
+    for rows in np.split(order, cuts):
+        if len(rows):
+            yield int(at[rows[0]]), *(c[rows] for c in columns)
+
+
 def candidate_links(docs: DataFrame, join: Join, bands, plans, common: np.ndarray, shards: int) -> DataFrame:
     """Links (a, b) from every node to the smallest node that shares one of its segment keys.
 
     Nodes are named per band (:func:`tag_mark`), so chains of candidates end where sizes differ too
     much to be linked.
+
+    Keys are combined before they are shuffled: a task holds ``HELD_KEYS`` of them, links the nodes
+    that share one, and sends each key once, with the smallest of its nodes. A group of near copies
+    therefore meets in a shard with one entry per key and flush, not with one per set; its links
+    are dealt by their ends.
     """
+    empty = np.zeros(0, dtype=np.int64).tobytes()
+    columns = ("low", "high", "nodes", "place", "a", "b")
+
+    def combined(keys: list[np.ndarray], nodes: list[tuple[int, int]]) -> pa.RecordBatch:
+        node = np.repeat(np.array([n for n, _ in nodes], np.uint64), [c for _, c in nodes]).view(np.int64)
+        key, node, a, b = _stars(np.concatenate(keys), node)
+        rows = []
+        for shard, k, n in _pieces((key % np.uint64(shards)).astype(np.int64), key // np.uint64(shards), node):
+            table, at = np.unique(n, return_inverse=True)
+            low, high = k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint16)
+            rows.append((shard, low.tobytes(), high.tobytes(), table.tobytes(), at.astype(np.uint16).tobytes(), empty, empty))
+        a, b = _distinct(a, b)
+        ends = (mix(b.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        for shard, x, y in _pieces(ends, a, b):
+            rows.append((shard, empty, empty, empty, empty, x.tobytes(), y.tobytes()))
+        arrays = [pa.array([r[i + 1] for r in rows], pa.binary()) for i in range(len(columns))]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *arrays], ["shard", *columns])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A set is sent once per task, so copies of one text do not pile up under its keys.
         sent_before: set[int] = set()
+        keys, nodes, held = [], [], 0
         for batch in batches:
-            keys, nodes = [], []
             for text in as_bytes(batch.column("text")):
                 tokens = shingle_set(text, join.words)
                 node = set_ids(tokens)[0]
@@ -236,42 +287,33 @@ def candidate_links(docs: DataFrame, join: Join, bands, plans, common: np.ndarra
                 for tag in join.tags(len(tokens), bands):
                     keys.append(segment_keys(tokens, tag, join.differences(bands[tag][1]), plans[tag], common))
                     nodes.append((node ^ tag_mark(tag), len(keys[-1])))
-            if not keys:
-                continue
-            key = np.concatenate(keys)
-            node = np.repeat(np.array([n for n, _ in nodes], np.uint64), [c for _, c in nodes])
-            shard = (key % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            key, node, shard = key[order] // np.uint64(shards), node[order], shard[order]
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            out = []
-            for k, n in zip(np.split(key, cuts), np.split(node, cuts)):
-                table, at = np.unique(n, return_inverse=True)
-                out.append((k.astype(np.uint32).tobytes(), (k >> np.uint64(32)).astype(np.uint16).tobytes(), table.tobytes(), at.astype(np.uint16).tobytes()))
-            columns = [pa.array([o[i] for o in out], pa.binary()) for i in range(4)]
-            at = shard[np.concatenate(([0], cuts))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), *columns], ["shard", "low", "high", "nodes", "place"])
+                    held += len(keys[-1])
+                    if held >= HELD_KEYS or len(nodes) >= HELD_NODES:
+                        yield combined(keys, nodes)
+                        keys, nodes, held = [], [], 0
+        if held:
+            yield combined(keys, nodes)
 
     def met(table: pa.Table) -> pa.Table:
-        keys, nodes = [], []
-        for low, high, names, place in zip(*(table.column(c).to_pylist() for c in ("low", "high", "nodes", "place"))):
+        keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        a, b = [], []
+        for low, high, names, place, x, y in zip(*(table.column(c).to_pylist() for c in columns)):
             key = np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)
             keys.append(key | np.frombuffer(low, np.uint32))
-            nodes.append(np.frombuffer(names, np.uint64)[np.frombuffer(place, np.uint16)])
-        key, node = np.concatenate(keys), np.concatenate(nodes).view(np.int64)
-        order = np.argsort(key)
-        key, node = key[order], node[order]
-        starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
-        first = np.repeat(np.minimum.reduceat(node, starts), np.diff(np.concatenate((starts, [len(key)]))))
-        other = node != first
-        first, node = first[other], node[other]
-        order = np.lexsort((node, first))
-        first, node = first[order], node[order]
-        new = np.ones(len(first), dtype=bool)
-        new[1:] = (first[1:] != first[:-1]) | (node[1:] != node[:-1])
-        return pa.table({"a": first[new], "b": node[new]})
-
-    sent = docs.select("text").mapInArrow(dealt, "shard int, low binary, high binary, nodes binary, place binary")
+            nodes.append(np.frombuffer(names, np.int64)[np.frombuffer(place, np.uint16)])
+            a.append(np.frombuffer(x, np.int64))
+            b.append(np.frombuffer(y, np.int64))
+        key, node = np.concatenate(keys), np.concatenate(nodes)
+        if len(key):
+            *_, first, other = _stars(key, node)
+            a.append(first)
+            b.append(other)
+        first, other = _distinct(np.concatenate(a), np.concatenate(b))
+        return pa.table({"a": first, "b": other})
+
+    sent = docs.select("text").mapInArrow(
+        dealt, "shard int, low binary, high binary, nodes binary, place binary, a binary, b binary"
+    )
     return sent.groupBy("shard").applyInArrow(met, "a long, b long").distinct()
 
 

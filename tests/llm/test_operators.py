@@ -77,8 +77,11 @@ def components_by_force(rows, width, percent):
     return collections.Counter((r.doc_id, len(sets[i]), least.get(root[i]) if sets[i] else r.doc_id) for i, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
-def test_similarity_classes(spark, docs, width, percent):
+@pytest.mark.parametrize("width,percent,held", [(3, 90, None), (5, 80, None), (3, 90, 40)])
+def test_similarity_classes(spark, docs, width, percent, held, monkeypatch):
+    if held:  # many flushes in a task, so groups meet across them
+        monkeypatch.setattr(jaccard, "HELD_KEYS", held)
+        monkeypatch.setattr(jaccard, "SHARD_KEYS", 500)
     near = []
     for i in range(40):
         w = [f"t{(i // 8) * 1000 + k}" for k in range(20 + 15 * (i // 8))]
