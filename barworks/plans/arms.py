@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 from dataclasses import asdict, dataclass, replace
@@ -80,19 +81,24 @@ def variant(base: Arm, name: str, **overrides) -> Arm:
     return replace(base, name=name, **overrides)
 
 
+def ladder_faults(arm: Arm) -> list[str]:
+    """What would mis-size the trades of a ladder, as texts; none for an empty ladder."""
+    fractions = [t.fraction for t in arm.tiers]
+    targets = [t.target_atr for t in arm.tiers]
+    rules = {
+        f"unknown ratchet {arm.ratchet}": arm.ratchet in RATCHETS,
+        "tier fractions must be positive numbers": all(0 < f < math.inf for f in fractions),
+        "tier targets must be finite and ascending": all(map(math.isfinite, targets)) and targets == sorted(set(targets)),
+        "tier fractions must sum to 1": not fractions or abs(sum(fractions) - 1) <= 1e-6,
+    }
+    return [text for text, holds in rules.items() if not holds]
+
+
 def check_ladder(arm: Arm) -> None:
-    """Refuse a ladder that would mis-size trades. Fractions are never renormalised."""
-    if arm.ratchet not in RATCHETS:
-        raise ValueError(f"{arm.name}: unknown ratchet {arm.ratchet}")
-    previous = -math.inf
-    for tier in arm.tiers:
-        if not (math.isfinite(tier.fraction) and tier.fraction > 0):
-            raise ValueError(f"{arm.name}: tier fraction must be a positive number")
-        if not (math.isfinite(tier.target_atr) and tier.target_atr > previous):
-            raise ValueError(f"{arm.name}: tier targets must be finite and ascending")
-        previous = tier.target_atr
-    if arm.tiers and not abs(math.fsum(t.fraction for t in arm.tiers) - 1.0) <= 1e-6:
-        raise ValueError(f"{arm.name}: tier fractions must sum to 1")
+    """Raise on a faulty ladder. Fractions are never renormalised."""
+    faults = ladder_faults(arm)
+    if faults:
+        raise ValueError(f"{arm.name}: {'; '.join(faults)}")
 
 
 def check_arms(arms: list[Arm]) -> list[Arm]:
@@ -108,47 +114,36 @@ def check_arms(arms: list[Arm]) -> list[Arm]:
     return arms
 
 
-def thirds(t3: float) -> tuple[Tier, ...]:
-    return tuple(Tier(1.0 / 3.0, target) for target in (0.75, 1.5, t3))
+# The named arms, each with what sets it apart from the base. Ceilings of the distance to
+# the trend average and ladders of thirds follow as products of the lists below.
+NAMED_ARMS = {
+    "i1_baseline_th2_struct": {
+        "confluence_threshold": 2, "enable_structure": True, "enable_short": True,
+        "trend_ema_period": 0, "stop_atr": 1.5, "target_atr": 3.0,
+    },
+    "i3_pregate_winchamp_stop4.0_tgt0.5": {
+        "enable_short": True, "trend_ema_period": 0, "swing_lookback_bars": 8, "stop_atr": 4.0, "target_atr": 0.5,
+    },
+    "i3_pregate_expchamp_stop3.0_tgt0.75": {"enable_short": True, "trend_ema_period": 0},
+    "final_longOnly_trend200": {},
+}
+CEILINGS = (1.0, 1.5, 2.0, 2.5, 3.0)
+CONTROL, CONTROL_CEILING = "control_singleTarget_0.75", 3.0
+FIRST_TARGETS, LAST_TARGETS = (0.75, 1.5), (2.0, 3.0, 4.0)
+
+
+def thirds(last: float) -> tuple[Tier, ...]:
+    return tuple(Tier(1 / 3, target) for target in (*FIRST_TARGETS, last))
 
 
 def reference_grid(base: Arm = Arm()) -> list[Arm]:
     """The 19 arms: 4 milestones, 5 proximity ceilings, 1 control, 9 ladders."""
-    open_gate = variant(
-        base, "", confluence_threshold=3, enable_structure=False, enable_long=True,
-        enable_short=True, trend_ema_period=0,
-    )
-    promoted = variant(
-        open_gate, "final_longOnly_trend200", enable_short=False, proximity_atr=0.5,
-        swing_lookback_bars=10, stop_atr=3.0, target_atr=0.75, trend_ema_period=200,
-    )
-    arms = [
-        variant(
-            base, "i1_baseline_th2_struct", confluence_threshold=2, enable_structure=True,
-            enable_short=True, trend_ema_period=0, stop_atr=1.5, target_atr=3.0,
-        ),
-        variant(
-            open_gate, "i3_pregate_winchamp_stop4.0_tgt0.5", proximity_atr=0.5,
-            swing_lookback_bars=8, stop_atr=4.0, target_atr=0.5,
-        ),
-        variant(
-            open_gate, "i3_pregate_expchamp_stop3.0_tgt0.75", proximity_atr=0.5,
-            swing_lookback_bars=10, stop_atr=3.0, target_atr=0.75,
-        ),
-        promoted,
-    ]
-    arms += [
-        variant(promoted, f"emaCeil_{k:.1f}atr", trend_ema_max_atr=k)
-        for k in (1.0, 1.5, 2.0, 2.5, 3.0)
-    ]
-    anchor = variant(promoted, "control_singleTarget_0.75", trend_ema_max_atr=3.0)
-    arms.append(anchor)
-    arms += [
-        variant(anchor, f"tier3_t3-{t3:.1f}_{r.lower()}", tiers=thirds(t3), ratchet=r)
-        for t3 in (2.0, 3.0, 4.0)
-        for r in RATCHETS
-    ]
-    return check_arms(arms)
+    table = dict(NAMED_ARMS)
+    table.update({f"emaCeil_{c:.1f}atr": {"trend_ema_max_atr": c} for c in CEILINGS})
+    table[CONTROL] = {"trend_ema_max_atr": CONTROL_CEILING}
+    for last, ratchet in itertools.product(LAST_TARGETS, RATCHETS):
+        table[f"tier3_t3-{last:.1f}_{ratchet.lower()}"] = table[CONTROL] | {"tiers": thirds(last), "ratchet": ratchet}
+    return check_arms([variant(base, name, **overrides) for name, overrides in table.items()])
 
 
 def arms_frame(spark: SparkSession, arms: list[Arm]) -> DataFrame:
