@@ -5,7 +5,8 @@ shards by (language, second and third byte): all that the model needs about the
 such a 4-gram meets in one shard, while the orders 2 and 1 of a language are a few tens of thousand
 numbers at most. Blocks of documents send the distinct 4-grams that they hold to the shards, get
 their log probabilities back and add them up per document. A document is rejected when its
-perplexity lies far beyond the quantiles of the trusted documents of its language.
+perplexity lies beyond a high quantile of trusted documents, which are scored for that by models
+that have not seen them. Texts in a language without a trusted one are judged by a model of all.
 """
 
 from __future__ import annotations
@@ -29,6 +30,11 @@ BLOCK_DOCS = 8000
 TEXT_BYTES = 1 << 20  # of texts scored at a time
 BROADCAST_IDS = 1_000_000  # trusted ids that may be broadcast: 8 MB
 BINS = 10_000  # per unit of bits a byte, for quantiles
+FOLDS = 2  # parts of the trusted texts; a part is scored by a model of the others
+TOP = 0.99  # quantile of trusted documents at which the limit is
+PRIOR = 20  # documents that the coarser quantile counts for
+POOL = zlib.crc32(b"\xff")  # in place of a language: the model of all trusted texts
+WITHOUT = [zlib.crc32(b"\xff" + bytes([i])) for i in range(FOLDS)]  # flips a code to the model without a part
 _LOW24, _LANG = np.uint64(0xFFFFFF), np.uint64(0xFFFFFFFF00000000)
 
 
@@ -57,19 +63,40 @@ def _portions(texts: list[bytes]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def fold_of(text: Column) -> Column:
+    """Part of a trusted text; copies of a text are in one part."""
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(FOLDS)).cast("int")
+
+
+def _high(code: int) -> Column:
+    """A code where a gram has its language."""
+    return F.lit(((code << 32) + 2**63) % 2**64 - 2**63)
+
+
 def count_grams(trusted: DataFrame) -> DataFrame:
-    """(gram, c): occurrences of every 4-gram in texts (lang, text), combined before the shuffle."""
+    """(gram, c): occurrences of every 4-gram in texts (lang, text), combined before the shuffle:
+    per language and in all of them, and both again without each part of the texts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column("text"))
             codes = [language_code(v) for v in batch.column("lang").to_pylist()]
-            for part in _portions(texts):
-                key, count = np.unique(grams(texts[part], codes[part]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], ["gram", "c"])
-
-    rows = trusted.select("lang", "text").mapInArrow(counted, "gram long, c long")
-    return rows.groupBy("gram").agg(F.sum("c").alias("c"))
+            folds = batch.column("fold").to_pylist()
+            for fold in set(folds):
+                some, its = zip(*((t, c) for t, c, f in zip(texts, codes, folds) if f == fold))
+                for part in _portions(list(some)):
+                    key, count = np.unique(grams(some[part], its[part]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([fold] * len(key), pa.int32()), pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], ["fold", "gram", "c"]
+                    )
+
+    rows = trusted.select("lang", "text", fold_of(F.col("text")).alias("fold")).mapInArrow(counted, "fold int, gram long, c long")
+    rows = rows.groupBy("fold", "gram").agg(F.sum("c").alias("c"))
+    of_all = F.col("gram").bitwiseAND(F.lit((1 << 32) - 1)).bitwiseOR(_high(POOL))
+    whole = [F.col("gram"), of_all]
+    rest = [F.when(F.col("fold") != i, g.bitwiseXOR(_high(w))) for i, w in enumerate(WITHOUT) for g in whole]
+    spread = rows.select(F.explode(F.array_compact(F.array(*whole, *rest))).alias("gram"), "c")
+    return spread.groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def _keep_low(gram: Column, size: int) -> Column:
@@ -200,7 +227,8 @@ def _shard(gram: np.ndarray, shards: int) -> np.ndarray:
 
 
 def score(docs: DataFrame, counts: DataFrame, lower: DataFrame, total: int) -> DataFrame:
-    """(doc_id, lang, n_bytes, bits): bits per byte of every document (null without a byte).
+    """(doc_id, lang, n_bytes, bits) of documents (doc_id, lang, text, codes): bits per byte under
+    the model of each of its codes (null without a byte).
 
     Texts are shuffled once, into blocks; both uses of the blocks read the same shuffle. Where
     there are many blocks the shards are repeated, so that a frequent 4-gram is asked for in
@@ -215,10 +243,10 @@ def score(docs: DataFrame, counts: DataFrame, lower: DataFrame, total: int) -> D
         for batch in batches:
             at = np.array(batch.column("block").to_pylist(), dtype=np.int64)
             texts = as_bytes(batch.column("text"))
-            codes = [language_code(v) for v in batch.column("lang").to_pylist()]
+            codes = batch.column("codes").to_pylist()
             for block in np.unique(at).tolist():
                 rows = np.flatnonzero(at == block).tolist()
-                some, its = [texts[i] for i in rows], [codes[i] for i in rows]
+                some, its = [texts[i] for i in rows for _ in codes[i]], [c for i in rows for c in codes[i]]
                 for part in _portions(some):
                     new = np.unique(grams(some[part], its[part]))
                     need[block] = np.union1d(need[block], new) if block in need else new
@@ -258,22 +286,26 @@ def score(docs: DataFrame, counts: DataFrame, lower: DataFrame, total: int) -> D
             value = np.concatenate([np.frombuffer(b, np.float32) for b in answers.column("bits").to_pylist()])
             order = np.argsort(key)
             key, value = key[order], value[order].astype(float)
-        out: list[float | None] = []
+        out: list[list[float | None]] = []
         sizes: list[int] = []
         for chunk in block.to_batches():
             texts = as_bytes(chunk.column("text"))
-            codes = [language_code(v) for v in chunk.column("lang").to_pylist()]
-            for part in _portions(texts):
-                lengths = np.array([len(t) for t in texts[part]])
-                each = value[np.searchsorted(key, grams(texts[part], codes[part]))] if lengths.sum() else np.zeros(0)
+            codes = chunk.column("codes").to_pylist()
+            some, its = [t for t, c in zip(texts, codes) for _ in c], [c for cs in codes for c in cs]
+            bits: list[float | None] = []
+            for part in _portions(some):
+                lengths = np.array([len(t) for t in some[part]])
+                each = value[np.searchsorted(key, grams(some[part], its[part]))] if lengths.sum() else np.zeros(0)
                 sums = np.diff(np.concatenate(([0.0], np.cumsum(each)))[np.concatenate(([0], np.cumsum(lengths)))])
-                out += [float(s / n) if n else None for s, n in zip(sums, lengths)]
-                sizes += lengths.tolist()
-        return pa.table({"doc_id": block.column("doc_id"), "lang": block.column("lang"), "n_bytes": pa.array(sizes, pa.int64()), "bits": pa.array(out, pa.float64())})
+                bits += [float(s / n) if n else None for s, n in zip(sums, lengths)]
+            each_doc = iter(bits)
+            out += [[next(each_doc) for _ in c] for c in codes]
+            sizes += [len(t) for t in texts]
+        return pa.table({"doc_id": block.column("doc_id"), "lang": block.column("lang"), "n_bytes": pa.array(sizes, pa.int64()), "bits": pa.array(out, pa.list_(pa.float64()))})
 
     placed = docs.select(
         F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int").alias("block"),
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text",
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", "codes",
     ).repartition(parts, "block")
     requests = placed.mapInArrow(asked, "shard int, block int, grams binary")
     empty = {n: F.lit(None).cast("binary").alias(n) for n in ("high", "pairs", "p2", "back", "p1")}
@@ -288,7 +320,7 @@ def score(docs: DataFrame, counts: DataFrame, lower: DataFrame, total: int) -> D
     model = of_counts.unionByName(of_lower)
     answers = requests.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answered, "block int, grams binary, bits binary")
     return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        added, "doc_id long, lang string, n_bytes long, bits double"
+        added, "doc_id long, lang string, n_bytes long, bits array<double>"
     )
 
 
@@ -321,31 +353,76 @@ def quantiles(scores: DataFrame, keys: list[str], points: list[float]) -> DataFr
     )
 
 
-def classify(docs: DataFrame, labels: DataFrame, reach: float = 5.0) -> DataFrame:
+def _shrunk(own: str, n: str, coarser: Column) -> Column:
+    """A quantile of n documents, drawn to a coarser one; the coarser one where there are none."""
+    count = F.coalesce(n, F.lit(0))
+    return (count * F.coalesce(own, F.lit(0.0)) + PRIOR * coarser) / (count + PRIOR)
+
+
+def _limited(scores: DataFrame, known: DataFrame, point: float) -> DataFrame:
+    """``scores`` (pooled, series, length and others) with limit_bits, from the held-out ``bits`` of
+    ``known`` (pooled, series, length, bits).
+
+    The limit is the series' median and a distance from there: the quantile of the documents of its
+    series and length, drawn to that of its series with what its length adds in all series, each of
+    which is drawn to that of all.
+    """
+    middle = quantiles(known, ["pooled", "series"], [0.5]).select("pooled", "series", F.col("q0").alias("median"))
+    far = materialize(known.join(F.broadcast(middle), ["pooled", "series"]).withColumn("bits", F.col("bits") - F.col("median")))
+    rows = scores.join(F.broadcast(middle), ["pooled", "series"], "left")
+    for name, keys in (("all", ["pooled"]), ("length", ["pooled", "length"]), ("series", ["pooled", "series"]), ("cell", ["pooled", "series", "length"])):
+        found = quantiles(far, keys, [point]).select(*keys, F.col("q0").alias(f"q_{name}"), F.col("n").alias(f"n_{name}"))
+        rows = rows.join(F.broadcast(found), keys, "left")
+    every = F.col("q_all")
+    of_series = _shrunk("q_series", "n_series", every) + _shrunk("q_length", "n_length", every) - every
+    return rows.withColumn("limit_bits", F.when(F.col("n_bytes") > 0, F.col("median") + _shrunk("q_cell", "n_cell", of_series)))
+
+
+def classify(docs: DataFrame, labels: DataFrame, point: float = TOP) -> DataFrame:
     """(doc_id, lang, n_bytes, bits, perplexity, limit_bits, kept) per document.
 
     ``bits`` is the mean number of bits per byte under the model of the document's language and
-    ``perplexity`` two to that power. ``limit_bits`` is the language's median over trusted
-    documents of like length plus ``reach`` times the distance from there to their 0.95 quantile.
-    A document is kept unless it lies beyond the limit. Null texts count as empty; a document
-    without a byte, and one in a language or length without 20 trusted documents, has no limit and
-    is kept. Null languages are one language. Repeated rows give repeated results; an empty
-    table gives an empty result; other columns are ignored.
+    ``perplexity`` two to that power. ``limit_bits`` is the ``point`` quantile of trusted documents
+    of the language and of like length, each scored by a model without its own part of them;
+    where these are few it is drawn to that of the language and of all documents, see
+    :func:`_limited`. A document in a language without a trusted text is judged by its bits under
+    the model of all trusted texts, against the limit of that model. A document is kept unless it
+    lies beyond the limit. Null texts count as empty; only a document without a byte has no limit
+    and is kept, or all where no trusted text has a byte. Null languages are one language. Repeated
+    rows give repeated results; an empty table gives an empty result; other columns are ignored.
     """
     prepared(docs.sparkSession)
     ids = materialize(trusted_ids(labels))
     counts = materialize(count_grams(with_trusted(docs, ids, ["doc_id", "lang", "text"])))
     lower = materialize(lower_model(counts))
-    scores = materialize(score(docs, counts, lower, docs.count()))
-    scores = scores.withColumn("length", length_class(F.col("n_bytes"))).withColumn("_lang", F.coalesce("lang", F.lit("")))
-    known = with_trusted(scores, ids, ["doc_id", "_lang", "length", "bits"])
-    limits = quantiles(known, ["_lang", "length"], [0.5, 0.95]).where("n >= 20").select(
-        "_lang", "length", (F.col("q0") + reach * (F.col("q1") - F.col("q0"))).alias("limit_bits")
+    own = F.crc32(F.coalesce(F.col("lang").cast("string"), F.lit("")).cast("binary"))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", own.alias("code"))
+    few = ids.count() <= BROADCAST_IDS
+    trusted = ids.withColumn("trusted", F.lit(True))
+    marked = marked.join(F.broadcast(trusted) if few else trusted.hint("merge"), "doc_id", "left")
+    marked = marked.join(F.broadcast(lower.select("code", F.lit(True).alias("modelled"))), "code", "left")
+    without = F.element_at(F.array(*[F.lit(w) for w in WITHOUT]), fold_of(F.col("text")) + 1)
+    pool = F.lit(POOL).cast("long")
+    codes = (
+        F.when(F.col("trusted"), F.array("code", F.col("code").bitwiseXOR(without), pool.bitwiseXOR(without)))
+        .when(F.col("modelled"), F.array("code"))
+        .otherwise(F.array("code", pool))
     )
-    out = scores.join(limits, ["_lang", "length"], "left")
+    scores = materialize(score(marked.select("doc_id", "lang", "text", codes.alias("codes")), counts, lower, docs.count()))
+    models = F.size("bits")  # 1: own, 2: and that of all, 3: own and both without the document
+    scores = scores.withColumns({
+        "length": length_class(F.col("n_bytes")), "pooled": models == 2,
+        "series": F.when(models == 2, "").otherwise(F.coalesce("lang", F.lit(""))),
+    })
+    held = [
+        scores.where(models == 3).select(F.lit(at == 2).alias("pooled"), F.lit("").alias("series") if at == 2 else "series", "length", F.col("bits")[at].alias("bits"))
+        for at in (1, 2)
+    ]
+    out = _limited(scores, materialize(held[0].union(held[1]).where("bits IS NOT NULL")), point)
+    bits, judged = F.col("bits")[0], F.when(F.col("pooled"), F.col("bits")[1]).otherwise(F.col("bits")[0])
     return out.select(
-        "doc_id", "lang", "n_bytes", "bits", F.pow(F.lit(2.0), F.col("bits")).alias("perplexity"), "limit_bits",
-        F.coalesce(F.col("bits") <= F.col("limit_bits"), F.lit(True)).alias("kept"),
+        "doc_id", "lang", "n_bytes", bits.alias("bits"), F.pow(F.lit(2.0), bits).alias("perplexity"), "limit_bits",
+        F.coalesce(judged <= F.col("limit_bits"), F.lit(True)).alias("kept"),
     )
 
 

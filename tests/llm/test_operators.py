@@ -296,3 +296,22 @@ def test_perplexity_by_definition(spark):
         assert got[doc].bits == pytest.approx(want, rel=1e-5)
     assert kneser_ney.classify(table.where("false"), labels).count() == 0
     assert kneser_ney.keep_fluent(table, labels).columns == table.columns
+
+
+def test_every_text_is_judged(spark):
+    prepared(spark)
+    word = ["the", "cat", "sat", "on", "mat", "and", "dog", "log", "saw", "bird"]
+    some = lambda i, n: " ".join(word[(i * 7 + k * k * (i % 3 + 1) + k) % 10] for k in range(n))
+    good = [(i, some(i, 20 + i % 20), "en") for i in range(200)]
+    # Short texts, a length that no trusted text has, and languages that none has.
+    odd = [(1000, "#@~^ %{|}", "en"), (1001, "q#Z~" * 2000, "en"), (1002, "Zq~^#@ %{|}" * 9, "xx"), (1003, "Zq~^#@ %{|}" * 9, None)]
+    fine = [(2000, some(3, 30), "xx"), (2001, some(4, 30), None), (2002, some(5, 30), "en"), (2003, "the cat", "en"), (2004, "", "xx")]
+    table = spark.createDataFrame(good + odd + fine, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in good], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in kneser_ney.classify(table, labels).collect()}
+    assert not any(got[r[0]].kept for r in odd) and all(got[r[0]].kept for r in fine)
+    assert all(r.limit_bits is not None for r in got.values() if r.n_bytes)
+    assert sum(not got[r[0]].kept for r in good) <= 10
+    # Rows alone or with many others: the same verdicts where trusted documents are the same.
+    less = {r.doc_id: r.kept for r in kneser_ney.classify(table.where("doc_id < 200 OR doc_id IN (1001, 2000)"), labels).collect()}
+    assert all(got[i].kept == k for i, k in less.items())
