@@ -131,6 +131,12 @@ class Vocabulary:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def vocabulary_size(path: str) -> int:
+    """One above the largest id of a rank file."""
+    with open(path, "rb") as lines:
+        return 1 + max(int(line.split()[1]) for line in lines if line.strip())
+
+
 class Splitter:
     """All matches of a split pattern. The standard library has no property classes but is faster,
     so texts of characters on which its own classes are the same go through it."""

@@ -57,9 +57,23 @@ def byte_tokens(text: bytes) -> np.ndarray:
     return np.append(np.frombuffer(text, np.uint8).astype(np.uint16), np.uint16(END_OF_TEXT))
 
 
+def id_type(end: int) -> str:
+    """How ids up to ``end`` are written: little-endian unsigned integers of 16 or 32 bits."""
+    return "<u2" if end < 1 << 16 else "<u4"
+
+
+def given_tokens(ids: bytes, end: int) -> np.ndarray:
+    """The ids of a text, which are little-endian unsigned 32-bit integers, and an end-of-text id."""
+    tokens = np.frombuffer(ids, "<u4")
+    if len(tokens) and tokens.max() >= end:
+        raise ValueError(f"id {tokens.max()} is not below the end-of-text id {end}")
+    return np.append(tokens, np.uint32(end))
+
+
 def _starts(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
     """(part, start) for each input partition: number of its first sequence; and their total."""
-    pieces = F.ceil((F.octet_length(F.coalesce("text", F.lit(""))) + 1) / length).cast("long")
+    size = F.octet_length(F.coalesce("ids", F.lit(b""))) / 4 if "ids" in docs.columns else F.octet_length(F.coalesce("text", F.lit("")))
+    pieces = F.ceil((size + 1) / length).cast("long")
     counts = materialize(docs.select(F.spark_partition_id().alias("part"), pieces.alias("n")).groupBy("part").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     # One row per input partition; numbered in thousands, so no window takes all of them.
@@ -70,20 +84,27 @@ def _starts(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
     return counts.withColumn("g", group).withColumn("before", inside).join(tops, "g").select("part", (F.col("before") + F.col("off")).alias("start")), total
 
 
-def write_training_order(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> int:
+def write_training_order(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end: int = END_OF_TEXT) -> int:
     """Write all sequences of ``docs`` to shards under ``path`` and return how many there are.
 
-    A document is its bytes and an end-of-text id, cut into sequences of ``length`` ids; the last is
-    filled up with end-of-text ids. Rows are (slot, doc_id, piece, n_tokens, payload), the payload
-    ``length`` little-endian unsigned 16-bit integers, ordered by slot inside each shard folder.
-    Null and empty texts give one sequence; repeated rows give sequences of their own; an empty
+    Documents are rows (doc_id, ids), with the ids of any tokenizer as little-endian unsigned 32-bit
+    integers below the end-of-text id ``end``, or rows (doc_id, text), where each byte is an id and
+    256 ends a text. A document is its ids and an end-of-text id, cut into sequences of ``length``
+    ids; the last is filled up with end-of-text ids. Rows are (slot, doc_id, piece, n_tokens,
+    payload), the payload ``length`` integers of :func:`id_type`, ordered by slot inside each shard
+    folder. Null and empty texts or ids give one sequence; repeated rows give sequences of their own; an empty
     table writes no shard. The numbers follow the order of the input, so ``docs`` must be a table
     as read, which repeats its order; the written shards are checked to hold every slot once.
     """
     spark = prepared(docs.sparkSession)
+    source = "ids" if "ids" in docs.columns else "text"
+    if source == "text" and end != END_OF_TEXT:
+        raise ValueError("bytes of texts end with the id 256")
+    written = id_type(end)
+    held = written if source == "ids" else "u1"
     starts, total = _starts(docs, length)
     shards = max(1, math.ceil(total / per_shard))
-    parts = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), source)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
@@ -91,15 +112,15 @@ def write_training_order(docs: DataFrame, path: str, length: int = LENGTH, per_s
             ids, at, place, sizes, rows = batch.column("doc_id").to_pylist(), [], [], [], []
             part = batch.column("part").to_pylist()
             names = []
-            for doc, text in zip(ids, as_bytes(batch.column("text"))):
-                tokens = byte_tokens(text)
+            for doc, raw in zip(ids, as_bytes(batch.column(source))):
+                tokens = given_tokens(raw, end) if source == "ids" else byte_tokens(raw)
                 for piece in range(-(-len(tokens) // length)):
                     some = tokens[piece * length : (piece + 1) * length]
                     names.append(doc)
                     place.append(piece)
                     sizes.append(len(some))
-                    # The end-of-text id does not fit a byte: it is where the bytes end.
-                    rows.append(some[some != END_OF_TEXT].astype(np.uint8).tobytes())
+                    # The end-of-text id does not fit a byte: it is where the others end.
+                    rows.append(some[some != end].astype(held).tobytes())
                     at.append(number)
                     number += 1
             yield pa.RecordBatch.from_arrays(
@@ -117,8 +138,9 @@ def write_training_order(docs: DataFrame, path: str, length: int = LENGTH, per_s
         for batch in batches:
             out = []
             for raw in as_bytes(batch.column("bytes")):
-                row = np.full(length, END_OF_TEXT, dtype="<u2")
-                row[: len(raw)] = np.frombuffer(raw, np.uint8)
+                row = np.full(length, end, dtype=written)
+                some = np.frombuffer(raw, held)
+                row[: len(some)] = some
                 out.append(row.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("shard", "slot", "doc_id", "piece", "n_tokens")), pa.array(out, pa.binary())],

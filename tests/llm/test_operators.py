@@ -208,6 +208,21 @@ def test_training_order_round_trip(spark, docs, none, tmp_path):
     assert sequences.write_training_order(none, str(tmp_path / "b")) == 0
 
 
+def test_training_order_of_token_ids(spark, docs, tmp_path):
+    end = bpe.vocabulary_size(VOCABULARY)
+    ids = bpe.encode_texts(docs, VOCABULARY, public_tokenizers.PATTERN, schema="ids binary").where("doc_id <> 2").localCheckpoint()
+    want = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in ids.where("doc_id NOT IN (5)").collect()}
+    for last, width in ((end, 2), (1 << 20, 4)):
+        path = str(tmp_path / f"{last}")
+        total = sequences.write_training_order(ids, path, length=64, per_shard=100, end=last)
+        rows = sequences.read_shards(spark, path).collect()
+        assert sorted(r.slot for r in rows) == list(range(total)) and all(len(r.payload) == 64 * width for r in rows)
+        found = collections.defaultdict(list)
+        for r in sorted(rows, key=lambda r: r.piece):
+            found[r.doc_id] += np.frombuffer(r.payload, sequences.id_type(last))[: r.n_tokens].tolist()
+        assert all(found[i] == [*v, last] for i, v in want.items())
+
+
 def test_top_k_by_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=12).tolist()) for i in range(300)]
