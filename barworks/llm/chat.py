@@ -21,7 +21,6 @@ from barworks.llm.arrow import prepared
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
-WINDOW = 64  # turns; see format_turns
 
 # Control strings of the template below; a backslash escapes them, itself, and colons in roles.
 HEAD, END = "### ", " </turn>\n"
@@ -51,37 +50,31 @@ def read_turn(piece: str) -> Turn:
     return unescape(head[1]), unescape(piece[head.end() : -len(END)])
 
 
-def spans(turns: Iterator[Turn], template: Template, window: int = WINDOW) -> Iterator[tuple[int, str, bool]]:
-    """(start, piece, rewritten) per turn; only the last ``window`` turns are held."""
-    held: deque[Turn] = deque(maxlen=window)
-    last, end = template([]), 0
+def spans(turns: Iterator[Turn], template: Template) -> Iterator[tuple[int, str, bool]]:
+    """(start, piece, rewritten) per turn, from renders of the whole conversation up to it."""
+    held: list[Turn] = []
+    last = template([])
     for turn in turns:
-        if len(held) == window:
-            held.popleft()
-            last = template(list(held))
         held.append(turn)
         now = template(list(held))
         rewritten = not now.startswith(last)
         common = len(last)
         if rewritten:
             common = next((i for i, (a, b) in enumerate(zip(last, now)) if a != b), min(len(last), len(now)))
-        piece = now[common:]
-        yield end - (len(last) - common), piece, rewritten
-        end += len(now) - len(last)
+        yield common, now[common:], rewritten
         last = now
 
 
-def format_turns(conversations: DataFrame, template: Template = marked_template, trained: tuple[str, ...] = ("assistant",), window: int = WINDOW) -> DataFrame:
+def format_turns(conversations: DataFrame, template: Template = marked_template, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(conv_id, pos, role, start, piece, loss, rewritten) per turn.
 
     ``piece`` is what the turn added to the rendered conversation, ``start`` its first character
     there, ``loss`` whether its text is trained on. Rows of a conversation go by turn (null first),
     ties by role and text; null roles and texts are empty; rows with a null conv_id are one
-    conversation; repeated rows are turns of their own. Prefixes are rendered whole up to
-    ``window`` turns and from there on over the last ``window`` turns, so work and memory do not
-    grow with the square of a long conversation; a template that looks further back than that is
-    seen to rewrite only inside the window. Turns stream through a task in order and are never
-    gathered. An empty table gives an empty result; other columns are ignored.
+    conversation; repeated rows are turns of their own. Every prefix is rendered whole, so any
+    template and rewrites of any turn are seen, and work grows with the square of a conversation's
+    length. Turns stream through a task in order, and it holds those of one conversation.
+    An empty table gives an empty result; other columns are ignored.
     """
 
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +88,7 @@ def format_turns(conversations: DataFrame, template: Template = marked_template,
             for conv, role, text in rows:
                 if conv != open_id:
                     open_id, pos = conv, 0
-                    step = spans(iter(feed.popleft, None), template, window)
+                    step = spans(iter(feed.popleft, None), template)
                 feed.append((role, text))
                 start, piece, rewritten = next(step)
                 out.append((conv, pos, role, start, piece, role in trained, rewritten))

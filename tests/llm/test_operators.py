@@ -260,6 +260,19 @@ def test_chat_reads_back(spark):
     assert chat.read_back(chat.format_turns(table.where("false"))).count() == 0
 
 
+def test_long_conversations_are_rendered_whole(spark):
+    rows = [(1, i, "user", f"turn {i}") for i in range(150)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = [(r[2], r[3]) for r in rows]
+    numbered = lambda turns: "".join(f"{i} {t}\n" for i, (_, t) in enumerate(turns))
+    got = sorted(chat.format_turns(table, numbered).collect(), key=lambda r: r.pos)
+    assert "".join(r.piece for r in got) == numbered(turns) and not any(r.rewritten for r in got)
+    assert all(numbered(turns)[r.start :].startswith(r.piece) for r in got)
+    # The last turn changes the first.
+    late = lambda turns: ("new" if len(turns) == 150 else "old") + "".join(t for _, t in turns)
+    assert [r.pos for r in chat.format_turns(table, late).collect() if r.rewritten] == [149]
+
+
 def test_licences(spark, docs, none):
     found = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert found[15].license_id == "MIT" and found[16].line_licenses == "CC-BY-NC-4.0" and found[16].license_id is None
