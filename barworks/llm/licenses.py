@@ -17,14 +17,28 @@ from barworks.llm.arrow import prepared
 from barworks.llm.licence_texts import EQUIVALENT, KNOWN
 
 
+# Words that follow "copyright" in sentences of licences and not in the line that names a holder.
+_SENTENCE = (
+    "notices?|holders?|owners?|licenses?|laws?|statements?|interests?|rights?|infringements?|claims?|protections?|"
+    "disclaimers?|treaty|treaties|act|and|or|the|this|that|these|those|in|on|of|to|for|is|are|was|were|as|under|with|any|all|may|shall|status|information"
+)
+_COPYRIGHT_LINE = (
+    r"^(portions )?(copyright|c)( c)* ([0-9]{4}|yyyy|year)( |$)|^(portions )?copyright( c)+( |$)|"
+    rf"^(portions )?copyright (?!c |c$|({_SENTENCE})( |$))|^all rights reserved$"
+)
+
+
 def canonical_line(line: Column) -> Column:
-    """Words of a line in lower case with single spaces, in one spelling; a copyright line is
-    empty."""
+    """Words of a line in lower case with single spaces, in one spelling; a copyright line,
+    with or without year, is empty."""
     plain = F.regexp_replace(F.lower(line), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F‐-―‘-‟]+", " ")
     plain = F.concat(F.lit(" "), F.trim(plain), F.lit(" "))
     spelled = reduce(lambda c, pair: F.replace(c, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), EQUIVALENT, plain)
     words = F.trim(spelled)
-    return F.when(words.rlike(r"^(copyright|c)( c)? ([0-9]{4}|yyyy|year)( |$)|^all rights reserved$"), F.lit("")).otherwise(words)
+    # The sign alone names a holder as the word does; "(c)" alone also numbers clauses.
+    signed = F.trim(F.regexp_replace(F.replace(words, F.lit("\u00a9"), F.lit(" copyright c ")), " +", " "))
+    signed = F.regexp_replace(signed, "^(portions )?copyright copyright ", "$1copyright ")
+    return F.when(signed.rlike(_COPYRIGHT_LINE), F.lit("")).otherwise(words)
 
 
 def canonical_lines(text: Column) -> Column:

@@ -281,6 +281,21 @@ def test_licences(spark, docs, none):
     assert licenses.scan(whole).first().license_id == "MIT"
 
 
+def test_copyright_lines(spark):
+    heads = [
+        "\u00a9 2020 A", "Copyright \u00a9 2020 A", "\u00a9 A. Person", "Copyright (c) A. Person", "Copyright (C) X Corporation. All rights reserved.",
+        "Portions Copyright 2020 A", "Portions \u00a9 2019 A", "Copyright A. Person", "copyright (c) 2020 A", "(c) 2020 A", "\u00a9",
+    ]
+    kept = ["Copyright notice", "copyright holders", "copyright and permission notice", "c) under patent claims", "Copyright holder", "the copyright 2020"]
+    lines = spark.createDataFrame(list(enumerate(heads + kept)), "doc_id long, text string")
+    got = {r.doc_id: r.c for r in lines.select("doc_id", licenses.canonical_line(F.col("text")).alias("c")).collect()}
+    assert [got[i] == "" for i in range(len(got))] == [True] * len(heads) + [False] * len(kept)
+    whole = spark.createDataFrame([(i, f"{h}\n\n{KNOWN[0][1]}") for i, h in enumerate(heads)], "doc_id long, text string")
+    assert {r.license_id for r in licenses.scan(whole).collect()} == {KNOWN[0][0]}
+    again = spark.createDataFrame([(i, n, b) for i, (n, b) in enumerate(KNOWN)], "doc_id long, name string, text string")
+    assert {r.license_id for r in licenses.scan(again).collect()} <= {n for n, _ in KNOWN} and licenses.scan(again).where("license_id IS NULL").count() == 0
+
+
 def kneser_ney_by_force(texts):
     """Probability function of a model, straight from the definition."""
     counts = [collections.Counter() for _ in range(5)]
