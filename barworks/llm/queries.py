@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barworks.llm import bpe, chat, hilbert, jaccard, kneser_ney, licenses, mixing, quality, sequences, topk
+from barworks.llm import bpe, chat, filter_audit, hilbert, jaccard, kneser_ney, licenses, mixing, quality, sequences, topk
 from barworks.llm.arrow import prepared
 from barworks.llm.licence_texts import EQUIVALENT, KNOWN
 from barworks.session import materialize, shared_dir
@@ -80,6 +80,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "n_bytes", *rounded, "kept")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +94,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scans, op2_exact_top_k, op3_byte_level_bpe, op4_mixing_sources, op5_quality_rules, op6_ngram_jaccard_join,
-        op7_chat_formatting, op8_token_output, op9_sharding, op10_quality_classifier, pipeline,
+        op7_chat_formatting, op8_token_output, op9_sharding, op10_quality_classifier, op11_filter_audit, pipeline,
     )
 }
 
@@ -190,9 +194,44 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE orders AS (
+  SELECT '' AS o UNION ALL
+  SELECT o || c FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) l(c) WHERE length(o) < 5 AND NOT contains(o, c)
+), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), d AS (
+  SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents
+), f AS (
+  SELECT part, concat(
+      CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+      CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 'C' END,
+      CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > first THEN 'E' END) AS fails,
+    count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM d LEFT JOIN marks USING (doc_id) GROUP BY ALL
+), steps AS (
+  SELECT o AS filter_order, s AS step, substr(o, s, 1) AS c, substr(o, 1, s - 1) AS earlier FROM orders, range(1, 6) r(s) WHERE length(o) = 5
+), counted AS (
+  SELECT part, filter_order, step, c,
+    sum(CASE WHEN fails = '' OR NOT regexp_matches(fails, '[' || earlier || c || ']') THEN n ELSE 0 END)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (here), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (contains(fails, c) AND NOT here), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails = c), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (here), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (here), 0)::BIGINT AS toxic_lost
+  FROM (SELECT *, contains(fails, c) AND (earlier = '' OR NOT regexp_matches(fails, '[' || earlier || '-]')) AS here FROM f, steps)
+  GROUP BY part, filter_order, step, c
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley
+FROM counted
+"""
+
 ORACLES = {
     "op1_license_scans": OP1_SQL,
     "op2_exact_top_k": OP2_SQL,
     "op5_quality_rules": OP5_SQL,
     "op7_chat_formatting": OP7_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
