@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barworks.llm import bpe, chat, filter_audit, hilbert, jaccard, kneser_ney, licenses, mixing, quality, sequences, topk
+from barworks.llm import bpe, chat, collocations, filter_audit, hilbert, jaccard, kneser_ney, language_id, licenses, mixing, quality, sequences, topk
 from barworks.llm.arrow import prepared
 from barworks.llm.licence_texts import EQUIVALENT, KNOWN
 from barworks.session import materialize, shared_dir
@@ -84,6 +84,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(_table(spark, sf_dir, "documents"))
+    return found.withColumn("score", F.round("score", 6))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,7 +103,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scans, op2_exact_top_k, op3_byte_level_bpe, op4_mixing_sources, op5_quality_rules, op6_ngram_jaccard_join,
-        op7_chat_formatting, op8_token_output, op9_sharding, op10_quality_classifier, op11_filter_audit, pipeline,
+        op7_chat_formatting, op8_token_output, op9_sharding, op10_quality_classifier, op11_filter_audit,
+        op12_phrase_collocations, op13_language_id, pipeline,
     )
 }
 
@@ -228,10 +238,42 @@ SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_f
 FROM counted
 """
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (
+  SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d)
+), counts AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, range(1, 5) l(m)) GROUP BY ALL
+), often AS (SELECT * FROM counts WHERE f >= 30
+), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE m = 1 GROUP BY lang
+), cuts AS (
+  SELECT lang, m, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM often WHERE m > 1)
+), scores AS (
+  SELECT c.lang, c.m, c.phrase, a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM cuts c JOIN often x ON x.lang = c.lang AND x.phrase = c.head JOIN often y ON y.lang = c.lang AND y.phrase = c.tail
+), weakest AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, a, m, q, unnest(range(1, m - q + 2)) AS i, string_split(phrase, ' ') AS w FROM weakest, range(2, 4) t(q) WHERE q < m
+), outer_most AS (
+  SELECT lang, array_to_string(w[i:i + q - 1], ' ') AS phrase, max(a) AS top FROM longer GROUP BY ALL
+), kept AS (
+  SELECT w.* FROM weakest w LEFT JOIN outer_most o USING (lang, phrase) WHERE top IS NULL OR 100::HUGEINT * top < 80::HUGEINT * w.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+) JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 ORACLES = {
     "op1_license_scans": OP1_SQL,
     "op2_exact_top_k": OP2_SQL,
     "op5_quality_rules": OP5_SQL,
     "op7_chat_formatting": OP7_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op12_phrase_collocations": OP12_SQL,
 }
