@@ -399,7 +399,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """EMA change per bar in ATR."""
-    return I.frame(spark, d).select("epic", "idx", F.expr(trend_slope(30, "atr_14")).alias("slope"))
+    return I.frame(spark, d).select("epic", "idx", F.expr(trend_slope("ema_move_30", "idx", "atr_14")).alias("slope"))
 
 
 @query(

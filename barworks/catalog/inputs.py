@@ -90,6 +90,17 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").alias("atr_value"),
         F.when(key % 7 > 0, F.col("o_totalprice") / 1000 - (key % 100)).alias("dist_to_trend_ema_atr"),
         (key % 24).cast("int").alias("hour_utc"),
+        (key * 29 % 10007 / F.lit(100.07)).alias("rsi_value"),
+        (key * 17 % 4001 / F.lit(1000.0) - 1).alias("dist_to_bb_lower_atr"),
+        (3 - key * 17 % 4001 / F.lit(1000.0)).alias("dist_to_bb_upper_atr"),
+        F.pow(F.lit(10.0), key * 31 % 613 / F.lit(100.0) - 3).alias("dist_to_support_atr"),
+        # One value is that of two thirds of all trades.
+        F.when(key % 3 > 0, 0.25).otherwise(key % 997 / F.lit(8.0)).alias("dist_to_resistance_atr"),
+        ((key % 201 - 100) / F.lit(64.0)).alias("trend_slope_atr"),
+        F.when(key % 11 > 0, key * 7 % 101 / F.lit(101.0)).alias("atr_percentile"),
+        F.when(key % 13 > 0, key % 50 / F.lit(10.0)).otherwise(F.lit(float("nan"))).alias("volume_ratio"),
+        (key % 5 + 1).cast("int").alias("day_of_week"),
+        (key % 4 + 1).cast("int").alias("confluence_score"),
     )
 
 
@@ -370,6 +381,16 @@ SQL_TRADES = """trades AS (
     o_totalprice AS atr_value,
     CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice / 1000 - (o_orderkey % 100) END AS dist_to_trend_ema_atr,
     CAST(o_orderkey % 24 AS BIGINT) AS hour_utc,
+    o_orderkey * 29 % 10007 / 100.07::DOUBLE AS rsi_value,
+    o_orderkey * 17 % 4001 / 1000.0::DOUBLE - 1 AS dist_to_bb_lower_atr,
+    3 - o_orderkey * 17 % 4001 / 1000.0::DOUBLE AS dist_to_bb_upper_atr,
+    pow(10.0::DOUBLE, o_orderkey * 31 % 613 / 100.0::DOUBLE - 3) AS dist_to_support_atr,
+    CASE WHEN o_orderkey % 3 > 0 THEN 0.25::DOUBLE ELSE o_orderkey % 997 / 8.0::DOUBLE END AS dist_to_resistance_atr,
+    (o_orderkey % 201 - 100) / 64.0::DOUBLE AS trend_slope_atr,
+    CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey * 7 % 101 / 101.0::DOUBLE END AS atr_percentile,
+    CASE WHEN o_orderkey % 13 > 0 THEN o_orderkey % 50 / 10.0::DOUBLE END AS volume_ratio,
+    CAST(o_orderkey % 5 + 1 AS BIGINT) AS day_of_week,
+    CAST(o_orderkey % 4 + 1 AS BIGINT) AS confluence_score,
     CAST(year(o_orderdate) AS VARCHAR) || 'Q' || CAST(quarter(o_orderdate) AS VARCHAR) AS q
   FROM orders)"""
 

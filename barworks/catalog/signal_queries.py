@@ -193,23 +193,21 @@ def _(spark, d):
 
 def _stored_bars(spark, d):
     """Bars are read by the signals and by every search, so they are written once."""
-    bars = materialize(I.bars(spark, d))
-    return bars, X.longest_series(bars)
+    return materialize(I.bars(spark, d))
 
 
 def _events(spark, d, arm):
     """(search index, signals with distances): every signal is an event of its own."""
-    bars, longest = _stored_bars(spark, d)
+    bars = _stored_bars(spark, d)
     frame = indicator_frame(bars, needs_of([arm]))
-    return X.touch_index(bars, longest=longest), S.entries(frame, [arm], gate_exit="none")
+    return X.touch_index(bars), S.entries(frame, [arm], gate_exit="none")
 
 
 def _taken(spark, d, arm):
     """(search index, signals that are taken)."""
-    bars, longest = _stored_bars(spark, d)
-    closes = X.touch_index(bars, low="c", high="c", longest=longest)
-    taken = S.entries(indicator_frame(bars, needs_of([arm])), [arm], closes)
-    return X.touch_index(bars, longest=longest), taken
+    bars = _stored_bars(spark, d)
+    index = X.touch_index(bars)
+    return index, S.entries(indicator_frame(bars, needs_of([arm])), [arm], index.on_close())
 
 
 OUTCOME_OUT = f"""SELECT epic, direction, entry_idx, exit_idx, reason AS exit_reason,
@@ -326,9 +324,9 @@ def _(spark, d):
     arms = [GRID[4], GRID[5], GRID[6]]
     for arm in arms:
         check_ladder(arm)
-    bars, longest = _stored_bars(spark, d)
+    bars = _stored_bars(spark, d)
     found = S.entries(indicator_frame(bars, needs_of(arms)), arms, gate_exit="none")
-    done = S.outcomes(found, X.touch_index(bars, longest=longest), arms)
+    done = S.outcomes(found, X.touch_index(bars), arms)
     label = F.element_at(F.array(*[F.lit(a.name) for a in arms]), F.col("arm_id") + 1)
     return done.groupBy(label.alias("label")).agg(
         F.count(F.lit(1)).alias("trades"), F.avg("pnl").alias("avg_pnl")
@@ -386,10 +384,9 @@ def _(spark, d):
 )
 def _(spark, d):
     """First later close beyond stop or target, or the end of the holding limit."""
-    bars, longest = _stored_bars(spark, d)
+    bars = _stored_bars(spark, d)
     events = S.entries(indicator_frame(bars, needs_of([CONTROL])), [CONTROL], gate_exit="none")
-    closes = X.touch_index(bars, low="c", high="c", longest=longest)
-    return X.close_based_exit(events, closes).select("epic", "direction", "signal_idx", "gate_idx")
+    return X.close_based_exit(events, X.touch_index(bars).on_close()).select("epic", "direction", "signal_idx", "gate_idx")
 
 
 @query(

@@ -11,6 +11,7 @@ from barworks.operators import slices, stats
 from barworks.plans import ranking
 from barworks.plans.arms import Arm, config_hash, reference_grid
 from barworks.plans.sweep import sweep_bars
+from barworks.schemas import SLICE_FEATURES
 from barworks.session import materialize
 
 ORDER = ["entry_ts", "trade_id"]
@@ -298,35 +299,26 @@ def _slice_sql(features: list[str], buckets: int) -> str:
 @query("q1_slice", _slice_sql(["atr_value"], 7))
 def _(spark, d):
     """Seven equal-count buckets of one feature, the remainder in an extra bucket."""
-    return slices.slice_feature(
-        I.trades(spark, d), "atr_value", 7, tie="trade_id", tie_chunk=F.floor(F.col("trade_id") / 100_000)
-    )
+    return slices.slice_feature(I.trades(spark, d), "atr_value", 7, tie="trade_id")
 
 
 @query("q2_slice_with_gaps", _slice_sql(["dist_to_trend_ema_atr"], 4))
 def _(spark, d):
     """A feature that is null for every seventh trade; baseline and drag over the rest."""
-    return slices.slice_feature(
-        I.trades(spark, d), "dist_to_trend_ema_atr", 4, tie="trade_id",
-        tie_chunk=F.floor(F.col("trade_id") / 100_000),
-    )
+    return slices.slice_feature(I.trades(spark, d), "dist_to_trend_ema_atr", 4, tie="trade_id")
 
 
-@query("q3_slice_all", _slice_sql(["atr_value", "dist_to_trend_ema_atr", "hour_utc", "r_multiple"], 5))
+@query("q3_slice_all", _slice_sql(list(SLICE_FEATURES), 5))
 def _(spark, d):
-    """Four features in one job, one of them with few distinct values."""
-    return slices.slice_all(
-        I.trades(spark, d), ["atr_value", "dist_to_trend_ema_atr", "hour_utc", "r_multiple"], 5,
-        tie="trade_id", tie_chunk=F.floor(F.col("trade_id") / 1_000),
-    )
+    """Every stored feature in one job: dense and few values, one dominant value, gaps and NaN."""
+    return slices.slice_all(I.trades(spark, d), buckets=5, tie="trade_id")
 
 
 @query("q4_confidence", _slice_sql(["hour_utc"], 10))
 def _(spark, d):
-    """Confidence weights of the buckets of a feature with 24 values."""
-    return slices.slice_feature(
-        I.trades(spark, d), "hour_utc", 10, tie="trade_id", tie_chunk=F.floor(F.col("trade_id") / 1_000)
-    )
+    """Confidence weights of the buckets of a feature with 24 values, ties ordered by a text."""
+    trades = I.trades(spark, d).withColumn("tie", F.format_string("trade-%012d", F.col("trade_id")))
+    return slices.slice_feature(trades, "hour_utc", 10, tie="tie")
 
 
 # ---- Experiments ---------------------------------------------------------------------------

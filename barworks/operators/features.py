@@ -2,41 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from barworks.functions.guards import sql_ratio
 from barworks.functions.instants import iso_instant
-from barworks.operators.indicators import band_name, trend_slope, volume_ratio
+from barworks.operators.indicators import trend_slope
 from barworks.plans.arms import Arm
 
+# What the features of an arm are made of: places in the array of a bar's values.
+FEATURE_TERMS = (
+    "f_rsi", "f_mid", "f_dev", "f_lowest", "f_highest", "f_trend", "f_move", "f_atr", "f_rank", "f_volume_sma", "f_c", "f_volume", "f_idx",
+)
+
 
-def feature_struct(arm: Arm, score: str) -> str:
+def feature_row(arm: Arm, at: Callable[[str], int]) -> dict:
+    """The places of an arm's feature terms and its band multiplier; no trend EMA gives a null place."""
+    swing = max(1, arm.swing_lookback_bars)
+    slope = arm.trend_ema_period if arm.trend_ema_period > 0 else arm.ema_period
+    return {
+        "f_rsi": at(f"rsi_{arm.rsi_period}"),
+        "f_mid": at(f"bb_mid_{arm.bb_period}"),
+        "f_dev": at(f"bb_dev_{arm.bb_period}"),
+        "f_lowest": at(f"lowest_{swing}"),
+        "f_highest": at(f"highest_{swing}"),
+        "f_trend": at(f"ema_{arm.trend_ema_period}") if arm.trend_ema_period > 0 else None,
+        "f_move": at(f"ema_move_{slope}"),
+        "f_atr": at(f"atr_{arm.atr_period}"),
+        "f_rank": at(f"atr_rank_{arm.atr_period}"),
+        "f_volume_sma": at(f"volume_sma_{arm.volume_sma_period}"),
+        "f_c": at("c"),
+        "f_volume": at("volume"),
+        "f_idx": at("idx"),
+        "band_factor": float(arm.bb_multiplier),
+    }
+
+
+def feature_sql(values: str, score: str, entry_ts: str) -> str:
     """SQL struct with the feature vector of the signal bar; distances are in ATR.
 
-    Everything is a column of the signal bar's own row, so nothing later can leak in. Hour and
-    weekday are those of the entry bar's end.
+    Everything comes from the array of the signal bar's own values, so nothing later can leak in.
+    Hour and weekday are those of the entry bar's end.
     """
-    atr = f"atr_{arm.atr_period}"
-    swing = max(1, arm.swing_lookback_bars)
-    trend = arm.trend_ema_period
-    lower = band_name("lower", arm.bb_period, arm.bb_multiplier)
-    upper = band_name("upper", arm.bb_period, arm.bb_multiplier)
+    term = {name: f"get({values}, {name})" for name in FEATURE_TERMS}
+    atr, c = term["f_atr"], term["f_c"]
+    band = f"{term['f_dev']} * band_factor"
     fields = {
-        "rsi_value": f"rsi_{arm.rsi_period}",
-        "dist_to_bb_lower_atr": sql_ratio(f"c - {lower}", atr),
-        "dist_to_bb_upper_atr": sql_ratio(f"{upper} - c", atr),
-        "dist_to_support_atr": sql_ratio(f"c - lowest_{swing}", atr),
-        "dist_to_resistance_atr": sql_ratio(f"highest_{swing} - c", atr),
-        "dist_to_trend_ema_atr": (
-            sql_ratio(f"c - ema_{trend}", atr) if trend > 0 else "CAST(NULL AS DOUBLE)"
-        ),
-        "trend_slope_atr": trend_slope(trend if trend > 0 else arm.ema_period, atr),
+        "rsi_value": term["f_rsi"],
+        "dist_to_bb_lower_atr": sql_ratio(f"{c} - ({term['f_mid']} - {band})", atr),
+        "dist_to_bb_upper_atr": sql_ratio(f"({term['f_mid']} + {band}) - {c}", atr),
+        "dist_to_support_atr": sql_ratio(f"{c} - {term['f_lowest']}", atr),
+        "dist_to_resistance_atr": sql_ratio(f"{term['f_highest']} - {c}", atr),
+        "dist_to_trend_ema_atr": f"CASE WHEN f_trend IS NOT NULL THEN {sql_ratio(f'{c} - ' + term['f_trend'], atr)} END",
+        "trend_slope_atr": trend_slope(term["f_move"], term["f_idx"], atr),
         "atr_value": atr,
-        "atr_percentile": f"atr_rank_{arm.atr_period}",
-        "volume_ratio": volume_ratio(arm.volume_sma_period),
-        "hour_utc": "hour(next_end_ts)",
-        "day_of_week": "weekday(next_end_ts) + 1",
+        "atr_percentile": term["f_rank"],
+        "volume_ratio": sql_ratio(term["f_volume"], term["f_volume_sma"]),
+        "hour_utc": f"hour({entry_ts})",
+        "day_of_week": f"weekday({entry_ts}) + 1",
         "confluence_score": score,
     }
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"

@@ -35,6 +35,7 @@ class Needs:
     rsi_sma: frozenset[tuple[int, int]] = frozenset()
     atr: frozenset[int] = frozenset()
     bands: frozenset[tuple[int, float]] = frozenset()
+    deviations: frozenset[int] = frozenset()  # mean and deviation without band columns
     swing: frozenset[int] = frozenset()
     volume: frozenset[int] = frozenset()
     sma: frozenset[int] = frozenset()
@@ -42,10 +43,14 @@ class Needs:
     context: bool = True  # regime, rank, slope and the next bar's values
     band_ddof: int = field(default=0)
 
+    @property
+    def band_periods(self) -> list[int]:
+        return sorted({n for n, _ in self.bands} | self.deviations)
+
     @property
     def lookback(self) -> int:
         frames = [2, TREND_BARS + 1]
-        frames += [n for n, _ in self.bands] + list(self.volume) + list(self.sma)
+        frames += [*self.band_periods, *self.volume, *self.sma]
         frames += [n + 1 for n in self.swing]
         frames += [s for _, s in self.rsi_sma]
         if self.context:
@@ -53,7 +58,9 @@ class Needs:
         return max(frames)
 
 
-def needs_of(arms) -> Needs:
+def needs_of(arms, bands: bool = True) -> Needs:
+    """What a set of arms asks for. Without ``bands`` their multipliers get no columns, as signals
+    use the mean and the deviation alone."""
     arms = list(arms)
     return Needs(
         ema=frozenset(
@@ -62,7 +69,8 @@ def needs_of(arms) -> Needs:
         rsi=frozenset(a.rsi_period for a in arms),
         rsi_sma=frozenset((a.rsi_period, a.rsi_smooth_period) for a in arms),
         atr=frozenset(a.atr_period for a in arms),
-        bands=frozenset((a.bb_period, a.bb_multiplier) for a in arms),
+        bands=frozenset((a.bb_period, a.bb_multiplier) for a in arms if bands),
+        deviations=frozenset(a.bb_period for a in arms),
         swing=frozenset(max(1, a.swing_lookback_bars) for a in arms),
         volume=frozenset(a.volume_sma_period for a in arms),
     )
@@ -137,10 +145,10 @@ def indicator_frame(
     frames: dict[str, Column] = {}
     for n in sorted(needs.sma):
         frames[f"sma_{n}"] = F.avg("c").over(parts.last(n))
-    for n in sorted({n for n, _ in needs.bands}):
+    for n in needs.band_periods:
         frames[f"bb_mid_{n}"] = F.avg("c").over(parts.last(n))
         deviation = F.stddev_samp if needs.band_ddof else F.stddev_pop
-        frames[f"_dev_{n}"] = F.coalesce(deviation("c").over(parts.last(n)), F.lit(0.0))
+        frames[f"bb_dev_{n}"] = F.coalesce(deviation("c").over(parts.last(n)), F.lit(0.0))
     for n in sorted(needs.swing):
         frames[f"lowest_{n}"] = F.min("c").over(parts.last(n))
         frames[f"highest_{n}"] = F.max("c").over(parts.last(n))
@@ -166,8 +174,8 @@ def indicator_frame(
 
     late: dict[str, Column] = {}
     for n, k in sorted(needs.bands):
-        late[band_name("lower", n, k)] = F.col(f"bb_mid_{n}") - F.col(f"_dev_{n}") * k
-        late[band_name("upper", n, k)] = F.col(f"bb_mid_{n}") + F.col(f"_dev_{n}") * k
+        late[band_name("lower", n, k)] = F.col(f"bb_mid_{n}") - F.col(f"bb_dev_{n}") * k
+        late[band_name("upper", n, k)] = F.col(f"bb_mid_{n}") + F.col(f"bb_dev_{n}") * k
     for n, s in sorted(needs.rsi_sma):
         late[f"rsi_sma_{n}_{s}"] = F.avg(f"rsi_{n}").over(parts.last(s))
     if needs.context:
@@ -181,14 +189,14 @@ def indicator_frame(
     return out.drop(
         "_gain",
         "_loss",
-        *[f"_dev_{n}" for n, _ in needs.bands],
+        *[f"bb_dev_{n}" for n in needs.band_periods if n not in needs.deviations],
         *[f"{side}_{n}" for n in needs.rsi for side in ("gain", "loss")],
     )
 
 
-def trend_slope(ema_period: int, atr: str) -> str:
+def trend_slope(move: str, idx: str, atr: str) -> str:
     """SQL: EMA change per bar over the last 10 bars, in ATR; the span is shorter at the start."""
-    return sql_ratio(f"ema_move_{ema_period}", f"(greatest(1L, least({SLOPE_BARS}L, idx)) * {atr})")
+    return sql_ratio(move, f"(greatest(1L, least({SLOPE_BARS}L, {idx})) * {atr})")
 
 
 def volume_ratio(sma_period: int) -> str:

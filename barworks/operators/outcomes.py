@@ -9,7 +9,7 @@ horizon and no pair explosion.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +25,9 @@ FOLD_LIMIT = 4096
 class TouchIndex:
     """Packed bars: blocks of bars, groups of blocks, the top row per series, and its last bar.
 
-    ``top`` is absent where no series is longer than one group.
+    Blocks and groups are stored, so all searches read the same rows and Catalyst knows how large
+    they are. ``top`` is absent where no series is longer than one group. A search compares the
+    ``leaf`` legs of bars and the ``node`` extremes of blocks and groups.
     """
 
     keys: tuple[str, ...]
@@ -33,11 +35,12 @@ class TouchIndex:
     groups: DataFrame
     top: DataFrame | None
     ends: DataFrame
+    leaf: tuple[str, str] = ("lo", "hi")
+    node: tuple[str, str] = ("lo", "hi")
 
-
-def longest_series(bars: DataFrame) -> int:
-    """Highest bar index of any series; one pass over a single column of stored bars."""
-    return bars.agg(F.max("idx")).first()[0] or 0
+    def on_close(self) -> "TouchIndex":
+        """The same bars, searched by their close alone."""
+        return replace(self, leaf=("close", "close"), node=("close_lo", "close_hi"))
 
 
 def touch_index(
@@ -46,9 +49,8 @@ def touch_index(
     low: str = "l",
     high: str = "h",
     close: str = "c",
-    longest: int | None = None,
 ) -> TouchIndex:
-    """Pack indexed bars for searches. ``longest`` is the highest index when the caller knows it."""
+    """Pack indexed bars for searches."""
     named = bars.select(
         *keys,
         "idx",
@@ -56,32 +58,35 @@ def touch_index(
         F.col(high).cast("double").alias("hi"),
         F.col(close).cast("double").alias("close"),
         F.col("end_ts").alias("ts"),
-        F.expr(f"idx div {BLOCK}").alias("_blk"),
-        F.expr(f"idx div {BLOCK * BLOCK}").alias("_grp"),
     )
-    extremes = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
-    blocks = named.groupBy(*keys, F.col("_blk").alias("_part")).agg(
+    blocks = named.groupBy(*keys, F.expr(f"idx div {BLOCK}").alias("_part")).agg(
         F.expr("sort_array(collect_list(struct(idx AS at, lo, hi, close, ts)))").alias("_items")
     )
-    groups = (
-        named.groupBy(*keys, "_grp", "_blk")
-        .agg(*extremes)
-        .groupBy(*keys, F.col("_grp").alias("_part"))
-        .agg(F.expr("sort_array(collect_list(struct(_blk AS at, lo, hi)))").alias("_items"))
+    blocks = materialize(blocks)
+    spans = blocks.selectExpr(
+        *keys, "_part AS at", "array_min(_items.lo) AS lo", "array_max(_items.hi) AS hi",
+        "array_min(_items.close) AS close_lo", "array_max(_items.close) AS close_hi",
     )
+    groups = materialize(_packed(spans, keys, F.expr(f"at div {BLOCK}")))
     top = None
-    if longest is None or longest >= BLOCK * BLOCK:
-        top = (
-            named.groupBy(*keys, "_grp")
-            .agg(*extremes)
-            .groupBy(*keys)
-            .agg(F.expr("sort_array(collect_list(struct(_grp AS at, lo, hi)))").alias("_items"))
-            .withColumn("_part", F.expr(f"explode(sequence(0L, {SALTS - 1}L))"))
+    if (groups.agg(F.max("_part")).first()[0] or 0) > 0:
+        spans = groups.selectExpr(
+            *keys, "_part AS at", "array_min(_items.lo) AS lo", "array_max(_items.hi) AS hi",
+            "array_min(_items.close_lo) AS close_lo", "array_max(_items.close_hi) AS close_hi",
         )
-    ends = named.groupBy(*keys).agg(F.expr("struct(max(idx) AS idx, max_by(close, idx) AS close, max_by(ts, idx) AS ts)").alias("_end"))
+        top = _packed(spans, keys).withColumn("_part", F.expr(f"explode(sequence(0L, {SALTS - 1}L))"))
+    last = F.max_by(F.element_at("_items", -1), "_part")
+    ends = blocks.groupBy(*keys).agg(last.alias("_bar")).selectExpr(
+        *keys, "struct(_bar.at AS idx, _bar.close AS close, _bar.ts AS ts) AS _end"
+    )
     return TouchIndex(keys, blocks, groups, top, ends)
 
 
+def _packed(spans: DataFrame, keys: tuple[str, ...], part: Column | None = None) -> DataFrame:
+    items = F.expr("sort_array(collect_list(struct(at, lo, hi, close_lo, close_hi)))").alias("_items")
+    return spans.groupBy(*keys, *([] if part is None else [part.alias("_part")])).agg(items)
+
+
 def _lookup(
     events: DataFrame, packed: DataFrame, keys: tuple[str, ...], want: str, found: dict[str, str]
 ) -> DataFrame:
@@ -96,10 +101,10 @@ def _lookup(
     return joined.selectExpr(*kept, *[f"{sql} AS {name}" for name, sql in found.items()])
 
 
-def _first(after: str | None = None) -> str:
+def _first(legs: tuple[str, str], after: str | None = None) -> str:
     """SQL: the first packed item past ``after`` that reaches the low or the high level."""
     later = f"x.at > {after} AND " if after else ""
-    touch = "(x.lo <= _lo_level OR x.hi >= _hi_level)"
+    touch = f"(x.{legs[0]} <= _lo_level OR x.{legs[1]} >= _hi_level)"
     return f"try_element_at(filter(_items, x -> {later}{touch}), 1)"
 
 
@@ -115,21 +120,21 @@ def first_touch(events: DataFrame, index: TouchIndex, start: str, lo_level: str,
     work = events.selectExpr("*", f"CAST({start} AS BIGINT) AS _from", *levels)
     blk, grp = f"_from div {BLOCK}", f"_from div {BLOCK * BLOCK}"
     # Up: the event's own block, the later blocks of its group, the later groups of the series.
-    work = _lookup(work, index.blocks, keys, blk, {"touch": _first("_from")})
+    work = _lookup(work, index.blocks, keys, blk, {"touch": _first(index.leaf, "_from")})
     work = _lookup(
-        work, index.groups, keys, f"CASE WHEN touch IS NULL THEN {grp} END", {"_hit_blk": _first(blk) + ".at"}
+        work, index.groups, keys, f"CASE WHEN touch IS NULL THEN {grp} END", {"_hit_blk": _first(index.node, blk) + ".at"}
     )
     if index.top is not None:
         # One row per series: it is repeated per salt, so a series with many events is spread.
         salt = f"pmod(xxhash64(_from), {SALTS})"
         wanted = f"CASE WHEN touch IS NULL AND _hit_blk IS NULL AND _from IS NOT NULL THEN {salt} END"
-        work = _lookup(work, index.top, keys, wanted, {"_hit_grp": _first(grp) + ".at"})
+        work = _lookup(work, index.top, keys, wanted, {"_hit_grp": _first(index.node, grp) + ".at"})
         # Down: the group, then the block.
         work = _lookup(
-            work, index.groups, keys, "_hit_grp", {"_hit_blk": f"coalesce(_hit_blk, {_first()}.at)"}
+            work, index.groups, keys, "_hit_grp", {"_hit_blk": f"coalesce(_hit_blk, {_first(index.node)}.at)"}
         )
         work = work.drop("_hit_grp")
-    work = _lookup(work, index.blocks, keys, "_hit_blk", {"touch": f"coalesce(touch, {_first()})"})
+    work = _lookup(work, index.blocks, keys, "_hit_blk", {"touch": f"coalesce(touch, {_first(index.leaf)})"})
     return work.drop("_from", "_lo_level", "_hi_level", "_hit_blk")
 
 
@@ -277,8 +282,8 @@ def close_based_exit(events: DataFrame, close_index: TouchIndex, moving: bool =
     """Add ``gate_idx``: the first later bar whose close is beyond the stop or target, or the end
     of the holding limit, whichever is first. Null while the position never closes.
 
-    ``close_index`` is a touch index built on the close alone (``low=high="c"``). With ``moving`` it
-    holds series that already contain the distances and are compared with the entry price.
+    ``close_index`` is a touch index searched by the close alone (:meth:`TouchIndex.on_close`). With
+    ``moving`` it holds series that already contain the distances and are compared with the entry price.
     """
     sign = "CASE WHEN direction = 'LONG' THEN 1D ELSE -1D END"
     work = _with(

@@ -7,11 +7,12 @@ import json
 import math
 from dataclasses import asdict, dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 RATCHETS = ("NONE", "BREAKEVEN_AFTER_T1", "LAGGED")
-MAX_ARMS = 10_000  # an arm is a literal in the plan; a larger grid is run in several jobs
 
 
 @dataclass(frozen=True)
@@ -104,8 +105,6 @@ def check_ladder(arm: Arm) -> None:
 def check_arms(arms: list[Arm]) -> list[Arm]:
     if not arms:
         raise ValueError("no arms given")
-    if len(arms) > MAX_ARMS:
-        raise ValueError(f"at most {MAX_ARMS} arms per job")
     names = [a.name for a in arms]
     if len(set(names)) != len(names):
         raise ValueError("arm names must be unique")
@@ -114,18 +113,27 @@ def check_arms(arms: list[Arm]) -> list[Arm]:
     return arms
 
 
-# The named arms, each with what sets it apart from the base. Ceilings of the distance to
-# the trend average and ladders of thirds follow as products of the lists below.
+# The named arms, each with every value it pins over whatever base is given. Ceilings of
+# the distance to the trend average and ladders of thirds follow as products of the lists below.
+PREGATE = {
+    "confluence_threshold": 3, "enable_structure": False, "enable_long": True, "enable_short": True, "trend_ema_period": 0,
+}
+PROMOTED = PREGATE | {
+    "enable_short": False, "proximity_atr": 0.5, "swing_lookback_bars": 10, "stop_atr": 3.0, "target_atr": 0.75,
+    "trend_ema_period": 200,
+}
 NAMED_ARMS = {
     "i1_baseline_th2_struct": {
         "confluence_threshold": 2, "enable_structure": True, "enable_short": True,
         "trend_ema_period": 0, "stop_atr": 1.5, "target_atr": 3.0,
     },
-    "i3_pregate_winchamp_stop4.0_tgt0.5": {
-        "enable_short": True, "trend_ema_period": 0, "swing_lookback_bars": 8, "stop_atr": 4.0, "target_atr": 0.5,
+    "i3_pregate_winchamp_stop4.0_tgt0.5": PREGATE | {
+        "proximity_atr": 0.5, "swing_lookback_bars": 8, "stop_atr": 4.0, "target_atr": 0.5,
     },
-    "i3_pregate_expchamp_stop3.0_tgt0.75": {"enable_short": True, "trend_ema_period": 0},
-    "final_longOnly_trend200": {},
+    "i3_pregate_expchamp_stop3.0_tgt0.75": PREGATE | {
+        "proximity_atr": 0.5, "swing_lookback_bars": 10, "stop_atr": 3.0, "target_atr": 0.75,
+    },
+    "final_longOnly_trend200": PROMOTED,
 }
 CEILINGS = (1.0, 1.5, 2.0, 2.5, 3.0)
 CONTROL, CONTROL_CEILING = "control_singleTarget_0.75", 3.0
@@ -139,31 +147,43 @@ def thirds(last: float) -> tuple[Tier, ...]:
 def reference_grid(base: Arm = Arm()) -> list[Arm]:
     """The 19 arms: 4 milestones, 5 proximity ceilings, 1 control, 9 ladders."""
     table = dict(NAMED_ARMS)
-    table.update({f"emaCeil_{c:.1f}atr": {"trend_ema_max_atr": c} for c in CEILINGS})
-    table[CONTROL] = {"trend_ema_max_atr": CONTROL_CEILING}
+    table.update({f"emaCeil_{c:.1f}atr": PROMOTED | {"trend_ema_max_atr": c} for c in CEILINGS})
+    table[CONTROL] = PROMOTED | {"trend_ema_max_atr": CONTROL_CEILING}
     for last, ratchet in itertools.product(LAST_TARGETS, RATCHETS):
         table[f"tier3_t3-{last:.1f}_{ratchet.lower()}"] = table[CONTROL] | {"tiers": thirds(last), "ratchet": ratchet}
     return check_arms([variant(base, name, **overrides) for name, overrides in table.items()])
 
 
+def table_of(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """Rows of the driver as a local relation, so that the optimizer knows their size."""
+    empty = spark.createDataFrame([], schema)
+    return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(empty.schema)))
+
+
 def arms_frame(spark: SparkSession, arms: list[Arm]) -> DataFrame:
     """One row per arm, for joins, hashes and the experiment table."""
     rows = [
-        (
-            i,
-            a.name,
-            a.config_json,
-            a.entry_config,
-            [(t.fraction, t.target_atr) for t in a.exit_ladder],
-            a.ratchet,
-        )
+        {
+            "arm_id": i,
+            "label": a.name,
+            "config_json": a.config_json,
+            "entry_config": a.entry_config,
+            "ladder": [{"fraction": t.fraction, "target_atr": t.target_atr} for t in a.exit_ladder],
+            "ratchet": a.ratchet,
+        }
         for i, a in enumerate(check_arms(arms))
     ]
     schema = (
         "arm_id int, label string, config_json string, entry_config string, "
         "ladder array<struct<fraction: double, target_atr: double>>, ratchet string"
     )
-    return spark.createDataFrame(rows, schema)
+    return table_of(spark, rows, schema)
+
+
+def first_of_config(arms: list[Arm]) -> list[int]:
+    """For every arm the first one with the same entries."""
+    first: dict[str, int] = {}
+    return [first.setdefault(arm.entry_config, i) for i, arm in enumerate(arms)]
 
 
 def config_hash(

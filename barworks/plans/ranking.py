@@ -109,19 +109,20 @@ def promotion_gate(metrics: DataFrame, control: str) -> DataFrame:
     not exceed its drawdown out of sample, have at least 30 trades there, and be net positive in
     at least 3 in-sample quarters. No arm passing is a valid result.
     """
-    oos = metrics.where(F.col("window") == "OOS")
-    base = oos.where(F.col("label") == control).select(
-        F.col("net_avg_pnl").alias("_net"), F.col("max_drawdown").alias("_dd")
+    # The table holds one row per arm and window, so windows over it are bounded by the grid size.
+    everyone = Window.partitionBy("window")
+    own = F.col("label") == control
+    oos = metrics.where(F.col("window") == "OOS").withColumns(
+        {
+            "_net": F.max(F.when(own, F.col("net_avg_pnl"))).over(everyone),
+            "_dd": F.max(F.when(own, F.col("max_drawdown"))).over(everyone),
+        }
     )
     steady = metrics.where(
         (F.col("window") == "IS") & (F.col("positive_quarters") >= MIN_POSITIVE_QUARTERS)
     ).select("label")
-    # The control is one row of a table with one row per arm; it is attached by a constant key.
-    one = F.lit(1).alias("_one")
     passed = (
-        oos.withColumn("_one", F.lit(1))
-        .join(base.select("*", one), "_one")
-        .where(
+        oos.where(
             (F.col("label") != control)
             & (F.col("net_avg_pnl") > F.col("_net"))
             & (F.col("max_drawdown") <= F.col("_dd"))
@@ -130,11 +131,8 @@ def promotion_gate(metrics: DataFrame, control: str) -> DataFrame:
         .join(steady, "label", "left_semi")
         .withColumn("ratio", return_over_drawdown(F.col("total_net"), F.col("max_drawdown")))
     )
-    # The table holds one row per arm, so ranking it in one task is bounded by the grid size.
     # A missing drawdown (NaN ratio) has no useful rank and comes last.
-    order = Window.partitionBy("_one").orderBy(
-        F.isnan("ratio"), F.desc("ratio"), "label"
-    )
+    order = everyone.orderBy(F.isnan("ratio"), F.desc("ratio"), "label")
     return passed.withColumn("place", F.row_number().over(order)).select(
         "label", "trades", "net_avg_pnl", "max_drawdown", "total_net", "ratio", "place"
     )

@@ -15,7 +15,6 @@ from barworks.operators.outcomes import (
     close_based_exit,
     TouchIndex,
     ladder_outcomes,
-    longest_series,
     pnl_columns,
     select_non_overlapping,
     touch_index,
@@ -23,7 +22,7 @@ from barworks.operators.outcomes import (
 from barworks.operators.segments import SEGMENT
 from barworks.operators.stats import run_metrics
 from barworks.operators.votes import Vote, signals
-from barworks.plans.arms import Arm, arms_frame, check_arms
+from barworks.plans.arms import Arm, arms_frame, check_arms, first_of_config, table_of
 from barworks.session import materialize
 
 
@@ -63,7 +62,7 @@ def entries(
         exits = _moving_exit(found, frame, arms)
     else:
         if closes is None:
-            closes = touch_index(frame, low="c", high="c")
+            closes = touch_index(frame).on_close()
         exits = close_based_exit(found, closes)
     gated = materialize(exits.withColumn("_free", F.col("gate_idx") + 1))
     taken = select_non_overlapping(gated, ["epic", "entry_id", "direction"], "signal_idx", "_free")
@@ -84,46 +83,49 @@ def _moving_exit(found: DataFrame, frame: DataFrame, arms: list[Arm]) -> DataFra
             for multiples in ((a.stop_atr, a.target_atr), (a.target_atr, a.stop_atr))
         }
     )
-    series = ", ".join(
-        f"named_struct('_gate', '{n}|{up}|{down}', 'lo', c + {up}D * atr_{n}, 'hi', c - {down}D * atr_{n})"
-        for n, up, down in pairs
+    periods = sorted({n for n, *_ in pairs})
+    atrs = "array(" + ", ".join(f"struct({n} AS atr_period, atr_{n} AS atr)" for n in periods) + ")"
+    spans = table_of(
+        frame.sparkSession,
+        [{"atr_period": n, "up": up, "down": down, "_gate": i} for i, (n, up, down) in enumerate(pairs)],
+        "atr_period int, up double, down double, _gate int",
     )
-    moving = frame.selectExpr("epic", "idx", "end_ts", "c", f"inline(array({series}))")
-    gate_of = {f"{a.atr_period}|{a.stop_atr}|{a.target_atr}": a for a in arms}
-    sides = " ".join(
-        f"WHEN stop_atr = {a.stop_atr}D AND target_atr = {a.target_atr}D AND atr_period = {a.atr_period} "
-        f"THEN CASE WHEN direction = 'LONG' THEN '{key}' ELSE '{a.atr_period}|{a.target_atr}|{a.stop_atr}' END"
-        for key, a in gate_of.items()
+    moving = (
+        frame.selectExpr("epic", "idx", "end_ts", "c", f"inline({atrs})")
+        .join(spans, "atr_period")
+        .selectExpr("epic", "idx", "end_ts", "c", "_gate", "c + up * atr AS lo", "c - down * atr AS hi")
     )
     index = touch_index(moving, ("epic", "_gate"), low="lo", high="hi", close="c")
-    events = found.withColumn("_gate", F.expr(f"CASE {sides} END"))
+    mine = "direction = 'LONG'"
+    events = found.withColumns(
+        {
+            "up": F.expr(f"CASE WHEN {mine} THEN stop_atr ELSE target_atr END"),
+            "down": F.expr(f"CASE WHEN {mine} THEN target_atr ELSE stop_atr END"),
+        }
+    )
+    events = events.join(spans, ["atr_period", "up", "down"]).drop("up", "down")
     return close_based_exit(events, index, moving=True).drop("_gate")
 
 
 def outcomes(taken: DataFrame, index: TouchIndex, arms: list[Arm]) -> DataFrame:
     """Trades of every arm: entries fanned out to the ladders that share them, then resolved."""
-    first_of: dict[str, int] = {}
-    plans = []
-    for i, arm in enumerate(check_arms(arms)):
-        entry_id = first_of.setdefault(arm.entry_config, i)
-        ladder = F.array(
-            *[
-                F.struct(
-                    F.lit(t.fraction).alias("fraction"),
-                    (F.lit(t.target_atr) * F.col("entry_atr")).alias("dist"),
-                )
-                for t in arm.exit_ladder
-            ]
-        )
-        plan = F.struct(
-            F.lit(i).alias("arm_id"), ladder.alias("ladder"), F.lit(arm.ratchet).alias("ratchet")
-        )
-        plans.append(F.when(F.col("entry_id") == entry_id, plan))
-    fanned = taken.withColumn(
-        "_plan", F.explode(F.filter(F.array(*plans), lambda p: p.isNotNull()))
-    ).select("*", "_plan.*").drop("_plan")
+    plans = [
+        {
+            "entry_id": entry_id,
+            "arm_id": i,
+            "_tiers": [{"fraction": t.fraction, "target_atr": t.target_atr} for t in arm.exit_ladder],
+            "ratchet": arm.ratchet,
+        }
+        for i, (arm, entry_id) in enumerate(zip(check_arms(arms), first_of_config(arms)))
+    ]
+    schema = "entry_id int, arm_id int, _tiers array<struct<fraction: double, target_atr: double>>, ratchet string"
+    distance = "transform(_tiers, t -> struct(t.fraction AS fraction, t.target_atr * entry_atr AS dist)) AS ladder"
+    wide = ["volatility_regime", "reasons", "features"]
+    own = ["entry_id", "epic", "direction", "signal_idx"]
+    fanned = taken.drop(*wide).join(table_of(taken.sparkSession, plans, schema), "entry_id").selectExpr("*", distance).drop("_tiers")
     rounds = max(len(a.exit_ladder) for a in arms)
-    resolved = ladder_outcomes(fanned, index, rounds)
+    # Only what the search needs goes through it; the rest of a signal is joined back once.
+    resolved = ladder_outcomes(fanned, index, rounds).join(taken.select(*own, *wide), own)
     stop, target = bracket(
         F.col("direction"), F.col("entry_price"), F.col("entry_atr"), F.col("stop_atr"), F.col("target_atr")
     )
@@ -161,11 +163,10 @@ def sweep_bars(
     column or a table (epic, avg_spread).
     """
     check_arms(arms)
-    longest = longest_series(bars)
-    frame = indicator_frame(bars, needs_of(arms), size=segment)
-    closes = touch_index(bars, low="c", high="c", longest=longest)
-    taken = entries(frame, arms, closes, entry_fill, gate_exit)
-    trades = outcomes(taken, touch_index(bars, longest=longest), arms)
+    index = touch_index(bars)
+    frame = indicator_frame(bars, needs_of(arms, bands=False), size=segment)
+    taken = entries(frame, arms, index.on_close(), entry_fill, gate_exit)
+    trades = outcomes(taken, index, arms)
     labels = arms_frame(bars.sparkSession, arms)
     if isinstance(avg_spread, DataFrame):
         trades = join_per_key(trades, avg_spread.select("epic", "avg_spread"), ["epic"], "left")
@@ -186,11 +187,8 @@ def sweep_bars(
     if per_instrument:
         metrics = metrics.join(trading_days(bars), "epic", "left")
     else:
-        # One row per arm meets the one row that counts the dates.
-        days = bars.select(dates).distinct().agg(F.count(F.lit(1)).alias("trading_days"))
-        metrics = (
-            metrics.withColumn("_one", F.lit(1)).join(days.withColumn("_one", F.lit(1)), "_one").drop("_one")
-        )
+        days = bars.select(dates).distinct().agg(F.count(F.lit(1)))
+        metrics = metrics.withColumn("trading_days", days.scalar())
     metrics = metrics.withColumn(
         "trades_per_day", F.coalesce(F.try_divide("trades", "trading_days"), F.lit(0.0))
     )

@@ -94,16 +94,22 @@ REQUIRED_TRADE_FIELDS = (
     "r_multiple",
     "is_win",
 )
-# Features a slice may be asked for.
+# Features a slice may be asked for, which are those stored with a trade.
 SLICE_FEATURES = (
     "rsi_value",
+    "dist_to_bb_lower_atr",
+    "dist_to_bb_upper_atr",
+    "dist_to_support_atr",
+    "dist_to_resistance_atr",
     "dist_to_trend_ema_atr",
+    "trend_slope_atr",
     "atr_value",
     "atr_percentile",
     "volume_ratio",
     "hour_utc",
     "day_of_week",
     "r_multiple",
+    "confluence_score",
 )
 
 

@@ -95,10 +95,9 @@ def test_entry_on_the_last_bar_ends_there(spark):
     assert (row["exit_idx"], row["exit_reason"], row["exit_price"]) == (1, "END", 5.0)
 
 
-@pytest.mark.parametrize("longest", [None, 10])
-def test_search_climbs_and_descends(spark, monkeypatch, longest):
-    """Blocks of 4: a series of 300 bars needs every level; with a short bound, two suffice."""
-    n = 300 if longest is None else 11
+@pytest.mark.parametrize("n", [300, 11])
+def test_search_climbs_and_descends(spark, monkeypatch, n):
+    """Blocks of 4: a series of 300 bars needs every level; of 11 bars, two suffice."""
     monkeypatch.setattr(X, "BLOCK", 4)
     rows = random_bars(n, "A", 3) + random_bars(n // 2, "B", 4)
     bars = spark.createDataFrame(rows, BAR_SCHEMA)
@@ -110,7 +109,7 @@ def test_search_climbs_and_descends(spark, monkeypatch, longest):
         later = [r for r in rows if r[0] == epic and r[1] > idx and (r[5] <= lo or r[4] >= hi)]
         expected[i] = min((r[1] for r in later), default=None)
     ev = spark.createDataFrame(events, "id int, epic string, idx long, lo double, hi double")
-    out = X.first_touch(ev, X.touch_index(bars, longest=longest), "idx", "lo", "hi").collect()
+    out = X.first_touch(ev, X.touch_index(bars), "idx", "lo", "hi").collect()
     assert {r["id"]: r["touch"]["at"] if r["touch"] else None for r in out} == expected
 
 
