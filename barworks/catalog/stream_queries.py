@@ -10,7 +10,7 @@ from barworks.catalog import inputs as I
 from barworks.catalog.registry import query, r
 from barworks.session import shared_dir
 from barworks.streaming import ticks as S
-from barworks.streaming.live_indicators import live_indicators
+from barworks.streaming.live_indicators import live_indicators, on_time
 
 EVENT_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -73,17 +73,34 @@ def _(spark, d):
 
 @query(
     "t2_subscribed",
-    I.with_sql(TICK_SQL, "SELECT CAST(event_id AS VARCHAR) AS correlation_id, epic FROM ticks WHERE epic IN ('click', 'view')"),
+    I.with_sql(
+        TICK_SQL,
+        """SELECT CAST(event_id AS VARCHAR) AS correlation_id, epic FROM ticks
+        WHERE (epic = 'click' AND event_id % 3 <> 0) OR (epic = 'view' AND event_id % 2 = 0)""",
+    ),
 )
 def _(spark, d):
-    """Messages of two subscribed instruments, by list and by table."""
-    ticks = S.parse_messages(message_stream(spark, d), "quote")
-    wanted = S.Subscription(("click", "view", "purchase"), ("MINUTE",))
-    table = I.table(spark, d, "events").select(F.col("event_type").alias("epic")).where(
-        F.col("epic").isin("click", "view")
+    """Messages of subscribed instruments, resolutions and types, by list and by a table that every
+    micro-batch reads anew."""
+    number = F.col("correlation_id").cast("long")
+    ticks = S.parse_messages(message_stream(spark, d), "quote").withColumns(
+        {
+            "resolution": F.when(number % 3 == 0, "HOUR").otherwise("MINUTE"),
+            "type": F.when(number % 2 == 0, "classic").otherwise("heikin-ashi"),
+        }
     )
-    kept = S.subscribed_from_table(S.subscribed(ticks, wanted), table)
-    return run_to_end(spark, kept).select("correlation_id", "epic")
+    listed = S.subscribed(ticks, S.Subscription(("click", "view", "purchase"), ("MINUTE", "HOUR")))
+    table = I.table(spark, d, "events").where("event_type IN ('click', 'view')").selectExpr(
+        "event_type AS epic", "CASE WHEN event_type = 'click' THEN 'MINUTE' END AS resolution",
+        "CASE WHEN event_type = 'view' THEN 'classic' END AS type",
+    )
+    path = f"{shared_dir(spark)}/subscriptions-{uuid.uuid4().hex}"
+    table.distinct().write.parquet(path)
+
+    def land(rows, path_, checkpoint, once):
+        return S.land(rows, path_, checkpoint, "ts", once, ["correlation_id"], S.live_subscription(path))
+
+    return run_to_end(spark, listed, land).select("correlation_id", "epic")
 
 
 @query(
@@ -114,7 +131,7 @@ def _(spark, d):
     once = S.unique_rows(twice, "event_id", "ts", "1 hour")
 
     def land(rows, path, checkpoint, once):
-        return S.land(rows, path, checkpoint, "ts", once)
+        return S.land(rows, path, checkpoint, "ts", once, ["event_id"])
 
     landed = run_to_end(spark, once, land)
     return landed.select("event_id", F.col("event_type").alias("epic"), "ts", "value")
@@ -141,4 +158,4 @@ def _(spark, d):
         v.alias("c"),
     )
     live = live_indicators(bars, I.DEMO.ema_period, I.DEMO.rsi_period, I.DEMO.atr_period)
-    return run_to_end(spark, live).select("epic", "tie", "ema", "rsi", "atr")
+    return on_time(run_to_end(spark, live)).select("epic", "tie", "ema", "rsi", "atr")

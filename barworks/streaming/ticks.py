@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from barworks.schemas import STREAM_MESSAGE
@@ -59,8 +63,24 @@ def subscribed(rows: DataFrame, subscription: Subscription) -> DataFrame:
 
 
 def subscribed_from_table(rows: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """The same filter from a table of epics: a stream-static semi join."""
-    return rows.join(subscriptions.select("epic").distinct(), "epic", "left_semi")
+    """The same filter from a table (epic, resolution, type): a row is kept if some subscription
+    names its instrument, and its resolution and type where the row has them. A null resolution or
+    type of a subscription stands for all."""
+    sides = [c for c in ("resolution", "type") if c in rows.columns and c in subscriptions.columns]
+    wanted = subscriptions.select(F.col("epic").alias("_epic"), *[F.col(c).alias(f"_{c}") for c in sides]).distinct()
+    match = F.col("epic") == F.col("_epic")
+    for c in sides:
+        match = match & (F.col(f"_{c}").isNull() | (F.col(c) == F.col(f"_{c}")))
+    return rows.join(wanted, match, "left_semi")
+
+
+def live_subscription(path: str) -> Callable[[DataFrame], DataFrame]:
+    """A filter of micro-batches by the subscriptions that the table at ``path`` has at that time.
+
+    A static side of a streaming join keeps the files it began with; here each batch lists them anew,
+    so a subscription added between two batches counts from the next one on.
+    """
+    return lambda batch: subscribed_from_table(batch, batch.sparkSession.read.parquet(path))
 
 
 def tick_bars(ticks: DataFrame, width: str, lateness: str, tie: str = "correlation_id") -> DataFrame:
@@ -96,17 +116,50 @@ def unique_rows(rows: DataFrame, key: str, ts: str, lateness: str) -> DataFrame:
     return rows.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
 
 
-def land(rows: DataFrame, path: str, checkpoint: str, ts: str, once: bool = False) -> StreamingQuery:
-    """Land a stream exactly once: each micro-batch replaces its own folder, so a replay of the
-    batch after a failure leaves the same rows."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        (
-            batch.withColumn("date", F.to_date(ts))
-            .write.mode("overwrite")
-            .partitionBy("date")
-            .parquet(f"{path}/batch_id={batch_id}")
-        )
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a checkpoint gave its stream; a new checkpoint is a new stream."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def _landed_by_others(spark: SparkSession, path: str, batch: DataFrame, stream: str, number: int) -> DataFrame | None:
+    """Rows of the ledger that another batch of this or another stream has landed."""
+    schema = T.StructType([*batch.schema.fields, T.StructField("stream_id", T.StringType()), T.StructField("batch_id", T.LongType())])
+    try:
+        landed = spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return landed.where((F.col("stream_id") != stream) | (F.col("batch_id") != number))
+
+
+def land(
+    rows: DataFrame,
+    path: str,
+    checkpoint: str,
+    ts: str,
+    once: bool = False,
+    key: list[str] | None = None,
+    change: Callable[[DataFrame], DataFrame] | None = None,
+) -> StreamingQuery:
+    """Land a stream exactly once in a ledger of (stream, batch).
+
+    Each micro-batch replaces its own folder, so a replay after a failure leaves the same rows. The
+    stream is that of the checkpoint: a lost or second checkpoint begins again at batch 0 of a new
+    stream and overwrites nothing. Rows whose ``key`` (by default the whole row) was landed before,
+    by any stream, are left out, so a source that is read again is still landed once. They are
+    looked for among the rows of their own date. ``change`` is applied to every micro-batch.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        stream = _stream_id(spark, checkpoint)
+        new = (change(batch) if change else batch).withColumn("date", F.to_date(ts))
+        known = _landed_by_others(spark, path, new, stream, number)
+        if known is not None:
+            same = [new[c].eqNullSafe(known[c]) for c in dict.fromkeys(["date", *(key or new.columns)])]
+            new = new.join(known, same, "left_anti")
+        new.write.mode("overwrite").partitionBy("date").parquet(f"{path}/stream_id={stream}/batch_id={number}")
 
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     if once:
