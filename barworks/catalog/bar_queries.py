@@ -206,6 +206,28 @@ def _(spark, d):
     return B.index_at_or_after(marks, I.bars(spark, d), "at").select("event_id", "epic", "bar_idx")
 
 
+@query(
+    "b6_bar_at_or_after_hot_day",
+    """WITH shifted AS (SELECT event_id, event_type AS epic,
+      CASE WHEN event_id % 10 < 8 THEN TIMESTAMP '2026-01-01' + to_seconds(event_id % 900) ELSE ts END AS t FROM events),
+    bars AS (SELECT epic, t, row_number() OVER (PARTITION BY epic ORDER BY t, event_id) - 1 AS idx FROM shifted)
+    SELECT m.event_id, m.epic, coalesce(min(b.idx) FILTER (b.t >= m.t + INTERVAL 3 SECOND), max(b.idx)) AS bar_idx
+    FROM shifted m JOIN bars b ON b.epic = m.epic GROUP BY m.event_id, m.epic""",
+)
+def _(spark, d):
+    """The same over series of single events, of which a quarter of an hour holds four fifths."""
+    rows = I.table(spark, d, "events").select(
+        "event_id",
+        F.col("event_type").alias("epic"),
+        F.expr(
+            "CASE WHEN event_id % 10 < 8 THEN timestamp'2026-01-01' + make_dt_interval(0, 0, 0, event_id % 900) ELSE CAST(ts AS TIMESTAMP) END"
+        ).alias("end_ts"),
+    )
+    bars = number_rows(rows, ["epic"], ["end_ts", "event_id"], [F.expr("date_trunc('minute', end_ts)")])
+    marks = rows.select("event_id", "epic", (F.col("end_ts") + F.expr("INTERVAL 3 SECONDS")).alias("at"))
+    return B.index_at_or_after(marks, bars, "at").select("event_id", "epic", "bar_idx")
+
+
 SPANS_SQL = """spans AS (
   SELECT epic, epic || '-' || CAST(idx AS VARCHAR) AS key, idx AS entry_idx,
          least(idx + idx % 40, max(idx) OVER (PARTITION BY epic)) AS exit_idx, h + 1 AS extra FROM bars)"""

@@ -40,19 +40,20 @@ def _(spark, d):
     "n3_merged_marks",
     I.with_sql(
         I.SQL_MARKS,
-        """base AS (SELECT signal_key, kind, max(bar_ts) AS bar_ts FROM log WHERE id % 2 = 0 GROUP BY ALL),
-        over_ AS (SELECT signal_key, kind, min(bar_ts) AS bar_ts FROM log WHERE id % 5 = 0 GROUP BY ALL)""",
+        """base AS (SELECT signal_key, kind, max(bar_ts) AS bar_ts FROM log WHERE NOT deleted GROUP BY ALL),
+        over_ AS (SELECT signal_key, kind, min(bar_ts) AS bar_ts FROM log WHERE deleted GROUP BY ALL)""",
         """SELECT coalesce(o.signal_key, b.signal_key) AS signal_key, coalesce(o.kind, b.kind) AS kind,
           coalesce(o.bar_ts, b.bar_ts) AS bar_ts
         FROM base b FULL JOIN over_ o ON o.signal_key = b.signal_key AND o.kind = b.kind""",
     ),
 )
 def _(spark, d):
-    """Loaded marks merged with local ones; local wins per signal and kind."""
+    """Loaded marks merged with local ones, which are those of one kind of event; local wins per
+    signal and kind."""
     log = I.mark_log(spark, d)
     keys = ["signal_key", "kind"]
-    base = log.where(F.col("id") % 2 == 0).groupBy(*keys).agg(F.max("bar_ts").alias("bar_ts"))
-    mine = log.where(F.col("id") % 5 == 0).groupBy(*keys).agg(F.min("bar_ts").alias("bar_ts"))
+    base = log.where("NOT deleted").groupBy(*keys).agg(F.max("bar_ts").alias("bar_ts"))
+    mine = log.where("deleted").groupBy(*keys).agg(F.min("bar_ts").alias("bar_ts"))
     return V.merge_marks(base, mine)
 
 
@@ -241,24 +242,29 @@ def _(spark, d):
     return spark.read.schema(schema).json(path).select("run_id", "trade.*", "run.trades_count")
 
 
+def _bar_trades(bars):
+    """Every bar as the entry of a trade of five bars."""
+    return bars.select(
+        "epic",
+        F.concat_ws("|", "epic", F.col("idx").cast("string")).alias("signal_key"),
+        F.col("idx").alias("entry_idx"),
+        (F.col("idx") + 5).alias("exit_idx"),
+    )
+
+
 @query(
     "s6_trades_with_bars",
     I.with_sql(
         I.SQL_BARS,
         f"""SELECT t.epic, t.idx AS entry_idx, count(*) AS bars, {r('sum(b.c)')} AS sum_c FROM bars t
         JOIN bars b ON b.epic = t.epic AND b.idx BETWEEN t.idx - 50 AND t.idx + 55
-        WHERE t.idx % 7 = 3 GROUP BY t.epic, t.idx""",
+        GROUP BY t.epic, t.idx""",
     ),
 )
 def _(spark, d):
-    """Trades with their bar window as an array (every seventh bar is an entry)."""
+    """Trades with their bar window as an array; every bar is an entry."""
     bars = materialize(I.bars(spark, d))
-    t = bars.where(F.col("idx") % 7 == 3).select(
-        "epic",
-        F.concat_ws("|", "epic", F.col("idx").cast("string")).alias("signal_key"),
-        F.col("idx").alias("entry_idx"),
-        (F.col("idx") + 5).alias("exit_idx"),
-    )
+    t = _bar_trades(bars)
     out = R.review_trades(t, bars)
     return out.select(
         "epic", "entry_idx", F.size("bars").alias("bars"),
@@ -266,6 +272,38 @@ def _(spark, d):
     )
 
 
+@query(
+    "e9_one_run",
+    I.with_sql(I.SQL_TRADES, "SELECT run_id AS id, count(*) AS trades_count FROM trades WHERE run_id = '3-MEDIUM' GROUP BY run_id"),
+)
+def _(spark, d):
+    """One of the loaded runs, by its id: a point lookup."""
+    root = _scratch(spark)
+    t = I.trades(spark, d)
+    R.load_run(t.groupBy(F.col("run_id").alias("id")).agg(F.count(F.lit(1)).alias("trades_count")), t, root)
+    return R.read_run(spark, root, "3-MEDIUM").select("id", "trades_count")
+
+
+@query(
+    "e10_trade_with_bars",
+    I.with_sql(
+        I.SQL_BARS,
+        f"""SELECT 'click:click|20' AS id, 20 AS entry_idx, count(*) AS bars, {r('sum(c)')} AS sum_c,
+          min(end_s) AS first_end FROM bars WHERE epic = 'click' AND idx BETWEEN 0 AND 75""",
+    ),
+)
+def _(spark, d):
+    """One trade of the loaded runs with its bars, by its id: a point lookup."""
+    root = _scratch(spark)
+    bars = materialize(I.bars(spark, d))
+    t = _bar_trades(bars).withColumn("run_id", F.col("epic"))
+    R.load_run(t.groupBy(F.col("run_id").alias("id")).agg(F.count(F.lit(1)).alias("trades_count")), t, root)
+    return R.read_trade(spark, root, "click:click|20", bars).select(
+        "id", "entry_idx", F.size("bars").alias("bars"), F.aggregate("bars", F.lit(0.0), lambda a, b: a + b["c"]).alias("sum_c"),
+        F.col("bars")[0]["t"].alias("first_end"),
+    )
+
+
 @query(
     "s7_pulled_feedback",
     I.with_sql(

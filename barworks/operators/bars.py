@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barworks.functions.instants import epoch_whole_s
 from barworks.operators.ordered import join_per_key, number_rows
 from barworks.schemas import PRICE_COLUMNS, require
+from barworks.session import materialize
 
 SOURCE_BAR_SECONDS = 60
 BLOCK = 256  # bars per lookup block
@@ -118,47 +119,38 @@ def trading_days(bars: DataFrame) -> DataFrame:
     )
 
 
+def _first_end(then: Column) -> Column:
+    """The first packed item that ends at or after the instant of an event."""
+    found = F.try_element_at(F.filter("_items", lambda x: x["end_ts"] >= F.col("_at")), F.lit(1))["at"]
+    return F.coalesce(found, then)
+
+
+def _pack(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "end_ts"))).alias("_items"))
+
+
 def index_at_or_after(events: DataFrame, bars: DataFrame, at: str, name: str = "bar_idx") -> DataFrame:
     """Forward as-of: index of the first bar whose end is at or after ``at``, else the last bar.
 
-    Bars of a day form one short sorted array; a day without bars points at the next day that has
-    some. Each event therefore meets exactly one day row, whatever the length of the history.
+    Ends never decrease along ``idx``, so a search descends like in a tree: bars are packed in blocks
+    of 256, blocks in groups of 256, groups in one row per series, each with the last end of what is
+    below. An event meets one row a level by an equality join, however many bars a day or an instant
+    has and however long a gap is. An event without instant gets the last bar, one of an unknown
+    series null.
     """
-    days = (
-        bars.groupBy("epic", F.to_date("end_ts").alias("_day"))
-        .agg(F.sort_array(F.collect_list(F.struct("end_ts", "idx"))).alias("_bars"))
-    )
-    series = Window.partitionBy("epic").orderBy("_day")
-    linked = days.select(
-        "epic",
-        "_day",
-        "_bars",
-        F.lead(F.col("_bars")[0]["idx"]).over(series).alias("_next"),
-        F.lag("_day").over(series).alias("_prev_day"),
-    )
-    gap_start = F.when(F.col("_prev_day").isNull(), F.col("_day")).otherwise(
-        F.date_add("_prev_day", 1)
-    )
-    covered = linked.select(
-        "epic",
-        F.explode(F.sequence(gap_start, F.col("_day"))).alias("_at_day"),
-        "_bars",
-        "_next",
-    )
-    ends = bars.groupBy("epic").agg(
-        F.max("idx").alias("_last_idx"), F.min(F.to_date("end_ts")).alias("_first_day")
-    )
-    ahead = F.filter("_bars", lambda b: b["end_ts"] >= F.col("_at"))
-    return (
-        join_per_key(events.withColumn("_at", F.col(at)), ends, ["epic"], "left")
-        .withColumn("_at_day", F.greatest(F.to_date("_at"), F.col("_first_day")))
-        .join(covered, ["epic", "_at_day"], "left")
-        .withColumn(
-            name,
-            F.coalesce(F.try_element_at(ahead, F.lit(1))["idx"], F.col("_next"), F.col("_last_idx")),
-        )
-        .drop("_at", "_at_day", "_bars", "_next", "_last_idx", "_first_day")
-    )
+    blocks = materialize(_pack(bars.select("epic", F.expr(f"idx div {BLOCK}").alias("_blk"), F.col("idx").alias("at"), "end_ts"), ["epic", "_blk"]))
+    last = F.element_at("_items", -1)["end_ts"].alias("end_ts")
+    groups = _pack(blocks.select("epic", F.expr(f"_blk div {BLOCK}").alias("_grp"), F.col("_blk").alias("at"), last), ["epic", "_grp"])
+    top = _pack(groups.select("epic", F.col("_grp").alias("at"), last), ["epic"])
+    ends = blocks.groupBy("epic").agg(F.max_by(F.element_at("_items", -1)["at"], "_blk").alias("_last_idx"))
+    # An event past the end has no group: it gets keys that match nothing and lie in many tasks.
+    plain = [c for c, kind in events.dtypes if "map<" not in kind]
+    nowhere = -1 - F.pmod(F.xxhash64(*plain), F.lit(9973))
+    work = join_per_key(events.withColumns({"_at": F.col(at), "_no": nowhere}), top.join(ends, "epic"), ["epic"], "left")
+    work = work.withColumn("_grp", _first_end(F.col("_no"))).drop("_items")
+    work = work.join(groups, ["epic", "_grp"], "left").withColumn("_blk", _first_end(F.col("_no"))).drop("_items")
+    work = work.join(blocks, ["epic", "_blk"], "left").withColumn(name, _first_end(F.col("_last_idx"))).drop("_items")
+    return work.drop("_at", "_no", "_grp", "_blk", "_last_idx")
 
 
 def bar_window(

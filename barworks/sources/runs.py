@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,59 +22,145 @@ RUN_COLUMNS = (
 )
 
 
+# Rows of a saved table are laid out by key, in row groups small enough for point lookups.
+LAYOUT = {"parquet.block.size": str(16 << 20)}
+BLOOM_VALUES = 100_000  # distinct trade ids that the Bloom filter of a row group is made for
+
+
 def save_experiments(experiments: DataFrame, trades: DataFrame, root: str) -> None:
     """Persist experiments with their trades.
 
-    Trades land first, in partitions of this attempt, and the experiment rows last; they name the
-    attempt whose trades count. A reader that goes through ``read_experiments`` sees the trades of
-    the last finished attempt, none where that run had none, and a failed attempt can simply be run
-    again.
+    Every save writes one folder of its own, an attempt, and commits it last: a line in the manifest
+    under the next free number, which only one writer can take. A reader that goes through
+    ``read_experiments`` sees, for every id, head and trades of the last committed attempt that has
+    it, none where that run had none. A failed attempt is never seen and can simply be run again; of
+    two writers of one id the later commit wins whole.
     """
     require(experiments, ["experiment_id"])
     require(trades, ["experiment_id"])
-    _save(experiments, trades, f"{root}/experiment", f"{root}/trade", "experiment_id")
+    _save(experiments, trades, root, "experiment", "trade", "experiment_id")
 
 
-def _save(heads: DataFrame, trades: DataFrame, heads_path: str, trades_path: str, key: str) -> None:
+def _save(heads: DataFrame, trades: DataFrame, root: str, heads_name: str, trades_name: str, key: str) -> str:
     # A letter in front, so that no reader takes the name for a number.
-    attempt = F.lit(f"a{uuid.uuid4().hex}")
-    _overwrite_partitions(trades.withColumn("attempt", attempt), trades_path, key, "attempt")
-    _overwrite_partitions(heads.withColumn("attempt", attempt), heads_path, key)
-
-
-def _read(spark: SparkSession, heads_path: str, trades_path: str, key: str) -> tuple[DataFrame, DataFrame]:
-    heads, trades = spark.read.parquet(heads_path), spark.read.parquet(trades_path)
+    attempt = f"a{uuid.uuid4().hex}"
+    order = [c for c in (key, "id", "signal_key") if c in trades.columns]
+    # By ranges of the key and the trade: one run may hold most rows, and thousands may share a file.
+    rows = trades.repartitionByRange(*order).sortWithinPartitions(*order).write.options(**LAYOUT)
+    if "id" in trades.columns:
+        rows = rows.option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.expected.ndv#id", str(BLOOM_VALUES))
+    rows.parquet(f"{root}/{trades_name}/attempt={attempt}")
+    heads.sortWithinPartitions(key).write.parquet(f"{root}/{heads_name}/attempt={attempt}")
+    _commit(heads.sparkSession, f"{root}/{heads_name}_manifest", attempt)
+    return attempt
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _commit(spark: SparkSession, manifest: str, attempt: str) -> None:
+    """Put the attempt under the first free number; creating a file that exists fails, so a number
+    that another writer has taken meanwhile is left to it."""
+    files, where = _files(spark, manifest)
+    files.mkdirs(where)
+    number = max((int(f.getPath().getName()) for f in files.listStatus(where)), default=0)
+    while True:
+        number += 1
+        try:
+            out = files.create(_files(spark, f"{manifest}/{number:012d}")[1], False)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            continue
+        out.write(attempt.encode())
+        out.close()
+        return
+
+
+def _current(spark: SparkSession, root: str, heads_name: str, key: str, only: Column | None = None) -> DataFrame:
+    """Heads of the last committed attempt of every key, with the attempt; ``only`` limits them."""
+    number = F.regexp_extract(F.input_file_name(), r"(\d+)$", 1).cast("long")
+    commits = spark.read.text(f"{root}/{heads_name}_manifest").select(F.col("value").alias("attempt"), number.alias("_number"))
+    heads = spark.read.option("mergeSchema", "true").parquet(f"{root}/{heads_name}")
+    if only is not None:
+        heads = heads.where(only)
+    heads = heads.join(commits, "attempt")
+    last = heads.groupBy(key).agg(F.max("_number").alias("_number"))
+    return heads.join(last, [key, "_number"]).drop("_number")
+
+
+def _read(spark: SparkSession, root: str, heads_name: str, trades_name: str, key: str) -> tuple[DataFrame, DataFrame]:
+    heads = _current(spark, root, heads_name, key)
+    trades = spark.read.option("mergeSchema", "true").parquet(f"{root}/{trades_name}")
     named = heads.select(key, "attempt").distinct()
     committed = join_per_key(trades, named, [key, "attempt"], "left_semi")
     return heads.drop("attempt"), committed.drop("attempt")
 
 
-def _overwrite_partitions(rows: DataFrame, path: str, *by: str) -> None:
-    # No repartition by the id alone: one run may hold most rows. A few files per task and run is
-    # the price; rebalance lets adaptive execution split large runs and join small ones.
-    (
-        rows.hint("rebalance", *[F.col(c) for c in by])
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*by)
-        .parquet(path)
-    )
-
-
 def read_experiments(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(experiments, trades); only trades of committed experiments are returned."""
-    return _read(spark, f"{root}/experiment", f"{root}/trade", "experiment_id")
+    return _read(spark, root, "experiment", "trade", "experiment_id")
 
 
 def load_run(runs: DataFrame, trades: DataFrame, root: str) -> None:
     """Load runs for review. Loading the same run id again replaces its rows, also by none."""
     keyed = trades.withColumn("id", F.concat_ws(":", F.col("run_id").cast("string"), "signal_key"))
-    _save(runs.withColumn("run_id", F.col("id")), keyed, f"{root}/runs", f"{root}/trades", "run_id")
+    _save(runs.withColumn("run_id", F.col("id")), keyed, root, "runs", "trades", "run_id")
 
 
 def read_runs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(runs, trades) as last loaded."""
-    return _read(spark, f"{root}/runs", f"{root}/trades", "run_id")
+    return _read(spark, root, "runs", "trades", "run_id")
+
+
+def read_run(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    """One loaded run by its id; no row where there is none."""
+    return _current(spark, root, "runs", "run_id", F.col("run_id") == run_id).drop("attempt")
+
+
+def read_trade(spark: SparkSession, root: str, trade_id: str, bars: DataFrame | None = None, pad: int = 50) -> DataFrame:
+    """One loaded trade by its id, with the bar window that was loaded with it; no row where there is
+    none.
+
+    The id is compared in the scan, where ranges and Bloom filters of the row groups leave a few.
+    ``bars`` gives the window of a trade that was loaded without one; only the bars around it are read.
+    """
+    found = spark.read.option("mergeSchema", "true").parquet(f"{root}/trades").where(F.col("id") == trade_id)
+    runs = [r.run_id for r in found.select("run_id").distinct().collect()]  # an id names one run
+    current = _current(spark, root, "runs", "run_id", F.col("run_id").isin(runs)).select("run_id", "attempt")
+    trade = found.join(current, ["run_id", "attempt"], "left_semi").drop("attempt")
+    row = trade.first() if bars is not None else None
+    if row is None:
+        return trade
+    low, high = min(row.entry_idx, row.exit_idx) - pad, max(row.entry_idx, row.exit_idx) + pad
+    return review_trades(trade, bars.where((F.col("epic") == row.epic) & F.col("idx").between(low, high)), pad)
+
+
+def clean(spark: SparkSession, root: str, heads_name: str, trades_name: str, key: str, older_than_s: float = 86_400) -> list[str]:
+    """Delete the folders of attempts that no id is read from any more and that are old enough not to
+    be under way; returns their names."""
+    kept = {r.attempt for r in _current(spark, root, heads_name, key).select("attempt").distinct().collect()}
+    files, where = _files(spark, f"{root}/{trades_name}")
+    gone = []
+    for folder in files.listStatus(where):
+        name = folder.getPath().getName()
+        attempt = name.removeprefix("attempt=")
+        if name.startswith("attempt=") and attempt not in kept and folder.getModificationTime() < (time.time() - older_than_s) * 1000:
+            for table in (trades_name, heads_name):
+                files.delete(_files(spark, f"{root}/{table}/{name}")[1], True)
+            gone.append(attempt)
+    return gone
+
+
+def clean_experiments(spark: SparkSession, root: str, older_than_s: float = 86_400) -> list[str]:
+    return clean(spark, root, "experiment", "trade", "experiment_id", older_than_s)
+
+
+def clean_runs(spark: SparkSession, root: str, older_than_s: float = 86_400) -> list[str]:
+    return clean(spark, root, "runs", "trades", "run_id", older_than_s)
 
 
 def review_trades(trades: DataFrame, bars: DataFrame, pad: int = 50) -> DataFrame:

@@ -3,6 +3,8 @@
 import datetime as dt
 import json
 import math
+import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +105,20 @@ def test_index_at_or_after_spans_days_without_bars(spark):
     assert out == {0: 0, 1: 1, 2: 2, 3: 2, 4: 2, 5: 2}
 
 
+@pytest.mark.parametrize("block", [256, 4])
+def test_index_at_or_after_where_one_day_holds_most_bars(spark, monkeypatch, block):
+    """Many bars a second on one day, gaps of days, equal ends, no instant, an unknown series."""
+    monkeypatch.setattr(B, "BLOCK", block)
+    start, rng = at(2026, 1, 1), random.Random(2)
+    ends = sorted([start + dt.timedelta(seconds=rng.randrange(200)) for _ in range(900)] + [start + dt.timedelta(days=rng.randrange(40)) for _ in range(60)])
+    bars = spark.createDataFrame([(e, i, t) for e in "AB" for i, t in enumerate(ends)], "epic string, idx long, end_ts timestamp")
+    asked = [start + dt.timedelta(seconds=rng.randrange(-50, 300)) for _ in range(200)] + [start + dt.timedelta(days=rng.randrange(50)) for _ in range(50)]
+    ev = spark.createDataFrame([("A", i, t) for i, t in enumerate([*asked, None])] + [("Z", 999, start)], "epic string, id int, at timestamp")
+    out = {r["id"]: r["bar_idx"] for r in B.index_at_or_after(ev, bars, "at").collect()}
+    want = {i: next((k for k, e in enumerate(ends) if e >= t), len(ends) - 1) for i, t in enumerate(asked)}
+    assert out == {**want, len(asked): len(ends) - 1, 999: None}
+
+
 def test_display_and_outcome_brackets(spark):
     row = spark.range(1).select(
         *bracket(F.lit("LONG"), F.lit(5000.0), F.lit(4.0), F.lit(3.0), F.lit(0.75)),
@@ -264,6 +280,52 @@ def test_export_leaves_other_runs(spark, tmp_path):
     assert sorted(r["run_id"] for r in spark.read.json(path).collect()) == ["r1", "r2"]
 
 
+def test_two_writers_of_one_run(spark, tmp_path):
+    """Both write at once; whoever commits last is read whole, and the other can be cleaned."""
+    root = str(tmp_path)
+    runs = spark.createDataFrame([("r1", "x"), ("r2", "x")], "id string, label string")
+
+    def save(label, pnl):
+        own = spark.createDataFrame([("r1", f"k{i}", pnl) for i in range(5)], "run_id string, signal_key string, pnl double")
+        R.load_run(runs.where("id = 'r1'").withColumn("label", F.lit(label)), own, root)
+
+    R.load_run(runs, spark.createDataFrame([("r2", "k", 9.0)], "run_id string, signal_key string, pnl double"), root)
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(save, ("a", "b"), (1.0, 2.0)))
+    heads, trades = R.read_runs(spark, root)
+    (won,) = [r.label for r in heads.where("id = 'r1'").collect()]
+    assert [r.pnl for r in trades.where("run_id = 'r1'").collect()] == [{"a": 1.0, "b": 2.0}[won]] * 5
+    assert trades.where("run_id = 'r2'").count() == 1
+    assert R.clean_runs(spark, root) == []  # too young to tell from one that is under way
+    assert len(R.clean_runs(spark, root, older_than_s=-60)) == 1
+    heads, trades = R.read_runs(spark, root)
+    assert heads.count() == 2 and trades.count() == 6
+
+
+def test_many_arms_are_few_folders_and_a_lookup_reads_few_rows(spark, tmp_path):
+    root = str(tmp_path)
+    runs = spark.range(2000).select(F.format_string("run%05d", "id").alias("id"), F.lit("x").alias("label"))
+    trades = spark.range(60_000).select(
+        F.format_string("run%05d", F.col("id") % 2000).alias("run_id"), F.format_string("k%07d", "id").alias("signal_key"), F.lit("A").alias("epic"),
+        (F.col("id") % 300).alias("entry_idx"), (F.col("id") % 300 + 7).alias("exit_idx"),
+    )
+    R.load_run(runs, trades, root)
+    assert len(list((tmp_path / "trades").iterdir())) == 1 and len(list((tmp_path / "trades").rglob("*.parquet"))) <= 8
+    assert [r.label for r in R.read_run(spark, root, "run00777").collect()] == ["x"] and R.read_run(spark, root, "none").count() == 0
+
+    bars = spark.createDataFrame(random_bars(400, "A", 3) + random_bars(50, "B", 3), BAR_SCHEMA)
+    (row,) = R.read_trade(spark, root, "run00777:k0000777", bars).collect()
+    assert row.entry_idx == 777 % 300 and len(row.bars) == 7 + 101
+    assert R.read_trade(spark, root, "run00777:k0000778", bars).count() == 0
+
+    one = spark.read.parquet(f"{root}/trades").where("id = 'run00777:k0000777'")
+    one.collect()
+    node = one._jdf.queryExecution().executedPlan()
+    while node.children().size():
+        node = node.children().head()
+    assert node.metrics().apply("numOutputRows").value() <= 20_000  # of 60,000: one of the files
+
+
 def test_uncommitted_trades_are_not_read(spark, tmp_path):
     root = str(tmp_path)
     t = spark.createDataFrame([(1, 1.0), (2, 2.0)], "experiment_id int, pnl double")
