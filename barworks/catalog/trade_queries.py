@@ -146,15 +146,16 @@ def _(spark, d):
         TRADES,
         f"""SELECT run_id,
           CASE WHEN grouping(volatility_regime) = 0 THEN 'regime' WHEN grouping(qd) = 0 THEN 'q+dir'
-               WHEN grouping(q) = 0 THEN 'quarter' ELSE 'month' END AS breakdown,
-          coalesce(volatility_regime, qd, q, m) AS bucket, count(*) AS trades,
+               WHEN grouping(q) = 0 THEN 'quarter' WHEN grouping(m) = 0 THEN 'month'
+               WHEN grouping(y) = 0 THEN 'year' ELSE 'total' END AS breakdown,
+          coalesce(volatility_regime, qd, q, m, y) AS bucket, count(*) AS trades,
           {r('avg(is_win::INT)')} AS win_rate, {r('avg(net_pnl)')} AS net_avg_pnl
-        FROM (SELECT *, q || '_' || direction AS qd, strftime(entry_day, '%Y-%m') AS m FROM trades)
-        GROUP BY GROUPING SETS ((run_id, volatility_regime), (run_id, q), (run_id, qd), (run_id, m))""",
+        FROM (SELECT *, q || '_' || direction AS qd, strftime(entry_day, '%Y-%m') AS m, strftime(entry_day, '%Y') AS y FROM trades)
+        GROUP BY GROUPING SETS ((run_id), (run_id, volatility_regime), (run_id, q), (run_id, qd), (run_id, m), (run_id, y))""",
     ),
 )
 def _(spark, d):
-    """Regime, quarter, quarter and direction, and month in one pass."""
+    """Regime, quarter and direction, month, quarter, year and total in one pass."""
     return stats.breakdown(I.trades(spark, d), ["run_id"])
 
 

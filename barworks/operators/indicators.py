@@ -130,7 +130,7 @@ def indicator_frame(
     recurrences += [Recurrence(f"atr_{n}", "tr", wilder_alpha(n)) for n in sorted(needs.atr)]
 
     lookback = needs.lookback
-    parts = cut(bars, keys, lookback, segment_size(recurrences, lookback, size))
+    parts = cut(bars, keys, lookback, segment_size(lookback, size))
     change = F.coalesce(F.col("c") - F.lag("c").over(parts.ordered), F.lit(0.0))
     base: dict[str, Column] = {}
     if needs.rsi:

@@ -9,6 +9,10 @@ A recurrence ``y[t] = d*y[t-1] + (1-d)*x[t]`` reaches back without limit. Inside
 ``y[k] = d**k * (y[0] + sum((1-d)*x[j]*d**-j))``, a running sum. The value at each segment start
 comes from one summary row per segment (a plain aggregate of the segment before), folded over the
 preceding segments until the weight is below half a unit in the last place of a double.
+
+Where ``d`` fades so fast that its powers over a segment leave the range of a double, the running sum
+starts anew in blocks of the segment, and a block takes over the end of the one before: what lies
+further back has faded to nothing. The segment size follows the frames alone.
 """
 
 from __future__ import annotations
@@ -47,14 +51,14 @@ def wilder_alpha(period: int) -> float:
     return 1.0 / period
 
 
-def segment_size(recurrences: list[Recurrence], lookback: int, size: int = SEGMENT) -> int:
-    """Largest usable segment for these recurrences, at most ``size``."""
-    for r in recurrences:
-        if 0.0 < r.decay < 1.0:
-            size = min(size, int(MAX_EXPONENT / -math.log(r.decay)) - lookback - 2)
-    if size <= lookback + 1:
-        raise ValueError("lookback is too long for the segment size")
-    return size
+def segment_size(lookback: int, size: int = SEGMENT) -> int:
+    """``size``, or what the longest frame needs."""
+    return max(size, lookback + 2)
+
+
+def block_size(r: Recurrence) -> int:
+    """Bars over which the powers of a decay, centred, stay inside the range of a double."""
+    return max(1, int(2 * MAX_EXPONENT / -math.log(r.decay)))
 
 
 @dataclass(frozen=True)
@@ -167,22 +171,32 @@ def smooth(parts: Segmented, recurrences: list[Recurrence]) -> Segmented:
         carries.append(_fold(past, step).alias(f"_carry_{r.name}"))
     carried = added.select(*grain, *carries)
 
-    upto = parts.ordered.rowsBetween(Window.unboundedPreceding, 0)
     joined = frame.join(carried, grain, "left")
-    local = {
-        f"_sum_{r.name}": F.sum(
-            F.when(pos > 0, F.col(r.source) * r.alpha * _scaled(r, -pos)).otherwise(F.lit(0.0))
-        ).over(upto)
-        for r in live
-    }
+    longest = size + parts.lookback + 2
+    local, ends_before = {}, {}
+    for r in live:
+        block = block_size(r)
+        spread = Window.partitionBy(*grain) if block >= longest else Window.partitionBy(*grain, F.floor(pos / block))
+        upto = spread.orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+        centre = block // 2 if block < longest else longest // 2
+        inside = pos if block >= longest else pos % block
+        part = F.when(pos > 0, F.col(r.source) * r.alpha * _scaled(r, centre - inside)).otherwise(F.lit(0.0))
+        local[f"_sum_{r.name}"] = _scaled(r, inside - centre) * F.sum(part).over(upto)
+        if block < longest:
+            end = F.when(inside == block - 1, F.col(f"_sum_{r.name}"))
+            earlier = parts.ordered.rowsBetween(Window.unboundedPreceding, -1)
+            ends_before[f"_end_{r.name}"] = _scaled(r, inside + 1) * F.coalesce(F.last(end, ignorenulls=True).over(earlier), F.lit(0.0))
     joined = joined.withColumns(local)
+    if ends_before:
+        joined = joined.withColumns(ends_before)
     values = {}
     for r in recurrences:
         if r in live:
-            values[r.name] = _scaled(r, pos) * (F.col(f"_carry_{r.name}") + F.col(f"_sum_{r.name}"))
+            before = F.col(f"_end_{r.name}") if f"_end_{r.name}" in ends_before else F.lit(0.0)
+            values[r.name] = _scaled(r, pos) * F.col(f"_carry_{r.name}") + (F.col(f"_sum_{r.name}") + before)
         else:
             values[r.name] = F.col(r.source)
     joined = joined.withColumns(values).drop(
-        *[f"_carry_{r.name}" for r in live], *[f"_sum_{r.name}" for r in live]
+        *[f"_carry_{r.name}" for r in live], *[f"_sum_{r.name}" for r in live], *ends_before
     )
     return parts.with_frame(joined)

@@ -143,30 +143,29 @@ def run_metrics(
 
 
 def breakdown(trades: DataFrame, keys: list[str], entry_ts: str = "entry_ts") -> DataFrame:
-    """Regime, quarter, quarter and direction, and month breakdowns in one pass."""
+    """Regime, quarter and direction, and a roll-up of month, quarter, year and total, as grouping sets."""
     when = F.col(entry_ts)
-    quarter = quarter_label(when)
-    labels = F.array(
-        F.struct(F.lit("regime").alias("k"), F.col("volatility_regime").alias("v")),
-        F.struct(F.lit("quarter").alias("k"), quarter.alias("v")),
-        F.struct(F.lit("q+dir").alias("k"), F.concat_ws("_", quarter, "direction").alias("v")),
-        F.struct(F.lit("month").alias("k"), month_label(when).alias("v")),
+    levels = {
+        "regime": F.col("volatility_regime"),
+        "year": F.year(when).cast("string"),
+        "quarter": quarter_label(when),
+        "q+dir": F.concat_ws("_", quarter_label(when), "direction"),
+        "month": month_label(when),
+    }
+    parts = {name: f"_l{i}" for i, name in enumerate(levels)}
+    # Trades are grouped by all levels first, which keeps the sixfold fan-out off their rows.
+    base = trades.groupBy(*keys, *[level.alias(parts[name]) for name, level in levels.items()]).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("pnl") > 0).alias("_wins"), F.sum("net_pnl").alias("_net")
     )
-    # Grouping by the base columns first keeps the fourfold fan-out off the trade rows.
-    base = (
-        trades.groupBy(*keys, labels.alias("_labels"))
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.count_if(F.col("pnl") > 0).alias("_wins"),
-            F.sum("net_pnl").alias("_net"),
-        )
-        .select(*keys, F.explode("_labels").alias("_label"), "_n", "_wins", "_net")
-    )
-    return base.groupBy(*keys, F.col("_label.k").alias("breakdown"), F.col("_label.v").alias("bucket")).agg(
+    sets = [[F.col(k) for k in keys], *[[*map(F.col, keys), F.col(part)] for part in parts.values()]]
+    out = base.groupingSets(sets, *keys, *parts.values()).agg(
         F.sum("_n").alias("trades"),
         (F.sum("_wins") / F.sum("_n")).alias("win_rate"),
         (F.sum("_net") / F.sum("_n")).alias("net_avg_pnl"),
+        *[F.grouping(part).alias(f"{part}_out") for part in parts.values()],
     )
+    kind = F.coalesce(*[F.when(F.col(f"{part}_out") == 0, F.lit(name)) for name, part in parts.items()], F.lit("total"))
+    return out.select(*keys, kind.alias("breakdown"), F.coalesce(*parts.values()).alias("bucket"), "trades", "win_rate", "net_avg_pnl")
 
 
 def by_vote_combination(trades: DataFrame, keys: list[str]) -> DataFrame:

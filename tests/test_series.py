@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from barworks.operators.indicators import Needs, indicator_frame, needs_of
-from barworks.operators.segments import Recurrence, cut, ema_alpha, segment_size
+from barworks.operators.segments import Recurrence, block_size, cut, ema_alpha, segment_size
 from barworks.plans.arms import Arm
 from tests.helpers import BAR_SCHEMA, bar, random_bars
 
@@ -93,11 +93,27 @@ def test_every_bar_comes_out_once(spark, rows):
         assert cut(bars, ("epic",), lookback, size).own_rows().count() == len(rows)
 
 
-def test_segment_size_keeps_powers_finite():
-    fast = Recurrence("x", "c", ema_alpha(2))
-    assert segment_size([fast], 100) < 600
-    with pytest.raises(ValueError):
-        segment_size([], 3000)
+def test_segments_follow_the_frames_alone():
+    assert segment_size(100) == 2048 and segment_size(100, 64) == 102 and segment_size(3000) == 3002
+    assert block_size(Recurrence("x", "c", ema_alpha(2))) < 1100
+
+
+@pytest.mark.parametrize("size", [64, 512, 2048])
+def test_fast_decays_beside_long_frames(spark, size):
+    """EMA(2), RSI(2) and ATR(2) with a frame of 300 bars over a series of several blocks."""
+    rows = random_bars(5000, "A", 13) + random_bars(700, "B", 14)
+    needs = Needs(ema=frozenset({2, 50}), rsi=frozenset({2}), atr=frozenset({2}), swing=frozenset({300}), candles=False, context=False)
+    out = indicator_frame(spark.createDataFrame(rows, BAR_SCHEMA), needs, size=size).toPandas().sort_values(["epic", "idx"])
+    for _, g in out.groupby("epic"):
+        c, h, low = (g[x].reset_index(drop=True) for x in "chl")
+        close = lambda a, b: (a.reset_index(drop=True) - b).abs().max() < 1e-8
+        assert close(g.ema_2, c.ewm(span=2, adjust=False).mean()) and close(g.ema_50, c.ewm(span=50, adjust=False).mean())
+        reach = pd.concat([h - low, (h - c.shift()).abs(), (low - c.shift()).abs()], axis=1).max(axis=1)
+        assert close(g.atr_2, reach.ewm(alpha=0.5, adjust=False).mean())
+        move = c.diff().fillna(0)
+        gain, loss = (m.clip(lower=0).ewm(alpha=0.5, adjust=False).mean() for m in (move, -move))
+        assert close(g.rsi_2.iloc[9:], (100 - 100 / (1 + gain / loss)).iloc[9:].reset_index(drop=True).set_axis(range(len(g) - 9)))
+        assert close(g.lowest_300, c.rolling(300, min_periods=1).min())
 
 
 def test_flat_prices_have_no_strength(spark):
