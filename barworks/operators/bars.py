@@ -119,10 +119,14 @@ def trading_days(bars: DataFrame) -> DataFrame:
     )
 
 
-def _first_end(then: Column) -> Column:
-    """The first packed item that ends at or after the instant of an event."""
-    found = F.try_element_at(F.filter("_items", lambda x: x["end_ts"] >= F.col("_at")), F.lit(1))["at"]
-    return F.coalesce(found, then)
+TOP_STEPS = 20  # a series may have so many doublings of groups
+
+
+def _first_end(then: Column, steps: int) -> Column:
+    """The first packed item that ends at or after the instant of an event, found by halving."""
+    halves = F.array(*[F.lit(1 << k) for k in range(steps, -1, -1)])
+    earlier = F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.get("_items", at + half - 1)["end_ts"] < F.col("_at"), at + half).otherwise(at))
+    return F.coalesce(F.get("_items", F.when(F.col("_at").isNotNull(), earlier))["at"], then)
 
 
 def _pack(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,13 +147,14 @@ def index_at_or_after(events: DataFrame, bars: DataFrame, at: str, name: str = "
     groups = _pack(blocks.select("epic", F.expr(f"_blk div {BLOCK}").alias("_grp"), F.col("_blk").alias("at"), last), ["epic", "_grp"])
     top = _pack(groups.select("epic", F.col("_grp").alias("at"), last), ["epic"])
     ends = blocks.groupBy("epic").agg(F.max_by(F.element_at("_items", -1)["at"], "_blk").alias("_last_idx"))
+    steps = BLOCK.bit_length() - 1
     # An event past the end has no group: it gets keys that match nothing and lie in many tasks.
     plain = [c for c, kind in events.dtypes if "map<" not in kind]
     nowhere = -1 - F.pmod(F.xxhash64(*plain), F.lit(9973))
     work = join_per_key(events.withColumns({"_at": F.col(at), "_no": nowhere}), top.join(ends, "epic"), ["epic"], "left")
-    work = work.withColumn("_grp", _first_end(F.col("_no"))).drop("_items")
-    work = work.join(groups, ["epic", "_grp"], "left").withColumn("_blk", _first_end(F.col("_no"))).drop("_items")
-    work = work.join(blocks, ["epic", "_blk"], "left").withColumn(name, _first_end(F.col("_last_idx"))).drop("_items")
+    work = work.withColumn("_grp", _first_end(F.col("_no"), TOP_STEPS)).drop("_items")
+    work = work.join(groups, ["epic", "_grp"], "left").withColumn("_blk", _first_end(F.col("_no"), steps)).drop("_items")
+    work = work.join(blocks, ["epic", "_blk"], "left").withColumn(name, _first_end(F.col("_last_idx"), steps)).drop("_items")
     return work.drop("_at", "_no", "_grp", "_blk", "_last_idx")
 
 

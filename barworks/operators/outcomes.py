@@ -9,24 +9,29 @@ horizon and no pair explosion.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barworks.operators.ordered import SALTS, join_per_key, running_max_before
-from barworks.session import materialize
+from barworks.operators.ordered import SALTS, join_per_key
+from barworks.session import materialize, materialize_with
 
 BLOCK = 256
-FOLD_LIMIT = 4096
+CHUNK = 512  # positions in a chunk of the selection
+NEVER = 2**62
 
 
 @dataclass(frozen=True)
 class TouchIndex:
     """Packed bars: blocks of bars, groups of blocks, the top row per series, and its last bar.
 
-    Blocks and groups are stored, so all searches read the same rows and Catalyst knows how large
-    they are. ``top`` is absent where no series is longer than one group. A search compares the
+    Blocks are stored, so all searches read the same rows and Catalyst knows how large they are.
+    ``top`` is absent where no series is longer than one group. A search compares the
     ``leaf`` legs of bars and the ``node`` extremes of blocks and groups.
     """
 
@@ -62,14 +67,14 @@ def touch_index(
     blocks = named.groupBy(*keys, F.expr(f"idx div {BLOCK}").alias("_part")).agg(
         F.expr("sort_array(collect_list(struct(idx AS at, lo, hi, close, ts)))").alias("_items")
     )
-    blocks = materialize(blocks)
+    blocks, last_block = materialize_with(blocks, F.max("_part"))
     spans = blocks.selectExpr(
         *keys, "_part AS at", "array_min(_items.lo) AS lo", "array_max(_items.hi) AS hi",
         "array_min(_items.close) AS close_lo", "array_max(_items.close) AS close_hi",
     )
-    groups = materialize(_packed(spans, keys, F.expr(f"at div {BLOCK}")))
+    groups = _packed(spans, keys, F.expr(f"at div {BLOCK}"))
     top = None
-    if (groups.agg(F.max("_part")).first()[0] or 0) > 0:
+    if (last_block or 0) >= BLOCK:
         spans = groups.selectExpr(
             *keys, "_part AS at", "array_min(_items.lo) AS lo", "array_max(_items.hi) AS hi",
             "array_min(_items.close_lo) AS close_lo", "array_max(_items.close_hi) AS close_hi",
@@ -307,98 +312,133 @@ def close_based_exit(events: DataFrame, close_index: TouchIndex, moving: bool =
     return _with(work, {"gate_idx": gate}).drop("touch", "last", "_stop", "_target", "_limit")
 
 
-def select_non_overlapping(
-    events: DataFrame, keys: list[str], at: str, free: str, fold_limit: int = FOLD_LIMIT
-) -> DataFrame:
+def select_non_overlapping(events: DataFrame, keys: list[str], at: str, free: str) -> DataFrame:
     """Keep the first event of each key, skip those before its ``free`` position, and so on.
 
-    An event that comes after every earlier event is free again is always kept, whatever was
-    chosen before. Such events cut a key into clusters that are settled on their own, so a key
-    with very many events is never gathered. A cluster above ``fold_limit`` events is settled by
-    pointer doubling instead of a fold. A null ``free`` means never free again. Of events at the
-    same position the one that is free first counts, ties by a hash of their other columns.
+    Positions are cut into chunks. What a chunk does is a table from the position that is free when it
+    is entered to the one that is free when it is left, with one step per run of equal results
+    (:func:`jump_table`). One pass over the tables of a key, in order and with a single number as
+    state, gives the entry of every chunk; then all chunks pick their events side by side. Events
+    themselves never leave their chunk, so a key with very many of them is spread, and nothing
+    depends on how long they block each other. A null ``free`` means never free again. Of events at
+    the same position the one that is free first counts, ties by a hash of their other columns.
     """
-    never = F.lit(2**62)
-    slim = events.groupBy(*keys, F.col(at).alias("_s")).agg(F.min(F.coalesce(F.col(free), never)).alias("_f"))
-    slim_chunk = [F.floor(F.col("_s") / 4096)]
-    seen = running_max_before(slim, keys, ["_s"], slim_chunk, F.col("_f"), "_busy")
-    fresh = F.col("_busy").isNull() | (F.col("_s") >= F.col("_busy"))
-    started = seen.withColumn("_start", F.when(fresh, F.col("_s")))
-    placed = running_max_before(started, keys, ["_s"], slim_chunk, F.col("_start"), "_before")
-    clustered = placed.select(
-        *keys, "_s", "_f", F.coalesce("_start", "_before").alias("_cluster")
-    )
-    sizes = clustered.groupBy(*keys, "_cluster").agg(F.count(F.lit(1)).alias("_size"))
-    sized = materialize(clustered.join(sizes, [*keys, "_cluster"]))
-    kept = _fold_clusters(sized.where(F.col("_size") <= fold_limit), keys)
-    large = sized.where(F.col("_size") > fold_limit)
-    if not large.isEmpty():
-        kept = kept.unionByName(_jump_clusters(large, keys))
-    chosen = events.join(kept.withColumnRenamed("_s", at), [*keys, at], "left_semi")
+    never = F.lit(NEVER).cast("long")
+    slim = events.groupBy(*keys, F.col(at).cast("long").alias("_s")).agg(F.min(F.coalesce(F.col(free).cast("long"), never)).alias("_f"))
+    chunk = F.floor(F.col("_s") / CHUNK).cast("long").alias("_chunk")
+    named = [T.StructField(f"_k{i}", events.schema[k].dataType) for i, k in enumerate(keys)]
+    own = [f.name for f in named]
+    dealt = slim.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], chunk, "_s", "_f")
+    dealt = dealt.repartition(*own, "_chunk").sortWithinPartitions(*own, "_chunk", "_s")
+    longs = T.ArrayType(T.LongType())
+    head = [*named, T.StructField("_chunk", T.LongType())]
+    arrays = [T.StructField(c, longs) for c in ("_s", "_f", "_enter", "_leave")]
+    tables = materialize(dealt.mapInArrow(_pack_chunks, T.StructType([*head, *arrays])))
+    ordered = tables.select(*own, "_chunk", "_enter", "_leave").repartition(*own).sortWithinPartitions(*own, "_chunk")
+    entries = ordered.mapInArrow(_enter_chunks, T.StructType([*head, T.StructField("_x", T.LongType())]))
+    met = tables.select(*own, "_chunk", "_s", "_f").join(entries, [*own, "_chunk"])
+    kept = met.select(*own, "_s", "_f", "_x").mapInArrow(_pick, T.StructType([*named, T.StructField("_s", T.LongType())]))
+    kept = kept.select(*[F.col(o).alias(k) for k, o in zip(keys, own)], F.col("_s").alias(at))
+    chosen = events.join(kept, [*keys, at], "left_semi")
     others = F.xxhash64(*[c for c, kind in events.dtypes if "map<" not in kind])
     place = Window.partitionBy(*keys, at).orderBy(F.coalesce(F.col(free), never), others)
     return chosen.withColumn("_tie", F.row_number().over(place)).where("_tie = 1").drop("_tie")
 
 
-def _fold_clusters(clusters: DataFrame, keys: list[str]) -> DataFrame:
-    state = "struct<free:bigint,kept:array<bigint>>"
-    start = F.struct(
-        F.lit(-1).cast("long").alias("free"), F.array().cast("array<bigint>").alias("kept")
-    ).cast(state)
-    ordered = F.sort_array(F.collect_list(F.struct("_s", "_f")))
-
-    def step(acc: Column, e: Column) -> Column:
-        take = F.struct(
-            e["_f"].alias("free"), F.concat(acc["kept"], F.array(e["_s"])).alias("kept")
-        ).cast(state)
-        return F.when(e["_s"] >= acc["free"], take).otherwise(acc)
-
-    return (
-        clusters.groupBy(*keys, "_cluster")
-        .agg(ordered.alias("_events"))
-        .select(*keys, F.explode(F.aggregate("_events", start, step, lambda acc: acc["kept"])).alias("_s"))
-    )
-
-
-def _jump_clusters(clusters: DataFrame, keys: list[str]) -> DataFrame:
-    """Settle long clusters by pointer doubling: each round doubles how far a kept event reaches."""
-    parts = tuple([*keys, "_cluster"])
-    as_bars = clusters.select(
-        *parts,
-        F.col("_s").alias("idx"),
-        F.lit(0.0).alias("level"),
-        F.lit(None).cast("timestamp").alias("end_ts"),
-    )
-    index = touch_index(as_bars, parts, low="level", high="level", close="level")
-    linked = first_touch(
-        clusters.withColumn("_after", F.col("_f") - 1), index, "_after", "0D", "CAST(NULL AS DOUBLE)"
-    )
-    hops = materialize(
-        linked.select(
-            *parts,
-            "_s",
-            F.col("touch.at").alias("_t"),
-            (F.col("_s") == F.col("_cluster")).alias("_kept"),
-        )
-    )
-    while not hops.where(F.col("_t").isNotNull()).isEmpty():
-        reached = (
-            hops.where(F.col("_kept") & F.col("_t").isNotNull())
-            .select(*parts, F.col("_t").alias("_s"))
-            .distinct()
-            .withColumn("_hit", F.lit(True))
-        )
-        onward = hops.where(F.col("_t").isNotNull()).select(
-            *parts, F.col("_s").alias("_t"), F.col("_t").alias("_t2")
-        )
-        hops = materialize(
-            hops.join(onward, [*parts, "_t"], "left")
-            .join(reached, [*parts, "_s"], "left")
-            .select(
-                *parts,
-                "_s",
-                F.col("_t2").alias("_t"),
-                (F.col("_kept") | F.coalesce("_hit", F.lit(False))).alias("_kept"),
-            )
-        )
-    return hops.where("_kept").select(*keys, "_s")
+def jump_table(s: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(enter, leave) of a chunk with events at the ascending positions ``s`` that are free at ``f``:
+    who comes with a position up to ``enter`` leaves with ``leave``; beyond the last one the chunk
+    changes nothing. Entries with one result are one step."""
+    last = len(s)
+    after = np.maximum(np.searchsorted(s, f), np.arange(1, last + 1)).tolist()
+    leave = f.tolist()
+    for i in range(last - 1, -1, -1):
+        if after[i] < last:
+            leave[i] = leave[after[i]]
+    leave = np.array(leave, dtype=np.int64)
+    ends = np.flatnonzero(np.append(leave[1:] != leave[:-1], True))
+    return s[ends], leave[ends]
+
+
+def picked(s: np.ndarray, f: np.ndarray, enter: int) -> np.ndarray:
+    """Positions that are kept of a chunk which is entered with a free position."""
+    out, i = [], int(np.searchsorted(s, enter))
+    while i < len(s):
+        out.append(i)
+        i = max(int(np.searchsorted(s, f[i])), i + 1)
+    return s[out]
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
+def _named(batch: pa.RecordBatch) -> list[str]:
+    return [name for name in batch.schema.names if name.startswith("_k")]
+
+
+def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per (key, chunk) with its events and its jump table, from rows sorted by position."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        cuts = _changes(whole, [*_named(whole), "_chunk"])
+        # The last run may go on in the next batch.
+        yield from _packed_rows(whole, cuts[:-1])
+        held = [whole.slice(cuts[-2])]
+    if held:
+        yield from _packed_rows(held[0], [0, held[0].num_rows])
+
+
+def _changes(batch: pa.RecordBatch, names: list[str]) -> list[int]:
+    """Starts of the runs of equal rows, and the end."""
+    rows = list(zip(*(batch.column(n).to_pylist() for n in names)))
+    return [0, *(i for i in range(1, len(rows)) if rows[i] != rows[i - 1]), len(rows)]
+
+
+def _packed_rows(batch: pa.RecordBatch, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+    if len(cuts) < 2:
+        return
+    s, f = batch.column("_s").to_numpy(), batch.column("_f").to_numpy()
+    spans = list(zip(cuts, cuts[1:]))
+    tables = [jump_table(s[a:b], f[a:b]) for a, b in spans]
+    names = [*_named(batch), "_chunk"]
+    heads = batch.select(names).take(pa.array(cuts[:-1]))
+    parts = [_lists([s[a:b] for a, b in spans]), _lists([f[a:b] for a, b in spans]), *(_lists(list(c)) for c in zip(*tables))]
+    yield pa.RecordBatch.from_arrays([*heads.columns, *parts], [*names, "_s", "_f", "_enter", "_leave"])
+
+
+def _enter_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The free position at the entry of every chunk, from tables sorted by key and chunk."""
+    key, free = None, 0
+    for batch in batches:
+        names = _named(batch)
+        out = []
+        for mine, enter, leave in zip(zip(*(batch.column(n).to_pylist() for n in names)), _arrays(batch.column("_enter")), _arrays(batch.column("_leave"))):
+            if mine != key:
+                key, free = mine, -NEVER
+            out.append(free)
+            step = int(np.searchsorted(enter, free))
+            if step < len(enter):
+                free = int(leave[step])
+        columns = [*batch.select([*names, "_chunk"]).columns, pa.array(out, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, [*names, "_chunk", "_x"])
+
+
+def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = _named(batch)
+        kept = [picked(s, f, x) for s, f, x in zip(_arrays(batch.column("_s")), _arrays(batch.column("_f")), batch.column("_x").to_pylist())]
+        rows = np.repeat(np.arange(batch.num_rows), [len(k) for k in kept])
+        heads = batch.select(names).take(pa.array(rows, pa.int64()))
+        positions = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([*heads.columns, pa.array(positions, pa.int64())], [*names, "_s"])

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 RATCHETS = ("NONE", "BREAKEVEN_AFTER_T1", "LAGGED")
 
@@ -156,8 +157,7 @@ def reference_grid(base: Arm = Arm()) -> list[Arm]:
 
 def table_of(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """Rows of the driver as a local relation, so that the optimizer knows their size."""
-    empty = spark.createDataFrame([], schema)
-    return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(empty.schema)))
+    return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(StructType.fromDDL(schema))))
 
 
 def arms_frame(spark: SparkSession, arms: list[Arm]) -> DataFrame:

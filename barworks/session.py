@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Runtime settings every job relies on: instants are UTC, plans adapt at run time.
 RUNTIME_CONF = {
@@ -74,3 +74,10 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_with(df: DataFrame, total: Column) -> tuple[DataFrame, object]:
+    """:func:`materialize`, and an aggregate of the rows that is taken while they are written."""
+    seen = Observation()
+    stored = materialize(df.observe(seen, total.alias("total")))
+    return stored, seen.get["total"]

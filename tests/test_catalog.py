@@ -54,7 +54,8 @@ def test_entry_runs(spark):
 @pytest.mark.parametrize(
     "name",
     ["b2_resample", "b6_bar_at_or_after", "b7_bar_window", "l1_first_touch", "l5_ratchet_lagged", "l9_non_overlapping",
-     "q3_slice_all", "a2_max_drawdown", "p7_entry_signals", "n5_mark_outcomes"],
+     "q3_slice_all", "a2_max_drawdown", "p7_entry_signals", "n5_mark_outcomes", "e1_full_grid_on_events", "e2_sweep_metrics",
+     "e7_promotion_gate", "b6_bar_at_or_after_hot_day"],
 )
 def test_no_nested_loops_or_cross_products(spark, name):
     plan = QUERIES[name](configure(spark), SF)._jdf.queryExecution().executedPlan().toString()

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,9 +130,10 @@ def _greedy(events):
     return kept
 
 
-@pytest.mark.parametrize("fold_limit", [10_000, 3])
-def test_non_overlapping_selection(spark, fold_limit):
-    """Also with clusters above the fold limit, which are settled by pointer doubling."""
+@pytest.mark.parametrize("chunk", [512, 7])
+def test_non_overlapping_selection(spark, monkeypatch, chunk):
+    """Chunks of many and of few positions; holds that are shorter and longer than a chunk."""
+    monkeypatch.setattr(X, "CHUNK", chunk)
     rng = random.Random(7)
     rows = []
     for key in range(6):
@@ -139,9 +141,31 @@ def test_non_overlapping_selection(spark, fold_limit):
             hold = rng.choice([1, 5, 400]) if key < 5 else 2_000
             rows.append((key, s, None if rng.random() < 0.005 and key == 0 else s + hold))
     ev = spark.createDataFrame(rows, "k int, s long, f long")
-    out = X.select_non_overlapping(ev, ["k"], "s", "f", fold_limit).collect()
+    out = X.select_non_overlapping(ev, ["k"], "s", "f").collect()
     for key in range(6):
         assert sorted(r["s"] for r in out if r["k"] == key) == _greedy([r[1:] for r in rows if r[0] == key])
     tied = spark.createDataFrame([(1, 1, 9), (1, 1, 5), (1, 1, 5), (1, 5, 6), (1, 7, 8)], "k int, s long, f long")
-    kept = X.select_non_overlapping(tied, ["k"], "s", "f", fold_limit).collect()
+    kept = X.select_non_overlapping(tied, ["k"], "s", "f").collect()
     assert sorted((r["s"], r["f"]) for r in kept) == [(1, 5), (5, 6), (7, 8)]
+
+
+def test_selection_in_one_cluster_of_a_million_events(spark):
+    """Every event blocks the next thousand, so no event is free whatever came before."""
+    ev = spark.range(1_000_000).select(F.lit("k").alias("k"), F.col("id").alias("s"), (F.col("id") + 1000).alias("f"))
+    kept = [r.s for r in X.select_non_overlapping(ev, ["k"], "s", "f").select("s").collect()]
+    assert sorted(kept) == list(range(0, 1_000_000, 1000))
+
+
+def test_jump_table_equals_a_walk():
+    rng = random.Random(4)
+    for _ in range(200):
+        s = sorted(rng.sample(range(60), rng.randint(1, 20)))
+        f = [x + rng.choice([-3, 0, 1, 4, 30, 200]) for x in s]
+        enter, leave = X.jump_table(np.array(s), np.array(f))
+        for x in range(-2, 70):
+            free = x
+            for a, b in zip(s, f):
+                if a >= free:
+                    free = b
+            step = int(np.searchsorted(enter, x))
+            assert (leave[step] if step < len(enter) else x) == free
