@@ -24,7 +24,7 @@ from barworks.session import materialize
 
 PARTS = 4
 QUERY_ROWS, VECTOR_ROWS = 256, 4096
-LIMIT = 1 << 27  # components from here on could overflow a score; such vectors take no part
+LARGEST = 1 << 60  # partial scores from here on raise, so that sums and differences of them fit a long
 SALTS = 16
 
 
@@ -32,13 +32,15 @@ def quantised(embeddings: DataFrame) -> DataFrame:
     """(vec_id, v): floor(1024 * x) of every component; each (id, vector) once.
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows without
-    id and components of 2^27 or more in size.
+    id. A component that no long can hold raises.
     """
-    scaled = F.transform("embedding", lambda x: x.cast("double") * 1024)
-    good = F.forall("s", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LIMIT))
+    scaled = F.transform("embedding", lambda x: x.cast("double"))
+    good = F.forall("s", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("s"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("s").isNotNull() & good)
-    return rows.select("vec_id", F.transform("s", lambda x: F.floor(x).cast("long")).alias("v")).distinct()
+    too_large = F.raise_error(F.lit("a component is too large for a score")).cast("long")
+    whole = F.transform("s", lambda x: F.when(F.abs(x * 1024) < float(1 << 63), F.floor(x * 1024).cast("long")).otherwise(too_large))
+    return rows.select("vec_id", whole.alias("v")).distinct()
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -65,11 +67,17 @@ def packed(rows: DataFrame, id_column: str, name: str, size: int, total: int) ->
 
 
 def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products; in floating point where that is exact."""
-    top = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * queries.shape[1]
+    """Inner products; in floating point where that is exact, and in whole numbers of any size where
+    a long could overflow. A score that does not fit raises."""
+    top = float(np.abs(queries.astype(float)).max(initial=0)) * float(np.abs(vectors.astype(float)).max(initial=0)) * queries.shape[1]
     if top < 2**52:
         return (queries.astype(float) @ vectors.astype(float).T).astype(np.int64)
-    return queries @ vectors.T
+    if top < LARGEST:
+        return queries @ vectors.T
+    exact = queries.astype(object) @ vectors.astype(object).T
+    if np.abs(exact).max(initial=0) >= LARGEST:
+        raise OverflowError("a score is too large for a long")
+    return exact.astype(np.int64)
 
 
 def _cut(dim: int) -> list[slice]:
