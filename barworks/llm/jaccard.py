@@ -149,16 +149,16 @@ def identify(docs: DataFrame, join: Join, ref: Column) -> DataFrame:
                 [
                     batch.column("ref"),
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array(sizes, pa.int64()),
                     signed(np.array(nodes, dtype=np.uint64)),
                     signed(np.array(checks, dtype=np.uint64)),
                 ],
-                ["ref", "doc_id", "n_shingles", "node", "check"],
+                ["ref", "doc_id", "text_hash", "n_shingles", "node", "check"],
             )
 
-    return docs.select(ref.alias("ref"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        identified, "ref long, doc_id long, n_shingles long, node long, check long"
-    )
+    rows = docs.select(ref.alias("ref"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(identified, "ref long, doc_id long, text_hash long, n_shingles long, node long, check long")
 
 
 def allocate(docs: DataFrame, join: Join, bands: list[tuple[int, int]], total: int):
@@ -396,13 +396,20 @@ def _signed(value: int) -> int:
 
 
 def similarity_classes(docs: DataFrame, join: Join) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) per document, repeated rows included.
+    """(doc_id, n_shingles, component_id, node) per document, repeated rows included: see
+    :func:`similarity_groups`."""
+    return similarity_groups(docs, join).select("doc_id", "n_shingles", "component_id", "node")
+
+
+def similarity_groups(docs: DataFrame, join: Join) -> DataFrame:
+    """(doc_id, n_shingles, component_id, node, text_hash, group) per document, repeated rows included.
 
     ``component_id`` is the smallest doc_id reachable by links, itself included. A document
     without words or text has an empty set, is linked with nothing and is its own component. Equal
     sets are one node, so groups of copies are joined before anything is compared. Rows whose
     doc_id is null take part in links but name no component: one that only such rows share is
-    null. Other columns are ignored. The two 64-bit ids of a set are checked against each other;
+    null. ``group`` names the component even where documents of several share a doc_id. Other columns
+    are ignored. The two 64-bit ids of a set are checked against each other;
     a clash raises.
     """
     spark = prepared(docs.sparkSession)
@@ -436,26 +443,30 @@ def similarity_classes(docs: DataFrame, join: Join) -> DataFrame:
     joined = components(links)
     named = joined.join(sets.select("node", "doc"), "node")
     smallest = named.groupBy("root").agg(F.min("doc").alias("component"))
-    of_set = named.join(smallest, "root").select("node", "component")
+    of_set = named.join(smallest, "root").select("node", "component", "root")
     ids = sets.select("node", "doc").join(of_set, "node", "left").select(
-        "node", F.coalesce("component", "doc").alias("component")
+        "node", F.coalesce("component", "doc").alias("component"), F.coalesce("root", "node").alias("group")
     )
     empty = F.col("n_shingles") == 0
     # A third of all documents may be copies of one text; their node is spread over salts.
     return join_per_key(rows, ids, ["node"], "left", salts=8).select(
-        "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "node"
+        "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "node",
+        "text_hash", "group",
     )
 
 
 def one_per_class(docs: DataFrame, join: Join) -> DataFrame:
-    """The rows of the smallest doc_id of every similarity class, with their own columns.
+    """One row of every similarity class, with its own columns, and every row without words.
 
-    Where rows repeat that doc_id, one of them stays. A document without words stays, and so does
-    one without doc_id.
+    It is the row with the smallest doc_id of the class, those without one last, then that with the
+    smallest hash of its text; of equal rows one stays. A class is one of texts: where rows with one
+    doc_id have texts of several classes, each of the classes keeps a row.
     """
-    classes = similarity_classes(docs, join)
-    kept = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.max("n_shingles").alias("_n"))
-    out = docs.where("doc_id IS NOT NULL").join(kept.hint("merge"), "doc_id")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").desc()))
-    out = out.withColumn("_at", first).where("_at = 1 OR _n = 0").select(*docs.columns)
-    return out.unionByName(docs.where("doc_id IS NULL"))
+    groups = similarity_groups(docs, join).where("n_shingles > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("at")
+    kept = groups.groupBy("group").agg(first).select(F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    has_words = F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["text_hash"] == kept["text_hash"])
+    chosen = rows.where(has_words).join(kept.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return chosen.select("row.*").unionByName(rows.where(~has_words).select("row.*"))

@@ -1,14 +1,17 @@
-"""Word shingles of a text as sets of 64-bit hashes, without a Python step per word."""
+"""Word shingles of a text as sets of 64-bit hashes."""
 
 from __future__ import annotations
 
+import itertools
+import re
+import string
+from collections import defaultdict
+
 import numpy as np
 import xxhash
 
-_WHITE = np.zeros(256, dtype=bool)
-_WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+_LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 _ODD = 0x9E3779B97F4A7C15
 _PIECE = 1 << 22
 
@@ -24,34 +27,11 @@ def mix(values: np.ndarray) -> np.ndarray:
     return v
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
-_powers = np.ones(1, dtype=np.uint64)
-_inverse = np.ones(1, dtype=np.uint64)
-
-
-def _grow(n: int) -> None:
-    global _powers, _inverse
-    size = max(1 << 12, 1 << (n - 1).bit_length())
-
-    def powers(base: int) -> np.ndarray:
-        out = np.full(size, base, dtype=np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
-
-    _powers, _inverse = powers(_ODD), powers(pow(_ODD, -1, 1 << 64))
-
-
-def _hash_piece(data: np.ndarray) -> np.ndarray:
-    n = len(data)
-    if n > len(_powers):
-        _grow(n)
-    white = np.ones(n + 2, dtype=np.int8)
-    white[1:-1] = _WHITE[data]
-    edges = np.flatnonzero(np.diff(white))
-    starts, ends = edges[0::2], edges[1::2]
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * _powers[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _inverse[starts])
+def _hash_piece(data: bytes) -> np.ndarray:
+    code_of: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    words = data.translate(_LOWER).split()
+    codes = np.fromiter(map(code_of.__getitem__, words), dtype=np.int64, count=len(words))
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in code_of], dtype=np.uint64)[codes]
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -59,19 +39,13 @@ def word_hashes(text: bytes) -> np.ndarray:
 
     Long texts are cut at white space, so memory does not follow the length of the text.
     """
-    data = np.frombuffer(text, dtype=np.uint8)
-    if len(data) <= _PIECE:
-        return _hash_piece(data)
+    if len(text) <= _PIECE:
+        return _hash_piece(text)
     out, start = [], 0
-    while start < len(data):
-        stop = min(len(data), start + _PIECE)
-        while stop < len(data):
-            gap = np.flatnonzero(_WHITE[data[stop : stop + _PIECE]])
-            if len(gap):
-                stop += int(gap[0])
-                break
-            stop = min(len(data), stop + _PIECE)
-        out.append(_hash_piece(data[start:stop]))
+    while start < len(text):
+        gap = _WHITE.search(text, start + _PIECE)
+        stop = gap.start() if gap else len(text)
+        out.append(_hash_piece(text[start:stop]))
         start = stop
     return np.concatenate(out)
 

@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from barworks.llm import bpe, chat, hilbert, jaccard, kneser_ney, licenses, mixing, quality, sequences, topk
+from barworks.llm import bpe, chat, hilbert, jaccard, kneser_ney, licenses, mixing, quality, sequences, shingles, topk
 from barworks.llm.arrow import prepared
 from barworks.llm.graph import components
 from barworks.llm.licence_texts import KNOWN
@@ -101,6 +101,24 @@ def test_one_per_class_keeps_one_of_each(docs):
     assert ids.count(5) == 1 and 6 not in ids and 7 not in ids and 0 in ids
 
 
+def test_every_class_of_a_shared_doc_id_keeps_a_row(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (1, b), (2, b), (5, ""), (5, b + " x"), (None, b), (None, "c d e f g"), (None, "c d e f g"), (None, None), (1, a)]
+    table = spark.createDataFrame([(*r, 9, "y") for r in rows], "doc_id long, text string, _n long, text_hash string")
+    kept = jaccard.one_per_class(table, jaccard.Join(5, 80))
+    assert kept.columns == table.columns
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter([(1, a), (1, b), (5, ""), (None, "c d e f g"), (None, None)])
+
+
+def test_words_of_crafted_letters_are_told_apart(spark):
+    """Parity words and their complements, which a polynomial hash takes for equal."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    x, y = "".join("ab"[v] for v in bits), "".join("ba"[v] for v in bits)
+    assert len(set(shingles.word_hashes(f"{x} {y} {x.upper()}".encode()).tolist())) == 2
+    table = spark.createDataFrame([(1, f"first {x} end here"), (2, f"first {y} end here")], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.similarity_classes(table, jaccard.Join(3, 90)).collect()} == {1, 2}
+
+
 def test_similarity_classes_of_nothing(none):
     assert jaccard.similarity_classes(none, jaccard.Join(3, 90)).count() == 0
 
@@ -242,6 +260,17 @@ def test_top_k_by_force(spark):
     assert topk.top_k(table.where("false")).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1.0, 1.0]), (1, [2.0, 0.0]), (2, [131072.0, 0.0]), (3, [0.0, -1.0]), (100, [1e6, 1e6]), (4, [3e5, -3e5])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
+    e = {i: [int(1024 * x) for x in v] for i, v in rows}
+    for q in (0, 100):
+        best = sorted((-sum(a * b for a, b in zip(e[q], e[v])), v) for v in e if v != q)[:3]
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(v, -s) for s, v in best]
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_chat_reads_back(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "### Assistant: </turn> \\ \\\\"), (1, 2, None, None), (2, None, "a:b\\", "x\n"), (2, 0, "assistant", ""), (None, 0, "user", "q")]
     rows += [(3, i, "user" if i % 2 else "assistant", f"turn {i}") for i in range(200)]
