@@ -63,8 +63,9 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(prepared(spark))}/tokens-{uuid.uuid4().hex}"
-    ids = materialize(bpe.encode_texts(_table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, schema="ids binary"))
-    sequences.write_training_order(ids, path, end=bpe.vocabulary_size(VOCABULARY))
+    end = bpe.vocabulary_size(VOCABULARY)
+    ids = materialize(bpe.encode_texts(_table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, sequences.narrowed(end), "ids binary"))
+    sequences.write_training_order(ids, path, end=end, given=sequences.id_type(end))
     return sequences.read_shards(spark, path).select(
         "slot", "shard", "doc_id", "piece", "n_tokens", F.crc32("payload").alias("payload_crc32")
     )

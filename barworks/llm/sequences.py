@@ -24,6 +24,9 @@ from barworks.session import materialize
 LENGTH = 512  # tokens in a sequence
 END_OF_TEXT = 256  # after the 256 byte values
 PER_SHARD = 8192
+CHUNKS = 1 << 16  # in which documents are numbered
+WRITERS = 1 << 16  # tasks that write shards, at most
+OUT_BYTES = 1 << 22  # of ids that a task cuts at a time
 ROUNDS = 6
 KEY = 20260101
 
@@ -52,108 +55,109 @@ def feistel(number: np.ndarray, total: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def byte_tokens(text: bytes) -> np.ndarray:
-    """One id per byte and an end-of-text id."""
-    return np.append(np.frombuffer(text, np.uint8).astype(np.uint16), np.uint16(END_OF_TEXT))
-
-
 def id_type(end: int) -> str:
     """How ids up to ``end`` are written: little-endian unsigned integers of 16 or 32 bits."""
     return "<u2" if end < 1 << 16 else "<u4"
 
 
-def given_tokens(ids: bytes, end: int) -> np.ndarray:
-    """The ids of a text, which are little-endian unsigned 32-bit integers, and an end-of-text id."""
-    tokens = np.frombuffer(ids, "<u4")
-    if len(tokens) and tokens.max() >= end:
-        raise ValueError(f"id {tokens.max()} is not below the end-of-text id {end}")
-    return np.append(tokens, np.uint32(end))
-
+def narrowed(end: int):
+    """For an encoder whose ids are 32-bit integers: the ids of a text as :func:`id_type` writes them."""
+    written = id_type(end)
+    return lambda ids, _: (np.frombuffer(ids, "<u4").astype(written).tobytes(),)
 
-def _starts(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
-    """(part, start) for each input partition: number of its first sequence; and their total."""
-    size = F.octet_length(F.coalesce("ids", F.lit(b""))) / 4 if "ids" in docs.columns else F.octet_length(F.coalesce("text", F.lit("")))
-    pieces = F.ceil((size + 1) / length).cast("long")
-    counts = materialize(docs.select(F.spark_partition_id().alias("part"), pieces.alias("n")).groupBy("part").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    # One row per input partition; numbered in thousands, so no window takes all of them.
-    group = F.floor(F.col("part") / 1000)
-    tops = counts.groupBy(group.alias("g")).agg(F.sum("n").alias("n"))
-    tops = tops.select("g", (F.sum("n").over(Window.orderBy("g")) - F.col("n")).alias("off"))
-    inside = F.sum("n").over(Window.partitionBy("g").orderBy("part")) - F.col("n")
-    return counts.withColumn("g", group).withColumn("before", inside).join(tops, "g").select("part", (F.col("before") + F.col("off")).alias("start")), total
 
+def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, hash, n, copies, start) per distinct row: its number of sequences and that of the
+    first one; and the total.
 
-def write_training_order(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end: int = END_OF_TEXT) -> int:
+    Rows are numbered in the order of (chunk, doc_id, hash of the ids), the chunk being a hash of the
+    other two, so numbers depend on nothing but the documents. Windows run inside a chunk, and over
+    the totals of the chunks.
+    """
+    facts = rows.groupBy("doc_id", "hash", "n").agg(F.count(F.lit(1)).alias("copies"))
+    facts = facts.withColumns({"chunk": F.pmod(F.xxhash64("doc_id", "hash"), F.lit(CHUNKS)), "all": F.col("n") * F.col("copies")})
+    facts = materialize(facts)
+    tops = facts.groupBy("chunk").agg(F.sum("all").alias("all"))
+    tops = tops.select("chunk", (F.sum("all").over(Window.orderBy("chunk")) - F.col("all")).alias("offset"))
+    inside = Window.partitionBy("chunk").orderBy("doc_id", "hash").rowsBetween(Window.unboundedPreceding, 0)
+    before = facts.withColumn("before", F.sum("all").over(inside) - F.col("all")).join(tops, "chunk")
+    starts = before.select("doc_id", "hash", "n", "copies", (F.col("before") + F.col("offset")).alias("start"))
+    return materialize(starts), facts.agg(F.sum("all")).first()[0] or 0
+
+
+def write_training_order(
+    docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end: int = END_OF_TEXT, given: str = "<u4"
+) -> int:
     """Write all sequences of ``docs`` to shards under ``path`` and return how many there are.
 
-    Documents are rows (doc_id, ids), with the ids of any tokenizer as little-endian unsigned 32-bit
-    integers below the end-of-text id ``end``, or rows (doc_id, text), where each byte is an id and
-    256 ends a text. A document is its ids and an end-of-text id, cut into sequences of ``length``
-    ids; the last is filled up with end-of-text ids. Rows are (slot, doc_id, piece, n_tokens,
-    payload), the payload ``length`` integers of :func:`id_type`, ordered by slot inside each shard
-    folder. Null and empty texts or ids give one sequence; repeated rows give sequences of their own; an empty
-    table writes no shard. The numbers follow the order of the input, so ``docs`` must be a table
-    as read, which repeats its order; the written shards are checked to hold every slot once.
+    Documents are rows (doc_id, ids), with the ids of any tokenizer as integers of the type ``given``
+    below the end-of-text id ``end``, or rows (doc_id, text) where ``ids`` is no column of bytes:
+    then each byte of a text is an id and 256 ends it. A document is its ids and an end-of-text id,
+    cut into sequences of ``length`` ids; the last is filled up with end-of-text ids. Rows are (slot,
+    doc_id, piece, n_tokens, payload), the payload ``length`` integers of :func:`id_type`, ordered by
+    slot inside each shard folder; a task writes a range of shards. Slots follow from the key and the
+    documents alone, whatever files they lie in. Null and empty texts or ids give one sequence;
+    repeated rows give sequences of their own; other columns are ignored; an empty table writes no
+    shard. The written shards are checked to hold every slot once.
     """
     spark = prepared(docs.sparkSession)
-    source = "ids" if "ids" in docs.columns else "text"
+    source = "ids" if dict(docs.dtypes).get("ids") == "binary" else "text"
     if source == "text" and end != END_OF_TEXT:
         raise ValueError("bytes of texts end with the id 256")
-    written = id_type(end)
-    held = written if source == "ids" else "u1"
-    starts, total = _starts(docs, length)
+    held, written = np.dtype(given if source == "ids" else "u1"), np.dtype(id_type(end))
+    raw = F.coalesce(F.col(source).cast("binary"), F.lit(b""))
+    count = F.ceil((F.octet_length(raw) / held.itemsize + 1) / length).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(raw).alias("hash"), count.alias("n"), raw.alias("raw"))
+    starts, total = _starts(rows)
     shards = max(1, math.ceil(total / per_shard))
-    parts = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), source)
+    known = starts.toDF("_doc", "_hash", "_n", "copies", "start")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash"))
+    each = ["doc_id", "hash", "n", "raw", "start"]
+    single = rows.join(known.where("copies = 1"), same).select(*each)
+    # Equal rows are told apart by any order: they have the same ids.
+    copy = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy("n")) - 1
+    several = rows.join(known.where("copies > 1"), same).select(*each, copy.alias("copy")).withColumn("start", F.col("start") + F.col("copy") * F.col("n"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
-        for batch in batches:
-            ids, at, place, sizes, rows = batch.column("doc_id").to_pylist(), [], [], [], []
-            part = batch.column("part").to_pylist()
-            names = []
-            for doc, raw in zip(ids, as_bytes(batch.column(source))):
-                tokens = given_tokens(raw, end) if source == "ids" else byte_tokens(raw)
-                for piece in range(-(-len(tokens) // length)):
-                    some = tokens[piece * length : (piece + 1) * length]
-                    names.append(doc)
-                    place.append(piece)
-                    sizes.append(len(some))
-                    # The end-of-text id does not fit a byte: it is where the others end.
-                    rows.append(some[some != end].astype(held).tobytes())
-                    at.append(number)
-                    number += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[:1] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(names, pa.int64()), pa.array(place, pa.int32()), pa.array(sizes, pa.int32()), pa.array(rows, pa.binary())],
-                ["part", "local", "doc_id", "piece", "n_tokens", "bytes"],
-            )
-
-    def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            number = np.array(batch.column("number").to_pylist(), dtype=np.int64)
-            slot = pa.array(feistel(number, total, key))
-            yield pa.RecordBatch.from_arrays([slot, *(batch.column(c) for c in ("doc_id", "piece", "n_tokens", "bytes"))], ["slot", "doc_id", "piece", "n_tokens", "bytes"])
-
-    def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = length * written.itemsize
         for batch in batches:
-            out = []
-            for raw in as_bytes(batch.column("bytes")):
-                row = np.full(length, end, dtype=written)
-                some = np.frombuffer(raw, held)
-                row[: len(some)] = some
-                out.append(row.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("shard", "slot", "doc_id", "piece", "n_tokens")), pa.array(out, pa.binary())],
-                ["shard", "slot", "doc_id", "piece", "n_tokens", "payload"],
-            )
-
-    pieces = parts.mapInArrow(cut, "part int, local long, doc_id long, piece int, n_tokens int, bytes binary")
-    numbered = pieces.join(starts, "part").select((F.col("start") + F.col("local")).alias("number"), "doc_id", "piece", "n_tokens", "bytes")
-    slots = numbered.mapInArrow(slotted, "slot long, doc_id long, piece int, n_tokens int, bytes binary")
+            starts_, counts = batch.column("start").to_numpy(), batch.column("n").to_numpy()
+            names, raws = batch.column("doc_id"), as_bytes(batch.column("raw"))
+            first = 0
+            while first < len(raws):
+                last, size = first, 0
+                while last < len(raws) and size < OUT_BYTES:
+                    size += len(raws[last])
+                    last += 1
+                n = counts[first:last]
+                piece = np.concatenate([np.arange(k) for k in n])
+                slot = feistel(np.repeat(starts_[first:last], n) + piece, total, key)
+                tokens = np.full(len(slot), length, dtype=np.int32)
+                out = []
+                for raw_, k in zip(raws[first:last], n.tolist()):
+                    ids = np.frombuffer(raw_, held)
+                    if source == "ids" and len(ids) and ids.max() >= end:
+                        raise ValueError(f"id {ids.max()} is not below the end-of-text id {end}")
+                    data = raw_ if held == written else ids.astype(written).tobytes()
+                    out += [data[i * width : (i + 1) * width] for i in range(k)]
+                    tokens[len(out) - 1] = len(ids) - (k - 1) * length + 1
+                docs_ = names.slice(first, last - first).take(pa.array(np.repeat(np.arange(last - first), n)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(slot), docs_, pa.array(piece.astype(np.int32)), pa.array(tokens), pa.array(out, pa.binary())],
+                    ["slot", "doc_id", "piece", "n_tokens", "bytes"],
+                )
+                first = last
+
+    pieces = single.select("doc_id", "raw", "start", "n").unionByName(several.select("doc_id", "raw", "start", "n"))
+    slots = pieces.mapInArrow(cut, "slot long, doc_id long, piece int, n_tokens int, bytes binary")
     shard = F.floor(F.col("slot") / per_shard).cast("int")
-    dealt = slots.withColumn("shard", shard).repartition(min(shards, 4096), "shard").sortWithinPartitions("shard", "slot")
-    rows = dealt.mapInArrow(widened, "shard int, slot long, doc_id long, piece int, n_tokens int, payload binary")
-    rows.write.partitionBy("shard").parquet(path)
+    tasks = min(shards, WRITERS)
+    dealt = slots.withColumn("shard", shard).repartitionById(tasks, F.floor(F.col("shard").cast("long") * tasks / shards).cast("int"))
+    # The end-of-text id fills a sequence up, also where it ends its text.
+    fill = F.lit(np.array([end], dtype=written).tobytes())
+    payload = F.rpad("bytes", F.lit(length * written.itemsize), fill).alias("payload")
+    ordered = dealt.sortWithinPartitions("shard", "slot").select("shard", "slot", "doc_id", "piece", "n_tokens", payload)
+    ordered.write.partitionBy("shard").parquet(path)
     if total:
         _check(spark, path, total, per_shard)
     return total
@@ -167,7 +171,7 @@ def _check(spark: SparkSession, path: str, total: int, per_shard: int) -> None:
     right = (F.col("lo") == F.col("shard").cast("long") * per_shard) & (F.col("hi") == F.least((F.col("shard") + 1).cast("long") * per_shard, F.lit(total)) - 1)
     row = found.agg(F.sum("n"), F.count(F.when(~right | (F.col("n") != F.col("hi") - F.col("lo") + 1), 1))).first()
     if row[0] != total or row[1]:
-        raise RuntimeError("the input changed its order while it was read; write it to a table first")
+        raise RuntimeError("the input changed while it was read; write it to a table first")
 
 
 def read_shards(spark: SparkSession, path: str, from_slot: int = 0, per_shard: int = PER_SHARD) -> DataFrame:

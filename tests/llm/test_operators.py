@@ -228,7 +228,7 @@ def test_training_order_round_trip(spark, docs, none, tmp_path):
 
 def test_training_order_of_token_ids(spark, docs, tmp_path):
     end = bpe.vocabulary_size(VOCABULARY)
-    ids = bpe.encode_texts(docs, VOCABULARY, public_tokenizers.PATTERN, schema="ids binary").where("doc_id <> 2").localCheckpoint()
+    ids = bpe.encode_texts(docs, VOCABULARY, public_tokenizers.PATTERN, schema="ids binary").where("doc_id <> 2")
     want = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in ids.where("doc_id NOT IN (5)").collect()}
     for last, width in ((end, 2), (1 << 20, 4)):
         path = str(tmp_path / f"{last}")
@@ -241,6 +241,31 @@ def test_training_order_of_token_ids(spark, docs, tmp_path):
         assert all(found[i] == [*v, last] for i, v in want.items())
 
 
+def test_slots_do_not_depend_on_files(spark, docs, tmp_path):
+    """Rows in 3 and in 7 files, with repeated ones, a clashing column, and the order by brute force."""
+    table = docs.drop("n").union(docs.drop("n").where("doc_id IN (5, 9) OR doc_id IS NULL")).withColumn("ids", F.lit("no ids"))
+    found = []
+    for files in (3, 7):
+        table.repartition(files).write.parquet(str(tmp_path / f"in{files}"))
+        path = str(tmp_path / f"out{files}")
+        total = sequences.write_training_order(spark.read.parquet(str(tmp_path / f"in{files}")), path, length=64, per_shard=100)
+        found.append(sorted((r.slot, r.doc_id, r.piece, r.n_tokens, bytes(r.payload)) for r in sequences.read_shards(spark, path).collect()))
+    assert found[0] == found[1] and len(found[0]) == total
+    raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    place = F.pmod(F.xxhash64("doc_id", F.xxhash64(raw)), F.lit(sequences.CHUNKS))
+    rows = table.select(place.alias("c"), "doc_id", F.xxhash64(raw).alias("h"), raw.alias("raw")).collect()
+    rows.sort(key=lambda r: (r.c, r.doc_id is not None, r.doc_id, r.h))
+    want, number = [], 0
+    for r in rows:
+        tokens = [*r.raw, 256]
+        for piece in range(-(-len(tokens) // 64)):
+            some = tokens[piece * 64 : piece * 64 + 64]
+            slot = int(sequences.feistel(np.array([number]), total, sequences.KEY)[0])
+            want.append((slot, r.doc_id, piece, len(some), np.array(some + [256] * (64 - len(some)), "<u2").tobytes()))
+            number += 1
+    assert found[0] == sorted(want)
+
+
 def test_top_k_by_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=12).tolist()) for i in range(300)]
