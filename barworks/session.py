@@ -65,6 +65,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def files_of(spark: SparkSession, path: str):
+    """The file system of a path, and the path as that knows it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a result that several later stages read, and read it back.
 

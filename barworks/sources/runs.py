@@ -14,6 +14,7 @@ from barworks.operators.bars import bar_window
 from barworks.operators.ordered import join_per_key
 from barworks.plans.arms import config_hash
 from barworks.schemas import require
+from barworks.session import files_of
 
 RUN_COLUMNS = (
     "id", "created_at", "label", "config_json", "instrument", "timeframe_min", "window_start",
@@ -55,22 +56,16 @@ def _save(heads: DataFrame, trades: DataFrame, root: str, heads_name: str, trade
     return attempt
 
 
-def _files(spark: SparkSession, path: str):
-    """The file system of a path, and the path as it knows it."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
 def _commit(spark: SparkSession, manifest: str, attempt: str) -> None:
     """Put the attempt under the first free number; creating a file that exists fails, so a number
     that another writer has taken meanwhile is left to it."""
-    files, where = _files(spark, manifest)
+    files, where = files_of(spark, manifest)
     files.mkdirs(where)
     number = max((int(f.getPath().getName()) for f in files.listStatus(where)), default=0)
     while True:
         number += 1
         try:
-            out = files.create(_files(spark, f"{manifest}/{number:012d}")[1], False)
+            out = files.create(files_of(spark, f"{manifest}/{number:012d}")[1], False)
         except Py4JJavaError as error:
             if "FileAlreadyExists" not in error.java_exception.getClass().getName():
                 raise
@@ -143,14 +138,14 @@ def clean(spark: SparkSession, root: str, heads_name: str, trades_name: str, key
     """Delete the folders of attempts that no id is read from any more and that are old enough not to
     be under way; returns their names."""
     kept = {r.attempt for r in _current(spark, root, heads_name, key).select("attempt").distinct().collect()}
-    files, where = _files(spark, f"{root}/{trades_name}")
+    files, where = files_of(spark, f"{root}/{trades_name}")
     gone = []
     for folder in files.listStatus(where):
         name = folder.getPath().getName()
         attempt = name.removeprefix("attempt=")
         if name.startswith("attempt=") and attempt not in kept and folder.getModificationTime() < (time.time() - older_than_s) * 1000:
             for table in (trades_name, heads_name):
-                files.delete(_files(spark, f"{root}/{table}/{name}")[1], True)
+                files.delete(files_of(spark, f"{root}/{table}/{name}")[1], True)
             gone.append(attempt)
     return gone
 

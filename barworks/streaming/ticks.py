@@ -6,13 +6,13 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from barworks.schemas import STREAM_MESSAGE
+from barworks.session import files_of
 
 
 @dataclass(frozen=True)
@@ -124,13 +124,10 @@ def _stream_id(spark: SparkSession, checkpoint: str) -> str:
 def _landed_by_others(spark: SparkSession, path: str, batch: DataFrame, stream: str, number: int) -> DataFrame | None:
     """Rows of the ledger that another batch of this or another stream has landed."""
     schema = T.StructType([*batch.schema.fields, T.StructField("stream_id", T.StringType()), T.StructField("batch_id", T.LongType())])
-    try:
-        landed = spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    files, where = files_of(spark, path)
+    if not files.exists(where):
         return None
-    return landed.where((F.col("stream_id") != stream) | (F.col("batch_id") != number))
+    return spark.read.schema(schema).parquet(path).where((F.col("stream_id") != stream) | (F.col("batch_id") != number))
 
 
 def land(
