@@ -110,13 +110,14 @@ def write_training_order(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(raw).alias("hash"), count.alias("n"), raw.alias("raw"))
     starts, total = _starts(rows)
     shards = max(1, math.ceil(total / per_shard))
-    known = starts.toDF("_doc", "_hash", "_n", "copies", "start")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash"))
-    each = ["doc_id", "hash", "n", "raw", "start"]
-    single = rows.join(known.where("copies = 1"), same).select(*each)
+    # Plain keys, so that the join and the numbers of equal rows share one shuffle.
+    keys = ["_doc", "_none", "hash"]
+    named = {"_doc": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()}
+    known = starts.withColumns(named).select(*keys, "start")
+    joined = rows.withColumns(named).join(known.hint("merge"), keys)
     # Equal rows are told apart by any order: they have the same ids.
-    copy = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy("n")) - 1
-    several = rows.join(known.where("copies > 1"), same).select(*each, copy.alias("copy")).withColumn("start", F.col("start") + F.col("copy") * F.col("n"))
+    copy = F.row_number().over(Window.partitionBy(*keys).orderBy("n")) - 1
+    pieces = joined.select("doc_id", "raw", (F.col("start") + copy * F.col("n")).alias("start"), "n")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = length * written.itemsize
@@ -148,7 +149,6 @@ def write_training_order(
                 )
                 first = last
 
-    pieces = single.select("doc_id", "raw", "start", "n").unionByName(several.select("doc_id", "raw", "start", "n"))
     slots = pieces.mapInArrow(cut, "slot long, doc_id long, piece int, n_tokens int, bytes binary")
     shard = F.floor(F.col("slot") / per_shard).cast("int")
     tasks = min(shards, WRITERS)
