@@ -3,15 +3,19 @@
 Every match of the split pattern is merged by itself. A segment tree over its byte positions holds
 the rank of each neighbouring pair, with the position as tie-break, so its root is the leftmost
 pair of least rank. A merge changes three leaves and the logarithmic path above each. The trees of
-many pieces are rows of one array and take their next merge together.
+many pieces are rows of one array and take their next merge together; narrow trees get all their
+levels anew, which is cheaper in an array than three paths.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +25,10 @@ from pyspark.sql import functions as F
 
 from barworks.llm.arrow import as_bytes, prepared
 
-CACHED_PIECES = 250_000  # distinct pieces that a task remembers
-TREE_CELLS = 1 << 20  # leaves of all trees that merge together
+GROUP_PIECES = 250_000  # pieces of texts that are encoded together
+CACHED_PIECES = 500_000  # distinct pieces that a Python worker remembers
+TREE_CELLS = 1 << 16  # leaves of all trees that merge together
+NARROW = 32  # leaves of a tree that gets all its levels anew
 NONE = np.int64(1) << np.int64(62)
 
 
@@ -62,19 +68,18 @@ class Vocabulary:
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(pieces)
-        sized: dict[int, list[int]] = {}
-        for i, piece in enumerate(pieces):
-            whole = self.ranks.get(piece)
-            if whole is not None:
-                out[i] = whole.to_bytes(4, "little")
-            elif piece:
-                sized.setdefault((len(piece) - 1).bit_length(), []).append(i)
-        for bits, members in sized.items():
-            step = max(1, TREE_CELLS >> bits)
+        out = [b"" if whole is None else whole.to_bytes(4, "little") for whole in map(self.ranks.get, pieces)]
+        left = np.array([i for i, ids in enumerate(out) if not ids and pieces[i]], dtype=np.int64)
+        lengths = np.array([len(pieces[i]) for i in left], dtype=np.int64)
+        widths = np.frexp(np.maximum(lengths - 1, 0).astype(float))[1]  # bits of length - 1
+        for bit in np.unique(widths).tolist():
+            # Pieces of like length need like numbers of merges.
+            members = left[widths == bit]
+            members = members[np.argsort(lengths[widths == bit], kind="stable")].tolist()
+            step = max(1, TREE_CELLS >> bit)
             for start in range(0, len(members), step):
                 some = members[start : start + step]
-                for i, ids in zip(some, self._merge([pieces[i] for i in some], 1 << bits)):
+                for i, ids in zip(some, self._merge([pieces[i] for i in some], 1 << bit)):
                     out[i] = ids
         return out
 
@@ -83,48 +88,58 @@ class Vocabulary:
         raw = np.zeros((count, width), dtype=np.uint8)
         inside = np.arange(width) < lengths[:, None]
         raw[inside] = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        token = self.of_byte[raw]
-        after = np.broadcast_to(np.arange(1, width + 1), (count, width)).copy()
-        before = np.broadcast_to(np.arange(-1, width - 1), (count, width)).copy()
+        # Cell (row, position) of these is at row * width + position.
+        token = self.of_byte[raw].ravel()
+        after = np.tile(np.arange(1, width + 1), count)
+        before = np.tile(np.arange(-1, width - 1), count)
         # Leaf: rank of the pair that begins here, then its position; inner node: least of its two.
         tree = np.full((count, 2 * width), NONE, dtype=np.int64)
         if width > 1:
             rank = self.of_bytes[raw[:, :-1], raw[:, 1:]]
             good = (rank >= 0) & inside[:, 1:]
             tree[:, width : 2 * width - 1] = np.where(good, (rank << 32) | np.arange(width - 1), NONE)
-        level = width
-        while level > 1:
-            half = level // 2
-            tree[:, half:level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
-            level = half
-        alive = inside.copy()
+        self._levels(tree, width)
+        flat = tree.ravel()
+        alive = inside.ravel().copy()
         rows = np.flatnonzero(tree[:, 1] < NONE)
         while len(rows):
-            best = tree[rows, 1]
+            best, cell, node = tree[rows, 1], rows * width, rows * 2 * width + width
             at, rank = best & 0xFFFFFFFF, best >> 32
-            gone = after[rows, at]
-            right, left = after[rows, gone], before[rows, at]
-            token[rows, at] = rank
-            alive[rows, gone] = False
-            after[rows, at] = right
+            gone = after[cell + at]
+            right, left = after[cell + gone], before[cell + at]
+            token[cell + at] = rank
+            alive[cell + gone] = False
+            after[cell + at] = right
             has_right, has_left = right < lengths[rows], left >= 0
-            before[rows[has_right], right[has_right]] = at[has_right]
-            tree[rows, width + gone] = NONE
-            tree[rows, width + at] = self._leaf(token, rows, at, right, has_right)
-            tree[rows[has_left], width + left[has_left]] = self._leaf(token, rows, left, at, has_left)[has_left]
-            paths = [width + at, width + gone, width + np.where(has_left, left, at)]
-            for _ in range(width.bit_length() - 1):
-                paths = [p >> 1 for p in paths]
-                for p in paths:
-                    tree[rows, p] = np.minimum(tree[rows, 2 * p], tree[rows, 2 * p + 1])
+            before[(cell + right)[has_right]] = at[has_right]
+            flat[node + gone] = NONE
+            flat[node + at] = self._leaf(rank, token[np.where(has_right, cell + right, cell)], at, has_right)
+            flat[(node + left)[has_left]] = self._leaf(token[cell + np.where(has_left, left, 0)], rank, left, has_left)[has_left]
+            if width <= NARROW:
+                self._levels(tree, width)
+            else:
+                paths = [width + at, width + gone, width + np.where(has_left, left, at)]
+                for _ in range(width.bit_length() - 1):
+                    paths = [p >> 1 for p in paths]
+                    for p in paths:
+                        tree[rows, p] = np.minimum(tree[rows, 2 * p], tree[rows, 2 * p + 1])
             rows = rows[tree[rows, 1] < NONE]
-        ids = token.astype("<u4")[alive].tobytes()
-        ends = np.cumsum(alive.sum(axis=1)) * 4
+        ids = token[alive].astype("<u4").tobytes()
+        ends = np.cumsum(alive.reshape(count, width).sum(axis=1)) * 4
         starts = np.concatenate(([0], ends[:-1]))
         return [ids[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
-    def _leaf(self, token, rows, at, right, ok) -> np.ndarray:
-        rank = self.rank_of(token[rows, at], token[rows, np.where(ok, right, at)])
+    @staticmethod
+    def _levels(tree: np.ndarray, width: int) -> None:
+        """All inner nodes from the leaves."""
+        level = width
+        while level > 1:
+            half = level // 2
+            np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2], out=tree[:, half:level])
+            level = half
+
+    def _leaf(self, first, second, at, ok) -> np.ndarray:
+        rank = self.rank_of(first, second)
         return np.where(ok & (rank >= 0), (rank << 32) | at, NONE)
 
     def decode(self, ids: bytes) -> bytes:
@@ -143,46 +158,65 @@ class Splitter:
 
     def __init__(self, pattern: str):
         self.full = regex.compile(pattern).findall
-        plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
-        self.plain = None if r"\p" in plain else re.compile(plain).findall
         same = [(r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s")]
-        self.common = {
-            c for c in map(chr, range(0x250)) if all(bool(regex.match(a, c)) == bool(re.match(b, c)) for a, b in same)
-        }
+        common = [c for c in map(chr, range(0x250)) if all(bool(regex.match(a, c)) == bool(re.match(b, c)) for a, b in same)]
+        # Classes as lists of the common characters, which are one look-up in a table of bits.
+        listed = {a: "".join(re.escape(c) for c in common if regex.match(a, c)) for a, _ in same}
+        other = "".join(re.escape(c) for c in common if regex.match(r"[^\s\p{L}\p{N}]", c))
+        plain = pattern.replace(r"[^\s\p{L}\p{N}]", f"[{other}]")
+        for a in (r"\p{L}", r"\p{N}"):
+            plain = plain.replace(a, f"[{listed[a]}]")
+        self.plain = None if r"\p" in plain else re.compile(plain).findall
+        self.rare = re.compile(f"[^{''.join(map(re.escape, common))}]").search
 
     def __call__(self, text: str) -> list[str]:
-        return self.plain(text) if self.plain and self.common.issuperset(text) else self.full(text)
+        return self.full(text) if self.plain is None or self.rare(text) else self.plain(text)
 
 
 class Encoder:
-    """Encodes texts piece by piece and remembers pieces up to a bound."""
+    """Encodes texts piece by piece and remembers pieces up to a bound. A piece has a number, under
+    which its ids are kept, so that a text is one look-up a piece and one gathering of ids."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.split = vocabulary, Splitter(pattern)
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = defaultdict(itertools.count().__next__)
+        self.ids, self.ends = np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text. Texts are taken in groups, so new pieces are merged together."""
-        group: list[list[str]] = []
+        group: list[np.ndarray] = []
         size = 0
         for text in texts:
-            group.append(self.split(text))
-            size += len(group[-1])
-            if size >= CACHED_PIECES:
+            pieces = self.split(text)
+            group.append(np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces)))
+            size += len(pieces)
+            if size >= GROUP_PIECES:
                 yield from self._encoded(group)
                 group, size = [], 0
         yield from self._encoded(group)
 
-    def _encoded(self, group: list[list[str]]) -> Iterator[bytes]:
-        if len(self.known) > CACHED_PIECES:
-            self.known = {}
-        new: set[str] = set()
+    def _encoded(self, group: list[np.ndarray]) -> Iterator[bytes]:
+        fresh = [p.encode() for p in itertools.islice(self.number, len(self.ends) - 1, None)]
+        if fresh:
+            found = self.vocabulary.encode_pieces(fresh)
+            counts = np.array([len(ids) // 4 for ids in found])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), dtype="<u4")])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
         for pieces in group:
-            new.update(pieces)
-        fresh = [p for p in new if p not in self.known]
-        self.known.update(zip(fresh, self.vocabulary.encode_pieces([p.encode() for p in fresh])))
-        for pieces in group:
-            yield b"".join(map(self.known.__getitem__, pieces))
+            start, n = self.ends[pieces], self.ends[pieces + 1] - self.ends[pieces]
+            ends = np.cumsum(n)
+            yield self.ids[np.repeat(start - ends + n, n) + np.arange(n.sum())].tobytes()
+        if len(self.number) > CACHED_PIECES:
+            self._forget()
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str, pattern: str) -> Encoder:
+    """The encoder that all tasks of a Python worker share."""
+    return Encoder(Vocabulary(path), pattern)
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, then: Callable | None = None, schema: str = "ids binary") -> DataFrame:
@@ -196,8 +230,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, then: Callable | None
     make = then or (lambda ids, _: (ids,))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
-        encoder = Encoder(vocabulary, pattern)
+        encoder = encoder_of(path, pattern)
+        vocabulary = encoder.vocabulary
         for batch in batches:
             texts = (t or "" for t in batch.column("text").to_pylist())
             rows = [make(ids, vocabulary) for ids in encoder.encode(texts)]

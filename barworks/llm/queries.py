@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barworks.llm import bpe, chat, collocations, filter_audit, hilbert, jaccard, kneser_ney, language_id, licenses, mixing, quality, sequences, topk
 from barworks.llm.arrow import prepared
 from barworks.llm.licence_texts import EQUIVALENT, KNOWN
-from barworks.session import materialize, shared_dir
+from barworks.session import shared_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -64,7 +64,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(prepared(spark))}/tokens-{uuid.uuid4().hex}"
     end = bpe.vocabulary_size(VOCABULARY)
-    ids = materialize(bpe.encode_texts(_table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, sequences.narrowed(end), "ids binary"))
+    ids = bpe.encode_texts(_table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, sequences.narrowed(end), "ids binary")
     sequences.write_training_order(ids, path, end=end, given=sequences.id_type(end))
     return sequences.read_shards(spark, path).select(
         "slot", "shard", "doc_id", "piece", "n_tokens", F.crc32("payload").alias("payload_crc32")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -66,23 +67,37 @@ def narrowed(end: int):
     return lambda ids, _: (np.frombuffer(ids, "<u4").astype(written).tobytes(),)
 
 
-def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, hash, n, copies, start) per distinct row: its number of sequences and that of the
-    first one; and the total.
+@contextmanager
+def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query go when it ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _numbered(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n, raw, chunk, before): every document with the number of sequences before it in its
+    chunk; and the number of sequences before each chunk, the total as the last.
 
     Rows are numbered in the order of (chunk, doc_id, hash of the ids), the chunk being a hash of the
-    other two, so numbers depend on nothing but the documents. Windows run inside a chunk, and over
-    the totals of the chunks.
+    other two, so numbers depend on nothing but the documents. Equal rows are told apart by any
+    order: they have the same ids. The ids move once, and the files that moved them go when the
+    numbered rows are written.
     """
-    facts = rows.groupBy("doc_id", "hash", "n").agg(F.count(F.lit(1)).alias("copies"))
-    facts = facts.withColumns({"chunk": F.pmod(F.xxhash64("doc_id", "hash"), F.lit(CHUNKS)), "all": F.col("n") * F.col("copies")})
-    facts = materialize(facts)
-    tops = facts.groupBy("chunk").agg(F.sum("all").alias("all"))
-    tops = tops.select("chunk", (F.sum("all").over(Window.orderBy("chunk")) - F.col("all")).alias("offset"))
-    inside = Window.partitionBy("chunk").orderBy("doc_id", "hash").rowsBetween(Window.unboundedPreceding, 0)
-    before = facts.withColumn("before", F.sum("all").over(inside) - F.col("all")).join(tops, "chunk")
-    starts = before.select("doc_id", "hash", "n", "copies", (F.col("before") + F.col("offset")).alias("start"))
-    return materialize(starts), facts.agg(F.sum("all")).first()[0] or 0
+    spark = rows.sparkSession
+    inside = Window.partitionBy("chunk").orderBy("doc_id", "hash", "n").rowsBetween(Window.unboundedPreceding, 0)
+    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(CHUNKS)).cast("int"))
+    numbered = chunked.withColumn("before", F.sum("n").over(inside) - F.col("n")).drop("hash")
+    with _dropping_shuffles(spark):
+        numbered = materialize(numbered, compression="zstd")
+    tops = np.zeros(CHUNKS + 1, dtype=np.int64)
+    for chunk, n in numbered.groupBy("chunk").agg(F.sum("n")).collect():
+        tops[chunk + 1] = n
+    return numbered, np.cumsum(tops)
 
 
 def write_training_order(
@@ -108,21 +123,15 @@ def write_training_order(
     raw = F.coalesce(F.col(source).cast("binary"), F.lit(b""))
     count = F.ceil((F.octet_length(raw) / held.itemsize + 1) / length).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(raw).alias("hash"), count.alias("n"), raw.alias("raw"))
-    starts, total = _starts(rows)
+    numbered, tops = _numbered(rows)
+    total = int(tops[-1])
     shards = max(1, math.ceil(total / per_shard))
-    # Plain keys, so that the join and the numbers of equal rows share one shuffle.
-    keys = ["_doc", "_none", "hash"]
-    named = {"_doc": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()}
-    known = starts.withColumns(named).select(*keys, "start")
-    joined = rows.withColumns(named).join(known.hint("merge"), keys)
-    # Equal rows are told apart by any order: they have the same ids.
-    copy = F.row_number().over(Window.partitionBy(*keys).orderBy("n")) - 1
-    pieces = joined.select("doc_id", "raw", (F.col("start") + copy * F.col("n")).alias("start"), "n")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = length * written.itemsize
         for batch in batches:
-            starts_, counts = batch.column("start").to_numpy(), batch.column("n").to_numpy()
+            starts_ = tops[batch.column("chunk").to_numpy()] + batch.column("before").to_numpy()
+            counts = batch.column("n").to_numpy()
             names, raws = batch.column("doc_id"), as_bytes(batch.column("raw"))
             first = 0
             while first < len(raws):
@@ -149,7 +158,7 @@ def write_training_order(
                 )
                 first = last
 
-    slots = pieces.mapInArrow(cut, "slot long, doc_id long, piece int, n_tokens int, bytes binary")
+    slots = numbered.mapInArrow(cut, "slot long, doc_id long, piece int, n_tokens int, bytes binary")
     shard = F.floor(F.col("slot") / per_shard).cast("int")
     tasks = min(shards, WRITERS)
     dealt = slots.withColumn("shard", shard).repartitionById(tasks, F.floor(F.col("shard").cast("long") * tasks / shards).cast("int"))
@@ -157,7 +166,7 @@ def write_training_order(
     fill = F.lit(np.array([end], dtype=written).tobytes())
     payload = F.rpad("bytes", F.lit(length * written.itemsize), fill).alias("payload")
     ordered = dealt.sortWithinPartitions("shard", "slot").select("shard", "slot", "doc_id", "piece", "n_tokens", payload)
-    ordered.write.partitionBy("shard").parquet(path)
+    ordered.write.partitionBy("shard").parquet(path, compression="zstd")
     if total:
         _check(spark, path, total, per_shard)
     return total

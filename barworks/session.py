@@ -71,14 +71,14 @@ def files_of(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write a result that several later stages read, and read it back.
 
     The rows go to the shared folder as Parquet: they are computed once, survive lost executors,
     and later stages still prune columns and know the size of the table.
     """
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

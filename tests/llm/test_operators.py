@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,10 +13,11 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from barworks.llm import bpe, chat, hilbert, jaccard, kneser_ney, licenses, mixing, quality, sequences, shingles, topk
+from barworks.llm import bpe, chat, hilbert, jaccard, kneser_ney, licenses, mixing, quality, queries, sequences, shingles, topk
 from barworks.llm.arrow import prepared
 from barworks.llm.graph import components
 from barworks.llm.licence_texts import KNOWN
+from barworks.session import shared_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, words string, node long, n string"
@@ -206,6 +208,22 @@ def test_shards_are_even_and_gapless(docs, none):
     assert hilbert.shard(none).count() == 0
 
 
+def test_encoder_forgets_pieces_and_keeps_ids(monkeypatch):
+    """Trees of all widths in small blocks, and a memory that is full after every group."""
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.Vocabulary(VOCABULARY).ranks, special_tokens={})
+    letters = np.random.default_rng(5).choice(list("aeinrstz'  1_.\n\t\x1f\u00a0\u00e9\u00b2\u02b0\u2003\u6f22\U0001f600"), 6000)
+    texts = ["".join(t) for t in np.split(letters, np.arange(40, 6000, 40))] + ["".join(np.repeat(["ban", "an", "q"], n)) for n in range(1, 60)]
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 40)
+    monkeypatch.setattr(bpe, "GROUP_PIECES", 30)
+    monkeypatch.setattr(bpe, "TREE_CELLS", 256)
+    encoder = bpe.encoder_of(VOCABULARY, public_tokenizers.PATTERN)
+    assert bpe.encoder_of(VOCABULARY, public_tokenizers.PATTERN) is encoder
+    for _ in range(2):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(iter(texts))] == [library.encode_ordinary(t) for t in texts]
+    next(encoder.encode(iter(["left half way"] * 40)))
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(["odd qqzx"])] == [library.encode_ordinary("odd qqzx")]
+
+
 def test_feistel_is_a_permutation():
     for total in (1, 2, 3, 17, 1000, 4097):
         assert sorted(sequences.feistel(np.arange(total), total, 9).tolist()) == list(range(total))
@@ -266,6 +284,25 @@ def test_slots_do_not_depend_on_files(spark, docs, tmp_path):
     assert found[0] == sorted(want)
 
 
+def test_token_output_holds_three_copies_of_the_ids(spark, tmp_path):
+    """On disk: the numbered ids, one shuffle of them and the shards."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(map("".join, rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (700, 6))))) for i in range(800)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    places = [shared_dir(spark), *spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+
+    def held():
+        return sum(p.stat().st_size for d in places for p in Path(d).rglob("*") if p.is_file() and (p.suffix == ".parquet" or p.name.startswith("shuffle_")))
+
+    before = held()
+    got = queries.op8_token_output(spark, str(tmp_path))
+    grown = held() - before
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.Vocabulary(VOCABULARY).ranks, special_tokens={})
+    n_ids = {i: len(library.encode_ordinary(t)) for i, t in rows}
+    assert {r[0]: r[1] - 1 for r in got.groupBy("doc_id").agg(F.sum("n_tokens")).collect()} == n_ids
+    assert 0 < grown < 3 * 2 * sum(n_ids.values())
+
+
 def test_top_k_by_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=12).tolist()) for i in range(300)]
