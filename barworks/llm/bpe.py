@@ -11,9 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import itertools
 import re
-from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -24,12 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barworks.llm.arrow import as_bytes, prepared
+from barworks.llm.shingles import mix
 
-GROUP_PIECES = 250_000  # pieces of texts that are encoded together
+GROUP_PIECES = 250_000  # pieces of texts that are encoded together, about
+PIECE_CHARS = 4  # of a piece, about
 CACHED_PIECES = 500_000  # distinct pieces that a Python worker remembers
 TREE_CELLS = 1 << 16  # leaves of all trees that merge together
 NARROW = 32  # leaves of a tree that gets all its levels anew
 NONE = np.int64(1) << np.int64(62)
+# The split pattern whose matches are runs of one class of characters.
+RUNS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LETTER, DIGIT, OTHER, SPACE, STOP = range(5)
+# Bits of the first and second eight bytes that belong to a piece, by its length up to 16.
+KEPT = np.array([[(1 << 8 * min(max(n - 8 * i, 0), 8 - i)) - 1 for n in range(17)] for i in range(2)], dtype=np.uint64)
 
 
 class Vocabulary:
@@ -173,44 +178,181 @@ class Splitter:
         return self.full(text) if self.plain is None or self.rare(text) else self.plain(text)
 
 
+class Cutter:
+    """Where the matches of a split pattern lie in the UTF-8 bytes of many texts.
+
+    Matches of :data:`RUNS` follow from the classes of neighbouring characters: they are runs of one
+    class, a run takes a blank before it along, and white space leaves its last character to the run
+    after it. So they are found in arrays; other patterns are matched text by text."""
+
+    def __init__(self, pattern: str):
+        self.split = Splitter(pattern)
+        self.kinds = None
+        if pattern == RUNS:
+            every = "".join(chr(i) if not 0xD800 <= i < 0xE000 else "\uffff" for i in range(0x110000))
+            self.kinds = np.full(len(every), OTHER, dtype=np.uint8)
+            for kind, of in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+")):
+                for m in regex.finditer(of, every):
+                    self.kinds[m.start() : m.end()] = kind
+
+    def __call__(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, start and end of each match in them, number of matches up to the end of each text."""
+        if self.kinds is None:
+            found = [[p.encode() for p in self.split(t)] for t in texts]
+            ends = np.cumsum(np.array([0, *(len(p) for f in found for p in f)], dtype=np.int64))
+            return b"".join(p for f in found for p in f), ends[:-1], ends[1:], np.cumsum([len(f) for f in found])
+        joined = "\0".join(texts) + "\0"  # a character after each text, where it stops
+        stops = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1) - 1
+        raw = joined.encode()
+        plain = len(raw) == len(joined)
+        chars = np.frombuffer(raw, "u1") if plain else np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kind = self.kinds[chars]
+        kind[stops] = STOP
+        begins = np.ones(len(kind), dtype=bool)
+        np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+        last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] < SPACE))  # of white space, before a run
+        begins[last] = True
+        begins[last[chars[last] == ord(" ")] + 1] = False
+        quote = np.flatnonzero(chars == ord("'"))
+        quote = quote[begins[quote] & (kind[quote] == OTHER)]
+        one, two = chars[quote + 1], chars[np.minimum(quote + 2, len(chars) - 1)]
+        short = np.isin(one, np.frombuffer(b"stmd", "u1"))
+        long = (np.isin(one, np.frombuffer(b"rv", "u1")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        begins[quote[short | long] + 1] = False
+        begins[quote[short] + 2] = True
+        begins[quote[long] + 3] = True
+        begins[stops] = True
+        bounds = np.flatnonzero(begins)
+        inside = kind[bounds] != STOP
+        starts, ends = bounds[inside], bounds[1:][inside[:-1]]
+        upto = np.searchsorted(starts, stops)
+        if not plain:
+            places = np.cumsum(1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000), dtype=np.int64)
+            starts, ends = places[starts - 1] * (starts > 0), places[ends - 1]
+        return raw, starts, ends, upto
+
+
+class Numbers:
+    """Numbers of pieces in the order they are first given. Up to 15 bytes and the length are the key of
+    a hash table in arrays, which is searched for many pieces at once; longer pieces are in a dictionary."""
+
+    def __init__(self):
+        self.held, self.slots = 0, 1 << 12
+        self.long: dict[bytes, int] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        self.low, self.high = np.zeros(self.slots, dtype=np.uint64), np.zeros(self.slots, dtype=np.uint64)
+        self.number = np.full(self.slots, -1, dtype=np.int32)
+
+    def _home(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (mix(low ^ mix(high)) & np.uint64(self.slots - 1)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Number of each key, -1 where it is new."""
+        at = self._home(low, high)
+        out = self.number[at]
+        open_ = np.flatnonzero((out >= 0) & ((self.low[at] != low) | (self.high[at] != high)))
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & (self.slots - 1)
+            out[open_] = self.number[at]
+            more = (out[open_] >= 0) & ((self.low[at] != low[open_]) | (self.high[at] != high[open_]))
+            open_, at = open_[more], at[more]
+        return out
+
+    def _put(self, low: np.ndarray, high: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct keys that are not held."""
+        at = self._home(low, high)
+        while len(at):
+            free = np.flatnonzero(self.number[at] < 0)
+            self.number[at[free]] = numbers[free]
+            lost = self.number[at] != numbers
+            self.low[at[~lost]], self.high[at[~lost]] = low[~lost], high[~lost]
+            low, high, numbers, at = low[lost], high[lost], numbers[lost], (at[lost] + 1) & (self.slots - 1)
+
+    def of(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """Number of each piece, and the pieces that are new, in the order of their numbers."""
+        words = np.frombuffer(raw + bytes(24 + -len(raw) % 8), "<u8")
+        lengths, word, bits = ends - starts, starts >> 3, ((starts & 7) << 3).astype(np.uint64)
+        rest = np.uint64(63) - bits
+        some = [words[word + i] for i in range(3)]
+        # The bits of the next word move up by 64 less ``bits``, in two steps as 64 is no shift.
+        low, high = (((some[i] >> bits) | (some[i + 1] << rest << np.uint64(1))) & KEPT[i][np.minimum(lengths, 16)] for i in range(2))
+        high |= lengths.astype(np.uint64) << np.uint64(56)
+        short = lengths < 16
+        out = np.empty(len(starts), dtype=np.int64)
+        fresh: list[bytes] = []
+        for i in np.flatnonzero(~short).tolist():
+            piece = raw[starts[i] : ends[i]]
+            found = self.long.setdefault(piece, self.held)
+            if found == self.held:
+                self.held += 1
+                fresh.append(piece)
+            out[i] = found
+        some = np.flatnonzero(short)
+        low, high = low[some], high[some]
+        found = self._find(low, high)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            order = new[np.lexsort((low[new], high[new]))]
+            first = np.ones(len(order), dtype=bool)
+            first[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+            found[order] = self.held + np.cumsum(first) - 1
+            firsts = order[first]
+            fresh += [raw[a:b] for a, b in zip(starts[some[firsts]].tolist(), ends[some[firsts]].tolist())]
+            self.held += len(firsts)
+            if 2 * self.held > self.slots:
+                kept = np.flatnonzero(self.number >= 0)
+                held = self.low[kept], self.high[kept], self.number[kept]
+                self.slots = 1 << (4 * self.held).bit_length()
+                self._empty()
+                self._put(*held)
+            self._put(low[firsts], high[firsts], found[firsts])
+        out[some] = found
+        return out, fresh
+
+
 class Encoder:
     """Encodes texts piece by piece and remembers pieces up to a bound. A piece has a number, under
-    which its ids are kept, so that a text is one look-up a piece and one gathering of ids."""
+    which its ids are kept, so that pieces are looked up and their ids gathered for many texts at once."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary, self.split = vocabulary, Splitter(pattern)
+        self.vocabulary, self.cut = vocabulary, Cutter(pattern)
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = defaultdict(itertools.count().__next__)
+        self.numbers = Numbers()
         self.ids, self.ends = np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text. Texts are taken in groups, so new pieces are merged together."""
-        group: list[np.ndarray] = []
+        group: list[str] = []
         size = 0
         for text in texts:
-            pieces = self.split(text)
-            group.append(np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces)))
-            size += len(pieces)
-            if size >= GROUP_PIECES:
+            group.append(text)
+            size += len(text)
+            if size >= GROUP_PIECES * PIECE_CHARS:
                 yield from self._encoded(group)
                 group, size = [], 0
-        yield from self._encoded(group)
+        if group:
+            yield from self._encoded(group)
 
-    def _encoded(self, group: list[np.ndarray]) -> Iterator[bytes]:
-        fresh = [p.encode() for p in itertools.islice(self.number, len(self.ends) - 1, None)]
+    def _encoded(self, group: list[str]) -> Iterator[bytes]:
+        raw, starts, ends, upto = self.cut(group)
+        pieces, fresh = self.numbers.of(raw, starts, ends)
         if fresh:
             found = self.vocabulary.encode_pieces(fresh)
             counts = np.array([len(ids) // 4 for ids in found])
             self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), dtype="<u4")])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
-        for pieces in group:
-            start, n = self.ends[pieces], self.ends[pieces + 1] - self.ends[pieces]
-            ends = np.cumsum(n)
-            yield self.ids[np.repeat(start - ends + n, n) + np.arange(n.sum())].tobytes()
-        if len(self.number) > CACHED_PIECES:
+        first, n = self.ends[pieces], self.ends[pieces + 1] - self.ends[pieces]
+        behind = np.cumsum(n)
+        ids = self.ids[np.repeat(first - behind + n, n) + np.arange(n.sum())].tobytes()
+        cuts = np.append(0, 4 * np.append(0, behind)[upto]).tolist()
+        if self.numbers.held > CACHED_PIECES:
             self._forget()
+        yield from (ids[a:b] for a, b in zip(cuts, cuts[1:]))
 
 
 @lru_cache(maxsize=2)

@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -62,6 +63,34 @@ def test_bpe_matches_tiktoken_and_round_trips(docs, none):
     assert bpe.encode_and_decode(none, VOCABULARY, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_cuts_in_arrays_as_the_pattern_does(monkeypatch):
+    """No match of the public pattern is made or looked up by itself, whatever the characters."""
+    rng = np.random.default_rng(4)
+    signs = np.array(list("aAsstmdrevll''''    \n\t\r09²½éñЖ中 　 \0#.,😀́‍\x1c\x85"))
+    texts = ["", "\0", "\0" * 16, "'", "x'll", *("".join(rng.choice(signs, n)) for n in rng.integers(0, 90, 1500))]
+    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    cut = bpe.Cutter(public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe.Splitter, "__call__", lambda *_: pytest.fail("matched one by one"))
+    for some in (texts, ["'s".join(every[::5])], [every, " ".join(every[::3])]):
+        raw, starts, ends, upto = cut(some)
+        want = [regex.findall(public_tokenizers.PATTERN, t) for t in some]
+        assert [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())] == [p for w in want for p in w]
+        assert upto.tolist() == np.cumsum([len(w) for w in want]).tolist()
+    vocabulary = bpe.Vocabulary(VOCABULARY)
+    encoder = bpe.Encoder(vocabulary, public_tokenizers.PATTERN)
+    want = [b"".join(vocabulary.encode_pieces([p.encode() for p in regex.findall(public_tokenizers.PATTERN, t)])) for t in texts]
+    for _ in range(2):
+        assert list(encoder.encode(texts)) == want
+
+
+def test_bpe_of_other_patterns():
+    """Matches that leave characters out, and pieces around the length that the table holds."""
+    vocabulary, pattern = bpe.Vocabulary(VOCABULARY), r"\w+|#"
+    texts = ["a" * n + "é b" * (n % 3) + " #," for n in range(40)] * 2 + [""]
+    want = [b"".join(vocabulary.encode_pieces([p.encode() for p in regex.findall(pattern, t)])) for t in texts]
+    assert list(bpe.Encoder(vocabulary, pattern).encode(texts)) == want
+
+
 def components_by_force(rows, width, percent):
     sets = []
     for r in rows:
