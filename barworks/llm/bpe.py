@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barworks.llm.arrow import as_bytes, prepared
 from barworks.llm.shingles import mix
@@ -361,13 +362,15 @@ def encoder_of(path: str, pattern: str) -> Encoder:
     return Encoder(Vocabulary(path), pattern)
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, then: Callable | None = None, schema: str = "ids binary") -> DataFrame:
-    """(doc_id, columns of ``schema``) per document, in one pass without a shuffle.
+def encode_texts(
+    docs: DataFrame, path: str, pattern: str, then: Callable | None = None, schema: str = "ids binary", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, columns of ``keep``, columns of ``schema``) per document, in one pass without a shuffle.
 
     ``then(ids, vocabulary)`` makes the columns from the ids of a text, which are little-endian
     unsigned 32-bit integers; by default they are returned as they are. Null texts count as empty
-    and give no ids. Rows are independent: repeated ones give repeated results, other columns are
-    ignored, an empty table gives an empty result. Texts of any length are encoded whole.
+    and give no ids. Rows are independent: repeated ones give repeated results, columns that are not
+    in ``keep`` are ignored, an empty table gives an empty result. Texts of any length are encoded whole.
     """
     make = then or (lambda ids, _: (ids,))
 
@@ -378,15 +381,17 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, then: Callable | None
             texts = (t or "" for t in batch.column("text").to_pylist())
             rows = [make(ids, vocabulary) for ids in encoder.encode(texts)]
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names])
+            along = [batch.column(c) for c in passed]
+            yield pa.RecordBatch.from_arrays([*along, *columns], [*passed, *names])
 
     prepared(docs.sparkSession)
+    passed = ["doc_id", *keep]
     fields = docs.sparkSession.createDataFrame([], schema).schema.fields
     names = [f.name for f in fields]
     known = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     types = [known[f.dataType.simpleString()] for f in fields]
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(encoded, f"doc_id long, {schema}")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
+    return source.mapInArrow(encoded, StructType([*source.schema.fields[:-1], *fields]))
 
 
 def digests(ids: bytes, vocabulary: Vocabulary) -> tuple[int, str, str]:
@@ -394,9 +399,10 @@ def digests(ids: bytes, vocabulary: Vocabulary) -> tuple[int, str, str]:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(vocabulary.decode(ids)).hexdigest()
 
 
-def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per document; see :func:`encode_texts`."""
-    return encode_texts(docs, path, pattern, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns of ``keep``, n_tokens, ids_sha256, decoded_sha256) per document; see
+    :func:`encode_texts`."""
+    return encode_texts(docs, path, pattern, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", keep)
 
 
 def decode_ids(tokens: DataFrame, path: str) -> DataFrame:

@@ -126,7 +126,16 @@ def mix(docs: DataFrame, weights: dict[str, int], rest: int = 1, block_docs: int
     )
 
 
+def text_tie() -> Column:
+    """What orders rows of one source and doc_id, also where the text itself is no longer at hand."""
+    return F.xxhash64("text")
+
+
 def in_mix_order(docs: DataFrame, weights: dict[str, int], rest: int = 1) -> DataFrame:
-    """The rows in the order of the mix, with their own columns; every row once."""
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source")
-    return mix(whole, weights, rest, ties=("_doc.text",)).orderBy("mix_slot", "mix_pos").select("_doc.*")
+    """The rows in the order of the mix, with their own columns; every row once.
+
+    Readers of the written rows need not meet them in this order. Their places follow from the rows
+    alone: :func:`mix` gives each its own again, with :func:`text_tie` among the ties.
+    """
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", text_tie().alias("_tie"))
+    return mix(whole, weights, rest, ties=("_tie",)).orderBy("mix_slot", "mix_pos").select("_doc.*")
