@@ -90,16 +90,19 @@ def running_max_before(
 
 
 def join_per_key(
-    rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS
+    rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS, hint: str | None = None
 ) -> DataFrame:
     """Join rows to a table with one row per key, where one key may own a large part of the rows.
 
     The table is repeated once per salt and each row picks a salt by its content, so the rows of a
-    frequent key meet it in many tasks. A table small enough for Catalyst to broadcast costs the same.
+    frequent key meet it in many tasks. A table small enough for Catalyst to broadcast costs the same;
+    Catalyst sees neither the salts nor how far a file is compressed, so where the table grows with
+    the rows a ``hint`` like "merge" keeps it from the driver.
     """
     others = [c for c in rows.columns if c not in keys]
     salt = F.pmod(F.xxhash64(*(others or keys)), F.lit(salts)).cast("int")
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = copies.hint(hint) if hint else copies
     return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 
 import corpus_pipeline
+from barworks.llm import filter_audit
 
 
 def documents(spark, rows):
@@ -23,3 +24,14 @@ def test_tokens_carry_the_place_in_the_mix(spark):
     blocks = collections.Counter(r.mix_slot for r in found)
     assert sorted(blocks) == list(range(len(blocks)))
     assert {r.mix_source for r in found} == {"src0", "src3", "(rest)"}
+
+
+def test_audit_broadcasts_no_table_that_grows(spark, tmp_path):
+    spark.range(2000).selectExpr("id AS doc_id", "int(id % 2) AS quality", "0 AS toxic").write.parquet(str(tmp_path / "labels"))
+    docs = documents(spark, [(i, f"text {i % 40}", "en", None, 1) for i in range(50)])
+    marked = filter_audit.failures(docs, spark.read.parquet(str(tmp_path / "labels")))
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    good, copy = 1 << filter_audit.GOOD, 1 << filter_audit.FILTERS.index("E")
+    found = {r.doc_id: r.bits for r in marked.collect()}
+    assert all(bool(bits & good) == bool(i % 2) and bool(bits & copy) == (i >= 40) for i, bits in found.items()) and len(found) == 50
