@@ -8,8 +8,12 @@ for two segments, because two differences must meet in it to hide the match. Wha
 worth is decided per band from costs measured on a bounded sample. Every set is indexed under the
 band of its own size and under the bands of smaller partners.
 
-Segment keys give candidate clusters. Clusters are cut into blocks, and a block compares its sets
+Segment keys give candidate clusters, in which sets that share common shingles are chained together.
+Sketches of the sets, about a bit per shingle, show which of them may be linked at all and cut a
+cluster down to groups of near copies. Groups are cut into blocks, and a block compares its sets
 exactly, so neither the candidates of a group nor its links are ever listed as pairs of documents.
+A group of several blocks is compared inside each first, then by one set of every component found,
+and only sets that are still apart meet across blocks.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ SHARD_KEYS = 1_500_000  # segment keys that meet in one task
 HELD_KEYS, HELD_NODES = 1_000_000, 60_000  # what a task combines before it sends; nodes are numbered in 16 bits
 THIN = 2  # shingles that are not common; a segment with so few or fewer may be left out
 BLOCK_SETS, BLOCK_TOKENS = 1024, 600_000  # half of what a block compares
+SKETCH_BITS = 128  # of the sketch of a set at least
+SKETCH_SETS, SKETCH_TOKENS = 4096, 8_000_000  # half of what a block of sketches compares
 CANDIDATE_COST = 200.0  # keys that joining one candidate pair to a cluster and comparing it is worth
 
 
@@ -133,18 +139,41 @@ def segment_keys(tokens: np.ndarray, tag: int, differences: int, plan: Allocatio
     return keys
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """One bit or two per shingle: the parity of the shingles that fall on it.
+
+    Every shingle that only one of two sets has flips one bit, so sketches differ in no more bits than
+    their sets in shingles. One half of a sketch by exclusive or with the other is the sketch of half
+    the width.
+    """
+    if not len(tokens):
+        return b""
+    bits = max(SKETCH_BITS, 1 << (len(tokens) - 1).bit_length())
+    at = (tokens & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _folded(sketch: bytes, width: int) -> np.ndarray:
+    out = np.frombuffer(sketch, np.uint8)
+    while len(out) > width:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
 def identify(docs: DataFrame, join: Join, ref: Column) -> DataFrame:
-    """(ref, doc_id, n_shingles, node, check) per document; equal sets share their node."""
+    """(ref, doc_id, text_hash, n_shingles, node, check, sketch) per document; equal sets share their
+    node."""
 
     def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes, checks = [], [], []
+            sizes, nodes, checks, sketches = [], [], [], []
             for text in as_bytes(batch.column("text")):
                 tokens = shingle_set(text, join.words)
                 node, check = set_ids(tokens)
                 sizes.append(len(tokens))
                 nodes.append(node)
                 checks.append(check)
+                sketches.append(sketch(tokens))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("ref"),
@@ -153,12 +182,13 @@ def identify(docs: DataFrame, join: Join, ref: Column) -> DataFrame:
                     pa.array(sizes, pa.int64()),
                     signed(np.array(nodes, dtype=np.uint64)),
                     signed(np.array(checks, dtype=np.uint64)),
+                    pa.array(sketches, pa.binary()),
                 ],
-                ["ref", "doc_id", "text_hash", "n_shingles", "node", "check"],
+                ["ref", "doc_id", "text_hash", "n_shingles", "node", "check", "sketch"],
             )
 
     rows = docs.select(ref.alias("ref"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(identified, "ref long, doc_id long, text_hash long, n_shingles long, node long, check long")
+    return rows.mapInArrow(identified, "ref long, doc_id long, text_hash long, n_shingles long, node long, check long, sketch binary")
 
 
 def allocate(docs: DataFrame, join: Join, bands: list[tuple[int, int]], total: int):
@@ -317,16 +347,76 @@ def candidate_links(docs: DataFrame, join: Join, bands, plans, common: np.ndarra
     return sent.groupBy("shard").applyInArrow(met, "a long, b long").distinct()
 
 
-def _links_in(tokens: list[np.ndarray], left: np.ndarray, same_side: bool, percent: int) -> list[tuple[int, int]]:
+# A part meets every part of its cluster: block (i, j), i <= j, for either order.
+ALL_BLOCKS = "transform(sequence(0, parts - 1), p -> struct(least(p, part) AS i, greatest(p, part) AS j))"
+OWN_BLOCK = "array(struct(part AS i, part AS j))"
+# Parts with an owner hold sets of one component, which need not meet each other.
+OPEN_BLOCKS = (
+    "transform(filter(sequence(0, size(owners) - 1), p -> coalesce(owners[p] <> owners[part], true)),"
+    " p -> struct(least(p, part) AS i, greatest(p, part) AS j))"
+)
+
+
+def _may_be_linked(sketches: list[bytes], sizes: np.ndarray, left: np.ndarray, same_side: bool, percent: int) -> list[tuple[int, int]]:
+    """Links like those of :func:`_links_in` between sets whose sketches do not rule out a link."""
+    width = min(map(len, sketches))
+    order = np.argsort(sizes, kind="stable")
+    bits = np.stack([_folded(sketches[i], width) for i in order]).view(np.uint64)
+    sizes, left = sizes[order], left[order]
+    ends = np.searchsorted(sizes, sizes * 100 // percent, side="right")
+    root = np.arange(len(order))
+    out = []
+    for u in range(len(order)):
+        may = root[u + 1 : ends[u]] != root[u]
+        if not same_side:
+            may &= left[u + 1 : ends[u]] != left[u]
+        others = np.flatnonzero(may) + u + 1
+        if not len(others):
+            continue
+        apart = np.bitwise_count(bits[others] ^ bits[u]).sum(axis=1, dtype=np.int64)
+        near = others[(100 + percent) * apart <= (100 - percent) * (sizes[others] + sizes[u])]
+        if len(near):
+            roots, first = np.unique(root[near], return_index=True)
+            root[np.isin(root, roots)] = root[u]
+            out += [(int(order[u]), int(order[v])) for v in near[first]]
+    return out
+
+
+def sketched_links(members: DataFrame, join: Join) -> DataFrame:
+    """Links (a, b) that join the sets of each candidate cluster which sketches do not keep apart.
+
+    ``members`` is (name, n, sketch, cluster, part, parts), blocks as in :func:`verified_links`. Sets
+    that are similar enough are always joined, so this decides what is compared and never the result.
+    """
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["cluster", "i", "j"]):
+            same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+            names, sizes, parts = (table.column(c).to_numpy() for c in ("name", "n", "part"))
+            found = _may_be_linked(table.column("sketch").to_pylist(), sizes, parts, same, join.percent)
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
+
+    spread = members.withColumn("block", F.explode(F.expr(ALL_BLOCKS))).select("cluster", "block.i", "block.j", "name", "n", "part", "sketch")
+    width = max(2, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return (
+        spread.repartition(width, "cluster", "i", "j")
+        .sortWithinPartitions("cluster", "i", "j")
+        .mapInArrow(compared, "a long, b long")
+    )
+
+
+def _links_in(tokens: list[np.ndarray], left: np.ndarray, same_side: bool, percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join the sets of one block to its components; at most one less than sets.
 
-    Sets already joined are not compared again. With ``same_side`` false only sets of the two
-    halves are compared; each half is a block of its own.
+    Sets already joined are not compared again, nor are those with the same number in ``known``. With
+    ``same_side`` false only sets of the two halves are compared; each half is a block of its own.
     """
     sizes = np.array([len(t) for t in tokens])
     flat, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
     offsets = np.concatenate(([0], np.cumsum(sizes)))
-    root = np.arange(len(tokens))
+    root = np.arange(len(tokens)) if known is None else known.copy()
     mark = np.zeros(len(flat), dtype=np.int64)
     out = []
     for u in np.argsort(sizes, kind="stable"):
@@ -349,40 +439,41 @@ def _links_in(tokens: list[np.ndarray], left: np.ndarray, same_side: bool, perce
     return out
 
 
-def verified_links(docs: DataFrame, ref: Column, members: DataFrame, join: Join) -> DataFrame:
-    """Links between the sets of each candidate cluster that are similar enough.
+def verified_links(docs: DataFrame, ref: Column, members: DataFrame, blocks: str, join: Join) -> DataFrame:
+    """Links between the sets of each group that are similar enough.
 
-    ``members`` is (ref, node, cluster, part, parts): a cluster is cut into parts, and each pair of
-    parts is one block. A block returns links that span its components, never all of them.
+    ``members`` is (ref, node, known, cluster, part) and what ``blocks`` needs: a group is cut into
+    parts, and a block compares two of them or one with itself. Sets with the same ``known`` are
+    joined already. A block returns links that span its components, never all of them.
     """
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["cluster", "i", "j"]):
             i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-            sets: dict[int, tuple[int, np.ndarray]] = {}
+            sets: dict[int, tuple[int, int, np.ndarray]] = {}
             for chunk in table.to_batches():
-                wanted, parts = chunk.column("node").to_pylist(), chunk.column("part").to_pylist()
-                for node, part, text in zip(wanted, parts, as_bytes(chunk.column("text"))):
+                wanted, parts, before = (chunk.column(c).to_pylist() for c in ("node", "part", "known"))
+                for node, part, known, text in zip(wanted, parts, before, as_bytes(chunk.column("text"))):
                     if node not in sets:
                         tokens = shingle_set(text, join.words)
                         if np.uint64(set_ids(tokens)[0]).view(np.int64) == node:
-                            sets[node] = (part, tokens)
+                            sets[node] = (part, known, tokens)
             names = list(sets)
             if len(names) < 2:
                 continue
             left = np.array([sets[n][0] for n in names])
-            found = _links_in([sets[n][1] for n in names], left, i == j, join.percent)
+            known = np.unique(np.array([sets[n][1] for n in names]), return_inverse=True)[1]
+            found = _links_in([sets[n][2] for n in names], left, i == j, join.percent, known)
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([names[u] for u, _ in found], pa.int64()), pa.array([names[v] for _, v in found], pa.int64())],
                     ["a", "b"],
                 )
 
-    # A part meets every part of its cluster: block (i, j), i <= j, for either order.
-    blocks = F.expr("transform(sequence(0, parts - 1), p -> struct(least(p, part) AS i, greatest(p, part) AS j))")
     # Always a merge join: the members grow with the documents, so a broadcast would not last.
-    texts = docs.select(ref.alias("ref"), "text").join(members.hint("merge"), "ref")
-    spread = texts.withColumn("block", F.explode(blocks)).select("cluster", "block.i", "block.j", "node", "part", "text")
+    met = members.withColumn("blocks", F.expr(blocks)).select("ref", "node", "known", "cluster", "part", "blocks")
+    texts = docs.select(ref.alias("ref"), "text").join(met.hint("merge"), "ref")
+    spread = texts.withColumn("block", F.explode("blocks")).select("cluster", "block.i", "block.j", "node", "known", "part", "text")
     width = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return (
         spread.repartition(width, "cluster", "i", "j")
@@ -391,6 +482,75 @@ def verified_links(docs: DataFrame, ref: Column, members: DataFrame, join: Join)
     )
 
 
+def _parts(sets: int, tokens: int) -> Column:
+    """Into how many parts ``c`` sets of ``t`` shingles are cut."""
+    return F.greatest(F.ceil(F.greatest(F.col("c") / sets, F.col("t") / tokens)), F.lit(1)).cast("int")
+
+
+def in_parts(linked: DataFrame, name: str, sets: int, tokens: int) -> DataFrame:
+    """``linked``, which has cluster and n, with ``part`` and ``parts``; parts are dealt by ``name``."""
+    sizes = linked.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+    cut = linked.join(sizes.select("cluster", _parts(sets, tokens).alias("parts")), "cluster")
+    return cut.withColumn("part", F.pmod(F.xxhash64(name), F.col("parts")).cast("int"))
+
+
+def narrowed(linked: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
+    """``linked`` (name, node, cluster, ref, n) with the clusters that are left where sketches keep sets
+    apart; sets that are left alone are dropped."""
+    sketches = rows.where("n_shingles > 0").select("node", "sketch").join(linked.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    members = in_parts(linked, "name", SKETCH_SETS, SKETCH_TOKENS).join(sketches, "node")
+    near = components(materialize(sketched_links(members, join)))
+    kept = near.withColumnRenamed("node", "name").join(linked.drop("cluster"), "name")
+    return materialize(kept.withColumnRenamed("root", "cluster"))
+
+
+def group_links(docs: DataFrame, ref: Column, linked: DataFrame, join: Join) -> DataFrame:
+    """Links that join the sets of each group of ``linked`` (node, cluster, ref, n) to its components.
+
+    Parts are compared inside first, which settles the groups of one part. Of the others one set of
+    every component so far is compared next. What is still apart then meets across parts: components of
+    more than a part get parts of their own, which do not meet each other, so a set is sent about as
+    often as there are parts of other components in its group.
+    """
+    members = materialize(in_parts(linked, "node", BLOCK_SETS, BLOCK_TOKENS).withColumn("known", F.col("node")))
+    links = materialize(verified_links(docs, ref, members, OWN_BLOCK, join))
+    large = members.where("parts > 1").drop("part", "parts", "known")
+
+    def joined(links: DataFrame) -> DataFrame:
+        """``large`` with the component of each set, in the groups that have several."""
+        roots = components(links.join(large.select(F.col("node").alias("a")), "a", "left_semi"))
+        known = materialize(large.join(roots, "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root"))
+        open_ = known.groupBy("cluster").agg(F.min("known").alias("_x"), F.max("known").alias("_y")).where("_x < _y")
+        return known.join(open_.select("cluster"), "cluster", "left_semi")
+
+    if large.isEmpty():
+        return links
+    known = joined(links)
+    first = F.row_number().over(Window.partitionBy("cluster", "known").orderBy("node"))
+    some = known.withColumn("_r", first).where("_r = 1").drop("_r")
+    links = links.unionByName(materialize(verified_links(docs, ref, in_parts(some, "node", BLOCK_SETS, BLOCK_TOKENS), OWN_BLOCK, join)))
+    known = joined(links)
+    if known.isEmpty():
+        return links
+    sizes = known.groupBy("cluster", "known").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+    sizes = sizes.select("cluster", "known", "c", "t", _parts(BLOCK_SETS, BLOCK_TOKENS).alias("own"))
+    small = sizes.where("own = 1").groupBy("cluster").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    small = small.select("cluster", _parts(BLOCK_SETS, BLOCK_TOKENS).alias("shared"))
+    dealt = known.join(sizes.select("cluster", "known", "own"), ["cluster", "known"]).join(small, "cluster", "left")
+    owned = F.col("own") > 1
+    dealt = dealt.select(
+        "ref", "node", "known", "cluster", F.when(owned, F.col("known")).alias("owner"),
+        F.pmod(F.xxhash64("node"), F.when(owned, F.col("own")).otherwise(F.col("shared"))).cast("int").alias("at"),
+    )
+    dealt = materialize(dealt)
+    listed = dealt.groupBy("cluster").agg(F.array_sort(F.collect_set(F.struct("owner", "at"))).alias("labels"))
+    members = dealt.join(listed, "cluster").select(
+        "ref", "node", "known", "cluster", F.col("labels.owner").alias("owners"),
+        (F.array_position("labels", F.struct("owner", "at")) - 1).cast("int").alias("part"),
+    )
+    return links.unionByName(materialize(verified_links(docs, ref, members, OPEN_BLOCKS, join)))
+
+
 def _signed(value: int) -> int:
     return value - 2**64 if value >= 2**63 else value
 
@@ -433,14 +593,9 @@ def similarity_groups(docs: DataFrame, join: Join) -> DataFrame:
     marks = [F.when((F.col("n") >= low) & (least <= high), F.lit(_signed(tag_mark(i)))) for i, (low, high) in enumerate(bands)]
     tagged = sets.withColumn("mark", F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())))
     tagged = tagged.select("node", "ref", "n", F.col("node").bitwiseXOR(F.col("mark")).alias("name"))
-    linked = materialize(near.withColumnRenamed("node", "name").join(tagged, "name").select("node", F.col("root").alias("cluster"), "ref", "n"))
-    sizes = linked.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
-    parts = F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("t") / BLOCK_TOKENS)).cast("int")
-    members = linked.join(sizes.select("cluster", parts.alias("parts")), "cluster").select(
-        "ref", "node", "cluster", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "parts"
-    )
-    links = materialize(verified_links(docs, ref, members, join))
-    joined = components(links)
+    linked = materialize(near.withColumnRenamed("node", "name").join(tagged, "name").select("name", "node", F.col("root").alias("cluster"), "ref", "n"))
+    linked = narrowed(linked, rows, join)
+    joined = components(group_links(docs, ref, linked, join))
     named = joined.join(sets.select("node", "doc"), "node")
     smallest = named.groupBy("root").agg(F.min("doc").alias("component"))
     of_set = named.join(smallest, "root").select("node", "component", "root")
@@ -449,7 +604,7 @@ def similarity_groups(docs: DataFrame, join: Join) -> DataFrame:
     )
     empty = F.col("n_shingles") == 0
     # A third of all documents may be copies of one text; their node is spread over salts.
-    return join_per_key(rows, ids, ["node"], "left", salts=8).select(
+    return join_per_key(rows.drop("sketch"), ids, ["node"], "left", salts=8).select(
         "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "node",
         "text_hash", "group",
     )

@@ -2,9 +2,14 @@
 
 import collections
 import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barworks.llm import filter_audit
+from barworks.llm import filter_audit, jaccard, shingles
 
 
 def documents(spark, rows):
@@ -35,3 +40,68 @@ def test_audit_broadcasts_no_table_that_grows(spark, tmp_path):
     good, copy = 1 << filter_audit.GOOD, 1 << filter_audit.FILTERS.index("E")
     found = {r.doc_id: r.bits for r in marked.collect()}
     assert all(bool(bits & good) == bool(i % 2) and bool(bits & copy) == (i >= 40) for i, bits in found.items()) and len(found) == 50
+
+
+def classes_by_force(texts, words, percent):
+    sets = [set(shingles.shingle_set((t or "").encode(), words).tolist()) for t in texts]
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {}
+    for i, r in enumerate(root):
+        least.setdefault(r, i)
+    return {i: least[r] for i, r in enumerate(root)}
+
+
+def near_copies(seed, count, length, changed, chain):
+    """Texts that differ from the first in some words each, or from the one before."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(length)]
+    out = []
+    for _ in range(count):
+        words = list(base)
+        for _ in range(changed):
+            words[rng.randrange(length)] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+        base = words if chain else base
+    return out
+
+
+@pytest.mark.parametrize("words, percent", [(5, 80), (3, 90)])
+def test_large_groups_are_compared_whole_without_all_pairs_of_parts(spark, monkeypatch, words, percent):
+    together = near_copies(1, 70, 200, 1, False)
+    texts = together + near_copies(2, 60, 150, 1, True) + near_copies(3, 25, 120, 4, False) + near_copies(4, 12, 9, 1, True) + [None, "one word"]
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 10)
+    monkeypatch.setattr(jaccard, "SKETCH_SETS", 20)
+    sent, links = [], jaccard.verified_links
+
+    def counted(docs, ref, members, blocks, join):
+        big = members.where(F.col("ref") < len(together)).select(F.size(F.expr(blocks)).alias("n"))
+        sent.append(big.agg(F.sum("n")).first()[0] or 0)
+        return links(docs, ref, members, blocks, join)
+
+    monkeypatch.setattr(jaccard, "verified_links", counted)
+    docs = documents(spark, [(i, t, "en", None, 1) for i, t in enumerate(texts)])
+    found = jaccard.similarity_classes(docs, jaccard.Join(words, percent)).collect()
+    assert {r.doc_id: r.component_id for r in found} == classes_by_force(texts, words, percent)
+    # All pairs of 7 parts would send each of the 70 texts 7 times in every band.
+    assert 0 < sum(sent) <= 3 * len(together)
+
+
+def test_sketches_never_keep_linked_sets_apart():
+    rng = np.random.default_rng(5)
+    for percent in (80, 90):
+        for size in (3, 40, 130, 700):
+            for drop in range(0, max(1, size // 8)):
+                a = rng.integers(0, 2**63, size).astype(np.uint64)
+                b = np.unique(np.concatenate((a[drop:], rng.integers(0, 2**63, drop // 2).astype(np.uint64))))
+                a = np.unique(a)
+                tokens, left = [a, b], np.array([0, 1])
+                linked = jaccard._links_in(tokens, left, False, percent)
+                sizes = np.array([len(a), len(b)])
+                maybe = jaccard._may_be_linked([jaccard.sketch(a), jaccard.sketch(b)], sizes, left, False, percent)
+                assert len(maybe) >= len(linked)
+    a, b = (np.unique(rng.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(2))
+    assert not jaccard._may_be_linked([jaccard.sketch(a), jaccard.sketch(b)], np.array([300, 300]), np.array([0, 0]), True, 80)
