@@ -6,7 +6,9 @@ sends a uniform threshold to all lists: a vector that is below it in every part
 score, so only entries above it are collected. Phase 3 resolves the partial scores that are still
 unknown for the few vectors whose upper bound reaches the k-th lower bound.
 
-Queries and vectors meet in blocks; equal vectors are one candidate that stands for its ids.
+Vectors are dealt to lanes. A task holds the vectors of a lane, reads the queries row by row behind
+them, and compares both in blocks; a vector is moved once a phase, and a query once per lane. Equal
+vectors are one candidate that stands for its ids.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from barworks.llm.arrow import prepared
 from barworks.session import materialize
 
 PARTS = 4
-QUERY_ROWS, VECTOR_ROWS = 256, 4096
+QUERY_ROWS, VECTOR_ROWS = 256, 4096  # of a block
+LANE_LEAST, LANE_MOST = 8192, 1 << 17  # vectors of a lane; queries and results move once per lane
 LARGEST = 1 << 60  # partial scores from here on raise, so that sums and differences of them fit a long
 SALTS = 16
 
@@ -48,32 +51,25 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.reshape(len(column), dim)
 
 
-def packed(rows: DataFrame, id_column: str, name: str, size: int, total: int) -> DataFrame:
-    """Rows (id, v, dim) in blocks: (dim, block, n, ids, values) with the numbers as bytes."""
-    blocks = max(1, math.ceil(total / size))
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the smallest signed type from 16 bits on that holds them."""
+    low, high = int(values.min(initial=0)), int(values.max(initial=0))
+    fits = (t for t in (np.int16, np.int32) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+    return values.astype(next(fits, np.int64))
 
-    def pack(table: pa.Table) -> pa.Table:
-        dim = table.column("dim")[0].as_py()
-        return pa.table({
-            "dim": pa.array([dim], pa.int32()), name: pa.array([table.column(name)[0].as_py()], pa.int32()),
-            "n": pa.array([table.num_rows], pa.int32()),
-            "ids": pa.array([table.column(id_column).to_numpy().astype(np.int64).tobytes()], pa.binary()),
-            "values": pa.array([_matrix(table.column("v"), dim).tobytes()], pa.binary()),
-        })
 
-    at = F.pmod(F.xxhash64(id_column), F.lit(blocks)).cast("int")
-    dealt = rows.select(F.col(id_column).alias(id_column), "v", F.size("v").alias("dim"), at.alias(name))
-    return dealt.groupBy("dim", name).applyInArrow(pack, f"dim int, {name} int, n int, ids binary, values binary")
+def _top(values: np.ndarray) -> float:
+    return float(np.abs(values.astype(float)).max(initial=0))
 
 
-def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products; in floating point where that is exact, and in whole numbers of any size where
-    a long could overflow. A score that does not fit raises."""
-    top = float(np.abs(queries.astype(float)).max(initial=0)) * float(np.abs(vectors.astype(float)).max(initial=0)) * queries.shape[1]
-    if top < 2**52:
-        return (queries.astype(float) @ vectors.astype(float).T).astype(np.int64)
+def _scores(queries: np.ndarray, vectors: np.ndarray, top: float) -> np.ndarray:
+    """Inner products, none beyond ``top``; in floating point where that is exact, and in whole numbers
+    of any size where a long could overflow. A score that does not fit raises."""
+    for kind, exact in ((np.float32, 2**24), (np.float64, 2**52)):
+        if top < exact:
+            return queries.astype(kind) @ vectors.astype(kind).T
     if top < LARGEST:
-        return queries @ vectors.T
+        return queries.astype(np.int64) @ vectors.astype(np.int64).T
     exact = queries.astype(object) @ vectors.astype(object).T
     if np.abs(exact).max(initial=0) >= LARGEST:
         raise OverflowError("a score is too large for a long")
@@ -85,12 +81,28 @@ def _cut(dim: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges, edges[1:])]
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]):
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some queries, their values, and the ids and values of all vectors of their lane, from rows sorted
+    by dim, lane and kind: vectors are of kind 0 and come first."""
+    at, held, whole = None, [], None
     for batch in batches:
-        for r in batch.to_pylist():
-            q = np.frombuffer(r["q_values"], np.int64).reshape(r["q_n"], r["dim"])
-            v = np.frombuffer(r["v_values"], np.int64).reshape(r["v_n"], r["dim"])
-            yield r, np.frombuffer(r["q_ids"], np.int64), q, np.frombuffer(r["v_ids"], np.int64), v
+        keys = np.stack([batch.column(c).to_numpy() for c in ("dim", "lane", "kind")])
+        cuts = [0, *(np.flatnonzero(np.diff(keys).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(cuts, cuts[1:]):
+            if start == stop:
+                continue
+            dim, lane, kind = keys[:, start].tolist()
+            if (dim, lane) != at:
+                at, held, whole = (dim, lane), [], None
+            rows = batch.slice(start, stop - start)
+            if not kind:
+                held.append((rows.column("id").to_numpy(), _narrow(_matrix(pa.chunked_array([rows.column("v")]), dim))))
+                continue
+            if held:
+                whole, held = tuple(map(np.concatenate, zip(*held))), []
+            for first in range(0, rows.num_rows if whole else 0, QUERY_ROWS):
+                some = rows.slice(first, QUERY_ROWS)
+                yield some, _matrix(pa.chunked_array([some.column("v")]), dim), *whole
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -99,16 +111,37 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-scores, k - 1, axis=1)[:, :k]
 
 
+def _tops_of(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query: the k highest scores, the places of their vectors, and the least score of all."""
+    top = _top(q) * _top(v) * q.shape[1]
+    best = place = least = None
+    for start in range(0, len(v), VECTOR_ROWS):
+        s = _scores(q, v[start : start + VECTOR_ROWS], top)
+        if best is None:
+            place = _best(s, k)
+            best, least = np.take_along_axis(s, place, 1), s.min(axis=1)
+            continue
+        np.minimum(least, s.min(axis=1), out=least)
+        better = np.flatnonzero((s.max(axis=1) > best.min(axis=1)) | (best.shape[1] < k))
+        if len(better):
+            both = np.concatenate((best[better], s[better]), axis=1)
+            at = _best(both, k)
+            columns = np.concatenate((place[better], np.broadcast_to(np.arange(start, start + s.shape[1]), s[better].shape)), axis=1)
+            if at.shape[1] > best.shape[1]:  # then no row had k yet, so all are here
+                best, place = np.empty(at.shape, best.dtype), np.empty(at.shape, place.dtype)
+            best[better], place[better] = np.take_along_axis(both, at, 1), np.take_along_axis(columns, at, 1)
+    return best.astype(np.int64), place, least.astype(np.int64)
+
+
 def _list_tops(k: int):
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, q_ids, q, v_ids, v in _block_pairs(batches):
-            for p, part in enumerate(_cut(r["dim"])):
-                s = _scores(q[:, part], v[:, part])
-                at = _best(s, k)
-                width = at.shape[1]
+        for rows, q, v_ids, v in _met(batches):
+            for p, part in enumerate(_cut(q.shape[1])):
+                best, place, least = _tops_of(q[:, part], v[:, part], k)
+                width = best.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, width)), pa.array(np.full(at.size, p, np.int32)), pa.array(v_ids[at].ravel()),
-                     pa.array(np.take_along_axis(s, at, 1).ravel()), pa.array(np.repeat(s.min(axis=1), width))],
+                    [pa.array(np.repeat(rows.column("id").to_numpy(), width)), pa.array(np.full(best.size, p, np.int32)),
+                     pa.array(v_ids[place].ravel()), pa.array(best.ravel()), pa.array(np.repeat(least, width))],
                     ["query", "part", "cand", "s", "least"],
                 )
 
@@ -117,27 +150,44 @@ def _list_tops(k: int):
 
 def _entries(k: int):
     """Entries at or above the query's threshold, without those that cannot be among its k best
-    because k others of the same block are known to be better."""
+    because k others of the same lane are known to be better."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, q_ids, q, v_ids, v in _block_pairs(batches):
-            limit = {i: (least, cut, base) for i, least, cut, base in zip(r["t_query"], r["t_least"], r["t_cut"], r["t_base"])}
-            least = np.array([limit[i][0] for i in q_ids.tolist()], dtype=np.int64)
-            cut = np.array([limit[i][1] for i in q_ids.tolist()], dtype=np.int64)[:, None]
-            bound = np.array([limit[i][2] for i in q_ids.tolist()], dtype=np.int64)[:, None]
-            known = np.zeros((len(q), len(v)), dtype=np.int64)
-            missing = np.full((len(q), len(v)), PARTS, dtype=np.int64)
-            for p, part in enumerate(_cut(r["dim"])):
-                s = _scores(q[:, part], v[:, part]) - least[:, p : p + 1]
-                seen = s >= cut
-                known += np.where(seen, s, 0)
-                missing -= seen
-            if known.shape[1] >= k:
-                bound = np.maximum(bound, np.partition(known, known.shape[1] - k, axis=1)[:, known.shape[1] - k][:, None])
-            upper = known + missing * np.maximum(cut - 1, 0)
-            row, col = np.nonzero((missing < PARTS) & (upper >= bound))
+        for rows, q, v_ids, v in _met(batches):
+            least = np.array(rows.column("least").to_pylist(), dtype=np.int64)
+            cut, base = (rows.column(c).to_numpy().astype(np.int64)[:, None] for c in ("cut", "base"))
+            top = _top(q) * _top(v) * max(1, q.shape[1])
+            small = max(top, _top(least), _top(base)) < 2**24
+            kind = np.int32 if small else np.int64
+            least, cut, base = least.astype(kind), cut.astype(kind), base.astype(kind)
+            unseen = np.maximum(cut - 1, 0)
+            found = []
+            for start in range(0, len(v), VECTOR_ROWS):
+                block = v[start : start + VECTOR_ROWS]
+                known = np.zeros((len(q), len(block)), dtype=kind)
+                missing = np.full(known.shape, PARTS, dtype=np.int8)
+                for p, part in enumerate(_cut(q.shape[1])):
+                    s = _scores(q[:, part], block[:, part], top).astype(kind)
+                    s -= least[:, p : p + 1]
+                    seen = s >= cut
+                    s *= seen
+                    known += s
+                    missing -= seen
+                if known.shape[1] >= k:
+                    base = np.maximum(base, np.partition(known, -k, axis=1)[:, [-k]])
+                upper = missing * unseen
+                upper += known
+                row, col = np.nonzero((upper >= base) & (missing < PARTS))
+                found.append((row, col + start, known[row, col].astype(np.int64), upper[row, col].astype(np.int64)))
+            row, col, some, upper = map(np.concatenate, zip(*found))
+            order = np.lexsort((-some, row))
+            place = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+            last = order[place == k - 1]
+            bound = base[:, 0].astype(np.int64)
+            bound[row[last]] = np.maximum(bound[row[last]], some[last])
+            may = upper >= bound[row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(q_ids[row]), pa.array(v_ids[col]), pa.array(known[row, col]), pa.array(upper[row, col])],
+                [pa.array(rows.column("id").to_numpy()[row[may]]), pa.array(v_ids[col[may]]), pa.array(some[may]), pa.array(upper[may])],
                 ["query", "cand", "known", "upper"],
             )
 
@@ -176,21 +226,19 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     cands, ids = classes(vectors, wide)
     queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
     queries = materialize(queries.select(F.xxhash64("vec_id", "v").alias("query"), "vec_id", "v"))
-    n_queries, n_cands = queries.count(), cands.count()
-    q_blocks = packed(queries, "query", "qb", QUERY_ROWS, n_queries).select(
-        "dim", "qb", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values")
-    )
-    v_blocks = packed(cands, "cand", "vb", VECTOR_ROWS, n_cands).select(
-        "dim", F.col("n").alias("v_n"), F.col("ids").alias("v_ids"), F.col("values").alias("v_values")
-    )
-    q_blocks = materialize(q_blocks)
-    count = max(1, math.ceil(n_queries / QUERY_ROWS))
-    spread = v_blocks.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    v_spread = materialize(spread.withColumn("vb", F.xxhash64("v_ids")))
+    n_cands = cands.count()
     parts = max(2, int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = lambda q: v_spread.join(q, ["dim", "qb"]).repartition(parts, "qb", "vb")
+    lanes = max(1, math.ceil(n_cands / LANE_MOST), min(math.ceil(n_cands / LANE_LEAST), parts))
+    in_lane = F.pmod(F.xxhash64("cand"), F.lit(lanes)).cast("int")
+    vector_rows = cands.select(F.size("v").alias("dim"), in_lane.alias("lane"), F.lit(0).alias("kind"), F.col("cand").alias("id"), "v")
+
+    def dealt(asked: DataFrame, *told: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
+        query_rows = asked.select(F.size("v").alias("dim"), every, F.lit(1).alias("kind"), F.col("query").alias("id"), "v", *told)
+        rows = vector_rows.unionByName(query_rows, allowMissingColumns=True)
+        return rows.repartition(max(parts, lanes), "dim", "lane").sortWithinPartitions("dim", "lane", "kind")
 
-    tops = materialize(dealt(q_blocks).mapInArrow(_list_tops(wide), "query long, part int, cand long, s long, least long"))
+    tops = materialize(dealt(queries).mapInArrow(_list_tops(wide), "query long, part int, cand long, s long, least long"))
     least = tops.groupBy("query", "part").agg(F.min("least").alias("least"))
     order = F.row_number().over(Window.partitionBy("query", "part").orderBy(F.col("s").desc(), "cand"))
     best = tops.drop("least").withColumn("_r", order).where(F.col("_r") <= wide).join(least, ["query", "part"])
@@ -204,12 +252,8 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
         "query", F.col("l.least").alias("least"), F.ceil(F.col("base") / PARTS).cast("long").alias("cut"), "base"
     )
     limits = materialize(limits)
-    in_block = F.pmod(F.xxhash64("query"), F.lit(count)).cast("int").alias("qb")
-    told = limits.join(queries.select("query", F.size("v").alias("dim")), "query").groupBy("dim", in_block).agg(
-        F.collect_list(F.struct("query", "least", "cut", "base")).alias("t")
-    )
-    told = told.select("dim", "qb", F.col("t.query").alias("t_query"), F.col("t.least").alias("t_least"), F.col("t.cut").alias("t_cut"), F.col("t.base").alias("t_base"))
-    entries = materialize(dealt(q_blocks.join(told, ["dim", "qb"])).mapInArrow(_entries(wide), "query long, cand long, known long, upper long"))
+    told = dealt(queries.join(limits, "query"), "least", "cut", "base")
+    entries = materialize(told.mapInArrow(_entries(wide), "query long, cand long, known long, upper long"))
     lower = entries.withColumn("_r", F.row_number().over(low)).where(F.col("_r") == wide).select("query", F.col("known").alias("floor"))
     open_ = entries.join(lower, "query", "left").where("floor IS NULL OR upper >= floor").select("query", "cand")
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barworks.llm import filter_audit, jaccard, shingles
+from barworks.llm import filter_audit, jaccard, shingles, topk
 
 
 def documents(spark, rows):
@@ -105,3 +105,40 @@ def test_sketches_never_keep_linked_sets_apart():
                 assert len(maybe) >= len(linked)
     a, b = (np.unique(rng.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(2))
     assert not jaccard._may_be_linked([jaccard.sketch(a), jaccard.sketch(b)], np.array([300, 300]), np.array([0, 0]), True, 80)
+
+
+def test_top_k_moves_no_vector_per_block_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    vectors = np.floor(1024 * rng.normal(size=(2500, 8)).astype(np.float32).astype(float)).astype(int)
+    rows = [(i, (v / 1024).tolist()) for i, v in enumerate(vectors)]
+    stored, keep = [], topk.materialize
+
+    def watched(df):
+        held = {"values": F.octet_length("values") / 64, "v": F.lit(1), "v_values": F.octet_length("v_values") / 64}
+        out = keep(df)
+        stored.extend(out.agg(F.sum(held[c])).first()[0] or 0 for c in out.columns if c in held)
+        return out
+
+    monkeypatch.setattr(topk, "materialize", watched)
+    monkeypatch.setattr(topk, "LANE_LEAST", 700, raising=False)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=4).collect()
+    scores = vectors[::4] @ vectors.T
+    want = {}
+    for n, s in enumerate(scores):
+        best = sorted((-int(x), j) for j, x in enumerate(s) if j != 4 * n)[:5]
+        want |= {(4 * n, r + 1): (j, -x) for r, (x, j) in enumerate(best)}
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in got} == want
+    assert max(stored) <= len(rows)
+
+
+@pytest.mark.parametrize("scale", [1, 2**11, 2**20])
+def test_top_k_of_a_lane_in_blocks(monkeypatch, scale):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(topk, "VECTOR_ROWS", 7)
+    for n in (1, 5, 7, 8, 60):
+        q, v = rng.integers(-90, 90, (4, 6)) * scale, rng.integers(-90, 90, (n, 6)) * scale
+        best, place, least = topk._tops_of(q, topk._narrow(v), 10)
+        full = q @ v.T
+        assert (least == full.min(axis=1)).all() and (np.take_along_axis(full, place, 1) == best).all()
+        assert (np.sort(best, axis=1) == np.sort(full, axis=1)[:, -10:]).all()
+        assert all(len(set(row)) == min(n, 10) for row in place.tolist())
